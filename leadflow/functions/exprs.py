@@ -55,6 +55,12 @@ def rate_pct(num, den) -> Column:
             .otherwise(F.lit(0.0))
 
 
+def money(c) -> Column:
+    """Monetary value as exact cents (DECIMAL(18,2)): sums and averages of
+    money are then independent of summation order."""
+    return col(c).cast("decimal(18,2)")
+
+
 def rnd(c, scale: int) -> Column:
     """Half-up rounding of a double, as SQL ``round`` does."""
     return F.round(col(c).cast("double"), scale)

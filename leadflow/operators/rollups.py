@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.domains import MAX_REGION_TREND_WEEKS
-from leadflow.functions.exprs import (granularity, is_yes, period_end_for,
+from leadflow.functions.exprs import (granularity, is_yes, money, period_end_for,
                                       period_start_for, rate_pct, rnd, week_start)
 
 MASTER_KEYS = ["campaign_id", "nama_program", "flag_program", "jenis_leads",
@@ -164,7 +164,7 @@ def regional_weekly(enriched: DataFrame) -> DataFrame:
                            week_start("periode_start").alias("week_start")).agg(
         F.count(F.lit(1)).alias("leads_count"),
         F.count_if(is_yes()).alias("take_up_count"),
-        F.avg("total_transaction_value").alias("avg_transaction_value"),
+        F.avg(money("total_transaction_value")).cast("double").alias("avg_transaction_value"),
     )
     return agg.select("campaign_id", F.col("wilayah").alias("region"), "week_start",
                       "leads_count", "take_up_count",
@@ -195,8 +195,8 @@ def regional_from_leads(enriched: DataFrame, flag_program: str | None = None) ->
     agg = df.groupBy("campaign_id", "wilayah").agg(
         F.count(F.lit(1)).alias("total_leads"),
         F.count_if(yes).alias("total_take_up"),
-        F.sum(F.when(yes, F.coalesce(F.col("total_transaction_value"), F.lit(0.0)))
-               .otherwise(F.lit(0.0))).alias("_value"),
+        F.sum(F.when(yes, F.coalesce(money("total_transaction_value"), F.lit(0).cast("decimal(18,2)")))
+              ).alias("_value"),
     )
     return agg.select(
         "campaign_id", "wilayah",
@@ -204,7 +204,7 @@ def regional_from_leads(enriched: DataFrame, flag_program: str | None = None) ->
         "total_leads", "total_take_up",
         rnd(rate_pct("total_take_up", "total_leads"), 2).alias("take_up_rate"),
         F.when(F.col("total_take_up") > 0,
-               rnd(F.col("_value") / F.col("total_take_up"), 2))
+               F.round(F.col("_value") / F.col("total_take_up"), 2).cast("double"))
          .otherwise(F.lit(0.0)).alias("avg_transaction_value"),
     )
 

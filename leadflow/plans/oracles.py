@@ -93,6 +93,143 @@ catalogue AS (
               - INTERVAL 1 DAY AS DATE) AS end_date
   FROM (SELECT DISTINCT o_orderpriority AS nama_program,
                CAST(date_trunc('month', o_orderdate) AS DATE) AS periode_start FROM orders) t
+),
+dim AS (
+  SELECT campaign_id, min(nama_program) AS nama_program, min(flag_program) AS flag_program,
+         min(jenis_leads) AS jenis_leads, min(media_blasting) AS media_blasting,
+         min(periode_start) AS periode_start,
+         CAST(sum(total_leads) AS BIGINT) AS total_leads,
+         CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+         sum(total_transaction_value) AS total_transaction_value,
+         CASE WHEN sum(total_leads) > 0
+              THEN CAST(sum(total_take_up) AS DOUBLE) / CAST(sum(total_leads) AS DOUBLE) * 100.0
+              ELSE 0.0 END AS take_up_rate
+  FROM master GROUP BY campaign_id
+),
+camp AS (
+  SELECT campaign_id, periode_start, duration_days, granularity,
+         period_bucket,
+         CASE WHEN granularity = 'weekly' THEN period_bucket + 6 ELSE last_day(period_bucket) END AS period_end
+  FROM (
+    SELECT *, CASE WHEN granularity = 'weekly' THEN CAST(date_trunc('week', periode_start) AS DATE)
+                   ELSE CAST(date_trunc('month', periode_start) AS DATE) END AS period_bucket
+    FROM (
+      SELECT d.campaign_id, d.periode_start,
+             CAST(coalesce(date_diff('day', c.start_date, c.end_date), 0) AS INTEGER) AS duration_days,
+             CASE WHEN coalesce(date_diff('day', c.start_date, c.end_date), 0) <= 90
+                  THEN 'weekly' ELSE 'monthly' END AS granularity
+      FROM dim d LEFT JOIN catalogue c ON d.campaign_id = c.campaign_id) a) b
+),
+ov AS (
+  SELECT c.period_bucket AS period_start, c.period_end, c.granularity,
+         m.flag_program AS product, m.media_blasting AS channel,
+         CAST(m.wilayah AS VARCHAR) AS region,
+         CAST(sum(m.total_leads) AS BIGINT) AS total_leads,
+         CAST(sum(m.total_take_up) AS BIGINT) AS total_take_up,
+         sum(m.total_transaction_value) AS total_transaction_value,
+         count(DISTINCT m.campaign_id) AS campaign_count
+  FROM master m JOIN camp c ON m.campaign_id = c.campaign_id
+  GROUP BY 1, 2, 3, 4, 5, 6
+),
+weekly AS (
+  SELECT campaign_id, wilayah AS region, CAST(date_trunc('week', periode_start) AS DATE) AS week_start,
+         count(*) AS leads_count,
+         CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS take_up_count,
+         CAST(avg(CAST(total_transaction_value AS DECIMAL(18, 2))) AS DOUBLE) AS avg_transaction_value
+  FROM enriched GROUP BY 1, 2, 3
+),
+reg AS (
+  SELECT campaign_id, wilayah, 'Wilayah ' || CAST(wilayah AS VARCHAR) AS region_name,
+         count(*) AS total_leads,
+         CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS total_take_up,
+         sum(CASE WHEN take_up_flag = 'YES' THEN coalesce(CAST(total_transaction_value AS DECIMAL(18, 2)), 0) END) AS value_sum,
+         min(flag_program) AS flag_program
+  FROM enriched WHERE wilayah IS NOT NULL GROUP BY 1, 2
+),
+days AS (
+  SELECT campaign_id, media_blasting, wilayah, time_to_take_up_days AS d
+  FROM enriched
+  WHERE take_up_flag = 'YES' AND take_up_date IS NOT NULL AND time_to_take_up_days IS NOT NULL
+),
+metrics AS (
+  SELECT e.campaign_id, min(e.nama_program) AS campaign_name, min(e.flag_program) AS flag_program,
+         count(*) AS total_leads,
+         CAST(sum(CASE WHEN e.take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS total_take_up,
+         sum(coalesce(e.total_transaction_value, 0.0)) AS value_sum
+  FROM enriched e GROUP BY 1
+),
+pairs AS (
+  SELECT a.campaign_id, b.campaign_id AS similar_campaign_id, b.nama_program AS campaign_name,
+         coalesce(a.flag_program = b.flag_program, false) AS mf,
+         coalesce(a.jenis_leads = b.jenis_leads, false) AS mj,
+         coalesce(a.media_blasting = b.media_blasting, false) AS mm,
+         b.take_up_rate, b.total_leads, b.total_take_up
+  FROM dim a JOIN dim b ON a.campaign_id < b.campaign_id OR a.campaign_id > b.campaign_id
+),
+scored AS (
+  SELECT *, CAST(CAST(mf AS INTEGER) + CAST(mj AS INTEGER) + CAST(mm AS INTEGER) AS INTEGER) AS dimension_count,
+         concat_ws(',', CASE WHEN mf THEN 'flag_program' END, CASE WHEN mj THEN 'jenis_leads' END,
+                   CASE WHEN mm THEN 'media_blasting' END) AS matching_dimensions
+  FROM pairs
+),
+bd AS (
+  SELECT campaign_id, 'segment_by_aum' AS breakdown, segment_by_aum AS label, count(*) AS leads,
+         CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS take_up
+  FROM enriched GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT campaign_id, 'wilayah', CAST(wilayah AS VARCHAR), count(*),
+         CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT)
+  FROM enriched GROUP BY 1, 2, 3
+),
+bdr AS (
+  SELECT *, CASE WHEN leads > 0 THEN CAST(take_up AS DOUBLE) / CAST(leads AS DOUBLE) * 100.0 ELSE 0.0 END AS take_up_rate
+  FROM bd
+),
+rates AS (
+  SELECT campaign_id, count(*) AS total_leads,
+         CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS total_take_up,
+         round(avg(CASE WHEN take_up_flag = 'YES' THEN time_to_take_up_days END), 1) AS avg_days,
+         min(media_blasting) AS media_blasting,
+         round(CASE WHEN count(*) > 0 THEN CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS DOUBLE)
+                    / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END, 2) AS take_up_rate
+  FROM enriched GROUP BY 1
+),
+seg_best AS (
+  SELECT campaign_id, label AS best_segment, take_up_rate AS best_segment_rate FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY take_up_rate DESC, label) AS rn
+    FROM bdr WHERE breakdown = 'segment_by_aum' AND leads > 0 AND take_up_rate > 0) t WHERE rn = 1
+),
+seg_worst AS (
+  SELECT campaign_id, label AS worst_segment, take_up_rate AS worst_segment_rate FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY take_up_rate, label) AS rn
+    FROM bdr WHERE breakdown = 'segment_by_aum' AND leads > 0 AND take_up_rate < 100) t WHERE rn = 1
+),
+seg_bw AS (
+  SELECT c.campaign_id, b.best_segment, b.best_segment_rate, w.worst_segment, w.worst_segment_rate
+  FROM (SELECT DISTINCT campaign_id FROM bdr WHERE breakdown = 'segment_by_aum' AND leads > 0) c
+  LEFT JOIN seg_best b ON c.campaign_id = b.campaign_id
+  LEFT JOIN seg_worst w ON c.campaign_id = w.campaign_id
+),
+reg2 AS (
+  SELECT b.*, CAST(b.label AS INTEGER) AS w, r.take_up_rate AS camp_rate
+  FROM bdr b JOIN rates r ON b.campaign_id = r.campaign_id
+  WHERE b.breakdown = 'wilayah' AND b.leads >= 2
+),
+reg_bl AS (
+  SELECT c.campaign_id, rb.best_region, rb.best_region_rate, coalesce(lw.low_regions, '') AS low_regions
+  FROM (SELECT DISTINCT campaign_id FROM reg2) c
+  LEFT JOIN (SELECT campaign_id, w AS best_region, take_up_rate AS best_region_rate FROM (
+      SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY take_up_rate DESC, w) AS rn
+      FROM reg2 WHERE take_up_rate > 0) t WHERE rn = 1) rb ON c.campaign_id = rb.campaign_id
+  LEFT JOIN (SELECT campaign_id, string_agg(CAST(w AS VARCHAR), ',' ORDER BY w) AS low_regions
+             FROM reg2 WHERE take_up_rate < camp_rate * 0.5 GROUP BY 1) lw ON c.campaign_id = lw.campaign_id
+),
+sim_best AS (
+  SELECT campaign_id, similar_campaign_id AS best_similar_id, take_up_rate AS best_similar_rate,
+         dimension_count / 3.0 AS best_similar_score, n AS similar_count FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY take_up_rate DESC, similar_campaign_id) AS rn,
+           count(*) OVER (PARTITION BY campaign_id) AS n
+    FROM scored WHERE dimension_count >= 1) t WHERE rn = 1
 )
 """
 
@@ -121,3 +258,218 @@ SELECT campaign_id, nama_program, flag_program, jenis_leads, media_blasting, wil
        round(avg_time_to_take_up_days, 4) AS avg_time_to_take_up_days,
        round({rate('total_take_up', 'total_leads')}, 4) AS take_up_rate
 FROM master""")
+
+
+def sround(expr: str, scale: int) -> str:
+    """Half-up rounding of a double's shortest decimal text, which is how
+    Spark's ``round`` treats doubles (DuckDB's own ``round`` scales by a
+    power of ten first and can tip a value like 101225.58499999999 up)."""
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 12)), {scale}) AS DOUBLE)"
+
+
+def cents_avg(cents_sum: str, n: str) -> str:
+    """Exact half-up average of a money sum, in integer cents."""
+    c = f"CAST(({cents_sum}) * 100 AS HUGEINT)"
+    return f"CAST(({c} * 2 + ({n})) // (2 * ({n})) AS DOUBLE) / 100.0"
+
+
+def r4(c: str, alias: str | None = None) -> str:
+    return f"{sround(c, 4)} AS {alias or c}"
+
+
+ORACLES["campaign_dim"] = _q(f"""
+SELECT campaign_id, nama_program, flag_program, jenis_leads, media_blasting, periode_start,
+       total_leads, total_take_up, {r4('total_transaction_value')}, {r4('take_up_rate')}
+FROM dim""")
+
+ORACLES["granularity"] = _q("SELECT campaign_id, duration_days, granularity FROM camp")
+ORACLES["period_buckets"] = _q("SELECT campaign_id, granularity, period_bucket, period_end FROM camp")
+
+_OV = f"""period_start, period_end, granularity, product, channel, region, total_leads, total_take_up,
+       round({rate('total_take_up', 'total_leads')}, 4) AS take_up_rate,
+       {r4('total_transaction_value')}, campaign_count"""
+ORACLES["overview_agg"] = _q(f"SELECT {_OV} FROM ov")
+ORACLES["overview_query"] = _q(f"""
+SELECT {_OV} FROM ov
+WHERE period_start >= DATE '1996-01-01' AND period_end <= DATE '1999-12-31'
+  AND product IN ('PROGRAM H1') AND channel IN ('URGENT', 'HIGH', 'LOW')
+  AND region IN ('1', '2', '3', '4', '5', '6', '7', '8', '9')""")
+ORACLES["overview_totals"] = _q(f"""
+SELECT count(*) AS total_leads,
+       CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS total_take_up,
+       count(DISTINCT campaign_id) AS total_campaigns,
+       round(round({rate("sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END)", 'count(*)')}, 2), 4) AS take_up_rate
+FROM enriched""")
+ORACLES["overview_totals_from_agg"] = _q(f"""
+SELECT CAST(sum(total_leads) AS BIGINT) AS total_leads, CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+       CAST(sum(campaign_count) AS BIGINT) AS campaign_group_count,
+       round({rate('sum(total_take_up)', 'sum(total_leads)')}, 2) AS take_up_rate
+FROM ov""")
+ORACLES["overview_trend"] = _q(f"""
+SELECT period_start, period_end, CAST(sum(total_leads) AS BIGINT) AS total_leads,
+       CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+       round({rate('sum(total_take_up)', 'sum(total_leads)')}, 2) AS take_up_rate
+FROM ov GROUP BY 1, 2""")
+ORACLES["overview_trend_filtered"] = _q(f"""
+SELECT campaign_id, period_start, period_end, total_leads, total_take_up, take_up_rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY period_start, period_end ORDER BY campaign_id) AS rn FROM (
+    SELECT m.campaign_id, c.period_bucket AS period_start, c.period_end,
+           CAST(sum(m.total_leads) AS BIGINT) AS total_leads,
+           CAST(sum(m.total_take_up) AS BIGINT) AS total_take_up,
+           round({rate('sum(m.total_take_up)', 'sum(m.total_leads)')}, 2) AS take_up_rate
+    FROM master m JOIN camp c ON m.campaign_id = c.campaign_id
+    WHERE m.campaign_id IN (SELECT campaign_id FROM enriched WHERE wilayah IN (1, 2, 3, 4, 5))
+    GROUP BY 1, 2, 3) a) b
+WHERE rn = 1""")
+
+_WK = f"""campaign_id, region, week_start, leads_count, take_up_count,
+       round({rate('take_up_count', 'leads_count')}, 4) AS take_up_rate, {r4('avg_transaction_value')}"""
+ORACLES["regional_weekly"] = _q(f"SELECT {_WK} FROM weekly")
+ORACLES["regional_summary"] = _q(f"""
+SELECT campaign_id, region, CAST(sum(leads_count) AS BIGINT) AS leads_count,
+       CAST(sum(take_up_count) AS BIGINT) AS take_up_count,
+       round(avg(avg_transaction_value), 4) AS avg_of_weekly_avg,
+       round({rate('sum(take_up_count)', 'sum(leads_count)')}, 4) AS take_up_rate
+FROM weekly GROUP BY 1, 2""")
+ORACLES["regional_trend_8w"] = _q(f"""
+SELECT {_WK} FROM (
+  SELECT *, row_number() OVER (PARTITION BY campaign_id, region ORDER BY week_start DESC) AS rn FROM weekly) t
+WHERE rn <= 8""")
+_REG = f"""campaign_id, wilayah, region_name, total_leads, total_take_up,
+       round({rate('total_take_up', 'total_leads')}, 2) AS take_up_rate,
+       CASE WHEN total_take_up > 0 THEN {cents_avg('value_sum', 'total_take_up')} ELSE 0.0 END AS avg_transaction_value"""
+ORACLES["regional_from_leads"] = _q(f"SELECT {_REG} FROM reg")
+ORACLES["regional_by_program"] = _q(f"""
+SELECT campaign_id, wilayah, 'Wilayah ' || CAST(wilayah AS VARCHAR) AS region_name,
+       count(*) AS total_leads,
+       CAST(sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) AS BIGINT) AS total_take_up,
+       round({rate("sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END)", 'count(*)')}, 2) AS take_up_rate,
+       CASE WHEN sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END) > 0
+            THEN {cents_avg("sum(CASE WHEN take_up_flag = 'YES' THEN coalesce(CAST(total_transaction_value AS DECIMAL(18, 2)), 0) END)", "sum(CASE WHEN take_up_flag = 'YES' THEN 1 ELSE 0 END)")}
+            ELSE 0.0 END AS avg_transaction_value
+FROM enriched WHERE wilayah IS NOT NULL AND flag_program = 'PROGRAM H2' GROUP BY 1, 2""")
+ORACLES["regional_ranked"] = _q(f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY campaign_id ORDER BY take_up_rate DESC NULLS LAST, wilayah)
+               AS INTEGER) AS region_rank
+FROM (SELECT {_REG} FROM reg) t""")
+
+ORACLES["take_up_leads"] = _q("""
+SELECT campaign_id, cif, periode_start, take_up_date, media_blasting, wilayah, time_to_take_up_days
+FROM enriched WHERE take_up_flag = 'YES' AND take_up_date IS NOT NULL""")
+
+
+def _stats(by: str = "", where: str = "") -> str:
+    keys = "campaign_id" + (f", {by}" if by else "")
+    return _q(f"""
+SELECT {keys}, CAST(min(d) AS INTEGER) AS min_days, CAST(max(d) AS INTEGER) AS max_days,
+       round(avg(d), 1) AS mean_days, round(quantile_cont(CAST(d AS DOUBLE), 0.5), 1) AS median_days,
+       count(*) AS total_take_up
+FROM days {where} GROUP BY {keys}""")
+
+
+ORACLES["time_stats"] = _stats()
+ORACLES["time_stats_filtered"] = _stats(where="WHERE media_blasting = 'URGENT' AND wilayah = 3")
+ORACLES["time_stats_by_channel"] = _stats("media_blasting")
+ORACLES["time_stats_by_region"] = _stats("wilayah")
+ORACLES["time_histogram"] = _q("""
+, bins(bin_index, range_start, range_end) AS (
+  VALUES (0, 0, 7), (1, 7, 14), (2, 14, 21), (3, 21, 30), (4, 30, 60), (5, 60, 90), (6, 90, NULL))
+, tot AS (SELECT campaign_id, count(*) AS n FROM days GROUP BY 1)
+SELECT t.campaign_id, CAST(b.bin_index AS INTEGER) AS bin_index, CAST(b.range_start AS INTEGER) AS range_start,
+       CAST(b.range_end AS INTEGER) AS range_end, count(d.d) AS count,
+       round(CAST(count(d.d) AS DOUBLE) / CAST(t.n AS DOUBLE) * 100.0, 2) AS percentage
+FROM tot t CROSS JOIN bins b
+LEFT JOIN days d ON d.campaign_id = t.campaign_id AND d.d >= b.range_start
+                AND (b.range_end IS NULL OR d.d < b.range_end)
+GROUP BY t.campaign_id, b.bin_index, b.range_start, b.range_end, t.n""")
+
+_LONG = " UNION ALL ".join(
+    f"SELECT campaign_id, '{a}' AS attribute, NULLIF(trim({a}), '') AS label, take_up_flag = 'YES' AS yes FROM enriched"
+    for a in ["segment_by_aum", "range_usia", "media_blasting", "segment_div_owner", "flag_program"])
+ORACLES["criteria_distribution"] = _q(f"""
+, lng AS ({_LONG})
+, cnt AS (SELECT campaign_id, attribute, label, count(*) AS count,
+                 CAST(sum(CASE WHEN yes THEN 1 ELSE 0 END) AS BIGINT) AS take_up_count
+          FROM lng WHERE label IS NOT NULL GROUP BY 1, 2, 3)
+, pc AS (SELECT *, round(CAST(count AS DOUBLE) / CAST(sum(count) OVER (PARTITION BY campaign_id, attribute) AS DOUBLE) * 100.0, 4) AS p,
+                row_number() OVER (PARTITION BY campaign_id, attribute ORDER BY label DESC) = 1 AS is_last
+         FROM cnt)
+SELECT campaign_id, attribute, label, count, take_up_count,
+       CASE WHEN is_last
+            THEN round(100.0 - sum(CASE WHEN is_last THEN 0.0 ELSE p END) OVER (PARTITION BY campaign_id, attribute), 4)
+            ELSE p END AS percentage,
+       round(CAST(take_up_count AS DOUBLE) / CAST(count AS DOUBLE) * 100.0, 4) AS take_up_percentage
+FROM pc""")
+ORACLES["criteria_availability"] = _q(f"""
+, lng AS ({_LONG})
+SELECT campaign_id, attribute, count(label) AS labelled_leads, count(label) > 0 AS available
+FROM lng GROUP BY 1, 2""")
+
+_CMP = f"""m.campaign_id, m.campaign_name, m.flag_program, m.total_leads, m.total_take_up,
+       round({rate('m.total_take_up', 'm.total_leads')}, 2) AS take_up_rate,
+       round(m.value_sum, 2) AS total_transaction_value,
+       CAST(coalesce(date_diff('day', c.start_date, c.end_date), 0) AS INTEGER) AS duration_days"""
+_CMP_FROM = "FROM metrics m LEFT JOIN catalogue c ON m.campaign_id = c.campaign_id"
+ORACLES["compare_campaigns"] = _q(f"SELECT {_CMP} {_CMP_FROM}")
+ORACLES["sort_by_attribute"] = _q(f"SELECT {_CMP} {_CMP_FROM}")
+ORACLES["comparison_long"] = _q(f"""
+, cm AS (SELECT {_CMP} {_CMP_FROM})
+SELECT campaign_id, 'total_leads' AS metric, CAST(total_leads AS DOUBLE) AS value FROM cm
+UNION ALL SELECT campaign_id, 'total_take_up', CAST(total_take_up AS DOUBLE) FROM cm
+UNION ALL SELECT campaign_id, 'take_up_rate', take_up_rate FROM cm
+UNION ALL SELECT campaign_id, 'total_transaction_value', total_transaction_value FROM cm
+UNION ALL SELECT campaign_id, 'duration_days', CAST(duration_days AS DOUBLE) FROM cm""")
+
+
+def _similar(k: int, where: str = "") -> str:
+    return _q(f"""
+SELECT campaign_id, similar_campaign_id, campaign_name, matching_dimensions, dimension_count,
+       round(round(dimension_count / 3.0, 6), 4) AS similarity_score,
+       round(round(take_up_rate, 6), 4) AS take_up_rate, total_leads, total_take_up, rank
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY campaign_id
+                     ORDER BY dimension_count DESC, take_up_rate DESC, similar_campaign_id) AS INTEGER) AS rank
+      FROM scored WHERE dimension_count >= 1 {where}) t
+WHERE rank <= {k}""")
+
+
+ORACLES["similarity_index"] = _similar(20)
+ORACLES["similar_topk"] = _similar(5)
+ORACLES["similar_by_dimensions"] = _similar(20, "AND mm")
+ORACLES["similarity_counts"] = _q("""
+SELECT campaign_id, dimension_count, count(*) AS similar_campaigns
+FROM scored WHERE dimension_count >= 1 GROUP BY 1, 2""")
+
+ORACLES["campaign_breakdowns"] = _q(f"""
+SELECT campaign_id, breakdown, label, leads, take_up, {r4('take_up_rate')} FROM bdr""")
+ORACLES["best_worst_segment"] = _q(f"""
+SELECT campaign_id, best_segment, {r4('best_segment_rate')}, worst_segment, {r4('worst_segment_rate')}
+FROM seg_bw""")
+ORACLES["best_and_low_regions"] = _q(f"""
+SELECT campaign_id, best_region, {r4('best_region_rate')}, low_regions FROM reg_bl""")
+ORACLES["unused_channels"] = _q("""
+SELECT campaign_id,
+       array_to_string(list_filter(['wa', 'digisales', 'telesales', 'email', 'sms', 'push notif'],
+                                   lambda x: x <> coalesce(lower(media_blasting), ''))[1:2], ',') AS suggested_channels
+FROM rates""")
+ORACLES["recommendation_facts"] = _q("""
+SELECT r.campaign_id, r.take_up_rate, r.avg_days,
+       s.best_segment, round(s.best_segment_rate, 4) AS best_segment_rate,
+       s.worst_segment, round(s.worst_segment_rate, 4) AS worst_segment_rate,
+       round(CASE WHEN s.best_segment_rate IS NULL THEN NULL
+                  ELSE least(s.best_segment_rate - r.take_up_rate, 8.0) END, 4) AS segment_lift,
+       CASE WHEN s.best_segment IS NULL THEN NULL
+            WHEN s.best_segment_rate > r.take_up_rate * 1.5 THEN 'HIGH' ELSE 'MEDIUM' END AS segment_confidence,
+       g.best_region, round(g.best_region_rate, 4) AS best_region_rate, g.low_regions,
+       CASE WHEN round(b.best_similar_rate, 6) > r.take_up_rate THEN b.best_similar_id END AS best_similar_id,
+       CASE WHEN round(b.best_similar_rate, 6) > r.take_up_rate
+            THEN round(round(b.best_similar_rate, 6), 4) END AS best_similar_rate,
+       CASE WHEN round(b.best_similar_rate, 6) > r.take_up_rate
+            THEN round(least(round(b.best_similar_rate, 6) - r.take_up_rate, 10.0), 4) END AS similar_gain,
+       CASE WHEN round(b.best_similar_rate, 6) > r.take_up_rate
+            THEN CASE WHEN b.best_similar_score >= 0.8 THEN 'HIGH' ELSE 'MEDIUM' END END AS similar_confidence,
+       CAST(coalesce(b.similar_count, 0) AS BIGINT) AS similar_count,
+       CASE WHEN r.avg_days > 0 THEN CAST(greatest(7, floor(r.avg_days * 0.7)) AS INTEGER) END AS follow_up_days
+FROM rates r
+LEFT JOIN seg_bw s ON r.campaign_id = s.campaign_id
+LEFT JOIN reg_bl g ON r.campaign_id = g.campaign_id
+LEFT JOIN sim_best b ON r.campaign_id = b.campaign_id""")

@@ -61,3 +61,214 @@ def _enrich_leads(v: Views):
 @register("campaign_master")
 def _campaign_master(v: Views):
     return v.master
+
+
+# ------------------------------------------------------------ periods and roll-ups
+
+from leadflow.operators import compare, criteria, recommend, similarity, time_analysis  # noqa: E402
+from leadflow.functions import exprs  # noqa: E402
+
+
+@register("granularity")
+def _granularity(v: Views):
+    """Per campaign, planned duration and weekly/monthly granularity."""
+    df = rollups.with_granularity(v.dim, v.catalogue)
+    return df.select("campaign_id", "duration_days", "granularity")
+
+
+@register("period_buckets")
+def _period_buckets(v: Views):
+    """Per campaign, the bucket start and end of its start date."""
+    df = rollups.with_period_buckets(rollups.with_granularity(v.dim, v.catalogue))
+    return df.select("campaign_id", "granularity", "period_bucket", "period_end")
+
+
+@register("overview_agg")
+def _overview_agg(v: Views):
+    return v.overview
+
+
+@register("overview_query")
+def _overview_query(v: Views):
+    """containment filter on the roll-up (whole roll-up scanned)."""
+    return rollups.overview_query(v.overview, start="1996-01-01", end="1999-12-31",
+                                  products=["PROGRAM H1"], channels=["urgent", "high", "low"],
+                                  regions=list(range(1, 10)))
+
+
+@register("overview_totals")
+def _overview_totals(v: Views):
+    return rollups.overview_totals(v.enriched)
+
+
+@register("overview_totals_from_agg")
+def _overview_totals_from_agg(v: Views):
+    return rollups.overview_totals_from_agg(v.overview)
+
+
+@register("overview_trend")
+def _overview_trend(v: Views):
+    return rollups.overview_trend(v.overview)
+
+
+@register("overview_trend_filtered")
+def _overview_trend_filtered(v: Views):
+    """J5 + W4: trend rows of campaigns with leads in region 1..5."""
+    leads = v.enriched.filter(F.col("wilayah").isin(1, 2, 3, 4, 5))
+    return rollups.overview_trend_filtered(leads, rollups.campaign_trend(v.master, v.catalogue))
+
+
+@register("regional_weekly")
+def _regional_weekly(v: Views):
+    return v.weekly
+
+
+@register("regional_summary")
+def _regional_summary(v: Views):
+    return rollups.regional_summary(v.weekly)
+
+
+@register("regional_from_leads")
+def _regional_from_leads(v: Views):
+    return rollups.regional_from_leads(v.enriched)
+
+
+@register("regional_by_program")
+def _regional_by_program(v: Views):
+    """region metrics of the leads of one program."""
+    return rollups.regional_from_leads(v.enriched, flag_program="program h2")
+
+
+@register("regional_ranked")
+def _regional_ranked(v: Views):
+    return rollups.regional_ranked(rollups.regional_from_leads(v.enriched))
+
+
+@register("regional_trend_8w")
+def _regional_trend_8w(v: Views):
+    return rollups.regional_trend_8w(v.weekly)
+
+
+# ------------------------------------------------------------ time analysis
+
+@register("take_up_leads")
+def _take_up_leads(v: Views):
+    return time_analysis.take_up_leads(v.enriched).select(
+        "campaign_id", "cif", "periode_start", "take_up_date", "media_blasting", "wilayah",
+        "time_to_take_up_days")
+
+
+@register("time_stats")
+def _time_stats(v: Views):
+    return time_analysis.time_stats(v.enriched)
+
+
+@register("time_stats_filtered")
+def _time_stats_filtered(v: Views):
+    """statistics after the channel and region filters."""
+    return time_analysis.time_stats(
+        time_analysis.filter_channel_region(v.enriched, channel="urgent", region="3"))
+
+
+@register("time_stats_by_channel")
+def _time_stats_by_channel(v: Views):
+    return time_analysis.time_stats(v.enriched, by=["media_blasting"])
+
+
+@register("time_stats_by_region")
+def _time_stats_by_region(v: Views):
+    return time_analysis.time_stats(v.enriched, by=["wilayah"])
+
+
+@register("time_histogram")
+def _time_histogram(v: Views):
+    return time_analysis.time_histogram(v.enriched)
+
+
+# ------------------------------------------------------------ criteria
+
+@register("criteria_distribution")
+def _criteria_distribution(v: Views):
+    return criteria.criteria_distribution(v.enriched)
+
+
+@register("criteria_availability")
+def _criteria_availability(v: Views):
+    return criteria.criteria_availability(v.enriched)
+
+
+# ------------------------------------------------------------ comparison
+
+@register("compare_campaigns")
+def _compare_campaigns(v: Views):
+    return compare.compare_campaigns(compare.campaign_metrics(v.enriched, v.catalogue))
+
+
+@register("comparison_long")
+def _comparison_long(v: Views):
+    return compare.comparison_long(compare.campaign_metrics(v.enriched, v.catalogue))
+
+
+@register("sort_by_attribute")
+def _sort_by_attribute(v: Views):
+    return compare.sort_by_attribute(compare.campaign_metrics(v.enriched, v.catalogue),
+                                     "take_up_rate", ascending=False)
+
+
+# ------------------------------------------------------------ similarity
+
+def _flat_similar(df: DataFrame) -> DataFrame:
+    return df.withColumn("matching_dimensions", F.array_join("matching_dimensions", ","))
+
+
+@register("campaign_dim")
+def _campaign_dim(v: Views):
+    return v.dim
+
+
+@register("similarity_index")
+def _similarity_index(v: Views):
+    return _flat_similar(similarity.similarity_index(v.dim))
+
+
+@register("similar_topk")
+def _similar_topk(v: Views):
+    return _flat_similar(similarity.similar_topk(v.dim, k=5))
+
+
+@register("similar_by_dimensions")
+def _similar_by_dimensions(v: Views):
+    return _flat_similar(similarity.similar_topk(v.dim, k=20, required=["media_blasting"]))
+
+
+@register("similarity_counts")
+def _similarity_counts(v: Views):
+    return similarity.similarity_counts(v.dim)
+
+
+# ------------------------------------------------------------ recommendations
+
+@register("campaign_breakdowns")
+def _campaign_breakdowns(v: Views):
+    return recommend.campaign_breakdowns(v.enriched)
+
+
+@register("best_worst_segment")
+def _best_worst_segment(v: Views):
+    return recommend.best_worst_segment(recommend.campaign_breakdowns(v.enriched))
+
+
+@register("best_and_low_regions")
+def _best_and_low_regions(v: Views):
+    return recommend.best_and_low_regions(recommend.campaign_breakdowns(v.enriched),
+                                          recommend.campaign_rates(v.enriched))
+
+
+@register("recommendation_facts")
+def _recommendation_facts(v: Views):
+    return recommend.recommendation_facts(v.enriched, v.dim)
+
+
+@register("unused_channels")
+def _unused_channels(v: Views):
+    return recommend.unused_channels(recommend.campaign_rates(v.enriched))

@@ -121,7 +121,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadflow.functions.exprs import campaign_slug
     o = table(spark, sf_dir, "orders")
     months = F.element_at(F.array(*[F.lit(m) for m in CAMPAIGN_MONTHS]),
-                          F.substring("o_orderpriority", 1, 1).cast("int"))
+                          F.substring("nama_program", 1, 1).cast("int"))
     base = (o.select(F.col("o_orderpriority").alias("nama_program"),
                      F.trunc(F.to_date("o_orderdate"), "month").alias("start_date"))
              .distinct())
