@@ -48,8 +48,7 @@ leads AS (
   SELECT {LEAD_COLUMNS}, {SLUG} AS campaign_id,
          CAST(year(periode_start) AS INTEGER) AS year,
          CAST(month(periode_start) AS INTEGER) AS month
-  FROM (SELECT *, row_number() OVER (PARTITION BY cif, nama_program, periode_start
-                                     ORDER BY src_key) AS rn FROM lr) t
+  FROM (SELECT *, row_number() OVER (PARTITION BY cif, nama_program, periode_start ORDER BY src_key) AS rn FROM lr) t
   WHERE rn = 1
 ),
 mon_all AS (
@@ -58,15 +57,16 @@ mon_all AS (
          CAST(date_trunc('month', o.o_orderdate) AS DATE) + CAST(l.l_partkey % 120 AS INTEGER) AS take_up_date,
          CAST(l.l_shipdate AS DATE) AS ship_date,
          CAST(l.l_extendedprice AS DOUBLE) AS total_transaction_value,
-         o.o_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
+         o.o_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
+         CAST(o.o_orderkey % 340 AS INTEGER) AS cabang, CAST(o.o_orderkey % 100 AS INTEGER) AS outlet,
+         o.o_orderstatus AS segment_div_owner, o.o_totalprice AS potensi_money
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
                   JOIN customer c ON o.o_custkey = c.c_custkey
   WHERE l.l_returnflag = 'R'
 ),
 mon AS (
   SELECT cif, nama_program, periode_start, take_up_date, total_transaction_value FROM (
-    SELECT *, row_number() OVER (PARTITION BY cif, nama_program, periode_start
-              ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
+    SELECT *, row_number() OVER (PARTITION BY cif, nama_program, periode_start ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
     FROM mon_all) t WHERE rn = 1
 ),
 enriched AS (
@@ -89,6 +89,8 @@ master AS (
 ),
 catalogue AS (
   SELECT {SLUG} AS campaign_id, nama_program, periode_start AS start_date,
+         CAST(date_diff('day', periode_start, CAST(periode_start + to_months([1, 2, 3, 4, 6][CAST(substr(nama_program, 1, 1) AS INTEGER)])
+              - INTERVAL 1 DAY AS DATE)) AS INTEGER) AS duration_days,
          CAST(periode_start + to_months([1, 2, 3, 4, 6][CAST(substr(nama_program, 1, 1) AS INTEGER)])
               - INTERVAL 1 DAY AS DATE) AS end_date
   FROM (SELECT DISTINCT o_orderpriority AS nama_program,
@@ -240,8 +242,30 @@ def rate(n: str, d: str) -> str:
     return RATE.format(n=n, d=d)
 
 
-def _q(body: str) -> str:
-    return BASE + body
+# The CSV drop has no lineage column: keep-first falls back to all columns.
+_LEAD_ORDER = "ORDER BY src_key) AS rn FROM lr"
+_LEAD_ORDER_CSV = ("ORDER BY jenis_leads, media_blasting, flag_program, wilayah, cabang, outlet, "
+                   "segment_crs, segment_by_aum, segment_wondr, segment_div_owner, range_usia, "
+                   "range_saldo_tab, avg_aum_3_bln, potensi_money) AS rn FROM lr")
+_MON_ORDER = "ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn"
+_MON_ORDER_CSV = ("ORDER BY take_up_date, cabang, outlet, segment_div_owner, potensi_money, "
+                  "l_extendedprice) AS rn")
+
+
+def base(csv: bool = False, ship_date: bool = False) -> str:
+    b = BASE
+    if csv:
+        b = b.replace("ORDER BY src_key) AS rn FROM lr", _LEAD_ORDER_CSV)
+        b = b.replace("ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn",
+                      _MON_ORDER_CSV)
+    if ship_date:
+        b = b.replace("CAST(date_trunc('month', o.o_orderdate) AS DATE) + CAST(l.l_partkey % 120 AS INTEGER) AS take_up_date",
+                      "CAST(l.l_shipdate AS DATE) AS take_up_date")
+    return b
+
+
+def _q(body: str, **kw) -> str:
+    return base(**kw) + body
 
 
 ORACLES: dict[str, str] = {}
@@ -473,3 +497,152 @@ FROM rates r
 LEFT JOIN seg_bw s ON r.campaign_id = s.campaign_id
 LEFT JOIN reg_bl g ON r.campaign_id = g.campaign_id
 LEFT JOIN sim_best b ON r.campaign_id = b.campaign_id""")
+
+
+# ---------------------------------------------------------------- filters, privacy, quality
+
+_RAW_DATE = ("CASE o.o_orderkey % 4 WHEN 0 THEN strftime({d}, '%Y-%m-%d') WHEN 1 THEN strftime({d}, '%d/%m/%Y') "
+             "WHEN 2 THEN strftime({d}, '%d-%m-%Y') ELSE strftime({d}, '%Y/%m/%d') END")
+_D = "CAST(date_trunc('month', o.o_orderdate) AS DATE)"
+ORACLES["filter_valid_cif"] = f"""
+SELECT CAST(o.o_custkey AS VARCHAR) AS cif, o.o_orderpriority AS nama_program,
+       'Y' || CAST(year(o.o_orderdate) AS VARCHAR) AS jenis_leads,
+       lower(substr(o.o_orderpriority, 3)) AS media_blasting,
+       {_RAW_DATE.format(d=_D)} AS periode_start,
+       CASE WHEN month(o.o_orderdate) <= 6 THEN 'PROGRAM H1' ELSE 'PROGRAM H2' END AS flag_program,
+       CAST(c.c_nationkey % 17 + 1 AS INTEGER) AS wilayah,
+       CAST(o.o_orderkey % 340 AS INTEGER) AS cabang, CAST(o.o_orderkey % 100 AS INTEGER) AS outlet,
+       CAST(NULL AS VARCHAR) AS segment_crs, c.c_mktsegment AS segment_by_aum,
+       CAST(NULL AS VARCHAR) AS segment_wondr, o.o_orderstatus AS segment_div_owner,
+       CASE WHEN c.c_acctbal < 0 THEN 'gen alpha' WHEN c.c_acctbal < 2500 THEN 'gen z'
+            WHEN c.c_acctbal < 5000 THEN 'gen y' WHEN c.c_acctbal < 7500 THEN 'gen x'
+            ELSE 'baby boomer' END AS range_usia,
+       {sround('c.c_acctbal', 4)} AS range_saldo_tab, CAST(NULL AS DOUBLE) AS avg_aum_3_bln,
+       {sround('o.o_totalprice', 4)} AS potensi_money
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""
+ORACLES["parse_mixed_dates"] = f"""
+SELECT DISTINCT {_RAW_DATE.format(d=_D)} AS periode_text, {_D} AS periode_start FROM orders o"""
+ORACLES["campaign_slug"] = _q("SELECT DISTINCT nama_program, periode_start, campaign_id FROM leads")
+ORACLES["filter_leads_facets"] = _q("""
+SELECT campaign_id, cif, periode_start, flag_program, media_blasting, wilayah, take_up_flag FROM enriched
+WHERE flag_program IN ('PROGRAM H1') AND media_blasting IN ('URGENT', 'HIGH')
+  AND wilayah IN (1, 2, 3, 4, 5, 6, 7, 8)
+  AND (periode_start IS NULL OR periode_start BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')""")
+ORACLES["filter_period_range"] = _q("""
+SELECT campaign_id, cif, periode_start FROM enriched
+WHERE periode_start IS NULL OR periode_start BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""")
+ORACLES["filter_active"] = _q(f"""
+SELECT {_OV} FROM ov
+WHERE product IN ('PROGRAM H2') AND region IN ('1', '2', '3') AND channel IN ('URGENT', 'LOW')""")
+ORACLES["filter_active_period"] = _q("""
+SELECT campaign_id, nama_program, start_date, end_date, duration_days FROM catalogue
+WHERE CAST(start_date AS VARCHAR) IN ('1997-03-01', '1998-03-01')""")
+ORACLES["param_query"] = _q("""
+SELECT product, channel, CAST(sum(total_leads) AS BIGINT) AS total_leads,
+       CAST(sum(total_take_up) AS BIGINT) AS total_take_up
+FROM ov WHERE granularity = 'monthly' AND total_leads >= 2 GROUP BY 1, 2""")
+ORACLES["lenient_totals"] = _q("""
+SELECT CAST(sum(total_leads) AS BIGINT) AS total_leads, CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+       CAST(sum(campaign_count) AS BIGINT) AS campaign_count, count(*) AS rows_used,
+       CAST(0 AS BIGINT) AS rows_skipped
+FROM ov""")
+ORACLES["strip_pii"] = _q(f"""
+SELECT * EXCLUDE (cif, total_transaction_value), {r4('total_transaction_value')} FROM enriched""")
+ORACLES["pii_report"] = _q("SELECT 'cif' AS path, count(cif) AS rows_with_value FROM enriched")
+
+
+def _dom_set(c: str, values: list[str]) -> str:
+    vals = ", ".join("'" + v.upper().replace("'", "''") + "'" for v in values)
+    return (f"SELECT '{c}' AS column_name, "
+            f"CAST(sum(CASE WHEN {c} IS NOT NULL AND upper({c}) NOT IN ({vals}) THEN 1 ELSE 0 END) AS BIGINT) AS violations, "
+            f"count({c}) AS checked FROM leads")
+
+
+def _dom_range(c: str, lo: int, hi: int) -> str:
+    return (f"SELECT '{c}' AS column_name, "
+            f"CAST(sum(CASE WHEN {c} IS NOT NULL AND {c} NOT BETWEEN {lo} AND {hi} THEN 1 ELSE 0 END) AS BIGINT) AS violations, "
+            f"count({c}) AS checked FROM leads")
+
+
+ORACLES["domain_violations"] = _q(" UNION ALL ".join([
+    _dom_set("media_blasting", ["wa", "digisales", "telesales", "email", "push notif", "sms"]),
+    _dom_set("flag_program", ["PROGRAM BIAYA ADMIN", "PROGRAM QRIS"]),
+    _dom_set("segment_by_aum", ["UPPERMASS", "EMERALD", "MASS", "AFFLUENT", "PRIVATE", "HIGH AFFLUENT"]),
+    _dom_set("range_usia", ["BABY BOOMER", "GEN X", "GEN Y", "GEN Z", "GEN ALPHA"]),
+    _dom_set("segment_div_owner", ["CRS", "WEM (Perorangan)"]),
+    _dom_range("wilayah", 1, 17), _dom_range("cabang", 1, 324), _dom_range("outlet", 0, 99)]))
+ORACLES["negative_take_up"] = _q("""
+SELECT campaign_id, count(*) AS negative_rows, CAST(min(time_to_take_up_days) AS INTEGER) AS min_gap_days
+FROM enriched WHERE time_to_take_up_days < 0 GROUP BY 1""", ship_date=True)
+ORACLES["etl_quality"] = _q("""
+SELECT 'lead_rows' AS metric, count(*) AS value FROM lr
+UNION ALL SELECT 'lead_blank_cif', CAST(0 AS BIGINT)
+UNION ALL SELECT 'lead_bad_dates', CAST(0 AS BIGINT)
+UNION ALL SELECT 'lead_null_campaign_id', CAST(0 AS BIGINT)
+UNION ALL SELECT 'lead_duplicates_dropped',
+                 count(*) - (SELECT count(*) FROM (SELECT DISTINCT cif, nama_program, periode_start FROM lr) k) FROM lr
+UNION ALL SELECT 'monitoring_rows', count(*) FROM mon_all
+UNION ALL SELECT 'monitoring_blank_cif', CAST(0 AS BIGINT)
+UNION ALL SELECT 'monitoring_bad_dates', CAST(0 AS BIGINT)
+UNION ALL SELECT 'monitoring_duplicates_dropped',
+                 count(*) - (SELECT count(*) FROM (SELECT DISTINCT cif, nama_program, periode_start FROM mon_all) k)
+          FROM mon_all
+UNION ALL SELECT 'monitoring_without_lead', count(*) FROM mon_all m
+          WHERE NOT EXISTS (SELECT 1 FROM lr l WHERE l.cif = m.cif AND l.nama_program = m.nama_program
+                                                 AND l.periode_start = m.periode_start)""")
+
+# ---------------------------------------------------------------- audit
+
+_AK = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+_AUDIT = f"""
+WITH a AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id, ts AS timestamp,
+         'p' || CAST({_AK} % 5 AS VARCHAR) AS page_accessed, event_type AS action,
+         'k=' || json_extract_string(props, '$.k') || '&page=p' || CAST({_AK} % 5 AS VARCHAR) AS request_params,
+         CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s,
+         CAST(floor(epoch(ts)) AS BIGINT) + 7776000 AS expiry_timestamp,
+         CAST(ts AS DATE) AS event_date
+  FROM events)
+"""
+ORACLES["audit_params"] = _AUDIT + "SELECT user_id, timestamp, request_params FROM a"
+ORACLES["audit_retention"] = _AUDIT + """
+SELECT user_id, timestamp, page_accessed, action, expiry_timestamp FROM a
+WHERE expiry_timestamp > CAST(epoch(TIMESTAMP '2024-04-15 00:00:00') AS BIGINT)"""
+ORACLES["session_expiry"] = _AUDIT + """
+, s AS (SELECT user_id, event_date, min(epoch_s) AS st FROM a GROUP BY 1, 2)
+SELECT a.user_id, a.event_date, count(*) AS requests,
+       CAST(sum(CASE WHEN a.epoch_s - s.st > 28800 THEN 1 ELSE 0 END) AS BIGINT) AS expired_requests
+FROM a JOIN s ON a.user_id = s.user_id AND a.event_date = s.event_date GROUP BY 1, 2"""
+ORACLES["audit_usage"] = _AUDIT + """
+SELECT user_id, page_accessed, action, event_date, count(*) AS accesses FROM a GROUP BY 1, 2, 3, 4"""
+ORACLES["audit_append"] = _AUDIT + """
+SELECT user_id, timestamp, page_accessed, action, request_params, event_date FROM a"""
+ORACLES["audit_stream"] = _AUDIT + "SELECT DISTINCT user_id, timestamp, page_accessed, action FROM a"
+
+# ---------------------------------------------------------------- sources, sinks, pipelines
+
+ORACLES["scan_leads_csv"] = _q("SELECT * FROM leads", csv=True)
+ORACLES["scan_monitoring_csv"] = _q("""
+SELECT cif, nama_program, periode_start, 'YES' AS take_up_flag, take_up_date,
+       round(total_transaction_value, 4) AS total_transaction_value FROM mon""", csv=True)
+ORACLES["pipeline_raw_to_clean"] = _q(ORACLES["campaign_master"][len(BASE):], csv=True)
+ORACLES["sink_leads_partitioned"] = ORACLES["enrich_leads"]
+ORACLES["campaign_lookup"] = _q("""
+SELECT * EXCLUDE (total_transaction_value), round(total_transaction_value, 4) AS total_transaction_value
+FROM enriched WHERE campaign_id = '1-URGENT_1997-01-01'""")
+ORACLES["sink_campaigns_partitioned"] = ORACLES["campaign_master"]
+ORACLES["scan_campaigns"] = _q(f"SELECT * FROM ({ORACLES['campaign_master'][len(BASE):]}) t WHERE year = 1997")
+ORACLES["scan_enriched_leads"] = ORACLES["regional_weekly"]
+ORACLES["sink_snapshot"] = ORACLES["overview_agg"]
+ORACLES["pipeline_similarity"] = ORACLES["similarity_index"]
+ORACLES["scan_json_array"] = _q("SELECT campaign_id, nama_program, start_date, end_date, duration_days FROM catalogue")
+ORACLES["scan_json_map"] = _q(f"""
+SELECT m.campaign_id, c.period_bucket AS period_start, c.period_end,
+       CAST(sum(m.total_leads) AS BIGINT) AS total_leads, CAST(sum(m.total_take_up) AS BIGINT) AS total_take_up,
+       round({rate('sum(m.total_take_up)', 'sum(m.total_leads)')}, 2) AS take_up_rate
+FROM master m JOIN camp c ON m.campaign_id = c.campaign_id GROUP BY 1, 2, 3""")
+ORACLES["export_campaign_table"] = _q(f"""
+SELECT nama_program, flag_program, media_blasting, jenis_leads, CAST(wilayah AS VARCHAR) AS wilayah,
+       total_leads, total_take_up,
+       printf('%.2f%%', {sround(rate('total_take_up', 'total_leads'), 2)}) AS take_up_rate
+FROM master""")

@@ -272,3 +272,270 @@ def _recommendation_facts(v: Views):
 @register("unused_channels")
 def _unused_channels(v: Views):
     return recommend.unused_channels(recommend.campaign_rates(v.enriched))
+
+
+# ------------------------------------------------------------ filters
+
+from leadflow.operators import audit, filters, privacy, quality  # noqa: E402
+from leadflow.plans import pipeline  # noqa: E402
+from leadflow.session import scratch_path  # noqa: E402
+from leadflow.sources import bindings, io  # noqa: E402
+from leadflow.streaming import audit_stream  # noqa: E402
+
+LOOKUP_CAMPAIGN = "1-URGENT_1997-01-01"
+
+
+@register("filter_valid_cif")
+def _filter_valid_cif(v: Views):
+    return clean.filter_valid_cif(v.leads_raw).drop("_src_orderkey")
+
+
+@register("filter_leads_facets")
+def _filter_leads_facets(v: Views):
+    df = filters.filter_leads_facets(v.enriched, flag_program=["program h1"],
+                                     media_blasting=["urgent", "high"], wilayah=range(1, 9),
+                                     start="1996-01-01", end="1999-12-31")
+    return df.select("campaign_id", "cif", "periode_start", "flag_program", "media_blasting",
+                     "wilayah", "take_up_flag")
+
+
+@register("filter_period_range")
+def _filter_period_range(v: Views):
+    df = filters.filter_period_range(v.enriched, "1997-01-01", "1997-12-31")
+    return df.select("campaign_id", "cif", "periode_start")
+
+
+@register("filter_active")
+def _filter_active(v: Views):
+    return filters.filter_active(v.overview, [("product", ["PROGRAM H2"]),
+                                              ("region", ["1", "2", "3"]),
+                                              ("channel", ["URGENT", "LOW"])])
+
+
+@register("filter_active_period")
+def _filter_active_period(v: Views):
+    return filters.filter_active(v.catalogue, [("period", ["1997-03-01", "1998-03-01"])])
+
+
+@register("param_query")
+def _param_query(v: Views):
+    sql = ("SELECT product, channel, sum(total_leads) AS total_leads, "
+           "sum(total_take_up) AS total_take_up FROM campaign_overview_agg "
+           "WHERE granularity = :gran AND total_leads >= :min_leads GROUP BY product, channel")
+    return filters.param_query(v.spark, sql, {"gran": "monthly", "min_leads": 2},
+                               {"campaign_overview_agg": v.overview})
+
+
+@register("lenient_totals")
+def _lenient_totals(v: Views):
+    cols = ["total_leads", "total_take_up", "campaign_count"]
+    text = v.overview.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    return filters.lenient_totals(text, cols)
+
+
+# ------------------------------------------------------------ privacy and quality
+
+@register("strip_pii")
+def _strip_pii(v: Views):
+    return privacy.strip_pii(v.enriched)
+
+
+@register("pii_report")
+def _pii_report(v: Views):
+    return privacy.pii_report(v.enriched)
+
+
+@register("domain_violations")
+def _domain_violations(v: Views):
+    return quality.domain_violations(v.leads)
+
+
+@register("negative_take_up")
+def _negative_take_up(v: Views):
+    raw_gap = bindings.monitoring_raw(v.spark, v.sf_dir, raw_gap=True)
+    return quality.negative_take_up(clean.enrich_leads(v.leads, raw_gap))
+
+
+@register("etl_quality")
+def _etl_quality(v: Views):
+    return quality.etl_quality(v.leads_raw.drop("_src_orderkey"), v.monitoring_raw)
+
+
+# ------------------------------------------------------------ audit
+
+def _audit_rows(v: Views) -> DataFrame:
+    return audit.audit_rows(v.audit)
+
+
+@register("audit_params")
+def _audit_params(v: Views):
+    return audit.flatten_params(_audit_rows(v)).select("user_id", "timestamp", "request_params")
+
+
+@register("audit_retention")
+def _audit_retention(v: Views):
+    return audit.audit_retention(_audit_rows(v), "2024-04-15 00:00:00").select(
+        "user_id", "timestamp", "page_accessed", "action", "expiry_timestamp")
+
+
+@register("session_expiry")
+def _session_expiry(v: Views):
+    return audit.session_expiry(_audit_rows(v))
+
+
+@register("audit_usage")
+def _audit_usage(v: Views):
+    return audit.audit_usage(_audit_rows(v))
+
+
+@register("audit_append")
+def _audit_append(v: Views):
+    """Append the audit rows to a date-partitioned table, read back."""
+    path = scratch_path(v.spark, "audit")
+    _audit_rows(v).write.mode("append").partitionBy("event_date").parquet(path)
+    back = v.spark.read.parquet(path).withColumn("event_date", F.col("event_date").cast("date"))
+    return audit.flatten_params(back).select("user_id", "timestamp", "page_accessed", "action",
+                                             "request_params", "event_date")
+
+
+@register("audit_stream")
+def _audit_stream(v: Views):
+    """Events dropped as files (with part of them re-delivered), ingested
+    with Structured Streaming and deduped on the log key."""
+    src = scratch_path(v.spark, "audit-src")
+    ev = v.audit
+    ev.write.mode("append").parquet(src)
+    ev.filter(F.col("event_id") % 10 == 0).write.mode("append").parquet(src)   # re-delivery
+    schema = v.spark.read.parquet(src).schema
+    out = audit_stream.run_audit_stream(v.spark, src, schema, scratch_path(v.spark, "audit-sink"),
+                                        scratch_path(v.spark, "audit-ckpt"), watermark="1 hour")
+    return out.select("user_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                      "page_accessed", "action")
+
+
+# ------------------------------------------------------------ sources, sinks, pipelines
+
+def _csv_drop(v: Views) -> pipeline.Paths:
+    root = scratch_path(v.spark, "run")
+    p = pipeline.Paths(raw_leads=f"{root}/raw/leads", raw_monitoring=f"{root}/raw/monitoring",
+                       enriched=f"{root}/clean/leads", campaigns=f"{root}/clean/campaigns",
+                       overview=f"{root}/agg/overview", regional=f"{root}/agg/regional",
+                       similarity=f"{root}/agg/similarity")
+    io.write_csv(v.leads_raw.drop("_src_orderkey"), p.raw_leads)
+    io.write_csv(v.monitoring_raw.select(*[f.name for f in io.MONITORING_SCHEMA.fields]),
+                 p.raw_monitoring)
+    return p
+
+
+@register("scan_leads_csv")
+def _scan_leads_csv(v: Views):
+    p = _csv_drop(v)
+    return clean.clean_leads(io.read_leads(v.spark, p.raw_leads)).select(
+        *LEAD_COLUMNS, "campaign_id", "year", "month")
+
+
+@register("scan_monitoring_csv")
+def _scan_monitoring_csv(v: Views):
+    p = _csv_drop(v)
+    return clean.dedup_monitoring(io.read_monitoring(v.spark, p.raw_monitoring)).select(
+        *clean.NATURAL_KEY, "take_up_flag", "take_up_date", "total_transaction_value")
+
+
+@register("pipeline_raw_to_clean")
+def _pipeline_raw_to_clean(v: Views):
+    return pipeline.pipeline_raw_to_clean(v.spark, _csv_drop(v))
+
+
+def _stored(v: Views, leads: bool = False, campaigns: bool = False) -> pipeline.Paths:
+    root = scratch_path(v.spark, "stored")
+    p = pipeline.Paths(raw_leads="", raw_monitoring="", enriched=f"{root}/leads",
+                       campaigns=f"{root}/campaigns", overview=f"{root}/overview",
+                       regional=f"{root}/regional", similarity=f"{root}/similarity")
+    if leads:
+        io.write_leads_partitioned(v.enriched, p.enriched)
+    if campaigns:
+        io.write_campaigns_partitioned(v.master, p.campaigns)
+    return p
+
+
+@register("sink_leads_partitioned")
+def _sink_leads_partitioned(v: Views):
+    p = _stored(v, leads=True)
+    return io.read_enriched_leads(v.spark, p.enriched)
+
+
+@register("campaign_lookup")
+def _campaign_lookup(v: Views):
+    """point lookup on the campaign partition column (pruned scan)."""
+    p = _stored(v, leads=True)
+    return filters.campaign_lookup(io.read_enriched_leads(v.spark, p.enriched), LOOKUP_CAMPAIGN)
+
+
+@register("sink_campaigns_partitioned")
+def _sink_campaigns_partitioned(v: Views):
+    return io.read_campaigns(v.spark, _stored(v, campaigns=True).campaigns)
+
+
+@register("scan_campaigns")
+def _scan_campaigns(v: Views):
+    """S3: partitioned master read with a year filter (partition pruning)."""
+    return io.read_campaigns(v.spark, _stored(v, campaigns=True).campaigns).filter(F.col("year") == 1997)
+
+
+@register("scan_enriched_leads")
+def _scan_enriched_leads(v: Views):
+    """S4 + P3: regional weekly roll-up computed from the stored leads."""
+    return pipeline.pipeline_regional(v.spark, _stored(v, leads=True))
+
+
+@register("sink_snapshot")
+def _sink_snapshot(v: Views):
+    """S10 + P2: overview roll-up written as a snapshot and read back."""
+    return pipeline.pipeline_overview(v.spark, _stored(v, campaigns=True), v.catalogue)
+
+
+@register("pipeline_similarity")
+def _pipeline_similarity(v: Views):
+    """Similarity index from the stored master."""
+    return _flat_similar(pipeline.pipeline_similarity(v.spark, _stored(v, campaigns=True)))
+
+
+@register("scan_json_array")
+def _scan_json_array(v: Views):
+    path = scratch_path(v.spark, "catalogue-json")
+    v.catalogue.write.mode("overwrite").json(path)
+    schema = ("campaign_id string, nama_program string, start_date date, end_date date, "
+              "duration_days int")
+    return io.read_json_array(v.spark, path, schema, multiline=False)
+
+
+@register("scan_json_map")
+def _scan_json_map(v: Views):
+    path = scratch_path(v.spark, "trend-json")
+    io.write_json_map(rollups.campaign_trend(v.master, v.catalogue), path)
+    return io.read_json_map(v.spark, path, "period_start: date, period_end: date, "
+                                           "total_leads: bigint, total_take_up: bigint, "
+                                           "take_up_rate: double")
+
+
+@register("export_campaign_table")
+def _export_campaign_table(v: Views):
+    path = scratch_path(v.spark, "export")
+    io.export_campaign_table(v.master, path, "campaign-overview", "1995-01-01", "2001-12-31")
+    schema = ("nama_program string, flag_program string, media_blasting string, "
+              "jenis_leads string, wilayah string, total_leads bigint, total_take_up bigint, "
+              "take_up_rate string")
+    return v.spark.read.schema(schema).option("header", True).csv(f"{path}/data")
+
+
+# ------------------------------------------------------------ scalar expressions
+
+@register("campaign_slug")
+def _campaign_slug(v: Views):
+    return v.leads.select("nama_program", "periode_start", "campaign_id").distinct()
+
+
+@register("parse_mixed_dates")
+def _parse_mixed_dates(v: Views):
+    return v.leads_raw.select(F.col("periode_start").alias("periode_text"),
+                              exprs.parse_mixed_date("periode_start").alias("periode_start")).distinct()
