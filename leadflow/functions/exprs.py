@@ -14,14 +14,27 @@ def col(c) -> Column:
 
 # ---------------------------------------------------------------- dates
 
+def _shape(s: Column, fmt: str) -> Column:
+    """Cheap test that text has the separators of ``fmt`` where ``fmt`` puts
+    them (e.g. ``yyyy-MM-dd``: '-' at positions 5 and 8). A failed
+    ``try_to_date`` costs an exception inside the JVM, so formats whose
+    shape cannot match are not attempted at all; text of another shape
+    fails to parse anyway, so results are unchanged."""
+    cond = F.length(s) == len(fmt)
+    for i, ch in enumerate(fmt):
+        if not ch.isalpha():
+            cond = cond & (F.substring(s, i + 1, 1) == ch)
+    return cond
+
+
 def parse_mixed_date(c, formats=DATE_FORMATS) -> Column:
     """First format that parses wins, so ``dd/MM`` beats ``MM/dd``.
 
     ``try_to_date`` returns null instead of raising under ANSI mode; the
-    text is trimmed first. A DATE input passes through unchanged.
+    text is trimmed first. Only formats of matching shape are tried.
     """
     s = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
+    return F.coalesce(*[F.when(_shape(s, f), F.try_to_date(s, f)) for f in formats])
 
 
 def week_start(c) -> Column:

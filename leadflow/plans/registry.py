@@ -55,12 +55,14 @@ def _clean_leads(v: Views):
 
 @register("enrich_leads")
 def _enrich_leads(v: Views):
-    return v.enriched
+    """J1 from the raw bindings (the ETL itself, not the stored table)."""
+    return v.enriched_fresh
 
 
 @register("campaign_master")
 def _campaign_master(v: Views):
-    return v.master
+    """A1 from the raw bindings through the whole cleaning path."""
+    return v.master_fresh
 
 
 # ------------------------------------------------------------ periods and roll-ups
@@ -347,7 +349,7 @@ def _pii_report(v: Views):
 
 @register("domain_violations")
 def _domain_violations(v: Views):
-    return quality.domain_violations(v.leads)
+    return quality.domain_violations(v.enriched)
 
 
 @register("negative_take_up")
@@ -532,7 +534,7 @@ def _export_campaign_table(v: Views):
 
 @register("campaign_slug")
 def _campaign_slug(v: Views):
-    return v.leads.select("nama_program", "periode_start", "campaign_id").distinct()
+    return v.enriched.select("nama_program", "periode_start", "campaign_id").distinct()
 
 
 @register("parse_mixed_dates")
