@@ -75,6 +75,13 @@ def clean_leads(raw: DataFrame) -> DataFrame:
     return add_campaign_columns(dedup_leads(normalise_leads(filter_valid_cif(raw))))
 
 
+def split_quarantine(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without a campaign id (unparseable date or no program name) would
+    land in a default partition; they go to a quarantine table instead."""
+    ok = F.col("campaign_id").isNotNull()
+    return leads.filter(ok), leads.filter(~ok)
+
+
 def normalise_monitoring(raw: DataFrame) -> DataFrame:
     return (filter_valid_cif(raw)
             .withColumn("cif", F.trim("cif"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.operators import clean, rollups, similarity
+from leadflow.session import materialize
 from leadflow.sources import io
 
 
@@ -26,6 +27,7 @@ class Paths:
     regional: str
     similarity: str
     catalogue: str | None = None
+    quarantine: str | None = None
 
 
 def pipeline_raw_to_clean(spark: SparkSession, p: Paths) -> DataFrame:
@@ -34,7 +36,12 @@ def pipeline_raw_to_clean(spark: SparkSession, p: Paths) -> DataFrame:
     read back from storage."""
     leads = clean.clean_leads(io.read_leads(spark, p.raw_leads))
     enriched = clean.enrich_leads(leads, io.read_monitoring(spark, p.raw_monitoring))
-    io.write_leads_partitioned(enriched, p.enriched)
+    if p.quarantine:
+        enriched = materialize(enriched, "enriched-stage")   # two sinks, one computation
+    good, bad = clean.split_quarantine(enriched)
+    if p.quarantine:
+        io.write_snapshot(bad, p.quarantine)
+    io.write_leads_partitioned(good, p.enriched)
     written = io.read_enriched_leads(spark, p.enriched)
     io.write_campaigns_partitioned(rollups.campaign_master(written), p.campaigns)
     return io.read_campaigns(spark, p.campaigns)
