@@ -14,9 +14,10 @@ COMPARISON_METRICS = ["total_leads", "total_take_up", "take_up_rate",
 def campaign_metrics(enriched: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Five metrics per campaign straight from the leads, plus name,
     program and planned duration (0 when the catalogue lacks the campaign)."""
-    m = enriched.groupBy("campaign_id").agg(
-        F.min("nama_program").alias("campaign_name"),
-        F.min("flag_program").alias("flag_program"),
+    # name and program are attributes of the campaign: grouping keys, so the
+    # aggregation over all leads stays a hash aggregation (no sort).
+    m = enriched.groupBy("campaign_id", F.col("nama_program").alias("campaign_name"),
+                         "flag_program").agg(
         F.count(F.lit(1)).alias("total_leads"),
         F.count_if(is_yes()).alias("total_take_up"),
         F.sum(F.coalesce(F.col("total_transaction_value"), F.lit(0.0))).alias("_value"),

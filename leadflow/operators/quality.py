@@ -59,33 +59,39 @@ def negative_take_up(enriched: DataFrame) -> DataFrame:
 
 
 def etl_quality(leads_raw: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
-    """Q3: rows the cleaning step drops or cannot place, as (metric, value)."""
+    """Q3: rows the cleaning step drops or cannot place, as (metric, value).
+
+    One aggregation pass per source (exact distinct keys included) plus one
+    anti-join for outcome rows that match no lead."""
     blank = F.col("cif").isNull() | (F.trim("cif") == "")
-    l_dates = parse_mixed_date("periode_start")
-    lead_stats = leads_raw.agg(
+    bad_date = lambda c: F.col(c).isNotNull() & parse_mixed_date(c).isNull()
+
+    lk = normalise_leads(leads_raw.withColumn("_blank", blank)
+                                  .withColumn("_bad_date", bad_date("periode_start")))
+    lead_stats = lk.agg(
         F.count(F.lit(1)).alias("lead_rows"),
-        F.count_if(blank).alias("lead_blank_cif"),
-        F.count_if(F.col("periode_start").isNotNull() & l_dates.isNull()).alias("lead_bad_dates"),
-        F.count_if(F.col("nama_program").isNull() | l_dates.isNull()).alias("lead_null_campaign_id"))
-    lk = normalise_leads(leads_raw.filter(~blank))
-    lead_keys = lk.agg(F.count(F.lit(1)).alias("_n"),
-                       F.count_distinct(*NATURAL_KEY).alias("_k"))
-    lead_dups = lead_keys.select((F.col("_n") - F.col("_k")).alias("lead_duplicates_dropped"))
+        F.count_if("_blank").alias("lead_blank_cif"),
+        F.count_if("_bad_date").alias("lead_bad_dates"),
+        F.count_if(F.col("nama_program").isNull() | F.col("periode_start").isNull())
+         .alias("lead_null_campaign_id"),
+        (F.count_if(~F.col("_blank"))
+         - F.count_distinct(F.when(~F.col("_blank"), F.struct(*NATURAL_KEY))))
+        .alias("lead_duplicates_dropped"))
 
-    m_blank = F.col("cif").isNull() | (F.trim("cif") == "")
-    mon_stats = monitoring_raw.agg(
+    mk = monitoring_raw.withColumn("_blank", blank) \
+                       .withColumn("_bad_date", bad_date("take_up_date"))
+    mon_stats = mk.agg(
         F.count(F.lit(1)).alias("monitoring_rows"),
-        F.count_if(m_blank).alias("monitoring_blank_cif"),
-        F.count_if(F.col("take_up_date").isNotNull()
-                   & parse_mixed_date("take_up_date").isNull()).alias("monitoring_bad_dates"))
-    mk = normalise_monitoring(monitoring_raw)
-    mon_keys = mk.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(*NATURAL_KEY).alias("_k"))
-    mon_dups = mon_keys.select((F.col("_n") - F.col("_k")).alias("monitoring_duplicates_dropped"))
-    orphans = (mk.select(*NATURAL_KEY)
-                 .join(lk.select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
+        F.count_if("_blank").alias("monitoring_blank_cif"),
+        F.count_if("_bad_date").alias("monitoring_bad_dates"))
+    mon_norm = normalise_monitoring(monitoring_raw)
+    mon_dups = mon_norm.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*NATURAL_KEY)))
+                            .alias("monitoring_duplicates_dropped"))
+    orphans = (mon_norm.select(*NATURAL_KEY)
+                 .join(lk.filter(~F.col("_blank")).select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
                  .agg(F.count(F.lit(1)).alias("monitoring_without_lead")))
     out = None
-    for part in (lead_stats, lead_dups, mon_stats, mon_dups, orphans):
+    for part in (lead_stats, mon_stats, mon_dups, orphans):
         cols = part.columns
         rows = part.select(*[F.col(c).cast("long") for c in cols]).unpivot([], cols, "metric", "value")
         out = rows if out is None else out.unionByName(rows)

@@ -19,34 +19,57 @@ from leadflow.functions.exprs import is_yes, rate_pct, rnd
 from leadflow.operators import similarity
 
 
-def campaign_breakdowns(enriched: DataFrame) -> DataFrame:
-    """Leads and take-ups per (campaign, segment_by_aum) and per
-    (campaign, wilayah), one scan via grouping sets."""
-    df = enriched.select("campaign_id", F.col("segment_by_aum").alias("_seg"),
-                         F.col("wilayah").cast("string").alias("_wil"), is_yes().alias("_yes"))
-    g = df.groupingSets([["campaign_id", "_seg"], ["campaign_id", "_wil"]],
-                        "campaign_id", "_seg", "_wil").agg(
+def _grouped_counts(enriched: DataFrame) -> DataFrame:
+    """One scan, three grouping sets: (campaign), (campaign, segment_by_aum),
+    (campaign, wilayah). The campaign set also carries the mean take-up days."""
+    yes = is_yes()
+    df = enriched.select("campaign_id", "media_blasting",
+                         F.col("segment_by_aum").alias("_seg"),
+                         F.col("wilayah").cast("string").alias("_wil"), yes.alias("_yes"),
+                         F.when(yes, F.col("time_to_take_up_days")).alias("_days"))
+    return df.groupingSets(
+        [["campaign_id", "media_blasting"], ["campaign_id", "_seg"], ["campaign_id", "_wil"]],
+        "campaign_id", "media_blasting", "_seg", "_wil").agg(
         F.count(F.lit(1)).alias("leads"),
         F.count_if("_yes").alias("take_up"),
-        F.grouping("_seg").alias("_gs"))
+        F.avg("_days").alias("_avg_days"),
+        F.grouping_id().alias("_gid"))
+
+
+# grouping_id() bits over (campaign_id, media_blasting, _seg, _wil) are 8, 4, 2, 1,
+# set when the column is *not* grouped: campaign set = 3, segment set = 5,
+# region set = 6.
+_GID_CAMPAIGN, _GID_SEGMENT, _GID_REGION = 3, 5, 6
+
+
+def _breakdowns_from(g: DataFrame) -> DataFrame:
+    g = g.filter(F.col("_gid") != _GID_CAMPAIGN)
+    is_seg = F.col("_gid") == _GID_SEGMENT
     return g.select(
         "campaign_id",
-        F.when(F.col("_gs") == 0, F.lit("segment_by_aum")).otherwise(F.lit("wilayah")).alias("breakdown"),
-        F.when(F.col("_gs") == 0, F.col("_seg")).otherwise(F.col("_wil")).alias("label"),
+        F.when(is_seg, F.lit("segment_by_aum")).otherwise(F.lit("wilayah")).alias("breakdown"),
+        F.when(is_seg, F.col("_seg")).otherwise(F.col("_wil")).alias("label"),
         "leads", "take_up",
         rate_pct("take_up", "leads").alias("take_up_rate"))
 
 
+def campaign_breakdowns(enriched: DataFrame) -> DataFrame:
+    """Leads and take-ups per (campaign, segment_by_aum) and per
+    (campaign, wilayah), one scan via grouping sets."""
+    return _breakdowns_from(_grouped_counts(enriched))
+
+
+def _rates_from(g: DataFrame) -> DataFrame:
+    r = g.filter(F.col("_gid") == _GID_CAMPAIGN).select(
+        "campaign_id", "media_blasting", F.col("leads").alias("total_leads"),
+        F.col("take_up").alias("total_take_up"), rnd(F.col("_avg_days"), 1).alias("avg_days"))
+    return r.withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
+
+
 def campaign_rates(enriched: DataFrame) -> DataFrame:
     """Campaign rate rounded to 2 dp and mean take-up days (1 dp) of
     converted leads with a day gap."""
-    yes = is_yes()
-    return enriched.groupBy("campaign_id").agg(
-        F.count(F.lit(1)).alias("total_leads"),
-        F.count_if(yes).alias("total_take_up"),
-        rnd(F.avg(F.when(yes, F.col("time_to_take_up_days"))), 1).alias("avg_days"),
-        F.min("media_blasting").alias("media_blasting"),
-    ).withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
+    return _rates_from(_grouped_counts(enriched))
 
 
 def best_worst_segment(breakdowns: DataFrame) -> DataFrame:
@@ -90,8 +113,9 @@ def unused_channels(rates: DataFrame, n: int = 2) -> DataFrame:
 
 def recommendation_facts(enriched: DataFrame, dim: DataFrame) -> DataFrame:
     """The numbers and codes of the three recommendations."""
-    br = campaign_breakdowns(enriched)
-    rates = campaign_rates(enriched)
+    g = _grouped_counts(enriched)          # the only pass over the leads
+    br = _breakdowns_from(g)
+    rates = _rates_from(g)
     seg = best_worst_segment(br)
     reg = best_and_low_regions(br, rates)
     sim = similarity.best_similar(dim)

@@ -34,12 +34,10 @@ def campaign_master(enriched: DataFrame) -> DataFrame:
 def campaign_dim(master: DataFrame) -> DataFrame:
     """W2 re-aimed: one row per campaign, sums re-aggregated over regions and
     the rate recomputed (instead of an arbitrary region row's rate)."""
-    agg = master.groupBy("campaign_id").agg(
-        F.min("nama_program").alias("nama_program"),
-        F.min("flag_program").alias("flag_program"),
-        F.min("jenis_leads").alias("jenis_leads"),
-        F.min("media_blasting").alias("media_blasting"),
-        F.min("periode_start").alias("periode_start"),
+    # the campaign's dimensions are grouping keys (functions of the campaign),
+    # which keeps this a hash aggregation
+    agg = master.groupBy("campaign_id", "nama_program", "flag_program", "jenis_leads",
+                         "media_blasting", "periode_start").agg(
         F.sum("total_leads").alias("total_leads"),
         F.sum("total_take_up").alias("total_take_up"),
         F.sum("total_transaction_value").alias("total_transaction_value"),
