@@ -14,27 +14,32 @@ def col(c) -> Column:
 
 # ---------------------------------------------------------------- dates
 
-def _shape(s: Column, fmt: str) -> Column:
-    """Cheap test that text has the separators of ``fmt`` where ``fmt`` puts
-    them (e.g. ``yyyy-MM-dd``: '-' at positions 5 and 8). A failed
-    ``try_to_date`` costs an exception inside the JVM, so formats whose
-    shape cannot match are not attempted at all; text of another shape
-    fails to parse anyway, so results are unchanged."""
-    cond = F.length(s) == len(fmt)
-    for i, ch in enumerate(fmt):
-        if not ch.isalpha():
-            cond = cond & (F.substring(s, i + 1, 1) == ch)
-    return cond
+def _shape_of(fmt: str) -> str:
+    """``yyyy-MM-dd`` -> ``dddd-dd-dd``: where the digits and separators go."""
+    return "".join("d" if ch.isalpha() else ch for ch in fmt)
 
 
 def parse_mixed_date(c, formats=DATE_FORMATS) -> Column:
     """First format that parses wins, so ``dd/MM`` beats ``MM/dd``.
 
-    ``try_to_date`` returns null instead of raising under ANSI mode; the
-    text is trimmed first. Only formats of matching shape are tried.
+    The trimmed text is reduced once to its digit shape (``2024-08-13`` ->
+    ``dddd-dd-dd``) and only the formats of that shape are tried, in their
+    listed order. Text of another shape cannot parse with a fixed-width
+    pattern anyway, so results are those of trying every format in turn,
+    without paying a failed parse (an exception inside the JVM) per format.
+    ``try_to_date`` returns null instead of raising under ANSI mode.
     """
     s = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.when(_shape(s, f), F.try_to_date(s, f)) for f in formats])
+    sig = F.translate(s, "0123456789", "d" * 10)
+    groups: dict[str, list[str]] = {}
+    for f in formats:
+        groups.setdefault(_shape_of(f), []).append(f)
+    out = None
+    for shape, fmts in groups.items():
+        parsed = F.coalesce(*[F.try_to_date(s, f) for f in fmts]) if len(fmts) > 1 \
+            else F.try_to_date(s, fmts[0])
+        out = F.when(sig == shape, parsed) if out is None else out.when(sig == shape, parsed)
+    return out
 
 
 def week_start(c) -> Column:

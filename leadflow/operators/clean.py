@@ -32,12 +32,9 @@ def filter_valid_cif(df: DataFrame) -> DataFrame:
 
 def normalise_leads(df: DataFrame) -> DataFrame:
     """Trim the key, parse ``periode_start`` to DATE, upper-case categories."""
-    out = df.withColumn("cif", F.trim("cif")) \
-            .withColumn("periode_start", parse_mixed_date("periode_start"))
-    for c in UPPERCASE_COLUMNS:
-        if c in df.columns:
-            out = out.withColumn(c, F.upper(F.col(c)))
-    return out
+    cols = {"cif": F.trim("cif"), "periode_start": parse_mixed_date("periode_start")}
+    cols.update({c: F.upper(F.col(c)) for c in UPPERCASE_COLUMNS if c in df.columns})
+    return df.withColumns(cols)
 
 
 def _tie_break(df: DataFrame, first: list, used: tuple = ()) -> list:
@@ -52,7 +49,8 @@ def _tie_break(df: DataFrame, first: list, used: tuple = ()) -> list:
 
 def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return (df.select("*", F.row_number().over(w).alias("_rn"))
+              .filter(F.col("_rn") == 1).drop("_rn"))
 
 
 def dedup_leads(df: DataFrame) -> DataFrame:
@@ -65,9 +63,9 @@ def dedup_leads(df: DataFrame) -> DataFrame:
 
 
 def add_campaign_columns(df: DataFrame) -> DataFrame:
-    return (df.withColumn("campaign_id", campaign_slug("nama_program", "periode_start"))
-              .withColumn("year", F.year("periode_start"))
-              .withColumn("month", F.month("periode_start")))
+    return df.withColumns({"campaign_id": campaign_slug("nama_program", "periode_start"),
+                           "year": F.year("periode_start"),
+                           "month": F.month("periode_start")})
 
 
 def clean_leads(raw: DataFrame) -> DataFrame:
@@ -83,20 +81,31 @@ def split_quarantine(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def normalise_monitoring(raw: DataFrame) -> DataFrame:
-    return (filter_valid_cif(raw)
-            .withColumn("cif", F.trim("cif"))
-            .withColumn("periode_start", parse_mixed_date("periode_start"))
-            .withColumn("take_up_date", parse_mixed_date("take_up_date"))
-            .withColumn("take_up_flag", F.upper(F.trim("take_up_flag"))))
+    return filter_valid_cif(raw).withColumns({
+        "cif": F.trim("cif"),
+        "periode_start": parse_mixed_date("periode_start"),
+        "take_up_date": parse_mixed_date("take_up_date"),
+        "take_up_flag": F.upper(F.trim("take_up_flag"))})
 
 
 def dedup_monitoring(raw: DataFrame) -> DataFrame:
     """One outcome per lead key: a YES row first, then the earliest take-up
-    date, then a total order over the remaining columns."""
-    df = normalise_monitoring(raw)
-    first = [F.when(is_yes("take_up_flag"), 0).otherwise(1).asc(),
-             F.col("take_up_date").asc_nulls_last()]
-    return keep_first(df, NATURAL_KEY, _tie_break(df, first, ("take_up_date",)))
+    date, then the lineage key when the source has one, then the smallest
+    transaction value.
+
+    Only the key, the outcome and lineage columns travel through the shuffle
+    and sort; two rows that tie on all of these carry the same outcome, so
+    which one is kept cannot change any result.
+    """
+    lineage = [c for c in raw.columns if c.startswith("_src_")]
+    df = normalise_monitoring(raw.select(*NATURAL_KEY, "take_up_flag", "take_up_date",
+                                         "total_transaction_value", *lineage))
+    order = ([F.when(is_yes("take_up_flag"), 0).otherwise(1).asc(),
+              F.col("take_up_date").asc_nulls_last()]
+             + [F.col(c).asc_nulls_last() for c in lineage]
+             + [F.col("total_transaction_value").asc_nulls_last(),
+                F.col("take_up_flag").asc_nulls_last()])
+    return keep_first(df, NATURAL_KEY, order)
 
 
 def enrich_leads(leads: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
@@ -112,7 +121,7 @@ def enrich_leads(leads: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
         F.col("total_transaction_value"))
     keep = [c for c in leads.columns if not c.startswith("_src_")]
     joined = leads.select(*keep).join(outcome, on=NATURAL_KEY, how="left")
-    return (joined
-            .withColumn("take_up_flag", F.coalesce(F.col("_mon_flag"), F.lit("NO")))
-            .withColumn("time_to_take_up_days", F.datediff("take_up_date", "periode_start"))
-            .drop("_mon_flag"))
+    return joined.withColumns({
+        "take_up_flag": F.coalesce(F.col("_mon_flag"), F.lit("NO")),
+        "time_to_take_up_days": F.datediff("take_up_date", "periode_start"),
+    }).drop("_mon_flag")

@@ -248,8 +248,7 @@ _LEAD_ORDER_CSV = ("ORDER BY jenis_leads, media_blasting, flag_program, wilayah,
                    "segment_crs, segment_by_aum, segment_wondr, segment_div_owner, range_usia, "
                    "range_saldo_tab, avg_aum_3_bln, potensi_money) AS rn FROM lr")
 _MON_ORDER = "ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn"
-_MON_ORDER_CSV = ("ORDER BY take_up_date, cabang, outlet, segment_div_owner, potensi_money, "
-                  "l_extendedprice) AS rn")
+_MON_ORDER_CSV = "ORDER BY take_up_date, l_extendedprice) AS rn"
 
 
 def base(csv: bool = False, ship_date: bool = False) -> str:

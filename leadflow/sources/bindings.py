@@ -31,8 +31,17 @@ LEAD_COLUMNS = [
 OUTCOME_COLUMNS = ["take_up_flag", "take_up_date", "total_transaction_value"]
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The input table as a (lazy) DataFrame; the file listing and footer
+    read happen once per session and path, not once per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _render_date(d, key) -> F.Column:
