@@ -47,3 +47,6 @@ SIMILAR_GAIN_CAP = 10.0       # expected gain from the best similar campaign, ca
 SIMILAR_HIGH_SCORE = 0.8      # similarity score giving HIGH confidence
 FOLLOW_UP_MIN_DAYS = 7        # follow-up days = max(7, int(0.7 * avg days))
 FOLLOW_UP_FACTOR = 0.7
+DEFAULT_LOOKBACK_DAYS = 90    # overview window when no start date is given
+RATE_BAND_HIGH = 10.0         # take-up rate badge: >= 10 high, >= 5 medium, else low
+RATE_BAND_MEDIUM = 5.0

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.functions.domains import MAX_REGION_TREND_WEEKS
+from leadflow.functions.domains import (DEFAULT_LOOKBACK_DAYS, MAX_REGION_TREND_WEEKS,
+                                        RATE_BAND_HIGH, RATE_BAND_MEDIUM)
 from leadflow.functions.exprs import (granularity, is_yes, money, period_end_for,
                                       period_start_for, rate_pct, rnd, week_start)
 
@@ -90,15 +91,24 @@ def overview_agg(master: DataFrame, catalogue: DataFrame | None = None) -> DataF
 
 
 def overview_query(agg: DataFrame, start=None, end=None, products=None,
-                   channels=None, regions=None) -> DataFrame:
+                   channels=None, regions=None, as_of=None,
+                   lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
     """period containment (start <= period_start, period_end <= end) and
     optional IN-lists. ``None`` = no constraint; an empty list matches nothing.
-    Channel values are compared upper-cased (canonical form)."""
+    Channel values are compared upper-cased (canonical form).
+
+    X12: with ``as_of`` (a date) a missing ``end`` defaults to ``as_of`` and
+    a missing ``start`` to ``lookback_days`` before it; ``as_of`` is explicit
+    so results never depend on the clock."""
+    if as_of is not None:
+        end = end if end is not None else as_of
+        start = start if start is not None else F.date_sub(F.lit(as_of).cast("date"), lookback_days)
     df = agg
+    as_date = lambda v: v if isinstance(v, F.Column) else F.lit(v).cast("date")
     if start is not None:
-        df = df.filter(F.col("period_start") >= F.lit(start).cast("date"))
+        df = df.filter(F.col("period_start") >= as_date(start))
     if end is not None:
-        df = df.filter(F.col("period_end") <= F.lit(end).cast("date"))
+        df = df.filter(F.col("period_end") <= as_date(end))
     if products is not None:
         df = df.filter(F.col("product").isin(list(products)))
     if channels is not None:
@@ -207,12 +217,21 @@ def regional_from_leads(enriched: DataFrame, flag_program: str | None = None) ->
     )
 
 
+def rate_band(rate) -> F.Column:
+    """High (>= 10 %), medium (>= 5 %), low."""
+    r = F.col(rate) if isinstance(rate, str) else rate
+    return (F.when(r >= RATE_BAND_HIGH, F.lit("high"))
+             .when(r >= RATE_BAND_MEDIUM, F.lit("medium")).otherwise(F.lit("low")))
+
+
 def regional_ranked(regions: DataFrame) -> DataFrame:
-    """O3: rank regions of each campaign by take-up rate, highest first,
-    missing rates last; region number breaks ties."""
+    """O3 (+X15): rank regions of each campaign by take-up rate, highest
+    first, missing rates last, region number breaking ties; with the badge
+    band of the rate."""
     w = Window.partitionBy("campaign_id").orderBy(
         F.col("take_up_rate").desc_nulls_last(), F.col("wilayah").asc())
-    return regions.withColumn("region_rank", F.row_number().over(w))
+    return regions.withColumns({"region_rank": F.row_number().over(w),
+                                "rate_band": rate_band("take_up_rate")})
 
 
 def regional_trend_8w(weekly: DataFrame, weeks: int = MAX_REGION_TREND_WEEKS) -> DataFrame:

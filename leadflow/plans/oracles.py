@@ -373,7 +373,8 @@ SELECT campaign_id, wilayah, 'Wilayah ' || CAST(wilayah AS VARCHAR) AS region_na
 FROM enriched WHERE wilayah IS NOT NULL AND flag_program = 'PROGRAM H2' GROUP BY 1, 2""")
 ORACLES["regional_ranked"] = _q(f"""
 SELECT *, CAST(row_number() OVER (PARTITION BY campaign_id ORDER BY take_up_rate DESC NULLS LAST, wilayah)
-               AS INTEGER) AS region_rank
+               AS INTEGER) AS region_rank,
+       CASE WHEN take_up_rate >= 10 THEN 'high' WHEN take_up_rate >= 5 THEN 'medium' ELSE 'low' END AS rate_band
 FROM (SELECT {_REG} FROM reg) t""")
 
 ORACLES["take_up_leads"] = _q("""
@@ -645,3 +646,11 @@ SELECT nama_program, flag_program, media_blasting, jenis_leads, CAST(wilayah AS
        total_leads, total_take_up,
        printf('%.2f%%', {sround(rate('total_take_up', 'total_leads'), 2)}) AS take_up_rate
 FROM master""")
+
+ORACLES["overview_lookback"] = _q(f"""
+SELECT {_OV} FROM ov
+WHERE period_start >= DATE '1999-12-31' - INTERVAL 90 DAY AND period_end <= DATE '1999-12-31'""")
+ORACLES["external_tables"] = _q("""
+SELECT campaign_id, year, month, CAST(sum(total_leads) AS BIGINT) AS total_leads,
+       CAST(sum(total_take_up) AS BIGINT) AS total_take_up
+FROM master WHERE year = 1998 GROUP BY 1, 2, 3""")

@@ -541,3 +541,22 @@ def _campaign_slug(v: Views):
 def _parse_mixed_dates(v: Views):
     return v.leads_raw.select(F.col("periode_start").alias("periode_text"),
                               exprs.parse_mixed_date("periode_start").alias("periode_start")).distinct()
+
+
+@register("overview_lookback")
+def _overview_lookback(v: Views):
+    """Default window of 90 days before an explicit as-of date."""
+    return rollups.overview_query(v.overview, as_of="1999-12-31")
+
+
+@register("external_tables")
+def _external_tables(v: Views):
+    """Tables declared in SQL over stored folders, queried with SQL
+    (partition column predicate prunes folders)."""
+    from leadflow.sources.catalog import create_tables
+    p = _stored(v, campaigns=True)
+    create_tables(v.spark, {"campaign": p.campaigns})
+    return v.spark.sql(
+        "SELECT campaign_id, CAST(year AS INT) AS year, CAST(month AS INT) AS month, "
+        "sum(total_leads) AS total_leads, sum(total_take_up) AS total_take_up "
+        "FROM campaign WHERE year = '1998' GROUP BY campaign_id, year, month")
