@@ -40,14 +40,6 @@ def _explode_dims(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def _group_key_match(left_prefix: str, right_prefix: str = "") -> F.Column:
-    cond = None
-    for d in DIMS:
-        c = F.col(f"{left_prefix}{d}").eqNullSafe(F.col(f"{right_prefix}{d}"))
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def group_matches(dim: DataFrame) -> DataFrame:
     """(campaign X, group g) for every group sharing >= 1 dimension with X:
     the shared dimension names (sorted), their count, the group size and
@@ -152,3 +144,15 @@ def similarity_counts(dim: DataFrame) -> DataFrame:
     return (m.groupBy("campaign_id", "dimension_count")
              .agg((F.sum("group_size") - F.count_if("is_own_group")).alias("similar_campaigns"))
              .filter(F.col("similar_campaigns") > 0))
+
+
+def similar_enriched(index: DataFrame, dim: DataFrame) -> DataFrame:
+    """Index rows with the similar campaign's own dimension values and
+    start date (the campaign table is one row per campaign; AQE broadcasts
+    it when its measured size allows)."""
+    other = dim.select(F.col("campaign_id").alias("similar_campaign_id"),
+                       F.col("flag_program").alias("similar_flag_program"),
+                       F.col("jenis_leads").alias("similar_jenis_leads"),
+                       F.col("media_blasting").alias("similar_media_blasting"),
+                       F.col("periode_start").alias("similar_periode_start"))
+    return index.join(other, "similar_campaign_id", "left")

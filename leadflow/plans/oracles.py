@@ -654,3 +654,8 @@ ORACLES["external_tables"] = _q("""
 SELECT campaign_id, year, month, CAST(sum(total_leads) AS BIGINT) AS total_leads,
        CAST(sum(total_take_up) AS BIGINT) AS total_take_up
 FROM master WHERE year = 1998 GROUP BY 1, 2, 3""")
+ORACLES["similar_enriched"] = _q(f"""
+SELECT s.*, d.flag_program AS similar_flag_program, d.jenis_leads AS similar_jenis_leads,
+       d.media_blasting AS similar_media_blasting, d.periode_start AS similar_periode_start
+FROM ({ORACLES["similarity_index"][len(BASE):]}) s
+LEFT JOIN dim d ON s.similar_campaign_id = d.campaign_id""")

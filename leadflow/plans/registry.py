@@ -233,6 +233,11 @@ def _similarity_index(v: Views):
     return _flat_similar(similarity.similarity_index(v.dim))
 
 
+@register("similar_enriched")
+def _similar_enriched(v: Views):
+    return _flat_similar(similarity.similar_enriched(similarity.similarity_index(v.dim), v.dim))
+
+
 @register("similar_topk")
 def _similar_topk(v: Views):
     return _flat_similar(similarity.similar_topk(v.dim, k=5))
