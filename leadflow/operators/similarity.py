@@ -68,10 +68,11 @@ def group_tops(dim: DataFrame, k: int) -> DataFrame:
 
 
 def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
-                       required: list[str] | None = None) -> DataFrame:
+                       required: list[str] | None = None,
+                       matches: DataFrame | None = None) -> DataFrame:
     """Every (X, similar campaign) pair that can reach X's top ``k``,
     optionally only those sharing all ``required`` dimensions (F13)."""
-    m = group_matches(dim)
+    m = group_matches(dim) if matches is None else matches
     if required:
         bad = [d for d in required if d not in DIMS]
         if bad:
@@ -123,7 +124,8 @@ def similarity_index(dim: DataFrame) -> DataFrame:
 def best_similar(dim: DataFrame) -> DataFrame:
     """Per campaign, the similar campaign with the highest take-up rate
     (id breaks ties) and how many similar campaigns there are."""
-    cand = similar_candidates(dim, 1)
+    m = group_matches(dim)            # shared by the pick and the count
+    cand = similar_candidates(dim, 1, matches=m)
     w = Window.partitionBy("campaign_id").orderBy(
         F.col("take_up_rate").desc(), F.col("similar_campaign_id").asc())
     best = (cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
@@ -132,15 +134,15 @@ def best_similar(dim: DataFrame) -> DataFrame:
                         F.col("campaign_name").alias("best_similar_name"),
                         F.col("take_up_rate").alias("best_similar_rate"),
                         F.col("similarity_score").alias("best_similar_score")))
-    counts = similarity_counts(dim).groupBy("campaign_id").agg(
+    counts = similarity_counts(dim, m).groupBy("campaign_id").agg(
         F.sum("similar_campaigns").alias("similar_count"))
     return counts.join(best, "campaign_id", "left")
 
 
-def similarity_counts(dim: DataFrame) -> DataFrame:
+def similarity_counts(dim: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Per campaign and number of shared dimensions, how many campaigns are
     similar: sums of group sizes, X itself removed from its own group."""
-    m = group_matches(dim)
+    m = group_matches(dim) if matches is None else matches
     return (m.groupBy("campaign_id", "dimension_count")
              .agg((F.sum("group_size") - F.count_if("is_own_group")).alias("similar_campaigns"))
              .filter(F.col("similar_campaigns") > 0))
