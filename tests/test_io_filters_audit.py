@@ -143,3 +143,26 @@ def test_audit_stream_dedups_redelivered_files(spark):
                                         scratch_path(spark, "t-audit-ckpt"))
     assert out.count() == 12
     assert out.select("user_id", "timestamp").distinct().count() == 12
+
+
+@pytest.mark.parametrize("op", ["time_stats", "criteria_distribution", "regional_from_leads"])
+def test_request_filter_prunes_campaign_partitions(spark, op):
+    """A per-campaign request is a filter on the all-campaign operator; it
+    reaches the partitioned scan as a partition filter."""
+    from leadflow.operators import criteria, rollups, time_analysis
+    fn = {"time_stats": time_analysis.time_stats,
+          "criteria_distribution": criteria.criteria_distribution,
+          "regional_from_leads": rollups.regional_from_leads}[op]
+    df = spark.createDataFrame(
+        [("A", "1", "YES", D(2024, 1, 1), D(2024, 1, 5), 4, "WA", 1, "MASS", "GEN Z", "CRS", "P", 1.0),
+         ("B", "2", "NO", D(2024, 1, 1), None, None, "WA", 2, "MASS", "GEN Z", "CRS", "P", None)],
+        "campaign_id string, cif string, take_up_flag string, periode_start date, take_up_date date, "
+        "time_to_take_up_days int, media_blasting string, wilayah int, segment_by_aum string, "
+        "range_usia string, segment_div_owner string, flag_program string, "
+        "total_transaction_value double")
+    path = scratch_path(spark, "t-req")
+    io.write_leads_partitioned(df, path)
+    q = fn(io.read_enriched_leads(spark, path)).filter(F.col("campaign_id") == "A")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(campaign_id" in plan and "(campaign_id#" in plan
+    assert {r.campaign_id for r in q.collect()} == {"A"}
