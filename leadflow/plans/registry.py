@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from leadflow.operators import clean, rollups
+from leadflow.functions import exprs
+from leadflow.operators import (audit, clean, compare, criteria, filters, privacy, quality,
+                                recommend, rollups, similarity, time_analysis)
+from leadflow.plans import pipeline
 from leadflow.plans.views import Views
+from leadflow.session import scratch_path
+from leadflow.sources import bindings, io
 from leadflow.sources.bindings import LEAD_COLUMNS
+from leadflow.streaming import audit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -67,9 +73,6 @@ def _campaign_master(v: Views):
 
 # ------------------------------------------------------------ periods and roll-ups
 
-from leadflow.operators import compare, criteria, recommend, similarity, time_analysis  # noqa: E402
-from leadflow.functions import exprs  # noqa: E402
-
 
 @register("granularity")
 def _granularity(v: Views):
@@ -283,11 +286,6 @@ def _unused_channels(v: Views):
 
 # ------------------------------------------------------------ filters
 
-from leadflow.operators import audit, filters, privacy, quality  # noqa: E402
-from leadflow.plans import pipeline  # noqa: E402
-from leadflow.session import scratch_path  # noqa: E402
-from leadflow.sources import bindings, io  # noqa: E402
-from leadflow.streaming import audit_stream  # noqa: E402
 
 LOOKUP_CAMPAIGN = "1-URGENT_1997-01-01"
 

@@ -7,7 +7,6 @@ none, which is the case in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -87,7 +86,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def is_local_path(p: str) -> bool:
-    return p.startswith("/") or p.startswith("file:") or os.path.isabs(p)

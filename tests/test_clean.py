@@ -109,3 +109,42 @@ def test_dedup_plan_limits_before_shuffle(spark):
     raw = df_of(spark, [lead("1")], LEADS_SCHEMA)
     plan = clean.dedup_leads(clean.normalise_leads(raw))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_etl_quality_counts_every_loss(spark):
+    from leadflow.operators import quality
+    leads = df_of(spark, [lead("1"), lead("1", start="01/01/2024"),       # same lead twice
+                          lead(""), lead(None),                           # blank ids
+                          lead("2", start="2024-99-99"),                  # bad date
+                          lead("3", name=None)], LEADS_SCHEMA)            # no program name
+    outcomes = df_of(spark, [mon("1"), mon("1", flag="NO"),               # duplicate outcome
+                             mon("8"),                                    # outcome without lead
+                             mon("3", name=None, date="not a date"),      # bad date
+                             mon(" ")], MONITORING_SCHEMA)                # blank id
+    got = {r.metric: r.value for r in quality.etl_quality(leads, outcomes).collect()}
+    assert got == {"lead_rows": 6, "lead_blank_cif": 2, "lead_bad_dates": 1,
+                   "lead_null_campaign_id": 2, "lead_duplicates_dropped": 1,
+                   "monitoring_rows": 5, "monitoring_blank_cif": 1, "monitoring_bad_dates": 1,
+                   "monitoring_duplicates_dropped": 1, "monitoring_without_lead": 2}
+
+
+def test_domain_violations(spark):
+    from leadflow.operators import quality
+    leads = clean.clean_leads(df_of(spark, [
+        lead("1", media_blasting="wa", flag_program="program qris", wilayah=17, cabang=324, outlet=0),
+        lead("2", media_blasting="fax", flag_program="PROGRAM X", wilayah=18, cabang=0, outlet=100),
+        lead("3", media_blasting=None, flag_program=None, wilayah=None)], LEADS_SCHEMA))
+    got = {r.column_name: (r.violations, r.checked) for r in quality.domain_violations(leads).collect()}
+    assert got["media_blasting"] == (1, 2)
+    assert got["flag_program"] == (1, 2)
+    assert got["wilayah"] == (1, 2)
+    assert got["cabang"] == (1, 2)
+    assert got["outlet"] == (1, 2)
+
+
+def test_negative_take_up_report(spark):
+    from leadflow.operators import quality
+    leads = clean.clean_leads(df_of(spark, [lead("1"), lead("2")], LEADS_SCHEMA))
+    m = df_of(spark, [mon("1", date="2023-12-20"), mon("2", date="2024-01-03")], MONITORING_SCHEMA)
+    rows = quality.negative_take_up(clean.enrich_leads(leads, m)).collect()
+    assert [(r.negative_rows, r.min_gap_days) for r in rows] == [(1, -12)]

@@ -3,7 +3,6 @@ partitioned sinks and the streaming ingest on small inline inputs."""
 
 import datetime as dt
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
