@@ -5,28 +5,35 @@ Two campaigns are similar when they share at least one of the dimensions
 lookup returns, for a campaign X, the similar campaigns ordered by number
 of shared dimensions (desc), take-up rate (desc), id (asc), capped at 20.
 
-All-pairs comparison is quadratic inside a dimension value and a two-valued
-program flag alone puts half the campaigns in one value, so we never build
-it. Instead:
-
-1. *Groups*: campaigns with identical dimension values form a group ``g``.
-   Relative to X every member of ``g`` shares the same dimensions, so the
-   members X can see from ``g`` are ranked by (rate desc, id asc) alone.
-   Keep each group's top ``k + 1`` members (``+1`` in case X itself is one);
-   the window limit runs partially before the shuffle, so a hot group costs
-   at most ``k + 1`` rows per map task.
-2. *Group matches*: explode X and every group into (dimension, value),
-   equi-join, and regroup by (X, g) to get the shared dimensions. This is a
-   join of campaigns with *groups*, whose number is bounded by the product
-   of the dimension domains, not by the data.
-3. Join the group tops in, drop X itself, keep the top ``k`` per X.
-
-Exact: any campaign in X's true top-k is among the top ``k+1`` of its own
-group. Output per X is at most ``min(C, G * (k + 1))`` candidates.
+All-pairs comparison is quadratic inside a dimension value (a two-valued
+program flag alone puts half the campaigns in one value), so we never build
+it. Instead, for every non-empty subset M of the dimensions (7 of them):
+
+1. *Lists*: campaigns keyed by their values on M; each key keeps its top
+   ``k + 1`` members by (rate desc, id asc). The window limit runs partially
+   before the shuffle, so a hot key costs at most ``k + 1`` rows per map task.
+2. *Candidates*: each campaign X joins the list of its own M-key (an
+   equi-join). A member Y is kept only from the list whose M is exactly the
+   set of dimensions X and Y share.
+
+Exact: let Y be in X's true top-k and S the set they share. Everything ranked
+above Y in X's S-list agrees with X on all of S, so it shares at least as
+many dimensions and has a higher rate (or equal rate and smaller id): it is
+above Y in X's ranking too. Fewer than k campaigns are, so Y is within the
+top ``k + 1`` of that list (one slot for X itself). The same argument holds
+for a rate-only ranking and under a required-dimensions filter.
+
+Per campaign at most ``7 * (k + 1)`` candidates, whatever the skew or the
+cardinality of the dimensions; counts of similar campaigns come from the
+7 key sizes by inclusion-exclusion, also without pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,65 +42,53 @@ from leadflow.functions.domains import MAX_SIMILAR_RESULTS, SIMILARITY_DIMENSION
 DIMS = SIMILARITY_DIMENSIONS
 
 
-def _explode_dims(df: DataFrame, keep: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMS])
-    return df.select(*keep, F.inline(pairs)).filter(F.col("value").isNotNull())
+SUBSETS = [c for r in range(len(DIMS), 0, -1) for c in combinations(DIMS, r)]
 
 
-def group_matches(dim: DataFrame) -> DataFrame:
-    """(campaign X, group g) for every group sharing >= 1 dimension with X:
-    the shared dimension names (sorted), their count, the group size and
-    whether g is X's own group."""
-    groups = dim.groupBy(*DIMS).agg(F.count(F.lit(1)).alias("group_size"))
-    g = groups.select(*[F.col(d).alias(f"g_{d}") for d in DIMS], "group_size", *DIMS)
-    g_long = _explode_dims(g, [f"g_{d}" for d in DIMS] + ["group_size"])
-    x = dim.select(F.col("campaign_id"), *[F.col(d).alias(f"x_{d}") for d in DIMS], *DIMS)
-    x_long = _explode_dims(x, ["campaign_id"] + [f"x_{d}" for d in DIMS])
-    m = (x_long.join(g_long, ["dimension", "value"])
-               .groupBy("campaign_id", *[f"x_{d}" for d in DIMS], *[f"g_{d}" for d in DIMS], "group_size")
-               .agg(F.sort_array(F.collect_list("dimension")).alias("matching_dimensions")))
-    own = None
-    for d in DIMS:
-        c = F.col(f"x_{d}").eqNullSafe(F.col(f"g_{d}"))
-        own = c if own is None else own & c
-    return (m.withColumn("dimension_count", F.size("matching_dimensions"))
-             .withColumn("is_own_group", own))
+def _all_present(cols) -> F.Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
 
 
-def group_tops(dim: DataFrame, k: int) -> DataFrame:
-    """Top ``k + 1`` members of every group by (rate desc, id asc)."""
-    w = Window.partitionBy(*DIMS).orderBy(F.col("take_up_rate").desc(), F.col("campaign_id").asc())
-    return (dim.withColumn("_grank", F.row_number().over(w))
-               .filter(F.col("_grank") <= k + 1).drop("_grank"))
+def _shares(d: str) -> F.Column:
+    return F.coalesce(F.col(f"x_{d}") == F.col(f"y_{d}"), F.lit(False))
 
 
 def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
-                       required: list[str] | None = None,
-                       matches: DataFrame | None = None) -> DataFrame:
-    """Every (X, similar campaign) pair that can reach X's top ``k``,
-    optionally only those sharing all ``required`` dimensions (F13)."""
-    m = group_matches(dim) if matches is None else matches
-    if required:
-        bad = [d for d in required if d not in DIMS]
-        if bad:
-            raise ValueError(f"invalid dimension(s) {bad}; allowed {sorted(DIMS)}")
-        req = F.array(*[F.lit(d) for d in sorted(set(required))])
-        m = m.filter(F.size(F.array_except(req, F.col("matching_dimensions"))) == 0)
-    tops = group_tops(dim, k).select(
-        *[F.col(d).alias(f"t_{d}") for d in DIMS],
-        F.col("campaign_id").alias("similar_campaign_id"),
-        F.col("nama_program").alias("campaign_name"),
-        F.col("take_up_rate"), "total_leads", "total_take_up")
-    cond = None
-    for d in DIMS:
-        c = F.col(f"g_{d}").eqNullSafe(F.col(f"t_{d}"))
-        cond = c if cond is None else cond & c
-    return (m.join(tops, cond)
-             .filter(F.col("similar_campaign_id") != F.col("campaign_id"))
-             .select("campaign_id", "similar_campaign_id", "campaign_name",
-                     "matching_dimensions", "dimension_count",
-                     (F.col("dimension_count") / F.lit(float(len(DIMS)))).alias("similarity_score"),
-                     "take_up_rate", "total_leads", "total_take_up"))
+                       required: list[str] | None = None) -> DataFrame:
+    """Every (X, similar campaign) pair that can reach X's top ``k``, at most
+    ``7 * (k + 1)`` per X, optionally only those sharing all ``required``
+    dimensions (F13)."""
+    req = set(required or [])
+    bad = sorted(req - set(DIMS))
+    if bad:
+        raise ValueError(f"invalid dimension(s) {bad}; allowed {sorted(DIMS)}")
+    parts = []
+    for m in SUBSETS:
+        if not req <= set(m):
+            continue
+        keys = [f"key_{d}" for d in m]
+        members = dim.filter(_all_present(m))
+        w = Window.partitionBy(*m).orderBy(F.col("take_up_rate").desc(), F.col("campaign_id").asc())
+        lists = (members.select(*[F.col(d).alias(f"key_{d}") for d in m],
+                                *[F.col(d).alias(f"y_{d}") for d in DIMS],
+                                F.col("campaign_id").alias("similar_campaign_id"),
+                                F.col("nama_program").alias("campaign_name"),
+                                "take_up_rate", "total_leads", "total_take_up",
+                                F.row_number().over(w).alias("_pos"))
+                        .filter(F.col("_pos") <= k + 1).drop("_pos"))
+        xs = members.select("campaign_id", *[F.col(d).alias(f"key_{d}") for d in m],
+                            *[F.col(d).alias(f"x_{d}") for d in DIMS])
+        exact = reduce(lambda a, b: a & b,
+                       [_shares(d) if d in m else ~_shares(d) for d in DIMS])
+        parts.append(
+            xs.join(lists, keys)
+              .filter((F.col("similar_campaign_id") != F.col("campaign_id")) & exact)
+              .select("campaign_id", "similar_campaign_id", "campaign_name",
+                      F.array(*[F.lit(d) for d in sorted(m)]).alias("matching_dimensions"),
+                      F.lit(len(m)).alias("dimension_count"),
+                      F.lit(len(m) / float(len(DIMS))).alias("similarity_score"),
+                      "take_up_rate", "total_leads", "total_take_up"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def similar_topk(dim: DataFrame, k: int | None = MAX_SIMILAR_RESULTS,
@@ -124,8 +119,7 @@ def similarity_index(dim: DataFrame) -> DataFrame:
 def best_similar(dim: DataFrame) -> DataFrame:
     """Per campaign, the similar campaign with the highest take-up rate
     (id breaks ties) and how many similar campaigns there are."""
-    m = group_matches(dim)            # shared by the pick and the count
-    cand = similar_candidates(dim, 1, matches=m)
+    cand = similar_candidates(dim, 1)
     w = Window.partitionBy("campaign_id").orderBy(
         F.col("take_up_rate").desc(), F.col("similar_campaign_id").asc())
     best = (cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
@@ -134,17 +128,35 @@ def best_similar(dim: DataFrame) -> DataFrame:
                         F.col("campaign_name").alias("best_similar_name"),
                         F.col("take_up_rate").alias("best_similar_rate"),
                         F.col("similarity_score").alias("best_similar_score")))
-    counts = similarity_counts(dim, m).groupBy("campaign_id").agg(
+    counts = similarity_counts(dim).groupBy("campaign_id").agg(
         F.sum("similar_campaigns").alias("similar_count"))
     return counts.join(best, "campaign_id", "left")
 
 
-def similarity_counts(dim: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    """Per campaign and number of shared dimensions, how many campaigns are
-    similar: sums of group sizes, X itself removed from its own group."""
-    m = group_matches(dim) if matches is None else matches
-    return (m.groupBy("campaign_id", "dimension_count")
-             .agg((F.sum("group_size") - F.count_if("is_own_group")).alias("similar_campaigns"))
+def similarity_counts(dim: DataFrame) -> DataFrame:
+    """Per campaign and number of shared dimensions c, how many campaigns
+    share exactly c dimensions with it.
+
+    N_T = campaigns other than X agreeing with X on every dimension of T (a
+    key size minus X itself; 0 when X has a null in T). Then, by
+    inclusion-exclusion, the number sharing exactly c dimensions is
+    sum over |T| >= c of (-1)^(|T|-c) * C(|T|, c) * N_T."""
+    x = dim.select("campaign_id", *DIMS)
+    for t in SUBSETS:
+        name = "n_" + "_".join(t)
+        sizes = (dim.filter(_all_present(t)).groupBy(*t).agg(F.count(F.lit(1)).alias("_size"))
+                    .select(*[F.col(d).alias(f"_k_{d}") for d in t], "_size"))
+        cond = reduce(lambda a, b: a & b, [F.col(d) == F.col(f"_k_{d}") for d in t])
+        x = (x.join(sizes, cond, "left")
+              .withColumn(name, F.coalesce(F.col("_size") - 1, F.lit(0)))
+              .drop("_size", *[f"_k_{d}" for d in t]))
+    per_c = []
+    for c in range(1, len(DIMS) + 1):
+        terms = [F.lit((-1) ** (len(t) - c) * comb(len(t), c)) * F.col("n_" + "_".join(t))
+                 for t in SUBSETS if len(t) >= c]
+        per_c.append(F.struct(F.lit(c).alias("dimension_count"),
+                              reduce(lambda a, b: a + b, terms).alias("similar_campaigns")))
+    return (x.select("campaign_id", F.inline(F.array(*per_c)))
              .filter(F.col("similar_campaigns") > 0))
 
 
