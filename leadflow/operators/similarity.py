@@ -43,10 +43,21 @@ DIMS = SIMILARITY_DIMENSIONS
 
 
 SUBSETS = [c for r in range(len(DIMS), 0, -1) for c in combinations(DIMS, r)]
+KEY = ["subset_id"] + [f"key_{i}" for i in range(len(DIMS))]
 
 
-def _all_present(cols) -> F.Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+def _subset_keys(dim: DataFrame, subsets) -> DataFrame:
+    """One row per (campaign, subset M) where the campaign has values on all
+    of M: the key is (subset id, the values on M, '' outside M), so one
+    window and one equi-join serve all subsets at once."""
+    rows = []
+    for i, m in subsets:
+        present = reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in m])
+        rows.append(F.struct(
+            F.lit(i).alias("subset_id"),
+            *[(F.col(d) if d in m else F.lit("")).alias(f"key_{j}") for j, d in enumerate(DIMS)],
+            present.alias("_present")))
+    return dim.select("*", F.inline(F.array(*rows))).filter("_present").drop("_present")
 
 
 def _shares(d: str) -> F.Column:
@@ -62,33 +73,29 @@ def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
     bad = sorted(req - set(DIMS))
     if bad:
         raise ValueError(f"invalid dimension(s) {bad}; allowed {sorted(DIMS)}")
-    parts = []
-    for m in SUBSETS:
-        if not req <= set(m):
-            continue
-        keys = [f"key_{d}" for d in m]
-        members = dim.filter(_all_present(m))
-        w = Window.partitionBy(*m).orderBy(F.col("take_up_rate").desc(), F.col("campaign_id").asc())
-        lists = (members.select(*[F.col(d).alias(f"key_{d}") for d in m],
-                                *[F.col(d).alias(f"y_{d}") for d in DIMS],
-                                F.col("campaign_id").alias("similar_campaign_id"),
-                                F.col("nama_program").alias("campaign_name"),
-                                "take_up_rate", "total_leads", "total_take_up",
-                                F.row_number().over(w).alias("_pos"))
-                        .filter(F.col("_pos") <= k + 1).drop("_pos"))
-        xs = members.select("campaign_id", *[F.col(d).alias(f"key_{d}") for d in m],
-                            *[F.col(d).alias(f"x_{d}") for d in DIMS])
-        exact = reduce(lambda a, b: a & b,
-                       [_shares(d) if d in m else ~_shares(d) for d in DIMS])
-        parts.append(
-            xs.join(lists, keys)
+    subsets = [(i, m) for i, m in enumerate(SUBSETS) if req <= set(m)]
+    keyed = _subset_keys(dim, subsets)
+    w = Window.partitionBy(*KEY).orderBy(F.col("take_up_rate").desc(), F.col("campaign_id").asc())
+    lists = (keyed.select(*KEY, *[F.col(d).alias(f"y_{d}") for d in DIMS],
+                          F.col("campaign_id").alias("similar_campaign_id"),
+                          F.col("nama_program").alias("campaign_name"),
+                          "take_up_rate", "total_leads", "total_take_up",
+                          F.row_number().over(w).alias("_pos"))
+                  .filter(F.col("_pos") <= k + 1).drop("_pos"))
+    xs = keyed.select("campaign_id", *KEY, *[F.col(d).alias(f"x_{d}") for d in DIMS])
+    # keep Y only from the list of exactly the dimensions X and Y share
+    in_m = {d: F.element_at(F.array(*[F.lit(d in m) for m in SUBSETS]), F.col("subset_id") + 1)
+            for d in DIMS}
+    exact = reduce(lambda a, b: a & b, [_shares(d) == in_m[d] for d in DIMS])
+    shared = F.array_compact(F.array(*[F.when(in_m[d], F.lit(d)) for d in sorted(DIMS)]))
+    n = F.size(shared)
+    return (xs.join(lists, KEY)
               .filter((F.col("similar_campaign_id") != F.col("campaign_id")) & exact)
               .select("campaign_id", "similar_campaign_id", "campaign_name",
-                      F.array(*[F.lit(d) for d in sorted(m)]).alias("matching_dimensions"),
-                      F.lit(len(m)).alias("dimension_count"),
-                      F.lit(len(m) / float(len(DIMS))).alias("similarity_score"),
+                      shared.alias("matching_dimensions"),
+                      n.alias("dimension_count"),
+                      (n / F.lit(float(len(DIMS)))).alias("similarity_score"),
                       "take_up_rate", "total_leads", "total_take_up"))
-    return reduce(DataFrame.unionAll, parts)
 
 
 def similar_topk(dim: DataFrame, k: int | None = MAX_SIMILAR_RESULTS,
@@ -141,23 +148,20 @@ def similarity_counts(dim: DataFrame) -> DataFrame:
     key size minus X itself; 0 when X has a null in T). Then, by
     inclusion-exclusion, the number sharing exactly c dimensions is
     sum over |T| >= c of (-1)^(|T|-c) * C(|T|, c) * N_T."""
-    x = dim.select("campaign_id", *DIMS)
-    for t in SUBSETS:
-        name = "n_" + "_".join(t)
-        sizes = (dim.filter(_all_present(t)).groupBy(*t).agg(F.count(F.lit(1)).alias("_size"))
-                    .select(*[F.col(d).alias(f"_k_{d}") for d in t], "_size"))
-        cond = reduce(lambda a, b: a & b, [F.col(d) == F.col(f"_k_{d}") for d in t])
-        x = (x.join(sizes, cond, "left")
-              .withColumn(name, F.coalesce(F.col("_size") - 1, F.lit(0)))
-              .drop("_size", *[f"_k_{d}" for d in t]))
-    per_c = []
+    subsets = list(enumerate(SUBSETS))
+    keyed = _subset_keys(dim.select("campaign_id", *DIMS), subsets)
+    sizes = keyed.groupBy(*KEY).agg((F.count(F.lit(1)) - 1).alias("_others"))
+    per_key = keyed.select("campaign_id", *KEY).join(sizes, KEY)
+    aggs = []
     for c in range(1, len(DIMS) + 1):
-        terms = [F.lit((-1) ** (len(t) - c) * comb(len(t), c)) * F.col("n_" + "_".join(t))
-                 for t in SUBSETS if len(t) >= c]
-        per_c.append(F.struct(F.lit(c).alias("dimension_count"),
-                              reduce(lambda a, b: a + b, terms).alias("similar_campaigns")))
-    return (x.select("campaign_id", F.inline(F.array(*per_c)))
-             .filter(F.col("similar_campaigns") > 0))
+        coefs = [(-1) ** (len(m) - c) * comb(len(m), c) if len(m) >= c else 0 for m in SUBSETS]
+        coef = F.element_at(F.array(*[F.lit(int(v)) for v in coefs]), F.col("subset_id") + 1)
+        aggs.append(F.sum(coef * F.col("_others")).alias(f"_c{c}"))
+    per_x = per_key.groupBy("campaign_id").agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("dimension_count"), F.col(f"_c{c}").alias("similar_campaigns"))
+                     for c in range(1, len(DIMS) + 1)])
+    return (per_x.select("campaign_id", F.inline(rows))
+                 .filter(F.col("similar_campaigns") > 0))
 
 
 def similar_enriched(index: DataFrame, dim: DataFrame) -> DataFrame:
