@@ -35,6 +35,11 @@ CHANNEL_SUGGESTION_ORDER = ["wa", "digisales", "telesales", "email", "sms", "pus
 # personal data: the response filter's names and the lead model's customer id
 PII_FIELDS = ["nama_lengkap", "nomor_rekening", "nomor_identitas", "alamat_lengkap", "cif"]
 
+# similar-campaign lookup: text when nothing is similar, and the placeholder
+# of the summary fields the index does not hold
+NO_SIMILAR_MESSAGE = "Tidak ada campaign serupa ditemukan. Coba perluas dimensi pencarian."
+NOT_AVAILABLE = "N/A"
+
 WEEKLY_MAX_DAYS = 90          # <= 90 days of campaign: weekly buckets, else monthly
 MAX_SIMILAR_RESULTS = 20      # top-k cap of the similar-campaign lookup
 MAX_REGION_TREND_WEEKS = 8    # weeks in the per-region trend

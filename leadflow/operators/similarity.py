@@ -37,7 +37,8 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.functions.domains import MAX_SIMILAR_RESULTS, SIMILARITY_DIMENSIONS
+from leadflow.functions.domains import (MAX_SIMILAR_RESULTS, NO_SIMILAR_MESSAGE, NOT_AVAILABLE,
+                                        SIMILARITY_DIMENSIONS)
 
 DIMS = SIMILARITY_DIMENSIONS
 
@@ -174,3 +175,24 @@ def similar_enriched(index: DataFrame, dim: DataFrame) -> DataFrame:
                        F.col("media_blasting").alias("similar_media_blasting"),
                        F.col("periode_start").alias("similar_periode_start"))
     return index.join(other, "similar_campaign_id", "left")
+
+
+def learning_summary(dim: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """X5 in O4: per campaign, the summary a lookup shows for its top-ranked
+    similar campaign: that campaign's index rate (6 dp) as ``12.34%``; the
+    segment and region are not in the index and read ``N/A``. A campaign
+    with no similar campaign gets the "nothing similar" message instead.
+
+    Only rank 1 is needed, so each subset list keeps two members.
+    """
+    top = (similar_topk(dim, 1, required)
+           .select("campaign_id", "similar_campaign_id", "take_up_rate"))
+    has = F.col("similar_campaign_id").isNotNull()
+    return (dim.select("campaign_id").join(top, "campaign_id", "left")
+               .select("campaign_id",
+                       F.col("similar_campaign_id").alias("top_similar_campaign_id"),
+                       F.when(has, F.format_string("%.2f%%", F.round("take_up_rate", 2)))
+                        .alias("take_up_rate_formatted"),
+                       F.when(has, F.lit(NOT_AVAILABLE)).alias("top_segment"),
+                       F.when(has, F.lit(NOT_AVAILABLE)).alias("top_region"),
+                       F.when(~has, F.lit(NO_SIMILAR_MESSAGE)).alias("message")))

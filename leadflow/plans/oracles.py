@@ -459,6 +459,20 @@ WHERE rank <= {k}""")
 ORACLES["similarity_index"] = _similar(20)
 ORACLES["similar_topk"] = _similar(5)
 ORACLES["similar_by_dimensions"] = _similar(20, "AND mm")
+ORACLES["similar_learning_summary"] = _q(f"""
+, top AS (
+  SELECT campaign_id, similar_campaign_id, take_up_rate FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_id
+                                 ORDER BY dimension_count DESC, take_up_rate DESC, similar_campaign_id) AS rn
+    FROM scored WHERE dimension_count = 3) t WHERE rn = 1)
+SELECT d.campaign_id, t.similar_campaign_id AS top_similar_campaign_id,
+       CASE WHEN t.similar_campaign_id IS NOT NULL
+            THEN printf('%.2f%%', {sround(sround('t.take_up_rate', 6), 2)}) END AS take_up_rate_formatted,
+       CASE WHEN t.similar_campaign_id IS NOT NULL THEN 'N/A' END AS top_segment,
+       CASE WHEN t.similar_campaign_id IS NOT NULL THEN 'N/A' END AS top_region,
+       CASE WHEN t.similar_campaign_id IS NULL
+            THEN 'Tidak ada campaign serupa ditemukan. Coba perluas dimensi pencarian.' END AS message
+FROM dim d LEFT JOIN top t ON d.campaign_id = t.campaign_id""")
 ORACLES["similarity_counts"] = _q("""
 SELECT campaign_id, dimension_count, count(*) AS similar_campaigns
 FROM scored WHERE dimension_count >= 1 GROUP BY 1, 2""")

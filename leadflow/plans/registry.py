@@ -251,6 +251,14 @@ def _similar_by_dimensions(v: Views):
     return _flat_similar(similarity.similar_topk(v.dim, k=20, required=["media_blasting"]))
 
 
+@register("similar_learning_summary")
+def _similar_learning_summary(v: Views):
+    """X5 in O4: summary of each campaign's top similar campaign, with a
+    required dimension so that some campaigns have none."""
+    return similarity.learning_summary(v.dim, required=["flag_program", "jenis_leads",
+                                                         "media_blasting"])
+
+
 @register("similarity_counts")
 def _similarity_counts(v: Views):
     return similarity.similarity_counts(v.dim)

@@ -171,6 +171,37 @@ def test_similarity_counts_and_limits(spark):
         similarity.similar_candidates(dim_df(spark, dims), 5, ["region"])
 
 
+def test_learning_summary_top_result_and_empty(spark):
+    dims = [
+        {"campaign_id": "A", "flag_program": "H1", "jenis_leads": "Y1", "media_blasting": "WA",
+         "take_up_rate": 10.0},
+        # shares all three with A, lower rate: still A's top (dimension count first)
+        {"campaign_id": "B", "flag_program": "H1", "jenis_leads": "Y1", "media_blasting": "WA",
+         "take_up_rate": 18.75},
+        # shares two with A, higher rate
+        {"campaign_id": "C", "flag_program": "H1", "jenis_leads": "Y1", "media_blasting": "SMS",
+         "take_up_rate": 66.666666666},
+        # shares nothing with anyone
+        {"campaign_id": "D", "flag_program": "H2", "jenis_leads": "Y9", "media_blasting": None,
+         "take_up_rate": 5.0},
+    ]
+    got = {r.campaign_id: r for r in similarity.learning_summary(dim_df(spark, dims)).collect()}
+    assert got["A"].top_similar_campaign_id == "B"
+    assert got["A"].take_up_rate_formatted == "18.75%"
+    assert (got["A"].top_segment, got["A"].top_region, got["A"].message) == ("N/A", "N/A", None)
+    assert got["B"].top_similar_campaign_id == "A" and got["B"].take_up_rate_formatted == "10.00%"
+    assert got["C"].top_similar_campaign_id == "B"       # two shared dims each, B has the higher rate
+    assert got["D"].top_similar_campaign_id is None and got["D"].take_up_rate_formatted is None
+    assert got["D"].message.startswith("Tidak ada campaign serupa")
+    # a required dimension nobody shares with C leaves C without a summary
+    req = {r.campaign_id: r for r in
+           similarity.learning_summary(dim_df(spark, dims), ["media_blasting"]).collect()}
+    assert req["C"].top_similar_campaign_id is None and req["A"].top_similar_campaign_id == "B"
+    half = [dict(dims[0]), dict(dims[1], take_up_rate=66.666666666)]
+    rows = similarity.learning_summary(dim_df(spark, half)).collect()
+    assert {r.take_up_rate_formatted for r in rows} == {"66.67%", "10.00%"}
+
+
 def test_similarity_plan_has_no_pair_join(spark):
     plan = similarity.similarity_index(dim_df(spark, random_dims(1, 10)))._jdf \
         .queryExecution().executedPlan().toString()
