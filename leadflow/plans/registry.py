@@ -37,7 +37,7 @@ def checked(df: DataFrame, scale: int = 4) -> DataFrame:
 def register(name: str):
     def deco(fn: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return checked(fn(Views(spark, sf_dir)))
+            return checked(fn(Views.of(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run

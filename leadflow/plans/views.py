@@ -35,12 +35,29 @@ def stored_table(spark: SparkSession, key: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# (application id, data dir) -> the session's table handles
+_VIEWS: dict[tuple[str, str], "Views"] = {}
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         apply_runtime_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Views":
+        """The session's handles for ``sf_dir``: built lazily on first use and
+        shared by every later request, as a long-running analytics session
+        keeps its table handles (no re-listing of the stored tables and no
+        re-analysis of the shared plans per request)."""
+        apply_runtime_conf(spark)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        v = _VIEWS.get(key)
+        if v is None or v.spark is not spark:
+            v = _VIEWS[key] = cls(spark, sf_dir)
+        return v
+
     @cached_property
     def leads_raw(self) -> DataFrame:
         return bindings.leads_raw(self.spark, self.sf_dir)

@@ -27,6 +27,9 @@ BASE_CONF: dict[str, str] = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # dedup keeps the last value when two request-parameter maps share a key
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # no Python call-site capture per function call (it only enriches error
+    # messages and costs several JVM round trips per expression built)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
