@@ -8,7 +8,7 @@ Breakdowns are one grouping-sets aggregation (single scan); picks are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.domains import (CHANNEL_SUGGESTION_ORDER, FOLLOW_UP_FACTOR,
@@ -21,7 +21,8 @@ from leadflow.operators import similarity
 
 def _grouped_counts(enriched: DataFrame) -> DataFrame:
     """One scan, three grouping sets: (campaign), (campaign, segment_by_aum),
-    (campaign, wilayah). The campaign set also carries the mean take-up days."""
+    (campaign, wilayah). The campaign set also carries the sum and count of
+    take-up days (a mean is then exact across several campaign rows)."""
     yes = is_yes()
     df = enriched.select("campaign_id", "media_blasting",
                          F.col("segment_by_aum").alias("_seg"),
@@ -32,7 +33,8 @@ def _grouped_counts(enriched: DataFrame) -> DataFrame:
         "campaign_id", "media_blasting", "_seg", "_wil").agg(
         F.count(F.lit(1)).alias("leads"),
         F.count_if("_yes").alias("take_up"),
-        F.avg("_days").alias("_avg_days"),
+        F.sum("_days").alias("_sum_days"),
+        F.count("_days").alias("_n_days"),
         F.grouping_id().alias("_gid"))
 
 
@@ -62,7 +64,8 @@ def campaign_breakdowns(enriched: DataFrame) -> DataFrame:
 def _rates_from(g: DataFrame) -> DataFrame:
     r = g.filter(F.col("_gid") == _GID_CAMPAIGN).select(
         "campaign_id", "media_blasting", F.col("leads").alias("total_leads"),
-        F.col("take_up").alias("total_take_up"), rnd(F.col("_avg_days"), 1).alias("avg_days"))
+        F.col("take_up").alias("total_take_up"),
+        rnd(F.col("_sum_days").cast("double") / F.col("_n_days").cast("double"), 1).alias("avg_days"))
     return r.withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
 
 
@@ -72,34 +75,83 @@ def campaign_rates(enriched: DataFrame) -> DataFrame:
     return _rates_from(_grouped_counts(enriched))
 
 
+def _segment_picks(is_seg, r, lab) -> list:
+    """A20 as aggregates over segment rows: best = highest rate above 0,
+    worst = lowest rate below 100; equal rates go to the smaller label."""
+    best_key = F.when(is_seg & (r > 0), F.struct((-r).alias("r"), lab.alias("l")))
+    worst_key = F.when(is_seg & (r < 100), F.struct(r.alias("r"), lab.alias("l")))
+    return [F.min_by(lab, best_key).alias("best_segment"),
+            F.max(F.when(is_seg & (r > 0), r)).alias("best_segment_rate"),
+            F.min_by(lab, worst_key).alias("worst_segment"),
+            F.min(F.when(is_seg & (r < 100), r)).alias("worst_segment_rate")]
+
+
+def _region_picks(is_reg, r, w, camp_rate, empty_as_null: bool) -> list:
+    """A21 as aggregates over region rows: the best rate above 0 (smallest
+    region on ties) and the regions below half the campaign rate. A
+    campaign's regions come from a fixed domain, so the list is bounded."""
+    best_key = F.when(is_reg & (r > 0), F.struct((-r).alias("r"), w.alias("w")))
+    low = F.when(is_reg & (r < camp_rate * 0.5), w)
+    low_text = F.array_join(F.transform(F.sort_array(F.collect_list(low)),
+                                        lambda x: x.cast("string")), ",")
+    if empty_as_null:
+        low_text = F.when(F.count_if(is_reg) > 0, low_text)
+    return [F.min_by(w, best_key).alias("best_region"),
+            F.max(F.when(is_reg & (r > 0), r)).alias("best_region_rate"),
+            low_text.alias("low_regions")]
+
+
 def best_worst_segment(breakdowns: DataFrame) -> DataFrame:
     """Best segment = highest rate above 0, worst = lowest rate below
     100; equal rates go to the smaller label."""
     seg = breakdowns.filter((F.col("breakdown") == "segment_by_aum") & (F.col("leads") > 0))
-    r, lab = F.col("take_up_rate"), F.col("label")
-    best_key = F.when(r > 0, F.struct((-r).alias("r"), lab.alias("l")))
-    worst_key = F.when(r < 100, F.struct(r.alias("r"), lab.alias("l")))
     return seg.groupBy("campaign_id").agg(
-        F.min_by(lab, best_key).alias("best_segment"),
-        F.max(F.when(r > 0, r)).alias("best_segment_rate"),
-        F.min_by(lab, worst_key).alias("worst_segment"),
-        F.min(F.when(r < 100, r)).alias("worst_segment_rate"))
-
-
-def best_and_low_regions(breakdowns: DataFrame, rates: DataFrame) -> DataFrame:
+        *_segment_picks(F.lit(True), F.col("take_up_rate"), F.col("label")))
+
+
+def campaign_picks(enriched: DataFrame) -> DataFrame:
+    """Per campaign, in one pass over the leads: rate (2 dp), mean take-up
+    days (1 dp), best/worst segment and best/low regions, plus how many
+    segment and region rows qualified.
+
+    The grouping-sets rows of a campaign are few (one per segment and per
+    region), so one window over them hands the campaign rate to the region
+    rows, and the group-by reuses the window's partitioning: a single
+    shuffle after the partial aggregation, and no self-join of the
+    aggregate (which would scan the leads once per branch).
+    """
+    g = _grouped_counts(enriched)
+    gid, leads, take_up = F.col("_gid"), F.col("leads"), F.col("take_up")
+    is_c = gid == _GID_CAMPAIGN
+    camp = Window.partitionBy("campaign_id")
+    n_c = F.sum(F.when(is_c, leads)).over(camp)
+    t_c = F.sum(F.when(is_c, take_up)).over(camp)
+    x = g.select("campaign_id", "_gid", "leads", "take_up", "_sum_days", "_n_days", "_seg", "_wil",
+                 rate_pct("take_up", "leads").alias("_r"),
+                 rnd(F.when(n_c > 0, t_c.cast("double") / n_c.cast("double") * 100.0)
+                      .otherwise(F.lit(0.0)), 2).alias("_camp_rate"))
+    r = F.col("_r")
+    is_seg = (F.col("_gid") == _GID_SEGMENT) & (F.col("leads") > 0)
+    is_reg = (F.col("_gid") == _GID_REGION) & (F.col("leads") >= REGION_MIN_LEADS)
+    is_c = F.col("_gid") == _GID_CAMPAIGN
+    days = F.sum(F.when(is_c, F.col("_sum_days"))).cast("double") / \
+        F.sum(F.when(is_c, F.col("_n_days"))).cast("double")
+    return x.groupBy("campaign_id").agg(
+        F.max("_camp_rate").alias("take_up_rate"),
+        rnd(days, 1).alias("avg_days"),
+        *_segment_picks(is_seg, r, F.col("_seg")),
+        *_region_picks(is_reg, r, F.col("_wil").cast("int"), F.col("_camp_rate"),
+                       empty_as_null=True),
+        F.count_if(is_seg).alias("segment_rows"),
+        F.count_if(is_reg).alias("region_rows"))
+
+
+def best_and_low_regions(enriched: DataFrame) -> DataFrame:
     """Among regions with >= 2 leads, the best rate above 0 (smallest
-    region on ties) and the regions below half the campaign rate."""
-    reg = (breakdowns.filter((F.col("breakdown") == "wilayah") & (F.col("leads") >= REGION_MIN_LEADS))
-                     .join(rates.select("campaign_id", F.col("take_up_rate").alias("_camp_rate")),
-                           "campaign_id"))
-    r, w = F.col("take_up_rate"), F.col("label").cast("int")
-    best_key = F.when(r > 0, F.struct((-r).alias("r"), w.alias("w")))
-    low = F.when(r < F.col("_camp_rate") * 0.5, w)
-    return reg.groupBy("campaign_id").agg(
-        F.min_by(w, best_key).alias("best_region"),
-        F.max(F.when(r > 0, r)).alias("best_region_rate"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(low)), lambda x: x.cast("string")),
-                     ",").alias("low_regions"))
+    region on ties) and the regions below half the campaign rate; campaigns
+    with such regions only. One pass over the leads."""
+    return (campaign_picks(enriched).filter(F.col("region_rows") > 0)
+            .select("campaign_id", "best_region", "best_region_rate", "low_regions"))
 
 
 def unused_channels(rates: DataFrame, n: int = 2) -> DataFrame:
@@ -113,16 +165,9 @@ def unused_channels(rates: DataFrame, n: int = 2) -> DataFrame:
 
 def recommendation_facts(enriched: DataFrame, dim: DataFrame) -> DataFrame:
     """The numbers and codes of the three recommendations."""
-    g = _grouped_counts(enriched)          # the only pass over the leads
-    br = _breakdowns_from(g)
-    rates = _rates_from(g)
-    seg = best_worst_segment(br)
-    reg = best_and_low_regions(br, rates)
     sim = similarity.best_similar(dim)
+    df = campaign_picks(enriched).join(sim, "campaign_id", "left")   # the only pass over the leads
     rate = F.col("take_up_rate")
-    df = (rates.join(seg, "campaign_id", "left")
-               .join(reg, "campaign_id", "left")
-               .join(sim, "campaign_id", "left"))
     sim_rate = F.round(F.col("best_similar_rate"), 6)
     better = sim_rate > rate
     return df.select(

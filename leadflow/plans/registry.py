@@ -278,8 +278,7 @@ def _best_worst_segment(v: Views):
 
 @register("best_and_low_regions")
 def _best_and_low_regions(v: Views):
-    return recommend.best_and_low_regions(recommend.campaign_breakdowns(v.enriched),
-                                          recommend.campaign_rates(v.enriched))
+    return recommend.best_and_low_regions(v.enriched)
 
 
 @register("recommendation_facts")

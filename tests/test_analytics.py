@@ -171,6 +171,41 @@ def test_similarity_counts_and_limits(spark):
         similarity.similar_candidates(dim_df(spark, dims), 5, ["region"])
 
 
+def enriched_df(spark, rows):
+    return spark.createDataFrame(
+        rows, "campaign_id string, media_blasting string, segment_by_aum string, wilayah int, "
+              "take_up_flag string, time_to_take_up_days int")
+
+
+def test_campaign_picks_regions_and_segments(spark):
+    rows = ([("c", "WA", "MASS", 1, "YES", 3)] * 3 + [("c", "WA", "MASS", 1, "NO", None)]      # r1 75 %
+            + [("c", "WA", "EMERALD", 2, "YES", 5)] + [("c", "WA", "EMERALD", 2, "NO", None)] * 3  # r2 25 %
+            + [("c", "WA", "EMERALD", 3, "NO", None)] * 2                                        # r3 0 %
+            + [("c", "WA", "EMERALD", 4, "YES", 9)]                                              # 1 lead
+            + [("d", "SMS", "MASS", 5, "NO", None)])
+    got = {r.campaign_id: r for r in recommend.campaign_picks(enriched_df(spark, rows)).collect()}
+    c = got["c"]
+    assert c.take_up_rate == 45.45 and c.avg_days == 4.6          # 5 of 11; days 3,3,3,5,9
+    assert (c.best_region, c.best_region_rate) == (1, 75.0)       # region 4 has one lead only
+    assert c.low_regions == "3"                                   # below half of 45.45
+    assert (c.best_segment, c.worst_segment) == ("MASS", "EMERALD")
+    d = got["d"]
+    assert d.take_up_rate == 0.0 and d.avg_days is None
+    assert d.best_region is None and d.low_regions is None and d.best_segment is None
+    assert d.worst_segment == "MASS"
+    regions = {r.campaign_id for r in recommend.best_and_low_regions(enriched_df(spark, rows)).collect()}
+    assert regions == {"c"}
+
+
+def test_recommendation_facts_one_pass_over_leads(spark):
+    rows = [("C%03d" % i, "WA", "MASS", i % 3 + 1, "YES" if i % 2 else "NO", i % 7)
+            for i in range(8)]
+    facts = recommend.recommendation_facts(enriched_df(spark, rows), dim_df(spark, random_dims(3, 8)))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand [") == 1       # one grouping-sets aggregation, no self-join copies
+    assert facts.count() == 8
+
+
 def test_learning_summary_top_result_and_empty(spark):
     dims = [
         {"campaign_id": "A", "flag_program": "H1", "jenis_leads": "Y1", "media_blasting": "WA",
