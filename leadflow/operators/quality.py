@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions import domains as D
 from leadflow.functions.exprs import parse_mixed_date
-from leadflow.operators.clean import NATURAL_KEY, normalise_leads, normalise_monitoring
+from leadflow.operators.clean import NATURAL_KEY
 
 
 def _domain_checks() -> dict[str, tuple]:
@@ -61,38 +61,51 @@ def negative_take_up(enriched: DataFrame) -> DataFrame:
 def etl_quality(leads_raw: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
     """Q3: rows the cleaning step drops or cannot place, as (metric, value).
 
-    One aggregation pass per source (exact distinct keys included) plus one
-    anti-join for outcome rows that match no lead."""
+    Each source is scanned once. Every row is tagged with its source and its
+    normalised natural key; rows of both sources are counted per key (a hash
+    aggregation combined map-side, so a hot key costs one row per map task);
+    one global aggregation over the keys gives every metric. Duplicates are
+    valid rows minus distinct keys; an outcome key is an orphan when no valid
+    lead has it, and a key with a null part never matches, as in a join.
+    """
     blank = F.col("cif").isNull() | (F.trim("cif") == "")
-    bad_date = lambda c: F.col(c).isNotNull() & parse_mixed_date(c).isNull()
-
-    lk = normalise_leads(leads_raw.withColumn("_blank", blank)
-                                  .withColumn("_bad_date", bad_date("periode_start")))
-    lead_stats = lk.agg(
-        F.count(F.lit(1)).alias("lead_rows"),
-        F.count_if("_blank").alias("lead_blank_cif"),
-        F.count_if("_bad_date").alias("lead_bad_dates"),
-        F.count_if(F.col("nama_program").isNull() | F.col("periode_start").isNull())
-         .alias("lead_null_campaign_id"),
-        (F.count_if(~F.col("_blank"))
-         - F.count_distinct(F.when(~F.col("_blank"), F.struct(*NATURAL_KEY))))
-        .alias("lead_duplicates_dropped"))
-
-    mk = monitoring_raw.withColumn("_blank", blank) \
-                       .withColumn("_bad_date", bad_date("take_up_date"))
-    mon_stats = mk.agg(
-        F.count(F.lit(1)).alias("monitoring_rows"),
-        F.count_if("_blank").alias("monitoring_blank_cif"),
-        F.count_if("_bad_date").alias("monitoring_bad_dates"))
-    mon_norm = normalise_monitoring(monitoring_raw)
-    mon_dups = mon_norm.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*NATURAL_KEY)))
-                            .alias("monitoring_duplicates_dropped"))
-    orphans = (mon_norm.select(*NATURAL_KEY)
-                 .join(lk.filter(~F.col("_blank")).select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
-                 .agg(F.count(F.lit(1)).alias("monitoring_without_lead")))
-    out = None
-    for part in (lead_stats, mon_stats, mon_dups, orphans):
-        cols = part.columns
-        rows = part.select(*[F.col(c).cast("long") for c in cols]).unpivot([], cols, "metric", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    def tagged(df: DataFrame, src: str, date_col: str) -> DataFrame:
+        return df.select(
+            F.lit(src).alias("_src"),
+            F.trim("cif").alias("cif"), "nama_program",
+            parse_mixed_date("periode_start").alias("periode_start"),
+            blank.alias("_blank"),
+            (F.col(date_col).isNotNull() & parse_mixed_date(date_col).isNull()).alias("_bad_date"))
+
+    rows = tagged(leads_raw, "L", "periode_start").unionByName(
+        tagged(monitoring_raw, "M", "take_up_date"))
+    per_src = {}
+    for src in ("L", "M"):
+        this = F.col("_src") == src
+        per_src[src] = [F.count_if(this).alias(f"{src}_rows"),
+                        F.count_if(this & F.col("_blank")).alias(f"{src}_blank"),
+                        F.count_if(this & F.col("_bad_date")).alias(f"{src}_bad"),
+                        F.count_if(this & ~F.col("_blank")).alias(f"{src}_valid")]
+    per_key = rows.groupBy(*NATURAL_KEY).agg(*per_src["L"], *per_src["M"])
+
+    def total(c) -> F.Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    no_campaign = F.col("nama_program").isNull() | F.col("periode_start").isNull()
+    null_part = F.col("cif").isNull() | no_campaign
+    metrics = per_key.agg(
+        total("L_rows").alias("lead_rows"),
+        total("L_blank").alias("lead_blank_cif"),
+        total("L_bad").alias("lead_bad_dates"),
+        total(F.when(no_campaign, F.col("L_rows"))).alias("lead_null_campaign_id"),
+        (total("L_valid") - F.count_if(F.col("L_valid") > 0)).alias("lead_duplicates_dropped"),
+        total("M_rows").alias("monitoring_rows"),
+        total("M_blank").alias("monitoring_blank_cif"),
+        total("M_bad").alias("monitoring_bad_dates"),
+        (total("M_valid") - F.count_if(F.col("M_valid") > 0)).alias("monitoring_duplicates_dropped"),
+        total(F.when((F.col("L_valid") == 0) | null_part, F.col("M_valid")))
+        .alias("monitoring_without_lead"))
+    cols = metrics.columns
+    return (metrics.select(*[F.col(c).cast("long") for c in cols])
+                   .unpivot([], cols, "metric", "value"))
