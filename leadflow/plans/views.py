@@ -103,7 +103,11 @@ class Views:
 
     @cached_property
     def dim(self) -> DataFrame:
-        return rollups.campaign_dim(self.master)
+        """Stored campaign table (one row per campaign, the similarity input):
+        the similarity plans read it in several branches, and each branch
+        would otherwise re-aggregate the master."""
+        return stored_table(self.spark, f"{self.sf_dir}|dim",
+                            lambda: rollups.campaign_dim(self.master))
 
     @cached_property
     def overview(self) -> DataFrame:
