@@ -2,8 +2,8 @@
 
 Raw bindings and the ETL steps (``leads``, ``enriched_fresh``,
 ``master_fresh``) are lazy plans. The analytics read the ETL output the way
-the product does: the enriched leads, the campaign master and the campaign
-catalogue are written once per session to the shared folder
+the product does: the enriched leads, the campaign master, the campaign table
+and the campaign catalogue are written once per session to the shared folder
 (``spark.checkpoint.dir``) and read back, so each dashboard query starts
 from the clean tables instead of re-running the cleaning joins or
 re-scanning the order table, and a lost executor never forces the ETL to be
