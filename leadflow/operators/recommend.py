@@ -61,18 +61,17 @@ def campaign_breakdowns(enriched: DataFrame) -> DataFrame:
     return _breakdowns_from(_grouped_counts(enriched))
 
 
-def _rates_from(g: DataFrame) -> DataFrame:
-    r = g.filter(F.col("_gid") == _GID_CAMPAIGN).select(
-        "campaign_id", "media_blasting", F.col("leads").alias("total_leads"),
-        F.col("take_up").alias("total_take_up"),
-        rnd(F.col("_sum_days").cast("double") / F.col("_n_days").cast("double"), 1).alias("avg_days"))
-    return r.withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
-
-
 def campaign_rates(enriched: DataFrame) -> DataFrame:
-    """Campaign rate rounded to 2 dp and mean take-up days (1 dp) of
-    converted leads with a day gap."""
-    return _rates_from(_grouped_counts(enriched))
+    """Per (campaign, channel): leads, take-ups, rate rounded to 2 dp and mean
+    take-up days (1 dp) of converted leads with a day gap. A plain hash
+    aggregation (no grouping sets: only the campaign level is needed)."""
+    yes = is_yes()
+    days = F.when(yes, F.col("time_to_take_up_days"))
+    r = enriched.groupBy("campaign_id", "media_blasting").agg(
+        F.count(F.lit(1)).alias("total_leads"),
+        F.count_if(yes).alias("total_take_up"),
+        rnd(F.sum(days).cast("double") / F.count(days).cast("double"), 1).alias("avg_days"))
+    return r.withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
 
 
 def _segment_picks(is_seg, r, lab) -> list:
