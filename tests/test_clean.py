@@ -128,6 +128,15 @@ def test_etl_quality_counts_every_loss(spark):
                    "monitoring_duplicates_dropped": 1, "monitoring_without_lead": 2}
 
 
+def test_etl_quality_one_pass_per_source(spark):
+    from leadflow.operators import quality
+    leads = df_of(spark, [lead("1"), lead("2")], LEADS_SCHEMA)
+    outcomes = df_of(spark, [mon("1"), mon("9")], MONITORING_SCHEMA)
+    plan = quality.etl_quality(leads, outcomes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2      # each source read once
+    assert "LeftAnti" not in plan and "Join" not in plan
+
+
 def test_domain_violations(spark):
     from leadflow.operators import quality
     leads = clean.clean_leads(df_of(spark, [
