@@ -84,41 +84,62 @@ def _uniform(*parts: Column) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column, v: Column) -> Column:
     """How many of ``draws`` blocks out of ``total`` are among the ``good`` ones.
 
     By inversion of the distribution around its mean, from the uniform draw
     ``u``; beyond ``EXACT_VARIANCE`` by its normal limit, from ``u`` and ``v``.
     """
-    n, k, d = total.cast("double"), good.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), d - (n - k)), F.least(d, k)
-    mean = F.when(n > 0, d * k / n).otherwise(0.0)
-    var = F.when(n > 1, d * (k / n) * (1 - k / n) * (n - d) / (n - 1)).otherwise(0.0)
-    reach = 10 * F.sqrt(F.least(var, F.lit(EXACT_VARIANCE))) + 5
-    first = F.greatest(low, F.floor(mean - reach).cast("double")).cast("long")
-    last = F.least(high, F.ceil(mean + reach).cast("double")).cast("long")
-
-    def weighed(start: Column, finish):
-        # w: weight of x, from its neighbour's; sum: weights up to x
-        step = lambda a, x: F.struct(
-            F.when(x == first, F.lit(1.0)).otherwise(
-                a["w"] * ((k - x + 1) * (d - x + 1)) / (x * (n - k - d + x))).alias("w"),
-            a["sum"].alias("sum"), a["hit"].alias("hit"))
-
-        def merge(a: Column, x: Column) -> Column:
-            s = step(a, x)
-            new = a["sum"] + s["w"]
-            return F.struct(s["w"].alias("w"), new.alias("sum"),
-                            F.when(a["hit"].isNull() & (new >= start), x).otherwise(a["hit"]).alias("hit"))
-
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("hit"))
-        return F.aggregate(F.sequence(first, last), zero, merge, finish)
-
-    whole = weighed(F.lit(float("inf")), lambda a: a["sum"])
-    exact = weighed(u * whole, lambda a: F.coalesce(a["hit"], last))
-    normal = mean + F.sqrt(var) * F.sqrt(-2 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
-    limit = F.least(high, F.greatest(low, F.round(normal))).cast("long")
-    return F.when(low >= high, low.cast("long")).when(var <= EXACT_VARIANCE, exact).otherwise(limit)
+
+    def moments(p: Column) -> Column:
+        n, k, d = p["n"], p["k"], p["d"]
+        mean = F.when(n > 0, d * k / n).otherwise(0.0)
+        var = F.when(n > 1, d * (k / n) * (1 - k / n) * (n - d) / (n - 1)).otherwise(0.0)
+        return _let(F.struct(n.alias("n"), k.alias("k"), d.alias("d"), mean.alias("mean"), var.alias("var"),
+                             F.greatest(F.lit(0.0), d - (n - k)).alias("low"), F.least(d, k).alias("high")), pick)
+
+    def pick(p: Column) -> Column:
+        normal = F.round(p["mean"] + F.sqrt(p["var"]) * F.sqrt(-2 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v))
+        limit = F.least(p["high"], F.greatest(p["low"], normal)).cast("long")
+        return F.when(p["low"] >= p["high"], p["low"].cast("long")) \
+            .when(p["var"] <= EXACT_VARIANCE, inverted(p)).otherwise(limit)
+
+    def inverted(p: Column) -> Column:
+        reach = 10 * F.sqrt(p["var"]) + 5
+        first = F.greatest(p["low"], F.floor(p["mean"] - reach).cast("double"))
+        last = F.least(p["high"], F.ceil(p["mean"] + reach).cast("double"))
+
+        def ratio(x: Column) -> Column:
+            # the weight of x over that of x - 1
+            return (p["k"] - x + 1) * (p["d"] - x + 1) / (x * (p["n"] - p["k"] - p["d"] + x))
+
+        def walk(e: Column) -> Column:
+            xs = F.sequence(e["first"].cast("long"), e["last"].cast("long"))
+
+            def add(a: Column, x: Column) -> Column:
+                return _let(F.when(x == e["first"], F.lit(1.0)).otherwise(a["w"] * ratio(x)),
+                            lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum")))
+
+            zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sum"))
+            goal = F.aggregate(xs, zero, add, lambda a: a["sum"]) * u
+
+            def find(a: Column, x: Column) -> Column:
+                return _let(F.when(x == e["first"], F.lit(1.0)).otherwise(a["w"] * ratio(x)),
+                            lambda w: F.struct(w.alias("w"), (a["left"] - w).alias("left"),
+                                               F.when(a["left"] > 0, x).otherwise(a["x"]).alias("x")))
+
+            return F.aggregate(xs, F.struct(F.lit(0.0).alias("w"), goal.alias("left"), e["first"].cast("long").alias("x")),
+                               find, lambda a: a["x"])
+
+        return _let(F.struct(first.alias("first"), last.alias("last")), walk)
+
+    return _let(F.struct(total.cast("double").alias("n"), good.cast("double").alias("k"),
+                         draws.cast("double").alias("d")), moments)
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -144,11 +165,11 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
             left = hypergeometric(acc["total"] - s["before"], s["quota"], acc["half"] - acc["gone"],
                                   _uniform(F.lit(level), acc["node"], s["before"], s["source"], F.lit("u")),
                                   _uniform(F.lit(level), acc["node"], s["before"], s["source"], F.lit("v")))
-            return F.struct(acc["total"].alias("total"), acc["half"].alias("half"), acc["node"].alias("node"),
-                            (acc["gone"] + left).alias("gone"),
-                            F.concat(acc["out"], F.array(F.struct(
-                                s["source"].alias("source"), s["quota"].alias("quota"),
-                                left.alias("left")))).alias("out"))
+            return _let(left, lambda got: F.struct(
+                acc["total"].alias("total"), acc["half"].alias("half"), acc["node"].alias("node"),
+                (acc["gone"] + got).alias("gone"),
+                F.concat(acc["out"], F.array(F.struct(s["source"].alias("source"), s["quota"].alias("quota"),
+                                                      got.alias("left")))).alias("out")))
 
         kind = dict(nodes.dtypes)["source"]
         empty = F.array().cast(f"array<struct<source:{kind},quota:bigint,left:bigint>>")
