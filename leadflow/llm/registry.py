@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leadflow.llm import mixing, near_dedup, packing, token_output
+from leadflow.llm import mixing, near_dedup, packing, suffix_dedup, token_output
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_bit_plane_output": token_output.op5_bit_plane_output,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
 }
 
 ORACLES = {

@@ -10,10 +10,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Odd multiplier of the polynomial and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Odd multipliers of the polynomial; a second one gives an independent hash.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, np.ndarray] = {}
 
 #: [\x20\x09-\x0D]
 SPACE = np.zeros(256, bool)
@@ -57,27 +56,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64, kept for the next batch."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p[0] = 1
+        _POWERS[base] = np.multiply.accumulate(p)
+    return _POWERS[base]
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
+def prefix_hash(buf: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums of the polynomial: element i covers buf[:i]."""
-    power, _ = _powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:len(buf)], out=out[1:])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(BASES[which], len(buf))[:len(buf)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of every span; equal bytes have equal hashes wherever they stand."""
-    _, inverse = _powers(len(prefix))
+    inverse = _powers(pow(BASES[which], -1, 1 << 64), len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
