@@ -10,11 +10,13 @@ banded buckets, star-shaped candidate edges, links confirmed on full sets.
 3. In each bucket, edges go from one centre (the smallest id) to the members,
    so pairs grow with the members, not their square. An edge is a link if the
    full sets say so. Links give components.
-4. Only connectivity matters, so a bucket whose members are in one component is
-   settled. In the others, further centres are compared with the members of
-   other components: 4, 16, 64, ... of them, chosen by a hash, until every
-   bucket is settled or all its members have been centres. So no link between
-   different texts that share a bucket is lost, and nothing is capped.
+4. Only connectivity matters. The ids that edges hold together, confirmed or
+   not, are a family. A family in one component is settled. In the others, ids
+   are laid out by component in blocks of ``BLOCK``, and blocks are compared
+   with each other unless both lie in one and the same component. A task holds
+   two blocks; it counts the shared shingles of all its pairs at once and hands
+   back only the links that join components. So no link inside a family is
+   lost, no candidate list grows with the square of a group, nothing is capped.
 
 Defined results: null or empty text (or white space only) has no shingles, is
 linked with nothing and kept; a null doc_id has no component and is kept; rows
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.llm import textops as T
-from leadflow.llm.common import materialize, prepare, table
+from leadflow.llm.common import materialize, prefix_sums, prepare, salts, table
 from leadflow.llm.components import connected_components
 from leadflow.llm.shingles import shingle_sets
 
 BINS, ROWS, BANDS = 256, 6, 42
 PERCENT = 85
+#: Members of a block of an unsettled family.
+BLOCK = 256
 _SHIFT = np.uint64(64 - 8)
 _MIX = np.uint64(0xA0761D6478BD642F)
 
@@ -128,6 +132,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
+def _joining_links(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (x, y) of places, x of side 0 and y of side 1, that link different
+    components; no more than it takes to join those that can be joined."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, word = np.unique(flat, return_inverse=True)
+    # only shingles on both sides can be shared
+    on = [np.bincount(word[side[owner] == k], minlength=int(word.max()) + 1) > 0 for k in (0, 1)]
+    both = on[0] & on[1]
+    column = np.cumsum(both) - 1
+    grid = np.zeros((len(sets), int(both.sum())), np.float32)
+    use = both[word]
+    grid[owner[use], column[word[use]]] = 1
+    shared = (grid[left] @ grid[right].T).astype(np.int64)
+    union = size[left][:, None] + size[right][None, :] - shared
+    x, y = np.nonzero((100 * shared >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(left[x].tolist(), right[y].tolist()):
+        p, q = top(int(comp[i])), top(int(comp[j]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((i, j))
+    return out
+
+
+def links_between(placed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the components of each family, from rows of
+    (id, comp, family)."""
+    open_ = (placed.groupBy("family").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n"))
+             .filter("_lo < _hi AND _n > 2").select("family"))   # a family of two has had its only pair compared
+    members = materialize(placed.join(open_, "family", "left_semi"), "near-open")
+    n = salts(members.count())
+    laid = prefix_sums(members.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(n))), "family", "part",
+                       [F.col("comp"), F.col("id")], {"place": F.lit(1)})
+    laid = materialize(laid.select("family", "id", "comp", F.floor(F.col("place") / BLOCK).cast("long").alias("block")), "near-blocks")
+    blocks = laid.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    i = blocks.select("family", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i"))
+    j = blocks.select("family", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hi_j"))
+    tasks = (i.join(j, "family").filter("i <= j AND NOT (li = hi_i AND lj = hi_j AND li = lj)").select("family", "i", "j"))
+    sides = tasks.select("family", "i", "j", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("i").alias("block")),
+        F.struct(F.lit(1).alias("side"), F.col("j").alias("block")))).alias("s")).select("family", "i", "j", "s.*")
+    rows = sides.join(laid, ["family", "block"]).join(sets, "id").select("family", "i", "j", "side", "id", "comp", "shingles")
+
+    def compare(t: pa.Table) -> pa.Table:
+        comp, side = t["comp"].to_numpy(), t["side"].to_numpy()
+        ids = t["id"].to_numpy()
+        column = t["shingles"].combine_chunks()
+        found = _joining_links(comp, side, [column[k].values.to_numpy() for k in range(len(column))], percent)
+        return pa.table({"a": pa.array([int(min(ids[x], ids[y])) for x, y in found], pa.int64()),
+                         "b": pa.array([int(max(ids[x], ids[y])) for x, y in found], pa.int64())})
+
+    return materialize(rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"), "near-links")
+
+
 def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     signed = materialize(signatures(docs), "near-signatures")
@@ -136,45 +204,30 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = (known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
     # buckets of two different ids or more; centre: the smallest
-    shared = (reps.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_last"),
-                                      F.count("*").alias("members")).filter("centre < _last"))
+    shared = (reps.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_last"))
+              .filter("centre < _last"))
     buckets = materialize(reps.join(shared.drop("_last"), "key"), "near-buckets")
     ids = materialize(buckets.select("id").distinct(), "near-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(full_sets(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")), "near-sets")
-    pairs = buckets.filter("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(buckets.filter("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+                        .distinct(), "near-pairs")
     links = materialize(confirmed(pairs, sets, percent), "near-links")
     labels = connected_components(links)
     labels = materialize(ids.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-labels")
 
-    below = 1
-    while True:
-        placed = buckets.join(labels, "id")
-        open_ = (placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-                 .filter("_lo < _hi").select("key"))
-        rest = materialize(placed.join(open_, "key", "left_semi"), "near-open")
-        if rest.isEmpty():
-            break
-        # centres of this round: those whose hash falls between the last bound and the next
-        at = (F.shiftrightunsigned(F.xxhash64(F.lit("centre"), "id"), 12).cast("double") / F.lit(float(1 << 52))) * F.col("members")
-        upto = below * 4
-        centres = (rest.filter((at < upto) & ((at >= below) if below > 1 else F.lit(True)))
-                   .select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")))
-        close = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
-        pairs = (rest.join(centres, "key").filter((F.col("comp") != F.col("ccomp")) & close)
-                 .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-        links = materialize(confirmed(pairs, sets, percent), "near-links")
-        if not links.isEmpty():
-            la = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-            lb = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-            merged = connected_components(links.join(la, "a").join(lb, "b")
-                                          .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-            merged = merged.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-            labels = materialize(labels.join(merged, "comp", "left")
-                                 .select("id", F.coalesce("top", "comp").alias("comp")), "near-labels")
-        if rest.filter(F.col("members") > upto).isEmpty():
-            break
-        below = upto
+    # a family: ids that the edges, confirmed or not, hold together
+    family = connected_components(pairs).select("id", F.col("comp").alias("family"))
+    placed = materialize(labels.join(family, "id"), "near-placed")
+    links = links_between(placed, sets, percent)
+    if not links.isEmpty():
+        la = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
+        lb = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        merged = connected_components(links.join(la, "a").join(lb, "b")
+                                      .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        merged = merged.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+        labels = materialize(labels.join(merged, "comp", "left")
+                             .select("id", F.coalesce("top", "comp").alias("comp")), "near-labels")
 
     named = classes.join(labels, classes["rep"] == labels["id"], "left") \
         .select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("comp", "rep").alias("_comp"))
