@@ -44,11 +44,11 @@ SAMPLE = 30_000
 #: Most terms that are counted; and that the classifier weighs.
 TERMS = 50_000
 WEIGHED = 4_096
-#: A lexicon term stands in this many toxic texts; its log odds there are this
-#: much higher, less ``DOUBT`` standard errors.
-SUPPORT, LOG_ODDS, DOUBT = 5, 2.5, 1.64
-#: The same bound for a term of the classifier, either way.
-CLEAR = 1.5
+#: A lexicon term stands in this many toxic texts; its log odds there are higher
+#: by ``LIKELY``, and by ``LOG_ODDS`` less ``DOUBT`` standard errors.
+SUPPORT, LIKELY, LOG_ODDS, DOUBT = 5, 4.5, 2.5, 1.64
+#: The last bound for a term of the classifier, either way.
+CLEAR = 2.5
 #: Bytes of the beginnings of words that are terms besides the words.
 BEGINNINGS = (4, 5, 6)
 GROUPS = 3
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     neg[np.searchsorted(keys, rest["term"].to_numpy(np.int64).view(np.uint64))] = rest["n"]
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    lexicon = odds - DOUBT * error >= LOG_ODDS
+    lexicon = (odds >= LIKELY) & (odds - DOUBT * error >= LOG_ODDS)
     if not lexicon.any():
         return nothing
     voters = Voters(keys[lexicon], kind[lexicon] * GROUPS
