@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leadflow.llm import mixing, near_dedup, packing, suffix_dedup, token_output, toxicity
+from leadflow.llm import mixing, near_dedup, neighbours, packing, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_learned_partitions": neighbours.op4_learned_partitions,
     "op5_bit_plane_output": token_output.op5_bit_plane_output,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
