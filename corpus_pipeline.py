@@ -1,24 +1,60 @@
-"""Corpus pipeline: the stages, each over all its predecessor kept."""
+"""Corpus pipeline: five stages, each over all that its predecessor kept.
+
+toxicity               documents that the classifier rejects go
+minhash_near_dedup     one document of each near-duplicate group stays
+suffix_array_dedup     repeated byte strings are cut out of the texts
+source_mixing          documents are drawn, up to twice, towards the sources' targets
+best_fit_packing       token pieces of the drawn documents are packed into sequences
+
+The first four return the columns of ``documents``. A document that the mix
+draws twice is there twice; a document cut at a source's target keeps its
+first words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm.common import materialize, table
+from leadflow.llm.common import materialize, prepare, table
 from leadflow.llm.mixing import mixed_documents
+from leadflow.llm.near_dedup import keep_one
 from leadflow.llm.packing import pack_documents
+from leadflow.llm.suffix_dedup import without_repeats
+from leadflow.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return without_repeats(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return mixed_documents(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(spark, docs)
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(prepare(spark), docs)
 
 
-STAGES = [("source_mixing", mix), ("best_fit_packing", pack)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: The first stage learns a model; SQL cannot express it.
 ORACLE_SQL = None
 
 
