@@ -44,7 +44,6 @@ WEEKLY_MAX_DAYS = 90          # <= 90 days of campaign: weekly buckets, else mon
 MAX_SIMILAR_RESULTS = 20      # top-k cap of the similar-campaign lookup
 MAX_REGION_TREND_WEEKS = 8    # weeks in the per-region trend
 AUDIT_TTL_DAYS = 90           # audit rows expire after 90 days
-AUDIT_PARAM_MAX_LEN = 1000    # stored request-parameter values are capped at 1000 chars
 SESSION_MAX_AGE_SECONDS = 28800   # 8 h session lifetime
 REGION_MIN_LEADS = 2          # a region needs >= 2 leads to be called best
 SEGMENT_LIFT_CAP = 8.0        # expected lift of the best segment is capped at 8 points

@@ -4,25 +4,25 @@ streaming ingest."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.functions.domains import (AUDIT_PARAM_MAX_LEN, AUDIT_TTL_DAYS,
-                                        SESSION_MAX_AGE_SECONDS)
+from leadflow.functions.domains import AUDIT_TTL_DAYS, SESSION_MAX_AGE_SECONDS
 
 
-def request_params(query_map: Column, body: Column, max_len: int = AUDIT_PARAM_MAX_LEN) -> Column:
+def request_params(query_map: Column, body: Column, max_len: int | None = None) -> Column:
     """Query-string map merged with the body: a JSON object's keys are
-    merged in (later keys win), any other body is kept under ``body``. Stored
-    values are capped at ``max_len`` characters, as the table's item limit
-    requires (the capped value is what the log keeps, not an analysis input)."""
-    cut = F.substring(body, 1, max_len)
-    as_map = F.from_json(cut, "map<string,string>")
-    is_obj = F.ltrim(cut).startswith("{") & as_map.isNotNull()
+    merged in (later keys win), any other body is kept under ``body``. The
+    whole body is parsed; with ``max_len`` the stored values are cut to that
+    many characters afterwards."""
+    as_map = F.from_json(body, "map<string,string>")
+    is_obj = F.ltrim(body).startswith("{") & as_map.isNotNull()
     body_map = F.when(body.isNull() | (body == ""), F.create_map().cast("map<string,string>")) \
                 .when(is_obj, as_map) \
-                .otherwise(F.create_map(F.lit("body"), cut))
+                .otherwise(F.create_map(F.lit("body"), body))
     merged = F.map_concat(F.coalesce(query_map, F.create_map().cast("map<string,string>")), body_map)
+    if max_len is None:
+        return merged
     return F.transform_values(merged, lambda k, v: F.substring(v, 1, max_len))
 
 
@@ -58,18 +58,16 @@ def session_expiry(rows: DataFrame, max_age: int = SESSION_MAX_AGE_SECONDS) -> D
     expired session (no start known: not expired). Per user and day:
     requests and expired requests.
 
-    Session starts are a small aggregate joined back (AQE may broadcast it,
-    or split a hot user's join partition), rather than a window that would
-    buffer a hot user's whole day in one task.
+    Requests are counted per second first, combined map-side, so a user's
+    busiest day is at most 86,400 rows; the start is a window over those.
     """
     ts = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    keyed = rows.select("user_id", "event_date", ts.alias("_ts"))
-    starts = keyed.groupBy("user_id", "event_date").agg(F.min("_ts").alias("_start"))
-    flagged = keyed.join(starts, ["user_id", "event_date"], "left").withColumn(
-        "_expired", F.coalesce((F.col("_ts") - F.col("_start")) > max_age, F.lit(False)))
-    return flagged.groupBy("user_id", "event_date").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if("_expired").alias("expired_requests"))
+    seconds = rows.groupBy("user_id", "event_date", ts.alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
+    start = F.min("_ts").over(Window.partitionBy("user_id", "event_date"))
+    expired = F.coalesce(F.col("_ts") - F.col("_start") > max_age, F.lit(False))
+    return seconds.withColumn("_start", start).groupBy("user_id", "event_date").agg(
+        F.sum("_n").alias("requests"),
+        F.sum(F.when(expired, F.col("_n")).otherwise(0)).alias("expired_requests"))
 
 
 def audit_usage(rows: DataFrame) -> DataFrame:

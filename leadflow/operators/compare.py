@@ -14,14 +14,19 @@ COMPARISON_METRICS = ["total_leads", "total_take_up", "take_up_rate",
 def campaign_metrics(enriched: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Five metrics per campaign straight from the leads, plus name,
     program and planned duration (0 when the catalogue lacks the campaign)."""
-    # name and program are attributes of the campaign: grouping keys, so the
-    # aggregation over all leads stays a hash aggregation (no sort).
-    m = enriched.groupBy("campaign_id", F.col("nama_program").alias("campaign_name"),
-                         "flag_program").agg(
+    # grouped by name and program first, so the aggregation over all leads stays a
+    # hash aggregation; a campaign with several takes those with the most leads
+    per = enriched.groupBy("campaign_id", F.col("nama_program").alias("campaign_name"),
+                           "flag_program").agg(
         F.count(F.lit(1)).alias("total_leads"),
         F.count_if(is_yes()).alias("total_take_up"),
         F.sum(F.coalesce(F.col("total_transaction_value"), F.lit(0.0))).alias("_value"),
     )
+    m = per.groupBy("campaign_id").agg(
+        F.max(F.struct("total_leads", "campaign_name", "flag_program")).alias("_a"),
+        F.sum("total_leads").alias("total_leads"), F.sum("total_take_up").alias("total_take_up"),
+        F.sum("_value").alias("_value"),
+    ).withColumns({"campaign_name": F.col("_a.campaign_name"), "flag_program": F.col("_a.flag_program")})
     if catalogue is not None:
         m = m.join(catalogue.select("campaign_id", "duration_days"), "campaign_id", "left")
     else:
@@ -34,14 +39,12 @@ def campaign_metrics(enriched: DataFrame, catalogue: DataFrame | None = None) ->
 
 
 def compare_campaigns(metrics: DataFrame, campaign_ids: list[str] | None = None) -> DataFrame:
-    """The requested ids (2..5) kept even when unknown (zeros, empty
-    name); ``None`` compares every campaign."""
+    """The requested ids kept even when unknown (zeros, empty name);
+    ``None`` compares every campaign."""
     if campaign_ids is None:
         return metrics
-    if not 2 <= len(campaign_ids) <= 5:
-        raise ValueError(f"campaign_ids must hold 2 to 5 ids, got {len(campaign_ids)}")
     spark = metrics.sparkSession
-    ids = spark.createDataFrame([(c,) for c in campaign_ids], "campaign_id string")
+    ids = spark.createDataFrame([(c,) for c in dict.fromkeys(campaign_ids)], "campaign_id string")
     j = ids.join(metrics, "campaign_id", "left")
     zero = {"total_leads": F.lit(0).cast("long"), "total_take_up": F.lit(0).cast("long"),
             "take_up_rate": F.lit(0.0), "total_transaction_value": F.lit(0.0),
@@ -49,6 +52,14 @@ def compare_campaigns(metrics: DataFrame, campaign_ids: list[str] | None = None)
     return j.select("campaign_id", *[F.coalesce(F.col(c), z).alias(c) for c, z in zero.items()])
 
 
+def compare_requested(enriched: DataFrame, catalogue: DataFrame | None,
+                      campaign_ids: list[str]) -> DataFrame:
+    """J4 for a request: only the leads of the requested campaigns are read
+    (the ids reach the scan as a filter), unknown ids are kept."""
+    leads = enriched.filter(F.col("campaign_id").isin(list(campaign_ids)))
+    return compare_campaigns(campaign_metrics(leads, catalogue), campaign_ids)
+
+
 def comparison_long(metrics: DataFrame) -> DataFrame:
     """Wide metrics to (campaign_id, metric, value)."""
     wide = metrics.select("campaign_id", *[F.col(c).cast("double").alias(c)

@@ -4,7 +4,10 @@ column is a partition column)."""
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +67,32 @@ def _period_condition(df: DataFrame, values: Sequence) -> Column:
     """compare the ``period`` column, else ``start_date``, else no match."""
     vals = [str(v) for v in values]
     if "period" in df.columns:
-        return F.col("period").cast("string").isin(vals)
+        return _equals(df, "period", vals)
     if "start_date" in df.columns:
-        return F.col("start_date").cast("string").isin(vals)
+        return _equals(df, "start_date", vals)
     return F.lit(False)
 
 
+def _equals(df: DataFrame, field: str, values: Sequence) -> Column:
+    """Text comparison of a column with values. Where every value reads back
+    unchanged through the column's type, the values are cast instead of the
+    column, so the filter reaches the scan."""
+    texts = [str(v) for v in values]
+    kind = dict(df.dtypes)[field]
+    if kind == "string":
+        return F.col(field).isin(texts)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        size = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[kind]
+        if all(re.fullmatch(r"0|-?[1-9][0-9]{0,18}", t) and abs(int(t)) < 1 << size for t in texts):
+            return F.col(field).isin([int(t) for t in texts])
+    if kind == "date" and all(re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", t) for t in texts):
+        try:
+            return F.col(field).isin([date.fromisoformat(t) for t in texts])
+        except ValueError:
+            pass   # no such day: compare as text
+    return F.col(field).cast("string").isin(texts)
+
+
 def filter_active(df: DataFrame, filters: Sequence[tuple[str, Sequence]]) -> DataFrame:
     """AND over (field, values); values compared as text; a field the
     data does not have matches nothing; no filters returns the input."""
@@ -78,7 +101,7 @@ def filter_active(df: DataFrame, filters: Sequence[tuple[str, Sequence]]) -> Dat
         if field == "period":
             cond = cond & _period_condition(df, values)
         elif field in df.columns:
-            cond = cond & F.col(field).cast("string").isin([str(v) for v in values])
+            cond = cond & _equals(df, field, values)
         else:
             cond = cond & F.lit(False)
     return df.filter(cond)

@@ -24,17 +24,21 @@ def _grouped_counts(enriched: DataFrame) -> DataFrame:
     (campaign, wilayah). The campaign set also carries the sum and count of
     take-up days (a mean is then exact across several campaign rows)."""
     yes = is_yes()
-    df = enriched.select("campaign_id", "media_blasting",
-                         F.col("segment_by_aum").alias("_seg"),
-                         F.col("wilayah").cast("string").alias("_wil"), yes.alias("_yes"),
-                         F.when(yes, F.col("time_to_take_up_days")).alias("_days"))
+    days = F.when(yes, F.col("time_to_take_up_days"))
+    # counted per combination first: the grouping sets then multiply a few rows
+    # per campaign, not every lead
+    df = enriched.groupBy("campaign_id", "media_blasting",
+                          F.col("segment_by_aum").alias("_seg"),
+                          F.col("wilayah").cast("string").alias("_wil")).agg(
+        F.count(F.lit(1)).alias("_leads"), F.count_if(yes).alias("_yes"),
+        F.sum(days).alias("_days"), F.count(days).alias("_n"))
     return df.groupingSets(
         [["campaign_id", "media_blasting"], ["campaign_id", "_seg"], ["campaign_id", "_wil"]],
         "campaign_id", "media_blasting", "_seg", "_wil").agg(
-        F.count(F.lit(1)).alias("leads"),
-        F.count_if("_yes").alias("take_up"),
+        F.sum("_leads").alias("leads"),
+        F.sum("_yes").alias("take_up"),
         F.sum("_days").alias("_sum_days"),
-        F.count("_days").alias("_n_days"),
+        F.sum("_n").alias("_n_days"),
         F.grouping_id().alias("_gid"))
 
 
@@ -62,15 +66,19 @@ def campaign_breakdowns(enriched: DataFrame) -> DataFrame:
 
 
 def campaign_rates(enriched: DataFrame) -> DataFrame:
-    """Per (campaign, channel): leads, take-ups, rate rounded to 2 dp and mean
-    take-up days (1 dp) of converted leads with a day gap. A plain hash
-    aggregation (no grouping sets: only the campaign level is needed)."""
+    """Per campaign: leads, take-ups, rate rounded to 2 dp, mean take-up days
+    (1 dp) of converted leads with a day gap, and the channels it uses (a
+    handful of names). Counted per channel first, a plain hash aggregation."""
     yes = is_yes()
     days = F.when(yes, F.col("time_to_take_up_days"))
-    r = enriched.groupBy("campaign_id", "media_blasting").agg(
+    per = enriched.groupBy("campaign_id", "media_blasting").agg(
         F.count(F.lit(1)).alias("total_leads"),
         F.count_if(yes).alias("total_take_up"),
-        rnd(F.sum(days).cast("double") / F.count(days).cast("double"), 1).alias("avg_days"))
+        F.sum(days).alias("_days"), F.count(days).alias("_n"))
+    r = per.groupBy("campaign_id").agg(
+        F.sum("total_leads").alias("total_leads"), F.sum("total_take_up").alias("total_take_up"),
+        rnd(F.sum("_days").cast("double") / F.sum("_n").cast("double"), 1).alias("avg_days"),
+        F.collect_set(F.lower("media_blasting")).alias("channels"))
     return r.withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
 
 
@@ -155,10 +163,9 @@ def best_and_low_regions(enriched: DataFrame) -> DataFrame:
 
 def unused_channels(rates: DataFrame, n: int = 2) -> DataFrame:
     """The first ``n`` channels, in suggestion order, other than the
-    campaign's own (compared case-insensitively)."""
+    campaign's own ones (compared case-insensitively), one row per campaign."""
     chans = F.array(*[F.lit(c) for c in CHANNEL_SUGGESTION_ORDER])
-    own = F.lower(F.col("media_blasting"))
-    picked = F.slice(F.filter(chans, lambda c: c != F.coalesce(own, F.lit(""))), 1, n)
+    picked = F.slice(F.filter(chans, lambda c: ~F.array_contains("channels", c)), 1, n)
     return rates.select("campaign_id", F.array_join(picked, ",").alias("suggested_channels"))
 
 

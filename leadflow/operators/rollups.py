@@ -33,16 +33,24 @@ def campaign_master(enriched: DataFrame) -> DataFrame:
 
 
 def campaign_dim(master: DataFrame) -> DataFrame:
-    """W2 re-aimed: one row per campaign, sums re-aggregated over regions and
-    the rate recomputed (instead of an arbitrary region row's rate)."""
-    # the campaign's dimensions are grouping keys (functions of the campaign),
-    # which keeps this a hash aggregation
-    agg = master.groupBy("campaign_id", "nama_program", "flag_program", "jenis_leads",
-                         "media_blasting", "periode_start").agg(
+    """W2 re-aimed: exactly one row per campaign, sums re-aggregated over regions
+    and the rate recomputed (instead of an arbitrary region row's rate). A
+    campaign with several names, programs or channels takes the attributes of
+    the combination with the most leads; ties go to the greater values."""
+    names = ["nama_program", "flag_program", "jenis_leads", "media_blasting", "periode_start"]
+    # a hash aggregation over all rows, then a few rows per campaign
+    per = master.groupBy("campaign_id", *names).agg(
         F.sum("total_leads").alias("total_leads"),
         F.sum("total_take_up").alias("total_take_up"),
         F.sum("total_transaction_value").alias("total_transaction_value"),
     )
+    agg = per.groupBy("campaign_id").agg(
+        F.max(F.struct("total_leads", *names)).alias("_a"),
+        F.sum("total_leads").alias("total_leads"),
+        F.sum("total_take_up").alias("total_take_up"),
+        F.sum("total_transaction_value").alias("total_transaction_value"),
+    ).select("campaign_id", *[F.col(f"_a.{c}").alias(c) for c in names],
+             "total_leads", "total_take_up", "total_transaction_value")
     return agg.withColumn("take_up_rate", rate_pct("total_take_up", "total_leads"))
 
 

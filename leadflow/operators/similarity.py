@@ -3,7 +3,7 @@
 Two campaigns are similar when they share at least one of the dimensions
 ``flag_program, jenis_leads, media_blasting`` (a null never matches). A
 lookup returns, for a campaign X, the similar campaigns ordered by number
-of shared dimensions (desc), take-up rate (desc), id (asc), capped at 20.
+of shared dimensions (desc), take-up rate (desc), id (asc), 20 by default.
 
 All-pairs comparison is quadratic inside a dimension value (a two-valued
 program flag alone puts half the campaigns in one value), so we never build
@@ -101,12 +101,11 @@ def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
 
 def similar_topk(dim: DataFrame, k: int | None = MAX_SIMILAR_RESULTS,
                  required: list[str] | None = None) -> DataFrame:
-    """O4 (+F13, J6): top-k similar campaigns per campaign, k = min(k, 20)
+    """O4 (+F13, J6): top-k similar campaigns per campaign, for any k >= 1
     (``None`` means 20), with the similar campaign's name, leads and take-ups."""
     k = MAX_SIMILAR_RESULTS if k is None else k
     if k < 1:
         raise ValueError("limit must be >= 1")
-    k = min(k, MAX_SIMILAR_RESULTS)
     cand = similar_candidates(dim, k, required)
     w = Window.partitionBy("campaign_id").orderBy(
         F.col("dimension_count").desc(), F.col("take_up_rate").desc(),
@@ -117,11 +116,11 @@ def similar_topk(dim: DataFrame, k: int | None = MAX_SIMILAR_RESULTS,
                 .withColumn("take_up_rate", F.round("take_up_rate", 6)))
 
 
-def similarity_index(dim: DataFrame) -> DataFrame:
-    """S11/U1 re-aimed: the stored index holds, per campaign, the 20 entries
-    any lookup can return (each campaign keyed on its own id, so both
+def similarity_index(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS) -> DataFrame:
+    """S11/U1 re-aimed: the stored index holds, per campaign, the ``k`` entries
+    a lookup can return (each campaign keyed on its own id, so both
     directions of a pair appear when both rank it)."""
-    return similar_topk(dim, MAX_SIMILAR_RESULTS)
+    return similar_topk(dim, k)
 
 
 def best_similar(dim: DataFrame) -> DataFrame:

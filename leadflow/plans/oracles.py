@@ -435,6 +435,13 @@ _CMP = f"""m.campaign_id, m.campaign_name, m.flag_program, m.total_leads, m.tota
        CAST(coalesce(date_diff('day', c.start_date, c.end_date), 0) AS INTEGER) AS duration_days"""
 _CMP_FROM = "FROM metrics m LEFT JOIN catalogue c ON m.campaign_id = c.campaign_id"
 ORACLES["compare_campaigns"] = _q(f"SELECT {_CMP} {_CMP_FROM}")
+ORACLES["compare_requested"] = _q(f"""
+SELECT r.id AS campaign_id, coalesce(x.total_leads, 0) AS total_leads, coalesce(x.total_take_up, 0) AS total_take_up,
+       coalesce(x.take_up_rate, 0.0) AS take_up_rate, coalesce(x.total_transaction_value, 0.0) AS total_transaction_value,
+       coalesce(x.duration_days, 0) AS duration_days, coalesce(x.campaign_name, '') AS campaign_name,
+       coalesce(x.flag_program, '') AS flag_program
+FROM (VALUES ('1-URGENT_1997-01-01'), ('2-HIGH_1996-05-01'), ('NO-SUCH_2000-01-01')) r(id)
+LEFT JOIN (SELECT {_CMP} {_CMP_FROM}) x ON x.campaign_id = r.id""")
 ORACLES["sort_by_attribute"] = _q(f"SELECT {_CMP} {_CMP_FROM}")
 ORACLES["comparison_long"] = _q(f"""
 , cm AS (SELECT {_CMP} {_CMP_FROM})
@@ -645,7 +652,8 @@ ORACLES["campaign_lookup"] = _q("""
 SELECT * EXCLUDE (total_transaction_value), round(total_transaction_value, 4) AS total_transaction_value
 FROM enriched WHERE campaign_id = '1-URGENT_1997-01-01'""")
 ORACLES["sink_campaigns_partitioned"] = ORACLES["campaign_master"]
-ORACLES["scan_campaigns"] = _q(f"SELECT * FROM ({ORACLES['campaign_master'][len(BASE):]}) t WHERE year = 1997")
+ORACLES["scan_campaigns"] = ORACLES["campaign_master"]
+ORACLES["scan_campaigns_year"] = _q(f"SELECT * FROM ({ORACLES['campaign_master'][len(BASE):]}) t WHERE year = 1997")
 ORACLES["scan_enriched_leads"] = ORACLES["regional_weekly"]
 ORACLES["sink_snapshot"] = ORACLES["overview_agg"]
 ORACLES["pipeline_similarity"] = ORACLES["similarity_index"]
@@ -667,7 +675,7 @@ WHERE period_start >= DATE '1999-12-31' - INTERVAL 90 DAY AND period_end <= DATE
 ORACLES["external_tables"] = _q("""
 SELECT campaign_id, year, month, CAST(sum(total_leads) AS BIGINT) AS total_leads,
        CAST(sum(total_take_up) AS BIGINT) AS total_take_up
-FROM master WHERE year = 1998 GROUP BY 1, 2, 3""")
+FROM master GROUP BY 1, 2, 3""")
 ORACLES["similar_enriched"] = _q(f"""
 SELECT s.*, d.flag_program AS similar_flag_program, d.jenis_leads AS similar_jenis_leads,
        d.media_blasting AS similar_media_blasting, d.periode_start AS similar_periode_start

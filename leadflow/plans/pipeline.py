@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadflow.operators import clean, rollups, similarity
 from leadflow.session import materialize
@@ -33,14 +34,19 @@ class Paths:
 def pipeline_raw_to_clean(spark: SparkSession, p: Paths) -> DataFrame:
     """Raw CSV -> clean, enriched leads (partitioned by campaign) ->
     campaign master (partitioned by year/month). Returns the master as
-    read back from storage."""
+    read back from storage. Rows without a campaign id and lines that do not fit
+    the schema are always kept, under the quarantine path (next to the clean
+    leads unless one is given)."""
     leads = clean.clean_leads(io.read_leads(spark, p.raw_leads))
     enriched = clean.enrich_leads(leads, io.read_monitoring(spark, p.raw_monitoring))
-    if p.quarantine:
-        enriched = materialize(enriched, "enriched-stage")   # two sinks, one computation
+    enriched = materialize(enriched, "enriched-stage")   # two sinks, one computation
     good, bad = clean.split_quarantine(enriched)
-    if p.quarantine:
-        io.write_snapshot(bad, p.quarantine)
+    held = p.quarantine or f"{p.enriched}_quarantine"
+    io.write_snapshot(bad, f"{held}/rows")
+    io.write_snapshot(io.read_corrupt_lines(spark, p.raw_leads)
+                      .select(F.lit("leads").alias("source"), "cif", "_corrupt_record")
+                      .union(io.read_corrupt_lines(spark, p.raw_monitoring, io.MONITORING_SCHEMA)
+                             .select(F.lit("monitoring"), "cif", "_corrupt_record")), f"{held}/lines")
     io.write_leads_partitioned(good, p.enriched)
     written = io.read_enriched_leads(spark, p.enriched)
     io.write_campaigns_partitioned(rollups.campaign_master(written), p.campaigns)

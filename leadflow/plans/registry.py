@@ -24,6 +24,8 @@ from leadflow.sources.bindings import LEAD_COLUMNS
 from leadflow.streaming import audit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+# campaigns of the registered comparison request; the last one does not exist
+REQUESTED = ["1-URGENT_1997-01-01", "2-HIGH_1996-05-01", "NO-SUCH_2000-01-01"]
 REGISTRY: dict[str, Query] = {}
 
 
@@ -209,6 +211,12 @@ def _compare_campaigns(v: Views):
     return compare.compare_campaigns(compare.campaign_metrics(v.enriched, v.catalogue))
 
 
+@register("compare_requested")
+def _compare_requested(v: Views):
+    """Two known campaigns and one that is not there."""
+    return compare.compare_requested(v.enriched, v.catalogue, REQUESTED)
+
+
 @register("comparison_long")
 def _comparison_long(v: Views):
     return compare.comparison_long(compare.campaign_metrics(v.enriched, v.catalogue))
@@ -416,11 +424,12 @@ def _audit_stream(v: Views):
     with Structured Streaming and deduped on the log key."""
     src = scratch_path(v.spark, "audit-src")
     ev = v.audit
-    ev.write.mode("append").parquet(src)
+    # 40 files with interleaved times, so there are several micro-batches
+    ev.repartition(40, "event_id").write.mode("append").parquet(src)
     ev.filter(F.col("event_id") % 10 == 0).write.mode("append").parquet(src)   # re-delivery
     schema = v.spark.read.parquet(src).schema
     out = audit_stream.run_audit_stream(v.spark, src, schema, scratch_path(v.spark, "audit-sink"),
-                                        scratch_path(v.spark, "audit-ckpt"), watermark="1 hour")
+                                        scratch_path(v.spark, "audit-ckpt"), max_files_per_trigger=8)
     return out.select("user_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
                       "page_accessed", "action")
 
@@ -490,7 +499,13 @@ def _sink_campaigns_partitioned(v: Views):
 
 @register("scan_campaigns")
 def _scan_campaigns(v: Views):
-    """S3: partitioned master read with a year filter (partition pruning)."""
+    """S3: the whole partitioned master."""
+    return io.read_campaigns(v.spark, _stored(v, campaigns=True).campaigns)
+
+
+@register("scan_campaigns_year")
+def _scan_campaigns_year(v: Views):
+    """S3 with a year filter (partition pruning)."""
     return io.read_campaigns(v.spark, _stored(v, campaigns=True).campaigns).filter(F.col("year") == 1997)
 
 
@@ -527,7 +542,7 @@ def _scan_json_map(v: Views):
     io.write_json_map(rollups.campaign_trend(v.master, v.catalogue), path)
     return io.read_json_map(v.spark, path, "period_start: date, period_end: date, "
                                            "total_leads: bigint, total_take_up: bigint, "
-                                           "take_up_rate: double")
+                                           "take_up_rate: double", lines=True)
 
 
 @register("export_campaign_table")
@@ -569,4 +584,4 @@ def _external_tables(v: Views):
     return v.spark.sql(
         "SELECT campaign_id, CAST(year AS INT) AS year, CAST(month AS INT) AS month, "
         "sum(total_leads) AS total_leads, sum(total_take_up) AS total_take_up "
-        "FROM campaign WHERE year = '1998' GROUP BY campaign_id, year, month")
+        "FROM campaign GROUP BY campaign_id, year, month")

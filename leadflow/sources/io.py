@@ -69,7 +69,9 @@ def read_monitoring(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corrupt_lines(spark: SparkSession, path: str, schema: StructType = LEADS_SCHEMA) -> DataFrame:
     """Lines the CSV reader could not fit to the schema."""
-    return _read_csv(spark, path, schema).filter(F.col("_corrupt_record").isNotNull())
+    # the reader checks only fields that are asked for, so all are
+    every = F.hash(*schema.names) % 2 >= -1
+    return _read_csv(spark, path, schema).filter(every).filter(F.col("_corrupt_record").isNotNull())
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -79,17 +81,27 @@ def write_csv(df: DataFrame, path: str) -> None:
 # ------------------------------------------------------------ parquet
 
 def write_leads_partitioned(df: DataFrame, path: str) -> None:
-    """Enriched leads, one folder per campaign."""
+    """Enriched leads, one folder per campaign; a rebuild replaces the whole
+    table, so a campaign that is gone leaves no folder behind."""
     (df.hint("rebalance", "campaign_id")
-       .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+       .write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy("campaign_id").parquet(path))
 
 
 def write_campaigns_partitioned(df: DataFrame, path: str) -> None:
-    """Campaign master by year/month; with dynamic partition overwrite a
-    re-run replaces only the months it contains."""
+    """Campaign master by year/month, rebuilt as a whole; see
+    ``replace_months`` for a run over some months only."""
+    _write_months(df, path, "static")
+
+
+def replace_months(df: DataFrame, path: str) -> None:
+    """S9 incrementally: only the months that ``df`` holds are replaced."""
+    _write_months(df, path, "dynamic")
+
+
+def _write_months(df: DataFrame, path: str, mode: str) -> None:
     (df.hint("rebalance", "year", "month")
-       .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+       .write.mode("overwrite").option("partitionOverwriteMode", mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy("year", "month").parquet(path))
 
 
@@ -125,21 +137,21 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str,
 
 
 def read_json_map(spark: SparkSession, path: str, row_schema: str,
-                  key_name: str = "campaign_id") -> DataFrame:
-    """JSON objects keyed by campaign whose values are lists of rows
-    (one object per line, or one object per file), as rows with the key."""
-    text = spark.read.text(path, wholetext=False)
-    m = F.from_json("value", f"map<string, array<struct<{row_schema}>>>")
+                  key_name: str = "campaign_id", lines: bool = False) -> DataFrame:
+    """JSON objects keyed by campaign whose values are lists of rows, as
+    rows with the key: one document per file, however it is laid out, or with
+    ``lines`` one object per line. Text that does not parse is an error."""
+    text = spark.read.text(path, wholetext=not lines).filter(F.trim("value") != "")
+    m = F.from_json("value", f"map<string, array<struct<{row_schema}>>>", {"mode": "FAILFAST"})
     return (text.select(F.explode(m).alias(key_name, "_rows"))
                 .select(key_name, F.inline("_rows")))
 
 
 def write_json_map(df: DataFrame, path: str, key_name: str = "campaign_id") -> None:
-    """Per-key row lists as one JSON object per line (``{key: [rows]}``).
-    Rows of a key are few (a campaign's trend), so the list is bounded."""
+    """One JSON object per row and line (``{key: [row]}``); a key's lines read
+    back as all its rows, and none is gathered in one place."""
     rows = [c for c in df.columns if c != key_name]
-    obj = df.groupBy(key_name).agg(F.collect_list(F.struct(*rows)).alias("_rows"))
-    obj.select(F.to_json(F.create_map(F.col(key_name), F.col("_rows"))).alias("value")) \
+    df.select(F.to_json(F.create_map(F.col(key_name), F.array(F.struct(*rows)))).alias("value")) \
        .write.mode("overwrite").text(path)
 
 

@@ -157,3 +157,26 @@ def test_negative_take_up_report(spark):
     m = df_of(spark, [mon("1", date="2023-12-20"), mon("2", date="2024-01-03")], MONITORING_SCHEMA)
     rows = quality.negative_take_up(clean.enrich_leads(leads, m)).collect()
     assert [(r.negative_rows, r.min_gap_days) for r in rows] == [(1, -12)]
+
+
+def test_pipeline_keeps_every_row_somewhere(spark, tmp_path):
+    """rows in = clean + duplicates + blank keys + quarantined; broken lines are kept apart."""
+    from leadflow.plans import pipeline
+    from leadflow.session import scratch_path
+    from leadflow.sources import io
+    root = scratch_path(spark, "t-etl")
+    p = pipeline.Paths(raw_leads=f"{root}/raw/leads", raw_monitoring=f"{root}/raw/mon", enriched=f"{root}/clean",
+                       campaigns=f"{root}/campaigns", overview=f"{root}/o", regional=f"{root}/r", similarity=f"{root}/s")
+    leads = df_of(spark, [lead("1"), lead("1", start="01/01/2024"), lead(""), lead("2", start="garbage"),
+                          lead("3", name=None), lead("4")], LEADS_SCHEMA)
+    bad = leads.filter("cif = '4'").withColumn("wilayah", F.lit("notint"))
+    io.write_csv(leads.filter("cif <> '4'").select(*[F.col(c).cast("string") for c in leads.columns])
+                 .unionByName(bad.select(*[F.col(c).cast("string") for c in leads.columns])), p.raw_leads)
+    io.write_csv(df_of(spark, [mon("1")], MONITORING_SCHEMA), p.raw_monitoring)
+    master = pipeline.pipeline_raw_to_clean(spark, p)
+    kept = io.read_enriched_leads(spark, p.enriched).count()
+    held = spark.read.parquet(f"{p.enriched}_quarantine/rows").count()
+    lines = spark.read.parquet(f"{p.enriched}_quarantine/lines").collect()
+    assert master.count() >= 1
+    assert kept + held + 1 + 1 == 6                      # one duplicate, one blank key
+    assert [r.source for r in lines] == ["leads"] and "notint" in lines[0]._corrupt_record

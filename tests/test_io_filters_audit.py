@@ -88,7 +88,9 @@ def test_audit_params_merge_and_cap(spark):
     assert got[0] == {"page": "body wins", "a": "1"}
     assert got[1] == {"page": "p1", "body": "not json"}
     assert got[3] == {"page": "p1"}
-    assert all(len(v) <= 1000 for m in got for v in m.values())
+    assert got[2] == {"page": "p1", "v": long}          # the whole body is parsed, nothing is cut
+    cut = [r[0] for r in df.select(audit.request_params(q, F.col("body"), 1000)).collect()]
+    assert cut[2] == {"page": "p1", "v": long[:1000]}
 
 
 def test_identity_and_session_expiry(spark):
@@ -114,6 +116,41 @@ def test_json_array_and_map_fixtures(spark, tmp_path):
                                        {"period_start": "2024-01-15", "total_leads": 1}]}))
     rows = io.read_json_map(spark, str(mp), "period_start: date, total_leads: int").collect()
     assert sorted((r.campaign_id, r.total_leads) for r in rows) == [("C001", 5), ("C002", 1), ("C002", 7)]
+    mp.write_text(json.dumps(json.loads(mp.read_text()), indent=2))      # pretty-printed
+    again = io.read_json_map(spark, str(mp), "period_start: date, total_leads: int").collect()
+    assert sorted(again) == sorted(rows)
+    lines = scratch_path(spark, "t-map")
+    io.write_json_map(spark.createDataFrame(rows), lines)
+    back = io.read_json_map(spark, lines, "period_start: date, total_leads: int", lines=True).collect()
+    assert sorted(back) == sorted(rows)
+    mp.write_text("{ not json")
+    with pytest.raises(Exception):
+        io.read_json_map(spark, str(mp), "period_start: date, total_leads: int").collect()
+
+
+def test_rebuild_leaves_no_stale_campaign(spark):
+    path = scratch_path(spark, "t-rebuild")
+    df = spark.createDataFrame([("A", "1"), ("B", "2")], "campaign_id string, cif string")
+    io.write_leads_partitioned(df, path)
+    io.write_leads_partitioned(df.filter("campaign_id = 'A'"), path)
+    assert [r.campaign_id for r in io.read_enriched_leads(spark, path).collect()] == ["A"]
+
+
+@pytest.mark.parametrize("files", [1, 16, 40])
+def test_audit_stream_answer_does_not_depend_on_files(spark, files):
+    src, sink = scratch_path(spark, "t-many-src"), scratch_path(spark, "t-many-sink")
+    ev = spark.range(400).selectExpr(
+        "cast(id % 7 as string) AS user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast((id * 37) % 400 as int)) AS timestamp",
+        "'p' AS page_accessed", "'view' AS action", "cast(null as string) AS request_body", "id AS event_id")
+    ev.repartition(files, "event_id").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    ckpt = scratch_path(spark, "t-many-ckpt")
+    out = audit_stream.run_audit_stream(spark, src, schema, sink, ckpt, max_files_per_trigger=6)
+    assert out.count() == 400
+    ev.filter("event_id % 3 = 0").write.mode("append").parquet(src)     # in a later run of the same query
+    assert audit_stream.run_audit_stream(spark, src, schema, sink, ckpt).count() == 400
+    # and by another query into the same sink
+    assert audit_stream.run_audit_stream(spark, src, schema, sink, scratch_path(spark, "t-many-ckpt2")).count() == 400
 
 
 def test_partitioned_sink_keeps_text_ids_and_prunes(spark):

@@ -4,9 +4,11 @@ column names and order-insensitive values), the driver's check in small."""
 import pytest
 
 import __spark_entry__ as E
+from leadflow.plans.registry import REGISTRY
 from tools.oracle_check import digest
 
-ORACLES = E.oracle_sql()
+# the corpus operators' queries have tests of their own
+ORACLES = {k: v for k, v in E.oracle_sql().items() if k in REGISTRY}
 
 
 def test_every_query_has_a_callable():
