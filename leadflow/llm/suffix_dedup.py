@@ -109,29 +109,27 @@ def _ranges(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def repeated_starts(segments: list[bytes], twice: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per segment the ranges of starts whose string repeats in the shard;
-    ``twice``: there are more copies of this segment."""
+def repeated_starts(segments: list[bytes], twice: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, lo, hi): the ranges of starts whose string repeats in the
+    shard, by segment; ``twice``: there are more copies of this segment."""
     parts = [p for s, t in zip(segments, twice) for p in ([s, b"\xff"] * (2 if t else 1))]
     text = np.frombuffer(b"".join(parts), np.uint8)
     sa = suffix_array(text)
     before, common = permuted_common_prefixes(text, sa)
     stop = np.flatnonzero(text == _BETWEEN)
-    room = stop[np.searchsorted(stop, np.arange(len(text)))] - np.arange(len(text))
+    room = np.repeat(stop, np.diff(np.concatenate(([-1], stop)))) - np.arange(len(text))
     hit = np.flatnonzero((common >= WIDTH) & (room >= WIDTH))
     mark = np.zeros(len(text), bool)
     mark[hit] = True
     mark[before[hit]] = True
     mark &= room >= WIDTH
-    out, at = [], 0
-    for s, t in zip(segments, twice):
-        own = mark[at:at + len(s)]
-        at += len(s) + 1
-        if t:
-            own = own | mark[at:at + len(s)]
-            at += len(s) + 1
-        out.append(_ranges(own))
-    return out
+    # no range runs over a segment's end: its last starts have no room
+    lo, hi = _ranges(mark)
+    size = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
+    place = np.cumsum(size * np.where(twice, 2, 1)) - size * np.where(twice, 2, 1)
+    owner = np.searchsorted(place, lo, "right") - 1
+    first = lo < place[owner] + size[owner]   # copies have the same ranges
+    return owner[first], (lo - place[owner])[first], (hi - place[owner])[first]
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -160,21 +158,25 @@ def _segments(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = T.column_bytes(batch.column(0))
-            names, copies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            lists = batch.column(3)
-            for d in range(len(names)):
-                wanted = lists[d].values.to_numpy().view(np.uint64)
-                own = buf[offsets[d]:offsets[d + 1]]
-                first, last, gram = runs(own, np.array([0, len(own)]))
-                keep = np.isin(gram, wanted)
+            names, copies = batch.column(1), batch.column(2)
+            wanted = batch.column(3)
+            upto = wanted.offsets.to_numpy()
+            flat = wanted.values.to_numpy().view(np.uint64)
+            for i, j in T.slices(offsets, 1 << 20):
+                own = buf[offsets[i]:offsets[j]]
+                at = offsets[i:j + 1] - offsets[i]
+                first, last, gram = runs(own, at)
+                text = np.searchsorted(at, first, "right") - 1
+                edge = np.searchsorted(text, np.arange(j - i + 1)).tolist()
+                keep = np.concatenate([np.isin(gram[edge[d]:edge[d + 1]], flat[upto[i + d]:upto[i + d + 1]])
+                                       for d in range(j - i)])
+                first, last, gram, text = first[keep], last[keep], gram[keep], text[keep]
                 raw = own.tobytes()
-                segs = [raw[a:b + WIDTH] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
-                n = len(segs)
+                segs = [raw[a:b + WIDTH] for a, b in zip(first.tolist(), last.tolist())]
+                row = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[keep].view(np.int64)),
-                     pa.array([hashlib.md5(s).digest() for s in segs], pa.binary()),
-                     pa.array([names[d]] * n, pa.binary()), pa.array(first[keep]),
-                     pa.array([copies[d]] * n, pa.int64()), pa.array(segs, pa.binary())],
+                    [pa.array(gram.view(np.int64)), pa.array([hashlib.md5(s).digest() for s in segs], pa.binary()),
+                     names.take(row), pa.array(first - at[text]), copies.take(row), pa.array(segs, pa.binary())],
                     ["gram", "seg", "name", "start", "copies", "bytes"])
 
     return texts.select("text", "name", "copies", "grams").mapInArrow(
@@ -192,12 +194,13 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found = repeated_starts([w[3] for w in wait], [w[2] > 1 for w in wait])
-            some = [(w[0], w[1], a, b) for w, (a, b) in zip(wait, found) if len(a)]
+            owner, lo, hi = repeated_starts([w[3] for w in wait], [w[2] > 1 for w in wait])
+            some, first = np.unique(owner, return_index=True)
+            upto = pa.array(np.append(first, len(owner)).astype(np.int32))
             return pa.RecordBatch.from_arrays(
-                [pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.binary()),
-                 pa.array([s[2] for s in some], pa.list_(pa.int64())),
-                 pa.array([s[3] for s in some], pa.list_(pa.int64()))], ["gram", "seg", "lo", "hi"])
+                [pa.array([wait[k][0] for k in some], pa.int64()), pa.array([wait[k][1] for k in some], pa.binary()),
+                 pa.ListArray.from_arrays(upto, pa.array(lo)), pa.ListArray.from_arrays(upto, pa.array(hi))],
+                ["gram", "seg", "lo", "hi"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):

@@ -125,10 +125,11 @@ def _order_names(names: np.ndarray) -> np.ndarray:
         items = order[open_]
         after = items + width
         second = np.where(after < n, rank[np.minimum(after, n - 1)], 0)
-        o = np.lexsort((second, rank_at[open_]))
-        items, second, group = items[o], second[o], rank_at[open_][o]
+        both = rank_at[open_] * (n + 1) + second
+        o = np.argsort(both)
+        items, both = items[o], both[o]
         order[open_] = items
-        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        fresh = np.concatenate(([True], both[1:] != both[:-1]))
         at = np.flatnonzero(fresh)
         rank[items] = np.repeat(open_[at], np.diff(np.append(at, len(items)))) + 1
         width *= 2
