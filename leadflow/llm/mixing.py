@@ -249,17 +249,18 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix itself: one row per drawn block, with the columns of ``docs``;
     a cut block has its text's first words only. Adds nothing: shards and
     places are for ``write_shards``."""
-    docs = materialize(docs.withColumn("row_id", F.monotonically_increasing_id()), "mix-docs")
-    sizes = docs.select("row_id", "doc_id", "source", word_count(F.col("text")).alias("size"))
-    drawn = draw_blocks(sizes, source_targets(sizes), shards).select("row_id", "copy", "words", "size")
+    keep = docs.columns
+    docs = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
+    sizes = docs.select(F.col("_mix_row").alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    drawn = (draw_blocks(sizes, source_targets(sizes), shards)
+             .select(F.col("row_id").alias("_mix_row"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size")))
     # a word and the white space before it, so the first ones joined are a prefix of the text
     each = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(each, F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
-    keep = [c for c in docs.columns if c != "row_id"]
-    out = docs.join(drawn, "row_id").withColumn("text", text)
+    cut = F.array_join(F.slice(each, F.lit(1), F.col("_mix_words").cast("int")), "")
+    short = F.col("_mix_words") < F.col("_mix_size")
+    out = docs.join(drawn, "_mix_row").withColumn("text", F.when(short, cut).otherwise(F.col("text")))
     if "n_chars" in keep:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(short, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*keep)
 
 

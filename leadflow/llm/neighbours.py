@@ -211,7 +211,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS,
     """The k nearest vectors found for every vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    stored = materialize(usable(vectors), "neighbour-vectors")
+    stored = materialize(usable(vectors).dropDuplicates(["vec_id", "v"]), "neighbour-vectors")
     router = fit_router(stored, parts, sample)
     if router is None:
         return spark.createDataFrame([], schema)
