@@ -90,6 +90,8 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int
     while width < parts:
         for p in range(width):
             own = np.flatnonzero(label == p)
+            if len(own) < 2:
+                continue
             c = x[own] - x[own].mean(axis=0)
             axis = np.ones(c.shape[1])
             for _ in range(20):
