@@ -66,7 +66,7 @@ def _shares(d: str) -> F.Column:
 
 
 def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
-                       required: list[str] | None = None) -> DataFrame:
+                       required: list[str] | None = None, attributes: bool = False) -> DataFrame:
     """Every (X, similar campaign) pair that can reach X's top ``k``, at most
     ``7 * (k + 1)`` per X, optionally only those sharing all ``required``
     dimensions (F13)."""
@@ -76,11 +76,13 @@ def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
         raise ValueError(f"invalid dimension(s) {bad}; allowed {sorted(DIMS)}")
     subsets = [(i, m) for i, m in enumerate(SUBSETS) if req <= set(m)]
     keyed = _subset_keys(dim, subsets)
+    with_start = "periode_start" in dim.columns
     w = Window.partitionBy(*KEY).orderBy(F.col("take_up_rate").desc(), F.col("campaign_id").asc())
     lists = (keyed.select(*KEY, *[F.col(d).alias(f"y_{d}") for d in DIMS],
                           F.col("campaign_id").alias("similar_campaign_id"),
                           F.col("nama_program").alias("campaign_name"),
                           "take_up_rate", "total_leads", "total_take_up",
+                          *([F.col("periode_start").alias("y_start")] if with_start else []),
                           F.row_number().over(w).alias("_pos"))
                   .filter(F.col("_pos") <= k + 1).drop("_pos"))
     xs = keyed.select("campaign_id", *KEY, *[F.col(d).alias(f"x_{d}") for d in DIMS])
@@ -96,17 +98,20 @@ def similar_candidates(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS,
                       shared.alias("matching_dimensions"),
                       n.alias("dimension_count"),
                       (n / F.lit(float(len(DIMS)))).alias("similarity_score"),
-                      "take_up_rate", "total_leads", "total_take_up"))
+                      "take_up_rate", "total_leads", "total_take_up",
+                      *([F.col(f"y_{d}").alias(f"similar_{d}") for d in DIMS]
+                        + ([F.col("y_start").alias("similar_periode_start")] if with_start else [])
+                        if attributes else [])))
 
 
 def similar_topk(dim: DataFrame, k: int | None = MAX_SIMILAR_RESULTS,
-                 required: list[str] | None = None) -> DataFrame:
+                 required: list[str] | None = None, attributes: bool = False) -> DataFrame:
     """O4 (+F13, J6): top-k similar campaigns per campaign, for any k >= 1
     (``None`` means 20), with the similar campaign's name, leads and take-ups."""
     k = MAX_SIMILAR_RESULTS if k is None else k
     if k < 1:
         raise ValueError("limit must be >= 1")
-    cand = similar_candidates(dim, k, required)
+    cand = similar_candidates(dim, k, required, attributes)
     w = Window.partitionBy("campaign_id").orderBy(
         F.col("dimension_count").desc(), F.col("take_up_rate").desc(),
         F.col("similar_campaign_id").asc())
@@ -164,16 +169,11 @@ def similarity_counts(dim: DataFrame) -> DataFrame:
                  .filter(F.col("similar_campaigns") > 0))
 
 
-def similar_enriched(index: DataFrame, dim: DataFrame) -> DataFrame:
+def similar_enriched(dim: DataFrame, k: int = MAX_SIMILAR_RESULTS) -> DataFrame:
     """Index rows with the similar campaign's own dimension values and
-    start date (the campaign table is one row per campaign; AQE broadcasts
-    it when its measured size allows)."""
-    other = dim.select(F.col("campaign_id").alias("similar_campaign_id"),
-                       F.col("flag_program").alias("similar_flag_program"),
-                       F.col("jenis_leads").alias("similar_jenis_leads"),
-                       F.col("media_blasting").alias("similar_media_blasting"),
-                       F.col("periode_start").alias("similar_periode_start"))
-    return index.join(other, "similar_campaign_id", "left")
+    start date. The lists carry them along, so nothing is joined on the similar
+    campaign, which for a highly rated one is in nearly every list."""
+    return similar_topk(dim, k, attributes=True)
 
 
 def learning_summary(dim: DataFrame, required: list[str] | None = None) -> DataFrame:

@@ -673,9 +673,9 @@ ORACLES["overview_lookback"] = _q(f"""
 SELECT {_OV} FROM ov
 WHERE period_start >= DATE '1999-12-31' - INTERVAL 90 DAY AND period_end <= DATE '1999-12-31'""")
 ORACLES["external_tables"] = _q("""
-SELECT campaign_id, year, month, CAST(sum(total_leads) AS BIGINT) AS total_leads,
-       CAST(sum(total_take_up) AS BIGINT) AS total_take_up
-FROM master GROUP BY 1, 2, 3""")
+SELECT t AS table_name, (SELECT CAST(sum(total_leads) AS BIGINT) FROM master) AS leads,
+       (SELECT CAST(sum(total_take_up) AS BIGINT) FROM master) AS take_up
+FROM (VALUES ('campaign'), ('leads'), ('campaign_overview_agg'), ('regional_performance_agg')) v(t)""")
 ORACLES["similar_enriched"] = _q(f"""
 SELECT s.*, d.flag_program AS similar_flag_program, d.jenis_leads AS similar_jenis_leads,
        d.media_blasting AS similar_media_blasting, d.periode_start AS similar_periode_start

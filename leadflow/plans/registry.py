@@ -246,7 +246,7 @@ def _similarity_index(v: Views):
 
 @register("similar_enriched")
 def _similar_enriched(v: Views):
-    return _flat_similar(similarity.similar_enriched(similarity.similarity_index(v.dim), v.dim))
+    return _flat_similar(similarity.similar_enriched(v.dim))
 
 
 @register("similar_topk")
@@ -479,6 +479,13 @@ def _stored(v: Views, leads: bool = False, campaigns: bool = False) -> pipeline.
     return p
 
 
+def _zones(v: Views) -> pipeline.Paths:
+    """The stored zones as inputs, new folders as outputs."""
+    root = scratch_path(v.spark, "agg")
+    return pipeline.Paths(raw_leads="", raw_monitoring="", enriched=v.leads_zone, campaigns=v.campaigns_zone,
+                          overview=f"{root}/overview", regional=f"{root}/regional", similarity=f"{root}/similarity")
+
+
 @register("sink_leads_partitioned")
 def _sink_leads_partitioned(v: Views):
     p = _stored(v, leads=True)
@@ -488,8 +495,7 @@ def _sink_leads_partitioned(v: Views):
 @register("campaign_lookup")
 def _campaign_lookup(v: Views):
     """point lookup on the campaign partition column (pruned scan)."""
-    p = _stored(v, leads=True)
-    return filters.campaign_lookup(io.read_enriched_leads(v.spark, p.enriched), LOOKUP_CAMPAIGN)
+    return filters.campaign_lookup(io.read_enriched_leads(v.spark, v.leads_zone), LOOKUP_CAMPAIGN)
 
 
 @register("sink_campaigns_partitioned")
@@ -500,31 +506,31 @@ def _sink_campaigns_partitioned(v: Views):
 @register("scan_campaigns")
 def _scan_campaigns(v: Views):
     """S3: the whole partitioned master."""
-    return io.read_campaigns(v.spark, _stored(v, campaigns=True).campaigns)
+    return io.read_campaigns(v.spark, v.campaigns_zone)
 
 
 @register("scan_campaigns_year")
 def _scan_campaigns_year(v: Views):
     """S3 with a year filter (partition pruning)."""
-    return io.read_campaigns(v.spark, _stored(v, campaigns=True).campaigns).filter(F.col("year") == 1997)
+    return io.read_campaigns(v.spark, v.campaigns_zone).filter(F.col("year") == 1997)
 
 
 @register("scan_enriched_leads")
 def _scan_enriched_leads(v: Views):
     """S4 + P3: regional weekly roll-up computed from the stored leads."""
-    return pipeline.pipeline_regional(v.spark, _stored(v, leads=True))
+    return pipeline.pipeline_regional(v.spark, _zones(v))
 
 
 @register("sink_snapshot")
 def _sink_snapshot(v: Views):
     """S10 + P2: overview roll-up written as a snapshot and read back."""
-    return pipeline.pipeline_overview(v.spark, _stored(v, campaigns=True), v.catalogue)
+    return pipeline.pipeline_overview(v.spark, _zones(v), v.catalogue)
 
 
 @register("pipeline_similarity")
 def _pipeline_similarity(v: Views):
     """Similarity index from the stored master."""
-    return _flat_similar(pipeline.pipeline_similarity(v.spark, _stored(v, campaigns=True)))
+    return _flat_similar(pipeline.pipeline_similarity(v.spark, _zones(v)))
 
 
 @register("scan_json_array")
@@ -579,9 +585,13 @@ def _external_tables(v: Views):
     """Tables declared in SQL over stored folders, queried with SQL
     (partition column predicate prunes folders)."""
     from leadflow.sources.catalog import create_tables
-    p = _stored(v, campaigns=True)
-    create_tables(v.spark, {"campaign": p.campaigns})
+    p = _zones(v)
+    io.write_snapshot(v.overview, p.overview)
+    io.write_snapshot(v.weekly, p.regional)
+    create_tables(v.spark, {"leads": p.enriched, "campaign": p.campaigns,
+                            "campaign_overview_agg": p.overview, "regional_performance_agg": p.regional})
     return v.spark.sql(
-        "SELECT campaign_id, CAST(year AS INT) AS year, CAST(month AS INT) AS month, "
-        "sum(total_leads) AS total_leads, sum(total_take_up) AS total_take_up "
-        "FROM campaign GROUP BY campaign_id, year, month")
+        "SELECT 'campaign' AS table_name, sum(total_leads) AS leads, sum(total_take_up) AS take_up FROM campaign "
+        "UNION ALL SELECT 'leads', count(*), count_if(take_up_flag = 'YES') FROM leads "
+        "UNION ALL SELECT 'campaign_overview_agg', sum(total_leads), sum(total_take_up) FROM campaign_overview_agg "
+        "UNION ALL SELECT 'regional_performance_agg', sum(leads_count), sum(take_up_count) FROM regional_performance_agg")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.operators import clean, rollups
 from leadflow.session import apply_runtime_conf, scratch_path
-from leadflow.sources import bindings
+from leadflow.sources import bindings, io
 
 # (application id, "data dir|table") -> stored path, for this process
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -35,6 +35,16 @@ def stored_table(spark: SparkSession, key: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_zone(spark: SparkSession, key: str, write) -> str:
+    """Path of a folder that ``write(path)`` fills once per session."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _STORED:
+        path = scratch_path(spark, "zone")
+        write(path)
+        _STORED[k] = path
+    return _STORED[k]
+
+
 # (application id, data dir) -> the session's table handles
 _VIEWS: dict[tuple[str, str], "Views"] = {}
 
@@ -111,8 +121,24 @@ class Views:
 
     @cached_property
     def overview(self) -> DataFrame:
-        return rollups.overview_agg(self.master, self.catalogue)
+        """Stored overview roll-up, as requests read it."""
+        return stored_table(self.spark, f"{self.sf_dir}|overview",
+                            lambda: rollups.overview_agg(self.master, self.catalogue))
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return rollups.regional_weekly(self.enriched)
+        """Stored regional weekly roll-up."""
+        return stored_table(self.spark, f"{self.sf_dir}|weekly",
+                            lambda: rollups.regional_weekly(self.enriched))
+
+    @cached_property
+    def leads_zone(self) -> str:
+        """Folder of the enriched leads, partitioned by campaign."""
+        return stored_zone(self.spark, f"{self.sf_dir}|leads_zone",
+                           lambda path: io.write_leads_partitioned(self.enriched, path))
+
+    @cached_property
+    def campaigns_zone(self) -> str:
+        """Folder of the campaign master, partitioned by year and month."""
+        return stored_zone(self.spark, f"{self.sf_dir}|campaigns_zone",
+                           lambda path: io.write_campaigns_partitioned(self.master, path))
