@@ -97,18 +97,20 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
                              F.lit(1).cast("long").alias("steps")), "chat-up")
     leaves = materialize(up.select("tree", "node").join(
         up.filter("up IS NOT NULL").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti"), "chat-leaves")
-    levels = [up]
+    # only messages that have not reached their root are joined again
+    whole, active = up.filter("up IS NULL"), up.filter("up IS NOT NULL")
+    levels = [active]
     limit = up.count().bit_length()
     # a cycle never ends, a path of n messages ends after log2(n) doublings
-    while len(levels) <= limit and not levels[-1].filter("up IS NOT NULL").isEmpty():
-        now = levels[-1]
-        far = now.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
-                         F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        levels.append(materialize(
-            now.join(far, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")), "left")
-            .select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                    (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "chat-up"))
-    whole = levels[-1].filter("up IS NULL")
+    while len(levels) <= limit and not active.isEmpty():
+        far = whole.union(active).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
+                                         F.col("total").alias("_total"), F.col("steps").alias("_steps"))
+        new = materialize(
+            active.join(far, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")))
+            .select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+                    (F.col("steps") + F.col("_steps")).alias("steps")), "chat-up")
+        whole, active = whole.union(new.filter("up IS NULL")), new.filter("up IS NOT NULL")
+        levels.append(active)
     w = W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")
     chosen = (whole.join(leaves, ["tree", "node"])
               .select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("path_score"), "steps")
@@ -117,7 +119,7 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
                                       F.col("leaf").alias("node")), "chat-paths")
     # every message so far also leads to the one 2**k above it
     for k in range(len(levels) - 1, -1, -1):
-        above = levels[k].filter("up IS NOT NULL").select("tree", "node", F.col("up").alias("_above"))
+        above = levels[k].select("tree", "node", F.col("up").alias("_above"))
         paths = materialize(paths.unionByName(
             paths.join(above, ["tree", "node"]).select("tree", "leaf", "rank", "path_score",
                                                        (F.col("place") - (1 << k)).alias("place"), F.col("_above").alias("node"))),
