@@ -21,12 +21,18 @@ def _map_keys_text(dt: MapType) -> bool:
     return isinstance(dt.keyType, StringType)
 
 
+def _only(dt: DataType, pii: set[str]) -> bool:
+    """A struct (or an array of structs) of nothing but personal fields: it is
+    dropped as a whole, since a struct without fields cannot be stored."""
+    if isinstance(dt, ArrayType):
+        return _only(dt.elementType, pii)
+    return isinstance(dt, StructType) and all(f.name in pii or _only(f.dataType, pii) for f in dt.fields)
+
+
 def _clean(c: Column, dt: DataType, pii: set[str]) -> Column:
     if isinstance(dt, StructType):
-        drop = [f.name for f in dt.fields if f.name in pii]
-        keep = [f for f in dt.fields if f.name not in pii]
-        if not keep:
-            return F.lit(None).cast(StructType([]))
+        drop = [f.name for f in dt.fields if f.name in pii or _only(f.dataType, pii)]
+        keep = [f for f in dt.fields if f.name not in drop]
         out = c.dropFields(*drop) if drop else c
         for f in keep:
             if _needs(f.dataType, pii):
@@ -60,7 +66,7 @@ def strip_pii(df: DataFrame, fields: Iterable[str] = PII_FIELDS) -> DataFrame:
     pii = set(fields)
     cols = []
     for f in df.schema.fields:
-        if f.name in pii:
+        if f.name in pii or _only(f.dataType, pii):
             continue
         cols.append(_clean(F.col(f.name), f.dataType, pii).alias(f.name)
                     if _needs(f.dataType, pii) else F.col(f.name))
@@ -90,23 +96,46 @@ def pii_paths(schema: StructType, fields: Iterable[str] = PII_FIELDS, prefix: st
     return out
 
 
+def _any_of(items: Column, dt: DataType, pii: set[str], path: str) -> list[tuple[str, Column]]:
+    """An array holds personal data at a path if any element does."""
+    def at(i: int) -> Column:
+        return F.exists(items, lambda x: F.coalesce(_holders(x, dt, pii, path)[i][1], F.lit(False)))
+
+    return [(p, at(i)) for i, (p, _) in enumerate(_holders(items.getItem(0), dt, pii, path))]
+
+
+def _holders(c: Column, dt: DataType, pii: set[str], path: str) -> list[tuple[str, Column]]:
+    """(path, whether this value holds personal data there) for every path below."""
+    out: list[tuple[str, Column]] = []
+    if isinstance(dt, StructType):
+        for f in dt.fields:
+            p = f"{path}.{f.name}" if path else f.name
+            if f.name in pii:
+                out.append((p, c.getField(f.name).isNotNull()))
+            out += _holders(c.getField(f.name), f.dataType, pii, p)
+    elif isinstance(dt, ArrayType):
+        out += _any_of(c, dt.elementType, pii, f"{path}[]")
+    elif isinstance(dt, MapType):
+        if _map_keys_text(dt):
+            out.append((f"{path}{{}}", F.exists(F.map_keys(c), lambda k: k.isin(sorted(pii)))))
+        out += _any_of(F.map_values(c), dt.valueType, pii, f"{path}{{}}")
+    return out
+
+
 def pii_report(df: DataFrame, fields: Iterable[str] = PII_FIELDS) -> DataFrame:
-    """F16: for each top-level personal-data column, how many rows carry a
-    value (one aggregation pass); nested paths are listed with a null count."""
+    """F16: per path that can hold personal data, how many rows carry a value
+    there, at any depth, in one aggregation pass. A text-keyed map is listed
+    only if some row has a personal key in it."""
     pii = set(fields)
-    top = [f.name for f in df.schema.fields if f.name in pii]
-    nested = [p for p in pii_paths(df.schema, pii) if p not in top]
-    spark = df.sparkSession
-    parts = []
-    if top:
-        agg = df.agg(*[F.count(F.col(c)).alias(c) for c in top])
-        parts.append(agg.unpivot([], top, "path", "rows_with_value"))
-    if nested:
-        parts.append(spark.createDataFrame([(p, None) for p in nested],
-                                           "path string, rows_with_value long"))
-    if not parts:
-        return spark.createDataFrame([], "path string, rows_with_value long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found: list[tuple[str, Column]] = []
+    for f in df.schema.fields:
+        if f.name in pii:
+            found.append((f.name, F.col(f.name).isNotNull()))
+        found += _holders(F.col(f.name), f.dataType, pii, f.name)
+    if not found:
+        return df.sparkSession.createDataFrame([], "path string, rows_with_value long")
+    counts = df.agg(*[F.count_if(has).alias(f"p{i}") for i, (_, has) in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(path).alias("path"), F.col(f"p{i}").alias("rows_with_value"))
+                     for i, (path, _) in enumerate(found)])
+    return (counts.select(F.inline(rows))
+            .filter(~(F.col("path").endswith("{}") & (F.col("rows_with_value") == 0))))

@@ -75,7 +75,20 @@ def test_strip_pii_nested(spark):
     assert r.m == {"ok": "2"}
     assert privacy.pii_paths(df.schema) == ["cif", "s.cif", "arr[].nama_lengkap", "m{}"]
     rep = {r.path: r.rows_with_value for r in privacy.pii_report(df).collect()}
-    assert rep["cif"] == 1 and "s.cif" in rep
+    assert rep == {"cif": 1, "s.cif": 1, "arr[].nama_lengkap": 1, "m{}": 1}
+
+
+def test_pii_counts_and_structs_of_nothing_else(spark):
+    df = spark.createDataFrame(
+        [(None, {"cif": "9"}, [{"v": {"cif": None}}, {"v": {"cif": "2"}}], {"ok": "2"}, {"a": {"cif": "1", "k": 1}}),
+         ("5", None, [], {"ok": "3"}, None)],
+        "cif string, s struct<cif:string>, arr array<struct<v:struct<cif:string>,k:int>>, m map<string,string>, "
+        "n map<string,struct<cif:string,k:int>>")
+    rep = {r.path: r.rows_with_value for r in privacy.pii_report(df).collect()}
+    assert rep == {"cif": 1, "s.cif": 1, "arr[].v.cif": 1, "n{}.cif": 1}       # m holds no personal key
+    out = privacy.strip_pii(df)
+    assert out.columns == ["arr", "m", "n"] and out.schema["arr"].dataType.elementType.names == ["k"]
+    assert out.first().n["a"].asDict() == {"k": 1}
 
 
 def test_audit_params_merge_and_cap(spark):
