@@ -94,7 +94,7 @@ class Views:
 
     @cached_property
     def enriched_fresh(self) -> DataFrame:
-        return clean.enrich_leads(self.leads, self.monitoring_raw)
+        return clean.enrich_leads(self.leads, bindings.outcomes_raw(self.spark, self.sf_dir))
 
     @cached_property
     def master_fresh(self) -> DataFrame:

@@ -125,6 +125,28 @@ def monitoring_raw(spark: SparkSession, sf_dir: str, raw_gap: bool = False) -> D
                       F.col("l.l_suppkey").alias("_src_suppkey")))
 
 
+def outcomes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``monitoring_raw`` that say who converted: the lead key,
+    the outcome and its lineage. None comes from the customer, so the outcome
+    path joins line items with orders only."""
+    li = (table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    start = F.trunc(F.to_date("o_orderdate"), "month")
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+              .select(F.col("o_custkey").cast("string").alias("cif"),
+                      F.col("o_orderpriority").alias("nama_program"),
+                      _render_date(start, F.col("o_orderkey")).alias("periode_start"),
+                      F.lit("YES").alias("take_up_flag"),
+                      _render_date(F.date_add(start, (F.col("l_partkey") % 120).cast("int")),
+                                   F.col("l_linenumber")).alias("take_up_date"),
+                      F.col("l_extendedprice").cast("double").alias("total_transaction_value"),
+                      F.col("o_orderkey").alias("_src_orderkey"),
+                      F.col("l_linenumber").cast("long").alias("_src_linenumber"),
+                      F.col("l_partkey").alias("_src_partkey"),
+                      F.col("l_suppkey").alias("_src_suppkey")))
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per campaign: name, planned start and end date, duration."""
     from leadflow.functions.exprs import campaign_slug
