@@ -72,17 +72,19 @@ class Encoder:
         return cls._made[path]
 
     def _fresh(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)     # hashes of the kept pieces, ascending
+        self.slot = np.zeros(0, np.int32)       # and each one's place in start and size
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.size = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
+    def _add(self, k: int, pieces: list[str]) -> None:
+        """Keeps the pieces' ids in the places from k on."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        k, m = len(self.known), len(found)
+        m = len(found)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.start) < k + m:
@@ -92,7 +94,6 @@ class Encoder:
         self.start[k:k + m] = self.used + np.cumsum(size) - size
         self.size[k:k + m] = size
         self.used += len(flat)
-        self.known.update(zip(hashes, range(k, k + m)))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text's ids)."""
@@ -104,20 +105,22 @@ class Encoder:
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(uniq) > KEPT:
             self._fresh()
-        keys = uniq.tolist()
-        place = np.fromiter(map(self.known.get, keys, [-1] * len(keys)), np.int64, len(keys))
-        new = np.flatnonzero(place < 0)
-        raw = buf.tobytes()
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            at = first[part]
-            self._add([keys[i] for i in part.tolist()],
-                      [raw[s:e].decode("utf-8", "replace")
-                       for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+        at = np.searchsorted(self.known, uniq)
+        near = np.minimum(at, max(0, len(self.known) - 1))
+        have = self.known[near] == uniq if len(self.known) else np.zeros(len(uniq), bool)
+        place = np.where(have, self.slot[near], -1) if len(self.known) else np.full(len(uniq), -1)
+        new = np.flatnonzero(~have)
         if len(new):
-            place[new] = [self.known[keys[i]] for i in new.tolist()]
+            k, raw = len(self.known), buf.tobytes()
+            for lo in range(0, len(new), 20_000):
+                here = first[new[lo:lo + 20_000]]
+                self._add(k + lo, [raw[s:e].decode("utf-8", "replace")
+                                   for s, e in zip(starts[here].tolist(), ends[here].tolist())])
+            place[new] = k + np.arange(len(new))
+            self.known = np.insert(self.known, at[new], uniq[new])
+            self.slot = np.insert(self.slot, at[new], place[new])
         each = place[inverse]
-        size = self.size[each]
+        size = self.size[each].astype(np.int64)
         total = np.cumsum(size)
         out = self.ids[np.repeat(self.start[each] - (total - size), size) + np.arange(int(total[-1]))]
         upto = np.concatenate([[0], total])
