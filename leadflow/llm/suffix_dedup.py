@@ -46,7 +46,7 @@ WIDTH = 200
 GRAM = 40
 #: Different segments of one gram up to which they are sorted in one shard.
 SHARD_SEGMENTS = 2000
-#: Bytes of segments per suffix array.
+#: Bytes of segments per suffix array, copies included.
 SHARD_BYTES = 1 << 20
 #: Stands between segments; no UTF-8 text holds this byte.
 _BETWEEN = 0xFF
@@ -209,7 +209,7 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
                     yield flush()
                     wait, size = [], 0
                 wait.append(row)
-                size += len(row[3])
+                size += len(row[3]) * min(row[2], 2)
         if wait:
             yield flush()
 
