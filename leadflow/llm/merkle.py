@@ -181,7 +181,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                  pa.array(np.concatenate([np.zeros(len(ids), bool), np.ones(len(last), bool)])),
                  batch.column(0).take(keep), batch.column(1).take(keep)], ["bucket", "guest", "doc_id", "text"])
 
-    return (rows.mapInArrow(deal, "bucket int, guest boolean, doc_id long, text string")
+    return (rows.mapInArrow(T.tidy(deal), "bucket int, guest boolean, doc_id long, text string")
             .repartitionById(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text"))
 
 
@@ -215,7 +215,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                  pa.array([likeness(a[2], b[2]) for a, b in pairs])],
                 [c.split()[0] for c in _RESULT.split(", ")])
 
-    return with_next(docs).mapInArrow(run, _RESULT)
+    return with_next(docs).mapInArrow(T.tidy(run), _RESULT)
 
 
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+            .mapInArrow(T.tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                     ["id", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")) \
-        .mapInArrow(run, "id long, shingles array<long>")
+        .mapInArrow(T.tidy(run), "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

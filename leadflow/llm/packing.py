@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(T.tidy(run), schema)
 
 
 def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
@@ -197,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq), pa.array(off)],
                                              [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema).select(*pieces.columns, "sequence_id", "offset")
+    return ranked.mapInArrow(T.tidy(run), schema).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -149,7 +149,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select(text.alias("text"), F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("name"),
                        F.xxhash64(text).alias("text_id"), F.octet_length(text).cast("long").alias("n_bytes"),
                        F.sha2(text, 256).alias("sha256")) \
-        .mapInArrow(run, "doc_id long, name binary, text_id long, n_bytes long, sha256 string, grams array<long>")
+        .mapInArrow(T.tidy(run), "doc_id long, name binary, text_id long, n_bytes long, sha256 string, grams array<long>")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _segments(texts: DataFrame) -> DataFrame:
                     ["gram", "seg", "name", "start", "copies", "bytes"])
 
     return texts.select("text", "name", "copies", "grams").mapInArrow(
-        run, "gram long, seg binary, name binary, start long, copies long, bytes binary")
+        T.tidy(run), "gram long, seg binary, name binary, start long, copies long, bytes binary")
 
 
 _FOUND = "gram long, seg binary, lo array<long>, hi array<long>"
@@ -214,7 +214,7 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
             yield flush()
 
     return (segments.select("gram", "seg", "copies", "bytes").repartition("gram").sortWithinPartitions("gram")
-            .mapInArrow(run, _FOUND))
+            .mapInArrow(T.tidy(run), _FOUND))
 
 
 def _counted_strings(segments: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _counted_strings(segments: DataFrame) -> DataFrame:
                      pa.array(at), pa.array(copies[row])], ["h0", "h1", "gram", "seg", "at", "copies"])
 
     strings = segments.select("gram", "seg", "copies", "bytes").mapInArrow(
-        run, "h0 long, h1 long, gram long, seg binary, at long, copies long")
+        T.tidy(run), "h0 long, h1 long, gram long, seg binary, at long, copies long")
     many = (strings.groupBy("h0", "h1").agg(F.sum("copies").alias("_n")).filter("_n > 1").drop("_n"))
     return (strings.join(many, ["h0", "h1"]).groupBy("gram", "seg")
             .agg(F.collect_list("at").alias("lo"))
@@ -308,7 +308,7 @@ def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
                 ["name", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     stripped = (texts.select("name", "text").join(spans, "name").select("name", "text", "spans")
-                .mapInArrow(strip, "name binary, n_removed long, n_spans long, kept_sha256 string, kept string")
+                .mapInArrow(T.tidy(strip), "name binary, n_removed long, n_spans long, kept_sha256 string, kept string")
                 .dropDuplicates(["name"]))
     return rows.select("doc_id", "name", "n_bytes", "sha256"), stripped
 

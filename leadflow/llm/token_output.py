@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
 
     dealt = (docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
              .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    files = materialize(dealt.mapInArrow(run, "file int, path string, n_docs long, n_ids long"), "token-files")
+    files = materialize(dealt.mapInArrow(T.tidy(run), "file int, path string, n_docs long, n_ids long"), "token-files")
     # a row per file, a few hundred bytes for a file of many megabytes
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -83,7 +83,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     n = max(1, files.count())
     return (files.select("path", "start", "file").repartitionById(n, F.col("file").cast("int") % F.lit(n))
-            .select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+            .select("path", "start").mapInArrow(T.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def op5_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:

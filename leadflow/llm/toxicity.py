@@ -276,7 +276,7 @@ def _term_counts(sample: DataFrame, toxic: bool, wanted: np.ndarray | None) -> D
                     ["term", "kind", "n"])
 
     return (sample.filter(F.col("toxic") == int(toxic)).select("text")
-            .mapInArrow(run, "term long, kind int, n long").groupBy("term").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")))
+            .mapInArrow(T.tidy(run), "term long, kind int, n long").groupBy("term").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
@@ -326,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
                      pa.ListArray.from_arrays(pa.array(upto), pa.array(term.astype(np.int32)))], ["votes", "terms"])
 
     # one short row per sampled text: its votes and its terms among WEIGHED
-    seen = sample.select("text").mapInArrow(vote, "votes binary, terms array<int>").toArrow()
+    seen = sample.select("text").mapInArrow(T.tidy(vote), "votes binary, terms array<int>").toArrow()
     votes = np.array([np.frombuffer(v, np.int8) for v in seen["votes"].to_pylist()]).astype(float)
     lists = seen["terms"].combine_chunks()
     hits = (votes > 0).astype(float)
@@ -357,7 +357,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import StructType
     schema = StructType(list(docs.schema)).add("score", "double").add("predicted", "integer")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(T.tidy(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
