@@ -21,7 +21,7 @@ banded buckets, star-shaped candidate edges, links confirmed on full sets.
 Defined results: null or empty text (or white space only) has no shingles, is
 linked with nothing and kept; a null doc_id has no component and is kept; rows
 with the same doc_id are one node; other columns are not read, whatever their
-names; an empty table gives no rows.
+names; an empty table gives no rows. ``keep_one`` goes by rows instead.
 """
 
 from __future__ import annotations
@@ -238,10 +238,18 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id."""
-    gone = near_classes(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with exactly one row of each near-duplicate group: the smallest
+    doc_id (null last), then the first row. Rows are told apart by an id of
+    their own, so repeated rows and null ids are members like any other."""
+    keep = docs.columns
+    docs = materialize(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-docs")
+    found = near_classes(docs.select(F.col("_near_row").alias("doc_id"), "text"), percent)
+    ids = docs.select("_near_row", F.col("doc_id").cast("long").alias("_id"))
+    stay = (found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_near_row"))
+            .groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+            .select(F.col("first._row").alias("_stay")))
+    return docs.join(stay, F.col("_near_row") == F.col("_stay"), "left_semi").select(*keep)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
