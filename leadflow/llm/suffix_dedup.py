@@ -17,10 +17,11 @@ documents they come from:
 4. Repeated starts go back to every copy of their segment, and per text the
    covered bytes are removed.
 
-A gram in very many different segments (a common line shorter than ``WIDTH``)
-is split by content instead: its strings are counted one by one by a 128-bit
-hash, which keeps any one task small and is exact for them as well
-(``SHARD_SEGMENTS``). Equal texts are handled once.
+A gram in very many different segments (a common line shorter than ``WIDTH``),
+or in long ones (filler with a short period has one gram throughout), is split
+by content instead: its strings are counted by a 128-bit hash, which keeps any
+one task small and is exact for them as well (``SHARD_SEGMENTS``,
+``GRAM_BYTES``). Equal texts are handled once.
 
 Defined results: null or empty text, or one under ``WIDTH`` bytes, stays whole;
 a null doc_id is an id like any other; repeated rows are copies of each other,
@@ -48,6 +49,10 @@ GRAM = 40
 SHARD_SEGMENTS = 2000
 #: Bytes of segments per suffix array, copies included.
 SHARD_BYTES = 1 << 20
+#: Bytes of one gram's segments, copies included, up to which they are sorted in one shard.
+GRAM_BYTES = 2 << 20
+#: Starts whose strings are counted at once.
+COUNTED = 1 << 20
 #: Stands between segments; no UTF-8 text holds this byte.
 _BETWEEN = 0xFF
 _NO_ID = -(1 << 63)
@@ -139,6 +144,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             for i, j in T.slices(offsets, 1 << 20):
                 own = offsets[i:j + 1] - offsets[i]
                 at, name = anchors(buf[offsets[i]:offsets[j]], own)
+                # two of a gram in a row say as much as a whole region of it
+                text = np.searchsorted(own, at, "right")
+                more = (name[2:] == name[:-2]) & (name[2:] == name[1:-1]) & (text[2:] == text[:-2])
+                few = np.concatenate((np.ones(min(2, len(at)), bool), ~more))
+                at, name = at[few], name[few]
                 upto = np.searchsorted(at, own).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(name.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -217,8 +227,42 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
             .mapInArrow(T.tidy(run), _FOUND))
 
 
+def _windows(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, a, b): bytes a to b of the segments i to j; of a long segment's
+    many windows, each has its own starts."""
+    for i, j in T.slices(offsets, COUNTED):
+        if j > i + 1 or offsets[j] - offsets[i] <= COUNTED:
+            yield i, j, int(offsets[i]), int(offsets[j])
+        else:
+            for a in range(int(offsets[i]), int(offsets[j]) - WIDTH + 1, COUNTED):
+                yield i, j, a, min(a + COUNTED + WIDTH - 1, int(offsets[j]))
+
+
+def counted(own: np.ndarray, row: np.ndarray, a: np.ndarray, copies: np.ndarray) \
+        -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, number, hashes): what to count for the strings that start
+    at ``a``, of segments ``row`` with ``copies``. A string seen once has its
+    one start. One that is seen more often is named once, with number 2 and
+    no start; the ranges of such starts follow with the name of their first."""
+    h = np.stack([T.span_hash(T.prefix_hash(own, k), a, a + WIDTH, k).view(np.int64) for k in (0, 1)])
+    order = np.lexsort(h)
+    new = np.concatenate(([True], (h[:, order[1:]] != h[:, order[:-1]]).any(axis=0)))
+    name = np.cumsum(new) - 1
+    often = np.bincount(name, copies[order]) > 1
+    mark = np.zeros(len(a), bool)
+    mark[order] = often[name]
+    once, named = np.flatnonzero(~mark), order[new][often]
+    edge = row[1:] != row[:-1]
+    lo = np.flatnonzero(mark & np.concatenate(([True], edge | ~mark[:-1])))
+    hi = np.flatnonzero(mark & np.concatenate((edge | ~mark[1:], [True]))) + 1
+    place = np.concatenate((once, named, lo))
+    kinds = [len(once), len(named), len(lo)]
+    length = np.concatenate((np.ones(kinds[0], np.int64), np.zeros(kinds[1], np.int64), hi - lo))
+    return place, length, np.repeat([1, 2, 0], kinds), h[:, place]
+
+
 def _counted_strings(segments: DataFrame) -> DataFrame:
-    """The same for grams with too many different segments: string by string."""
+    """The same for grams with too many or too long segments: string by string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,23 +270,25 @@ def _counted_strings(segments: DataFrame) -> DataFrame:
             gram = batch.column(0).to_numpy()
             copies = batch.column(2).to_numpy()
             seg = batch.column(1)
-            for i, j in T.slices(offsets, 1 << 20):
-                own = buf[offsets[i]:offsets[j]]
-                count = np.maximum(np.diff(offsets[i:j + 1]) - WIDTH + 1, 0)
+            for i, j, first, last in _windows(offsets):
+                begin = np.maximum(offsets[i:j], first)
+                count = np.maximum(np.minimum(offsets[i + 1:j + 1], last) - begin - WIDTH + 1, 0)
                 row = np.repeat(np.arange(i, j), count)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                a = offsets[row] - offsets[i] + at
-                h = [T.span_hash(T.prefix_hash(own, k), a, a + WIDTH, k).view(np.int64) for k in (0, 1)]
+                if not len(row):
+                    continue
+                a = begin[row - i] - first + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                place, length, number, h = counted(buf[first:last], row, a, copies[row])
+                row, lo = row[place], (a + first - offsets[row])[place]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[0]), pa.array(h[1]), pa.array(gram[row]), seg.take(pa.array(row)),
-                     pa.array(at), pa.array(copies[row])], ["h0", "h1", "gram", "seg", "at", "copies"])
+                     pa.array(lo), pa.array(lo + length), pa.array(number)], ["h0", "h1", "gram", "seg", "lo", "hi", "copies"])
 
     strings = segments.select("gram", "seg", "copies", "bytes").mapInArrow(
-        T.tidy(run), "h0 long, h1 long, gram long, seg binary, at long, copies long")
+        T.tidy(run), "h0 long, h1 long, gram long, seg binary, lo long, hi long, copies long")
     many = (strings.groupBy("h0", "h1").agg(F.sum("copies").alias("_n")).filter("_n > 1").drop("_n"))
-    return (strings.join(many, ["h0", "h1"]).groupBy("gram", "seg")
-            .agg(F.collect_list("at").alias("lo"))
-            .select("gram", "seg", "lo", F.transform("lo", lambda x: x + 1).alias("hi")))
+    return (strings.filter("lo < hi").join(many, ["h0", "h1"]).groupBy("gram", "seg")
+            .agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+            .select("gram", "seg", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi")))
 
 
 def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -262,13 +308,15 @@ def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
              .select("name", "copies", "grams", "text"))
     texts = materialize(texts, "suffix-texts")
 
-    cut = materialize(_segments(texts), "suffix-segments")
+    cut = materialize(_segments(texts).withColumn("size", F.octet_length("bytes").cast("long")), "suffix-segments")
     pick = F.xxhash64("name", "start")
-    kinds = cut.groupBy("gram", "seg").agg(F.sum(F.least("copies", F.lit(2))).alias("copies"), F.min(pick).alias("pick"))
+    kinds = cut.groupBy("gram", "seg").agg(F.sum(F.least("copies", F.lit(2))).alias("copies"), F.min(pick).alias("pick"),
+                                          F.max("size").alias("size"))
     kinds = materialize(kinds, "suffix-kinds")
-    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.sum("copies").alias("_all"))
-    calm = kinds.join(per_gram.filter((F.col("n") <= SHARD_SEGMENTS)).select("gram"), "gram", "left_semi")
-    busy = per_gram.filter(F.col("n") > SHARD_SEGMENTS).select("gram")
+    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.least("copies", F.lit(2))).alias("size"))
+    small = (F.col("n") <= SHARD_SEGMENTS) & (F.col("size") <= GRAM_BYTES)
+    calm = kinds.join(per_gram.filter(small).select("gram"), "gram", "left_semi")
+    busy = per_gram.filter(~small).select("gram")
 
     def one_of_each(kind: DataFrame) -> DataFrame:
         k = kind.select(F.col("gram").alias("_g"), F.col("seg").alias("_s"), F.col("copies").alias("_c"), "pick")
