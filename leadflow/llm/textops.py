@@ -1,8 +1,10 @@
 """Vectorised work on the UTF-8 bytes of a batch of texts (numpy, inside tasks).
 
 A batch is one byte array plus the offsets of its texts, taken from Arrow
-without copying. Words and pieces are spans of that array, hashed all at once
-with a polynomial prefix sum modulo 2**64 and a finalising mix.
+without copying. Words and pieces are spans of that array, hashed all at once:
+``chunk_hash`` chains their 8-byte chunks through a bijective mix, whatever
+their bytes. ``prefix_hash`` and ``span_hash`` (a polynomial modulo 2**64) are
+for short sliding windows only: they collide on some long periodic strings.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Odd multipliers of the polynomial; a second one gives an independent hash.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -21,6 +24,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
+#: Bytes of a span that are mixed 8 at a time; longer spans go to xxh3 one by one.
+CHAINED = 64
+_KEPT_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def tidy(run):
@@ -94,12 +100,31 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+; none crosses a text."""
+def chunk_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every span; equal bytes have equal hashes wherever they
+    stand. Spans of one length up to 8 bytes never share a hash."""
+    wide = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(BASES[0]))
+    here = np.flatnonzero((size > 0) & (size <= CHAINED))
+    for at in range(0, CHAINED, 8):
+        left = size[here] - at
+        h[here] = mix(h[here] ^ (wide[starts[here] + at] & _KEPT_BYTES[np.minimum(left, 8)]))
+        here = here[left > 8]
+        if not len(here):
+            break
+    for i in np.flatnonzero(size > CHAINED).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i]:ends[i]])
+    return h
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of bytes that are not ``apart``
+    (by default [^\\x20\\x09-\\x0D]+); none crosses a text."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~SPACE[buf]
+    solid = ~apart[buf]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     begin = solid.copy()
