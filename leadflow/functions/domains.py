@@ -40,6 +40,25 @@ PII_FIELDS = ["nama_lengkap", "nomor_rekening", "nomor_identitas", "alamat_lengk
 NO_SIMILAR_MESSAGE = "Tidak ada campaign serupa ditemukan. Coba perluas dimensi pencarian."
 NOT_AVAILABLE = "N/A"
 
+# a lead's natural key; the columns the cleaning step writes in upper case
+NATURAL_KEY = ["cif", "nama_program", "periode_start"]
+UPPERCASE_COLUMNS = ["segment_by_aum", "range_usia", "flag_program", "media_blasting"]
+
+# grouping keys of the campaign master
+MASTER_KEYS = ["campaign_id", "nama_program", "flag_program", "jenis_leads",
+               "media_blasting", "wilayah", "periode_start", "year", "month"]
+
+# the overview roll-up: grouping keys, additive columns, columns in stored order
+OVERVIEW_KEYS = ["period_start", "period_end", "granularity", "product", "channel", "region"]
+OVERVIEW_SUMS = ["total_leads", "total_take_up", "total_transaction_value"]
+OVERVIEW_COLUMNS = ["period_start", "period_end", "granularity", "product", "channel", "region",
+                    "total_leads", "total_take_up", "take_up_rate", "total_transaction_value",
+                    "campaign_count"]
+
+# columns of the exported campaign table
+EXPORT_COLUMNS = ["nama_program", "flag_program", "media_blasting", "jenis_leads", "wilayah",
+                  "total_leads", "total_take_up", "take_up_rate"]
+
 WEEKLY_MAX_DAYS = 90          # <= 90 days of campaign: weekly buckets, else monthly
 MAX_SIMILAR_RESULTS = 20      # top-k cap of the similar-campaign lookup
 MAX_REGION_TREND_WEEKS = 8    # weeks in the per-region trend

@@ -19,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadflow.functions.domains import NATURAL_KEY, UPPERCASE_COLUMNS
 from leadflow.functions.exprs import campaign_slug, is_yes, parse_mixed_date
 
-NATURAL_KEY = ["cif", "nama_program", "periode_start"]
-UPPERCASE_COLUMNS = ["segment_by_aum", "range_usia", "flag_program", "media_blasting"]
-
 
 def filter_valid_cif(df: DataFrame) -> DataFrame:
     """Drop rows whose customer id is null, empty or blank."""

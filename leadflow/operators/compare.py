@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.exprs import is_yes, rate_pct, rnd
+from leadflow.operators.ordering import with_position
 
 COMPARISON_METRICS = ["total_leads", "total_take_up", "take_up_rate",
                       "total_transaction_value", "duration_days"]
@@ -67,9 +68,14 @@ def comparison_long(metrics: DataFrame) -> DataFrame:
     return wide.unpivot("campaign_id", COMPARISON_METRICS, "metric", "value")
 
 
-def sort_by_attribute(df: DataFrame, attribute: str, ascending: bool = True) -> DataFrame:
-    """O1: order by any column of the schema, missing values last."""
+def sort_by_attribute(df: DataFrame, attribute: str, ascending: bool = True,
+                      ties: list[str] | None = None) -> DataFrame:
+    """O1: order by any column of the schema, missing values last. With ``ties``,
+    columns that settle equal values, rows also carry their ``position``."""
     if attribute not in df.columns:
         raise ValueError(f"unknown sort attribute {attribute!r}")
     c = F.col(attribute)
-    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last())
+    c = c.asc_nulls_last() if ascending else c.desc_nulls_last()
+    if ties is None:
+        return df.orderBy(c)
+    return with_position(df, c, *[F.col(t).asc_nulls_last() for t in ties]).orderBy("position")

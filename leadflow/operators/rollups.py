@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.functions.domains import (DEFAULT_LOOKBACK_DAYS, MAX_REGION_TREND_WEEKS,
+from leadflow.functions.domains import (DEFAULT_LOOKBACK_DAYS, MASTER_KEYS, MAX_REGION_TREND_WEEKS,
+                                        OVERVIEW_COLUMNS, OVERVIEW_KEYS, OVERVIEW_SUMS,
                                         RATE_BAND_HIGH, RATE_BAND_MEDIUM)
 from leadflow.functions.exprs import (granularity, is_yes, money, period_end_for,
                                       period_start_for, rate_pct, rnd, week_start)
-
-MASTER_KEYS = ["campaign_id", "nama_program", "flag_program", "jenis_leads",
-               "media_blasting", "wilayah", "periode_start", "year", "month"]
+from leadflow.operators.distinct import BITS, campaign_bits, merged_counts
+from leadflow.operators.ordering import with_position
 
 
 # ------------------------------------------------------------ campaign master
@@ -77,25 +77,36 @@ def with_period_buckets(df: DataFrame) -> DataFrame:
               .withColumn("period_end", period_end_for("period_bucket", "granularity")))
 
 
+def overview_cells(master: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """The master's rows with the roll-up's keys (``OVERVIEW_KEYS``) in front."""
+    sources = {"period_start": F.col("period_bucket"), "product": F.col("flag_program"),
+               "channel": F.col("media_blasting"), "region": F.col("wilayah").cast("string")}
+    rows = with_period_buckets(with_granularity(master, catalogue))
+    return rows.select(*[sources.get(k, F.col(k)).alias(k) for k in OVERVIEW_KEYS],
+                       "campaign_id", *OVERVIEW_SUMS)
+
+
+def overview_columns(rolled: DataFrame) -> DataFrame:
+    """The roll-up's columns in their fixed order, the rate recomputed."""
+    rated = rolled.withColumn("take_up_rate", rate_pct("total_take_up", "total_leads"))
+    return rated.select(*OVERVIEW_COLUMNS, *[c for c in rated.columns if c == BITS])
+
+
 def overview_agg(master: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """A2: roll-up by period, granularity, product, channel and region."""
-    df = with_period_buckets(with_granularity(master, catalogue))
-    g = df.groupBy(
-        F.col("period_bucket").alias("period_start"),
-        "period_end", "granularity",
-        F.col("flag_program").alias("product"),
-        F.col("media_blasting").alias("channel"),
-        F.col("wilayah").cast("string").alias("region"),
-    ).agg(
-        F.sum("total_leads").alias("total_leads"),
-        F.sum("total_take_up").alias("total_take_up"),
-        F.sum("total_transaction_value").alias("total_transaction_value"),
-        F.count_distinct("campaign_id").alias("campaign_count"),
-    )
-    return g.select("period_start", "period_end", "granularity", "product", "channel",
-                    "region", "total_leads", "total_take_up",
-                    rate_pct("total_take_up", "total_leads").alias("take_up_rate"),
-                    "total_transaction_value", "campaign_count")
+    return overview_columns(overview_cells(master, catalogue).groupBy(*OVERVIEW_KEYS).agg(
+        *[F.sum(c).alias(c) for c in OVERVIEW_SUMS],
+        F.count_distinct("campaign_id").alias("campaign_count")))
+
+
+def overview_mergeable(master: DataFrame, catalogue: DataFrame | None, numbers: DataFrame) -> DataFrame:
+    """A2 with each row's campaigns as bitmaps over ``numbers`` (campaign_id,
+    campaign_no), so that rows can be merged without counting a campaign twice."""
+    cells = overview_cells(master, catalogue).join(numbers, "campaign_id", "left")
+    sums = cells.groupBy(*OVERVIEW_KEYS).agg(*[F.sum(c).alias(c) for c in OVERVIEW_SUMS])
+    bits = campaign_bits(cells, OVERVIEW_KEYS).withColumnsRenamed({k: f"_{k}" for k in OVERVIEW_KEYS})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in OVERVIEW_KEYS]
+    return overview_columns(sums.join(bits, same, "left").withColumn("campaign_count", F.coalesce("campaign_count", F.lit(0).cast("long"))))
 
 
 def overview_query(agg: DataFrame, start=None, end=None, products=None,
@@ -136,13 +147,22 @@ def overview_totals(enriched: DataFrame) -> DataFrame:
 
 
 def overview_totals_from_agg(agg: DataFrame) -> DataFrame:
-    """A10: totals summed over roll-up rows; the campaign count is a *sum* of
-    per-group distinct counts (a campaign spanning groups counts repeatedly)."""
-    return agg.agg(
-        F.sum("total_leads").alias("total_leads"),
-        F.sum("total_take_up").alias("total_take_up"),
-        F.sum("campaign_count").cast("long").alias("campaign_group_count"),
-    ).withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
+    """A10: totals summed over roll-up rows. ``campaign_group_count`` is a *sum* of
+    per-group distinct counts (a campaign spanning groups counts repeatedly); a
+    mergeable roll-up also gives ``total_campaigns``, the different campaigns of
+    whatever rows are left after filters."""
+    sums = ["total_leads", "total_take_up", "campaign_count"]
+    out = merged_counts(agg, [], sums) if BITS in agg.columns else agg.agg(*[F.sum(c).alias(c) for c in sums])
+    return (out.withColumn("campaign_count", F.col("campaign_count").cast("long"))
+               .withColumnRenamed("campaign_count", "campaign_group_count")
+               .withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2)))
+
+
+def overview_by(agg: DataFrame, by: list[str]) -> DataFrame:
+    """A mergeable roll-up collapsed to fewer keys: leads, take-ups, rate and the
+    exact number of campaigns per group."""
+    return merged_counts(agg, by, ["total_leads", "total_take_up"]) \
+        .withColumn("take_up_rate", rnd(rate_pct("total_take_up", "total_leads"), 2))
 
 
 def overview_trend(agg: DataFrame) -> DataFrame:
@@ -154,6 +174,13 @@ def overview_trend(agg: DataFrame) -> DataFrame:
                .orderBy("period_start"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows of the roll-up or its trend with their ``position`` by period
+    start, then by the other keys, so that the order is the same every time."""
+    keys = [k for k in OVERVIEW_KEYS if k in rows.columns]
+    return with_position(rows, *[F.col(k).asc_nulls_last() for k in keys]).orderBy("position")
+
+
 def campaign_trend(master: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Per-campaign trend rows (period, leads, take-ups, rate)."""
     df = with_period_buckets(with_granularity(master, catalogue))

@@ -312,8 +312,9 @@ _OV = f"""period_start, period_end, granularity, product, channel, region, total
        round({rate('total_take_up', 'total_leads')}, 4) AS take_up_rate,
        {r4('total_transaction_value')}, campaign_count"""
 ORACLES["overview_agg"] = _q(f"SELECT {_OV} FROM ov")
+_OV_ORDER = "period_start, period_end, granularity, product, channel, region"
 ORACLES["overview_query"] = _q(f"""
-SELECT {_OV} FROM ov
+SELECT {_OV}, row_number() OVER (ORDER BY {_OV_ORDER}) AS position FROM ov
 WHERE period_start >= DATE '1996-01-01' AND period_end <= DATE '1999-12-31'
   AND product IN ('PROGRAM H1') AND channel IN ('URGENT', 'HIGH', 'LOW')
   AND region IN ('1', '2', '3', '4', '5', '6', '7', '8', '9')""")
@@ -326,13 +327,32 @@ FROM enriched""")
 ORACLES["overview_totals_from_agg"] = _q(f"""
 SELECT CAST(sum(total_leads) AS BIGINT) AS total_leads, CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
        CAST(sum(campaign_count) AS BIGINT) AS campaign_group_count,
+       (SELECT count(DISTINCT campaign_id) FROM master) AS total_campaigns,
        round({rate('sum(total_take_up)', 'sum(total_leads)')}, 2) AS take_up_rate
 FROM ov""")
-ORACLES["overview_trend"] = _q(f"""
-SELECT period_start, period_end, CAST(sum(total_leads) AS BIGINT) AS total_leads,
-       CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+ORACLES["overview_totals_filtered"] = _q(f"""
+, hit AS (
+  SELECT m.* FROM master m JOIN camp c ON m.campaign_id = c.campaign_id
+  WHERE c.period_bucket >= DATE '1996-01-01' AND c.period_end <= DATE '1999-12-31'
+    AND m.flag_program = 'PROGRAM H1' AND m.media_blasting IN ('URGENT', 'HIGH', 'LOW') AND m.wilayah BETWEEN 1 AND 9)
+SELECT CAST(sum(total_leads) AS BIGINT) AS total_leads, CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+       (SELECT CAST(sum(campaign_count) AS BIGINT) FROM ov
+        WHERE period_start >= DATE '1996-01-01' AND period_end <= DATE '1999-12-31' AND product = 'PROGRAM H1'
+          AND channel IN ('URGENT', 'HIGH', 'LOW') AND region IN ('1', '2', '3', '4', '5', '6', '7', '8', '9')) AS campaign_group_count,
+       count(DISTINCT campaign_id) AS total_campaigns,
        round({rate('sum(total_take_up)', 'sum(total_leads)')}, 2) AS take_up_rate
-FROM ov GROUP BY 1, 2""")
+FROM hit""")
+ORACLES["overview_by_channel"] = _q(f"""
+SELECT flag_program AS product, media_blasting AS channel, CAST(sum(total_leads) AS BIGINT) AS total_leads,
+       CAST(sum(total_take_up) AS BIGINT) AS total_take_up, count(DISTINCT campaign_id) AS total_campaigns,
+       round({rate('sum(total_take_up)', 'sum(total_leads)')}, 2) AS take_up_rate
+FROM master GROUP BY 1, 2""")
+ORACLES["overview_trend"] = _q(f"""
+SELECT *, row_number() OVER (ORDER BY period_start, period_end) AS position FROM (
+  SELECT period_start, period_end, CAST(sum(total_leads) AS BIGINT) AS total_leads,
+         CAST(sum(total_take_up) AS BIGINT) AS total_take_up,
+         round({rate('sum(total_take_up)', 'sum(total_leads)')}, 2) AS take_up_rate
+  FROM ov GROUP BY 1, 2) t""")
 ORACLES["overview_trend_filtered"] = _q(f"""
 SELECT campaign_id, period_start, period_end, total_leads, total_take_up, take_up_rate FROM (
   SELECT *, row_number() OVER (PARTITION BY period_start, period_end ORDER BY campaign_id) AS rn FROM (
@@ -442,7 +462,9 @@ SELECT r.id AS campaign_id, coalesce(x.total_leads, 0) AS total_leads, coalesce(
        coalesce(x.flag_program, '') AS flag_program
 FROM (VALUES ('1-URGENT_1997-01-01'), ('2-HIGH_1996-05-01'), ('NO-SUCH_2000-01-01')) r(id)
 LEFT JOIN (SELECT {_CMP} {_CMP_FROM}) x ON x.campaign_id = r.id""")
-ORACLES["sort_by_attribute"] = _q(f"SELECT {_CMP} {_CMP_FROM}")
+ORACLES["sort_by_attribute"] = _q(f"""
+SELECT *, row_number() OVER (ORDER BY take_up_rate DESC NULLS LAST, campaign_id) AS position
+FROM (SELECT {_CMP} {_CMP_FROM}) t""")
 ORACLES["comparison_long"] = _q(f"""
 , cm AS (SELECT {_CMP} {_CMP_FROM})
 SELECT campaign_id, 'total_leads' AS metric, CAST(total_leads AS DOUBLE) AS value FROM cm

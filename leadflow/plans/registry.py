@@ -97,10 +97,10 @@ def _overview_agg(v: Views):
 
 @register("overview_query")
 def _overview_query(v: Views):
-    """containment filter on the roll-up (whole roll-up scanned)."""
-    return rollups.overview_query(v.overview, start="1996-01-01", end="1999-12-31",
-                                  products=["PROGRAM H1"], channels=["urgent", "high", "low"],
-                                  regions=list(range(1, 10)))
+    """F7 + O6: containment filter on the roll-up (whole roll-up scanned), in order."""
+    return rollups.in_order(rollups.overview_query(
+        v.overview, start="1996-01-01", end="1999-12-31", products=["PROGRAM H1"],
+        channels=["urgent", "high", "low"], regions=list(range(1, 10))))
 
 
 @register("overview_totals")
@@ -110,12 +110,28 @@ def _overview_totals(v: Views):
 
 @register("overview_totals_from_agg")
 def _overview_totals_from_agg(v: Views):
-    return rollups.overview_totals_from_agg(v.overview)
+    return rollups.overview_totals_from_agg(v.overview_mergeable)
+
+
+@register("overview_totals_filtered")
+def _overview_totals_filtered(v: Views):
+    """Totals of a filtered roll-up; campaigns span its regions and are
+    counted once."""
+    return rollups.overview_totals_from_agg(
+        rollups.overview_query(v.overview_mergeable, start="1996-01-01", end="1999-12-31",
+                               products=["PROGRAM H1"], channels=["urgent", "high", "low"],
+                               regions=list(range(1, 10))))
+
+
+@register("overview_by_channel")
+def _overview_by_channel(v: Views):
+    """The roll-up collapsed to product and channel, campaigns counted exactly."""
+    return rollups.overview_by(v.overview_mergeable, ["product", "channel"])
 
 
 @register("overview_trend")
 def _overview_trend(v: Views):
-    return rollups.overview_trend(v.overview)
+    return rollups.in_order(rollups.overview_trend(v.overview))
 
 
 @register("overview_trend_filtered")
@@ -225,7 +241,7 @@ def _comparison_long(v: Views):
 @register("sort_by_attribute")
 def _sort_by_attribute(v: Views):
     return compare.sort_by_attribute(compare.campaign_metrics(v.enriched, v.catalogue),
-                                     "take_up_rate", ascending=False)
+                                     "take_up_rate", ascending=False, ties=["campaign_id"])
 
 
 # ------------------------------------------------------------ similarity

@@ -16,7 +16,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.operators import clean, rollups
+from leadflow.operators import clean, distinct, rollups
 from leadflow.session import apply_runtime_conf, scratch_path
 from leadflow.sources import bindings, io
 
@@ -125,6 +125,18 @@ class Views:
         return stored_table(self.spark, f"{self.sf_dir}|overview",
                             lambda: rollups.overview_agg(self.master, self.catalogue))
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """Stored campaign numbers (campaign_id, campaign_no)."""
+        return stored_table(self.spark, f"{self.sf_dir}|numbers",
+                            lambda: distinct.number_campaigns(self.dim))
+
+    @cached_property
+    def overview_mergeable(self) -> DataFrame:
+        """Stored overview roll-up with each row's campaigns as bitmaps."""
+        return stored_table(self.spark, f"{self.sf_dir}|overview_mergeable",
+                            lambda: rollups.overview_mergeable(self.master, self.catalogue, self.numbers))
+
     @cached_property
     def weekly(self) -> DataFrame:
         """Stored regional weekly roll-up."""

@@ -157,10 +157,6 @@ def write_json_map(df: DataFrame, path: str, key_name: str = "campaign_id") -> N
 
 # ------------------------------------------------------------ export
 
-EXPORT_COLUMNS = ["nama_program", "flag_program", "media_blasting", "jenis_leads", "wilayah",
-                  "total_leads", "total_take_up", "take_up_rate"]
-
-
 def export_rows(master: DataFrame) -> DataFrame:
     """S12 rows: the fixed eight columns, rate as ``12.34%``."""
     return master.select(
