@@ -28,15 +28,16 @@ def number_campaigns(ids: DataFrame, known: DataFrame | None = None) -> DataFram
     return with_position(fresh, F.col("campaign_id"), name="campaign_no", first=last + 1)
 
 
-def campaign_bits(numbered: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of ``keys``: the bitmaps of its campaign numbers, an array of
-    (bucket, bits), and their exact count."""
-    per = numbered.filter(F.col("campaign_no").isNotNull()).groupBy(
-        *keys, F.bitmap_bucket_number("campaign_no").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("campaign_no")).alias("_bits"))
+def campaign_bits(numbered: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Per group of ``keys``: its ``sums``, the bitmaps of its campaign
+    numbers, an array of (bucket, bits), and their exact count."""
+    per = numbered.groupBy(*keys, F.bitmap_bucket_number("campaign_no").alias("_bucket")).agg(
+        *[F.sum(c).alias(c) for c in sums], F.bitmap_construct_agg(F.bitmap_bit_position("campaign_no")).alias("_bits"))
+    known = F.col("_bucket").isNotNull()
     return per.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("bucket"), F.col("_bits").alias("bits")))).alias(BITS),
-        F.sum(F.bitmap_count("_bits")).alias("campaign_count"))
+        *[F.sum(c).alias(c) for c in sums],
+        F.array_sort(F.collect_list(F.when(known, F.struct(F.col("_bucket").alias("bucket"), F.col("_bits").alias("bits"))))).alias(BITS),
+        F.coalesce(F.sum(F.when(known, F.bitmap_count("_bits"))), F.lit(0)).alias("campaign_count"))
 
 
 def merged_counts(agg: DataFrame, keys: list[str], sums: list[str], name: str = "total_campaigns") -> DataFrame:

@@ -103,10 +103,7 @@ def overview_mergeable(master: DataFrame, catalogue: DataFrame | None, numbers:
     """A2 with each row's campaigns as bitmaps over ``numbers`` (campaign_id,
     campaign_no), so that rows can be merged without counting a campaign twice."""
     cells = overview_cells(master, catalogue).join(numbers, "campaign_id", "left")
-    sums = cells.groupBy(*OVERVIEW_KEYS).agg(*[F.sum(c).alias(c) for c in OVERVIEW_SUMS])
-    bits = campaign_bits(cells, OVERVIEW_KEYS).withColumnsRenamed({k: f"_{k}" for k in OVERVIEW_KEYS})
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in OVERVIEW_KEYS]
-    return overview_columns(sums.join(bits, same, "left").withColumn("campaign_count", F.coalesce("campaign_count", F.lit(0).cast("long"))))
+    return overview_columns(campaign_bits(cells, OVERVIEW_KEYS, OVERVIEW_SUMS))
 
 
 def overview_query(agg: DataFrame, start=None, end=None, products=None,
@@ -201,10 +198,12 @@ def overview_trend_filtered(leads: DataFrame, trend: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ regional
 
-def regional_weekly(enriched: DataFrame) -> DataFrame:
-    """A3: campaign x region x ISO week of the campaign start."""
+def regional_weekly(enriched: DataFrame, months: bool = False) -> DataFrame:
+    """A3: campaign x region x ISO week of the campaign start; with ``months``
+    also its year and month, by which the roll-up is then stored."""
+    extra = ["year", "month"] if months else []
     agg = enriched.groupBy("campaign_id", "wilayah",
-                           week_start("periode_start").alias("week_start")).agg(
+                           week_start("periode_start").alias("week_start"), *extra).agg(
         F.count(F.lit(1)).alias("leads_count"),
         F.count_if(is_yes()).alias("take_up_count"),
         F.avg(money("total_transaction_value")).cast("double").alias("avg_transaction_value"),
@@ -212,7 +211,7 @@ def regional_weekly(enriched: DataFrame) -> DataFrame:
     return agg.select("campaign_id", F.col("wilayah").alias("region"), "week_start",
                       "leads_count", "take_up_count",
                       rate_pct("take_up_count", "leads_count").alias("take_up_rate"),
-                      "avg_transaction_value")
+                      "avg_transaction_value", *extra)
 
 
 def regional_summary(weekly: DataFrame) -> DataFrame:

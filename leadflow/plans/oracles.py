@@ -703,3 +703,9 @@ SELECT s.*, d.flag_program AS similar_flag_program, d.jenis_leads AS similar_jen
        d.media_blasting AS similar_media_blasting, d.periode_start AS similar_periode_start
 FROM ({ORACLES["similarity_index"][len(BASE):]}) s
 LEFT JOIN dim d ON s.similar_campaign_id = d.campaign_id""")
+
+# a refresh must give what a rebuild gives
+ORACLES["refresh_overview"] = ORACLES["overview_agg"]
+ORACLES["refresh_totals"] = ORACLES["overview_totals_from_agg"]
+ORACLES["refresh_regional"] = ORACLES["regional_weekly"]
+ORACLES["refresh_campaigns"] = ORACLES["campaign_master"]

@@ -100,9 +100,33 @@ def replace_months(df: DataFrame, path: str) -> None:
 
 
 def _write_months(df: DataFrame, path: str, mode: str) -> None:
-    (df.hint("rebalance", "year", "month")
+    write_partitioned(df, path, ["year", "month"], mode)
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "static") -> None:
+    """``df`` in folders by ``by``: the whole table (``static``), or only the
+    partitions that ``df`` holds (``dynamic``)."""
+    (df.hint("rebalance", *by)
        .write.mode("overwrite").option("partitionOverwriteMode", mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-       .partitionBy("year", "month").parquet(path))
+       .partitionBy(*by).parquet(path))
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _folder(spark, path)
+    return fs.exists(where)
+
+
+def drop_partition(spark: SparkSession, path: str, **spec) -> None:
+    """Remove one partition's folder, if it is there: an overwrite replaces only
+    partitions that still have rows."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    where, fs = _folder(spark, "/".join([path, *[f"{k}={escape(str(v))}" for k, v in spec.items()]]))
+    fs.delete(where, True)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
