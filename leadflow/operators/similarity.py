@@ -195,3 +195,20 @@ def learning_summary(dim: DataFrame, required: list[str] | None = None) -> DataF
                        F.when(has, F.lit(NOT_AVAILABLE)).alias("top_segment"),
                        F.when(has, F.lit(NOT_AVAILABLE)).alias("top_region"),
                        F.when(~has, F.lit(NO_SIMILAR_MESSAGE)).alias("message")))
+
+
+def lookup(index: DataFrame, campaign_id: str, k: int = MAX_SIMILAR_RESULTS) -> DataFrame:
+    """F10 on the stored index: the ``k`` best similar campaigns of one campaign.
+    On a bucketed index the key picks one bucket."""
+    if k < 1:
+        raise ValueError("limit must be at least 1")
+    return index.filter((F.col("campaign_id") == campaign_id) & (F.col("rank") <= k))
+
+
+def with_own_rate(index: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Each similar campaign's rate beside the campaign's own; two tables that
+    are bucketed by campaign_id alike join where they lie."""
+    own = campaigns.select("campaign_id", F.col("take_up_rate").alias("own_take_up_rate"), F.col("total_leads").alias("own_total_leads"))
+    return (index.join(own, "campaign_id")
+            .select("campaign_id", "similar_campaign_id", "rank", "dimension_count", "take_up_rate", "own_take_up_rate", "own_total_leads",
+                    (F.col("take_up_rate") - F.col("own_take_up_rate")).alias("rate_gain")))

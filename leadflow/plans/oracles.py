@@ -709,3 +709,22 @@ ORACLES["refresh_overview"] = ORACLES["overview_agg"]
 ORACLES["refresh_totals"] = ORACLES["overview_totals_from_agg"]
 ORACLES["refresh_regional"] = ORACLES["regional_weekly"]
 ORACLES["refresh_campaigns"] = ORACLES["campaign_master"]
+
+ORACLES["table_statistics"] = _q("""
+SELECT 'leads' AS table_name, (SELECT count(*) FROM enriched) AS row_count, (SELECT count(DISTINCT campaign_id) FROM enriched) AS partitions
+UNION ALL SELECT 'campaign', (SELECT count(*) FROM master), (SELECT count(*) FROM (SELECT DISTINCT year, month FROM master) t)
+UNION ALL SELECT 'campaign_overview_agg', (SELECT count(*) FROM ov), 0
+UNION ALL SELECT 'regional_performance_agg', (SELECT count(*) FROM weekly), 0""")
+ORACLES["declared_campaign_year"] = _q("""
+SELECT campaign_id, wilayah, year, month, total_leads FROM master WHERE year = 1997 AND month BETWEEN 3 AND 8""")
+ORACLES["similar_lookup"] = _q(f"""
+SELECT * FROM ({ORACLES["similarity_index"][len(BASE):]}) s WHERE campaign_id = '1-URGENT_1997-01-01' AND rank <= 10""")
+ORACLES["similar_with_own_rate"] = _q(f"""
+SELECT s.campaign_id, s.similar_campaign_id, s.rank, s.dimension_count, {sround('round(s.r, 6)', 4)} AS take_up_rate,
+       {sround('d.take_up_rate', 4)} AS own_take_up_rate, d.total_leads AS own_total_leads,
+       {sround('round(s.r, 6) - d.take_up_rate', 4)} AS rate_gain
+FROM (SELECT campaign_id, similar_campaign_id, dimension_count, take_up_rate AS r,
+             CAST(row_number() OVER (PARTITION BY campaign_id
+                  ORDER BY dimension_count DESC, take_up_rate DESC, similar_campaign_id) AS INTEGER) AS rank
+      FROM scored WHERE dimension_count >= 1) s JOIN dim d ON s.campaign_id = d.campaign_id
+WHERE s.rank <= 20""")

@@ -8,14 +8,16 @@ two sinks consume them.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.functions.domains import MAX_SIMILAR_RESULTS
 from leadflow.operators import clean, rollups, similarity
 from leadflow.session import materialize
-from leadflow.sources import io
+from leadflow.sources import catalog, io
 
 
 @dataclass
@@ -66,10 +68,17 @@ def pipeline_regional(spark: SparkSession, p: Paths) -> DataFrame:
 
 
 def pipeline_similarity(spark: SparkSession, p: Paths) -> DataFrame:
-    """Campaign master -> similar-campaign index, stored keyed and
-    sorted by campaign so a lookup reads one file range."""
-    dim = rollups.campaign_dim(io.read_campaigns(spark, p.campaigns))
-    idx = similarity.similarity_index(dim)
-    (idx.repartitionByRange("campaign_id").sortWithinPartitions("campaign_id", "rank")
-        .write.mode("overwrite").parquet(p.similarity))
-    return spark.read.parquet(p.similarity)
+    """Campaign master -> similar-campaign index, bucketed and sorted by
+    campaign, beside the campaign table in the same buckets. Returns the index
+    as the catalogue knows it."""
+    return store_similarity(rollups.campaign_dim(io.read_campaigns(spark, p.campaigns)), p.similarity)[0]
+
+
+def store_similarity(dim: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(index, campaigns), two catalogue tables in the same buckets."""
+    buckets = catalog.buckets_for(dim.count() * MAX_SIMILAR_RESULTS)
+    tag = hashlib.md5(path.encode()).hexdigest()[:12]
+    index = catalog.store_bucketed(similarity.similarity_index(dim), f"similarity_{tag}", f"{path}/index",
+                                   "campaign_id", ["campaign_id", "rank"], buckets)
+    campaigns = catalog.store_bucketed(dim, f"campaigns_{tag}", f"{path}/campaigns", "campaign_id", ["campaign_id"], buckets)
+    return index, campaigns

@@ -7,6 +7,7 @@ that float summation order cannot change the compared values.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from leadflow.operators import (audit, clean, compare, criteria, distinct, filte
 from leadflow.plans import pipeline, refresh
 from leadflow.plans.views import Views, stored_zone
 from leadflow.session import scratch_path
-from leadflow.sources import bindings, io
+from leadflow.sources import bindings, catalog, io
 from leadflow.sources.bindings import LEAD_COLUMNS
 from leadflow.streaming import audit_stream
 
@@ -641,18 +642,63 @@ def _overview_lookback(v: Views):
     return rollups.overview_query(v.overview, as_of="1999-12-31")
 
 
+def _declared(v: Views) -> str:
+    """The catalogue database in which the session's four tables are declared."""
+    db = f"leadflow_{hashlib.md5(v.sf_dir.encode()).hexdigest()[:12]}"
+    p = _zones(v)
+
+    def run(path: str) -> None:
+        io.write_snapshot(v.overview, f"{path}/overview")
+        io.write_snapshot(v.weekly, f"{path}/regional")
+        catalog.declare_tables(v.spark, {"leads": p.enriched, "campaign": p.campaigns, "campaign_overview_agg": f"{path}/overview",
+                                         "regional_performance_agg": f"{path}/regional"}, db)
+    stored_zone(v.spark, f"{v.sf_dir}|declared", run)
+    return db
+
+
 @register("external_tables")
 def _external_tables(v: Views):
-    """Tables declared in SQL over stored folders, queried with SQL
-    (partition column predicate prunes folders)."""
-    from leadflow.sources.catalog import create_tables
-    p = _zones(v)
-    io.write_snapshot(v.overview, p.overview)
-    io.write_snapshot(v.weekly, p.regional)
-    create_tables(v.spark, {"leads": p.enriched, "campaign": p.campaigns,
-                            "campaign_overview_agg": p.overview, "regional_performance_agg": p.regional})
+    """The four declared tables, queried with SQL."""
+    db = _declared(v)
     return v.spark.sql(
-        "SELECT 'campaign' AS table_name, sum(total_leads) AS leads, sum(total_take_up) AS take_up FROM campaign "
-        "UNION ALL SELECT 'leads', count(*), count_if(take_up_flag = 'YES') FROM leads "
-        "UNION ALL SELECT 'campaign_overview_agg', sum(total_leads), sum(total_take_up) FROM campaign_overview_agg "
-        "UNION ALL SELECT 'regional_performance_agg', sum(leads_count), sum(take_up_count) FROM regional_performance_agg")
+        f"SELECT 'campaign' AS table_name, sum(total_leads) AS leads, sum(total_take_up) AS take_up FROM {db}.campaign "
+        f"UNION ALL SELECT 'leads', count(*), count_if(take_up_flag = 'YES') FROM {db}.leads "
+        f"UNION ALL SELECT 'campaign_overview_agg', sum(total_leads), sum(total_take_up) FROM {db}.campaign_overview_agg "
+        f"UNION ALL SELECT 'regional_performance_agg', sum(leads_count), sum(take_up_count) FROM {db}.regional_performance_agg")
+
+
+@register("table_statistics")
+def _table_statistics(v: Views):
+    """Rows and partitions of the four tables, from the catalogue alone."""
+    db = _declared(v)
+    return catalog.table_statistics(v.spark, [f"{db}.{t}" for t in catalog.TABLES])
+
+
+@register("declared_campaign_year")
+def _declared_campaign_year(v: Views):
+    """A partition predicate on a declared table picks its folders from the
+    catalogue."""
+    return v.spark.sql(f"SELECT campaign_id, wilayah, year, month, total_leads FROM {_declared(v)}.campaign "
+                       "WHERE year = 1997 AND month BETWEEN 3 AND 8")
+
+
+# ------------------------------------------------------------ bucketed index
+
+def _bucketed(v: Views) -> tuple[DataFrame, DataFrame]:
+    """The bucketed similarity index and campaign table, stored once per session."""
+    found = []
+    path = stored_zone(v.spark, f"{v.sf_dir}|bucketed", lambda p: found.extend(pipeline.store_similarity(v.dim, p)))
+    tag = hashlib.md5(path.encode()).hexdigest()[:12]
+    return tuple(found) or (v.spark.table(f"leadflow.similarity_{tag}"), v.spark.table(f"leadflow.campaigns_{tag}"))
+
+
+@register("similar_lookup")
+def _similar_lookup(v: Views):
+    """S11 + F10: a lookup by key opens one bucket of the stored index."""
+    return _flat_similar(similarity.lookup(_bucketed(v)[0], LOOKUP_CAMPAIGN, 10))
+
+
+@register("similar_with_own_rate")
+def _similar_with_own_rate(v: Views):
+    """The index joined with the campaign table, both in the same buckets."""
+    return similarity.with_own_rate(*_bucketed(v))
