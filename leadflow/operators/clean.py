@@ -16,7 +16,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.domains import NATURAL_KEY, UPPERCASE_COLUMNS
@@ -98,12 +98,16 @@ def dedup_monitoring(raw: DataFrame) -> DataFrame:
     lineage = [c for c in raw.columns if c.startswith("_src_")]
     df = normalise_monitoring(raw.select(*NATURAL_KEY, "take_up_flag", "take_up_date",
                                          "total_transaction_value", *lineage))
-    order = ([F.when(is_yes("take_up_flag"), 0).otherwise(1).asc(),
-              F.col("take_up_date").asc_nulls_last()]
-             + [F.col(c).asc_nulls_last() for c in lineage]
-             + [F.col("total_transaction_value").asc_nulls_last(),
-                F.col("take_up_flag").asc_nulls_last()])
-    return keep_first(df, NATURAL_KEY, order)
+    return keep_first(df, NATURAL_KEY, _outcome_order(df))
+
+
+def _outcome_order(df: DataFrame) -> list:
+    lineage = [c for c in df.columns if c.startswith("_src_")]
+    return ([F.when(is_yes("take_up_flag"), 0).otherwise(1).asc(),
+             F.col("take_up_date").asc_nulls_last()]
+            + [F.col(c).asc_nulls_last() for c in lineage]
+            + [F.col("total_transaction_value").asc_nulls_last(),
+               F.col("take_up_flag").asc_nulls_last()])
 
 
 def enrich_leads(leads: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
@@ -123,3 +127,90 @@ def enrich_leads(leads: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
         "take_up_flag": F.coalesce(F.col("_mon_flag"), F.lit("NO")),
         "time_to_take_up_days": F.datediff("take_up_date", "periode_start"),
     }).drop("_mon_flag")
+
+
+# ------------------------------------------------------------ one pass with statuses
+
+def _tagged(raw: DataFrame, misfit: Column) -> DataFrame:
+    """Raw rows with ``_status`` (ok, malformed, blank_key) and ``_hold``: empty for
+    rows that take part in the dedup, the row's own name for all others, so that
+    these travel along and none is taken for another's copy."""
+    status = F.when(misfit, "malformed").when(F.col("cif").isNull() | (F.trim("cif") == ""), "blank_key").otherwise("ok")
+    rows = raw.withColumn("_status", status).withColumnRenamed("_corrupt_record", "_line")
+    return rows.withColumn("_hold", F.when(F.col("_status") == "ok", "")
+                           .otherwise(F.monotonically_increasing_id().cast("string")))
+
+
+def _watched(rows: DataFrame, watch: Observation, bad_date: Column, no_campaign: Column) -> DataFrame:
+    fits = F.col("_status") != "malformed"
+    return rows.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(~fits).alias("malformed"),
+                        F.count_if(F.col("_status") == "blank_key").alias("blank"), F.count_if(F.col("_status") == "ok").alias("valid"),
+                        F.count_if(fits & bad_date).alias("bad_dates"), F.count_if(fits & no_campaign).alias("no_campaign"))
+
+
+def _unreadable(date_col: str) -> Column:
+    return F.col(date_col).isNotNull() & parse_mixed_date(date_col).isNull()
+
+
+class EtlWatch:
+    """What one pass over the raw sources counted, once its write is done."""
+
+    def __init__(self) -> None:
+        self.leads, self.monitoring, self.out = Observation(), Observation(), Observation()
+
+    def metrics(self) -> dict[str, int]:
+        """The cleaning's losses, under the names of ``quality.etl_quality``."""
+        le, mo, out = self.leads.get, self.monitoring.get, self.out.get
+        return {"lead_rows": le["rows"], "lead_malformed": le["malformed"], "lead_blank_cif": le["blank"],
+                "lead_bad_dates": le["bad_dates"], "lead_null_campaign_id": le["no_campaign"],
+                "lead_duplicates_dropped": le["valid"] - out["leads"],
+                "monitoring_rows": mo["rows"], "monitoring_malformed": mo["malformed"], "monitoring_blank_cif": mo["blank"],
+                "monitoring_bad_dates": mo["bad_dates"],
+                "monitoring_duplicates_dropped": mo["valid"] - out["matched"] - out["without_lead"],
+                "monitoring_keys_without_lead": out["without_lead"]}
+
+
+def split_by_status(leads_raw: DataFrame, monitoring_raw: DataFrame, misfit: tuple[Column, Column],
+                    watch: EtlWatch) -> DataFrame:
+    """F1, W1 and J1 in one plan that reads each source once and loses nothing but
+    duplicates: every row left has a ``status``.
+
+    clean         an enriched lead
+    no_campaign   a lead without a readable start date or a program name
+    malformed     a row of either source that does not fit its schema (``raw_line``)
+    blank_key     a row of either source without a customer id
+    without_lead  an outcome whose key no lead has
+
+    ``misfit`` marks the rows of each source that do not fit. Both sides leave
+    their dedup partitioned by the same columns, so the full outer join between
+    them shuffles nothing, and has at most one row per key on either side.
+    """
+    key = [*NATURAL_KEY, "_hold"]
+    no_campaign = F.col("nama_program").isNull() | parse_mixed_date("periode_start").isNull()
+    le = _watched(_tagged(leads_raw, misfit[0]), watch.leads, _unreadable("periode_start"), no_campaign)
+    mo = _watched(_tagged(monitoring_raw, misfit[1]), watch.monitoring, _unreadable("take_up_date"), no_campaign)
+    lineage = [c for c in leads_raw.columns if c.startswith("_src_")]
+    columns = [c for c in leads_raw.columns if c not in (*lineage, "_corrupt_record")]
+    le = normalise_leads(le)
+    le = keep_first(le, key, _tie_break(le, [], ("_hold", "_status", "_line")))
+    le = le.select(*columns, "_hold", F.col("_status").alias("_ls"), F.col("_line").alias("_ll"))
+    mo = mo.select(*key, "_status", "_line", "take_up_flag", "take_up_date", "total_transaction_value",
+                   *[c for c in monitoring_raw.columns if c.startswith("_src_")]).withColumns({
+        "cif": F.trim("cif"), "periode_start": parse_mixed_date("periode_start"),
+        "take_up_date": parse_mixed_date("take_up_date"), "take_up_flag": F.upper(F.trim("take_up_flag"))})
+    mo = keep_first(mo, key, _outcome_order(mo))
+    mo = mo.select(*key, F.col("_status").alias("_ms"), F.col("_line").alias("_ml"),
+                   F.col("take_up_flag").alias("_flag"), "take_up_date", "total_transaction_value")
+    both = add_campaign_columns(le.join(mo, key, "full_outer"))
+    lead, outcome = F.col("_ls").isNotNull(), F.col("_ms").isNotNull()
+    status = (F.when(F.coalesce("_ls", "_ms") != "ok", F.coalesce("_ls", "_ms"))
+              .when(~lead, "without_lead").when(F.col("campaign_id").isNull(), "no_campaign").otherwise("clean"))
+    kept = F.col("_ls") == "ok"
+    return both.withColumns({"status": status, "source": F.when(lead, "leads").otherwise("monitoring")}).observe(
+        watch.out, F.count_if(kept).alias("leads"), F.count_if(kept & outcome).alias("matched"),
+        F.count_if(F.col("status") == "without_lead").alias("without_lead"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("clean", "no_campaign", "malformed", "blank_key")]).select(
+        *columns, "year", "month", "take_up_date", "total_transaction_value",
+        F.when(kept, F.coalesce("_flag", F.lit("NO"))).otherwise(F.col("_flag")).alias("take_up_flag"),
+        F.datediff("take_up_date", "periode_start").alias("time_to_take_up_days"),
+        F.coalesce("_ll", "_ml").alias("raw_line"), "source", "status", "campaign_id")

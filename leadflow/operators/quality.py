@@ -67,16 +67,26 @@ def etl_quality(leads_raw: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
     one global aggregation over the keys gives every metric. Duplicates are
     valid rows minus distinct keys; an outcome key is an orphan when no valid
     lead has it, and a key with a null part never matches, as in a join.
+
+    Sources read by ``io.read_raw`` (with ``_corrupt_record``) also give the rows
+    that do not fit their schema, which then count in no other metric but the
+    rows, and the outcome keys without a lead.
     """
     blank = F.col("cif").isNull() | (F.trim("cif") == "")
+    raw = "_corrupt_record" in leads_raw.columns
 
     def tagged(df: DataFrame, src: str, date_col: str) -> DataFrame:
-        return df.select(
-            F.lit(src).alias("_src"),
-            F.trim("cif").alias("cif"), "nama_program",
-            parse_mixed_date("periode_start").alias("periode_start"),
-            blank.alias("_blank"),
-            (F.col(date_col).isNotNull() & parse_mixed_date(date_col).isNull()).alias("_bad_date"))
+        misfit = F.lit(False)
+        if raw:
+            names = [c for c in df.columns if c != "_corrupt_record" and not c.startswith("_src_")]
+            misfit = F.when(F.hash(*names) % 2 >= -1, F.col("_corrupt_record").isNotNull())   # has every field checked
+        fits = ~F.col("_misfit")
+        return df.withColumn("_misfit", misfit).select(
+            F.lit(src).alias("_src"), "_misfit",
+            F.when(fits, F.trim("cif")).alias("cif"), F.when(fits, F.col("nama_program")).alias("nama_program"),
+            F.when(fits, parse_mixed_date("periode_start")).alias("periode_start"),
+            (fits & blank).alias("_blank"),
+            (fits & F.col(date_col).isNotNull() & parse_mixed_date(date_col).isNull()).alias("_bad_date"))
 
     rows = tagged(leads_raw, "L", "periode_start").unionByName(
         tagged(monitoring_raw, "M", "take_up_date"))
@@ -86,7 +96,8 @@ def etl_quality(leads_raw: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
         per_src[src] = [F.count_if(this).alias(f"{src}_rows"),
                         F.count_if(this & F.col("_blank")).alias(f"{src}_blank"),
                         F.count_if(this & F.col("_bad_date")).alias(f"{src}_bad"),
-                        F.count_if(this & ~F.col("_blank")).alias(f"{src}_valid")]
+                        F.count_if(this & F.col("_misfit")).alias(f"{src}_misfit"),
+                        F.count_if(this & ~F.col("_blank") & ~F.col("_misfit")).alias(f"{src}_valid")]
     per_key = rows.groupBy(*NATURAL_KEY).agg(*per_src["L"], *per_src["M"])
 
     def total(c) -> F.Column:
@@ -98,14 +109,17 @@ def etl_quality(leads_raw: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
         total("L_rows").alias("lead_rows"),
         total("L_blank").alias("lead_blank_cif"),
         total("L_bad").alias("lead_bad_dates"),
-        total(F.when(no_campaign, F.col("L_rows"))).alias("lead_null_campaign_id"),
+        total(F.when(no_campaign, F.col("L_rows") - F.col("L_misfit"))).alias("lead_null_campaign_id"),
         (total("L_valid") - F.count_if(F.col("L_valid") > 0)).alias("lead_duplicates_dropped"),
         total("M_rows").alias("monitoring_rows"),
         total("M_blank").alias("monitoring_blank_cif"),
         total("M_bad").alias("monitoring_bad_dates"),
         (total("M_valid") - F.count_if(F.col("M_valid") > 0)).alias("monitoring_duplicates_dropped"),
         total(F.when((F.col("L_valid") == 0) | null_part, F.col("M_valid")))
-        .alias("monitoring_without_lead"))
+        .alias("monitoring_without_lead"),
+        *([total("L_misfit").alias("lead_malformed"), total("M_misfit").alias("monitoring_malformed"),
+           F.count_if(((F.col("L_valid") == 0) | null_part) & (F.col("M_valid") > 0)).alias("monitoring_keys_without_lead")]
+          if raw else []))
     cols = metrics.columns
     return (metrics.select(*[F.col(c).cast("long") for c in cols])
                    .unpivot([], cols, "metric", "value"))

@@ -251,8 +251,19 @@ _MON_ORDER = "ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_supp
 _MON_ORDER_CSV = "ORDER BY take_up_date, l_extendedprice) AS rn"
 
 
-def base(csv: bool = False, ship_date: bool = False) -> str:
+# the rows that the dirty CSV drop spoils: no number, no customer id, no date
+_MISFIT = "o.o_orderstatus = 'P'"
+_BLANK = "c.c_acctbal < -900"
+_NO_DATE = "(o.o_orderpriority = '4-NOT SPECIFIED' AND c.c_nationkey % 17 + 1 = 17)"
+
+
+def base(csv: bool = False, ship_date: bool = False, dirty: bool = False) -> str:
     b = BASE
+    if dirty:
+        good = f"NOT {_MISFIT} AND NOT {_BLANK} AND NOT {_NO_DATE}"
+        b = b.replace("FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey\n),",
+                      f"FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE {good}\n),")
+        b = b.replace("WHERE l.l_returnflag = 'R'", f"WHERE l.l_returnflag = 'R' AND {good}")
     if csv:
         b = b.replace("ORDER BY src_key) AS rn FROM lr", _LEAD_ORDER_CSV)
         b = b.replace("ORDER BY take_up_date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn",
@@ -728,3 +739,47 @@ FROM (SELECT campaign_id, similar_campaign_id, dimension_count, take_up_rate AS
                   ORDER BY dimension_count DESC, take_up_rate DESC, similar_campaign_id) AS INTEGER) AS rank
       FROM scored WHERE dimension_count >= 1) s JOIN dim d ON s.campaign_id = d.campaign_id
 WHERE s.rank <= 20""")
+
+# ---------------------------------------------------------------- one pass over spoilt files
+
+_SPOILT = f"""
+, rl AS (
+  SELECT 'lead' AS src, CAST(o.o_custkey AS VARCHAR) AS cif, o.o_orderpriority AS nama,
+         CASE WHEN NOT {_NO_DATE} THEN CAST(date_trunc('month', o.o_orderdate) AS DATE) END AS d,
+         {_MISFIT} AS misfit, NOT {_MISFIT} AND {_BLANK} AS blank, {_NO_DATE} AS no_date
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+rm AS (
+  SELECT 'monitoring' AS src, CAST(o.o_custkey AS VARCHAR) AS cif, o.o_orderpriority AS nama,
+         CASE WHEN NOT {_NO_DATE} THEN CAST(date_trunc('month', o.o_orderdate) AS DATE) END AS d,
+         {_MISFIT} AS misfit, NOT {_MISFIT} AND {_BLANK} AS blank, {_NO_DATE} AS no_date
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE l.l_returnflag = 'R'),
+vl AS (SELECT cif, nama, d FROM rl WHERE NOT misfit AND NOT blank),
+vm AS (SELECT cif, nama, d FROM rm WHERE NOT misfit AND NOT blank),
+lone AS (SELECT * FROM vm WHERE NOT EXISTS (SELECT 1 FROM vl WHERE vl.cif = vm.cif AND vl.nama = vm.nama AND vl.d = vm.d)),
+losses AS (
+  SELECT 'lead_rows' AS metric, count(*) AS value FROM rl
+  UNION ALL SELECT 'lead_malformed', count(*) FROM rl WHERE misfit
+  UNION ALL SELECT 'lead_blank_cif', count(*) FROM rl WHERE blank
+  UNION ALL SELECT 'lead_bad_dates', count(*) FROM rl WHERE no_date AND NOT misfit
+  UNION ALL SELECT 'lead_null_campaign_id', count(*) FROM rl WHERE no_date AND NOT misfit
+  UNION ALL SELECT 'lead_duplicates_dropped', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM vl) t) FROM vl
+  UNION ALL SELECT 'monitoring_rows', count(*) FROM rm
+  UNION ALL SELECT 'monitoring_malformed', count(*) FROM rm WHERE misfit
+  UNION ALL SELECT 'monitoring_blank_cif', count(*) FROM rm WHERE blank
+  UNION ALL SELECT 'monitoring_bad_dates', 0
+  UNION ALL SELECT 'monitoring_duplicates_dropped', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM vm) t) FROM vm
+  UNION ALL SELECT 'monitoring_without_lead', count(*) FROM lone
+  UNION ALL SELECT 'monitoring_keys_without_lead', count(*) FROM (SELECT DISTINCT * FROM lone) t)
+"""
+ORACLES["etl_quality_raw"] = _q(_SPOILT + "SELECT * FROM losses")
+ORACLES["etl_one_pass"] = _q(_SPOILT + "SELECT * FROM losses WHERE metric <> 'monitoring_without_lead'")
+ORACLES["etl_quarantine"] = _q(_SPOILT + """
+SELECT 'leads' AS source, 'malformed' AS status, count(*) AS rows_held, count(*) AS rows_with_text FROM rl WHERE misfit HAVING count(*) > 0
+UNION ALL SELECT 'leads', 'blank_key', count(*), 0 FROM rl WHERE blank HAVING count(*) > 0
+UNION ALL SELECT 'leads', 'no_campaign', count(*), 0 FROM (SELECT DISTINCT * FROM vl WHERE d IS NULL) t HAVING count(*) > 0
+UNION ALL SELECT 'monitoring', 'malformed', count(*), count(*) FROM rm WHERE misfit HAVING count(*) > 0
+UNION ALL SELECT 'monitoring', 'blank_key', count(*), 0 FROM rm WHERE blank HAVING count(*) > 0
+UNION ALL SELECT 'monitoring', 'without_lead', count(*), 0 FROM (SELECT DISTINCT * FROM lone) t HAVING count(*) > 0""")
+ORACLES["etl_clean_master"] = _q(ORACLES["campaign_master"][len(BASE):], csv=True, dirty=True)
+ORACLES["dedup_by_arrival"] = _q("SELECT cif, campaign_id, 9 AS cabang FROM leads")

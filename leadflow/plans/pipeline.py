@@ -2,8 +2,8 @@
 
 Each job reads what the previous one wrote: the hand-over is files in the
 shared folder, so a lost executor or a failed job re-runs only from the
-last written table, and the enriched leads are computed once even though
-two sinks consume them.
+last written table. The enriched leads are computed and stored once: clean
+rows and all that is held back are partitions of one table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from leadflow.functions.domains import MAX_SIMILAR_RESULTS
 from leadflow.operators import clean, rollups, similarity
-from leadflow.session import materialize
 from leadflow.sources import catalog, io
 
 
@@ -31,27 +30,42 @@ class Paths:
     similarity: str
     catalogue: str | None = None
     quarantine: str | None = None
+    #: of rows that share a key the first to arrive stays, by file time, name and place;
+    #: without it the smallest by value, which does not depend on the files
+    arrival_order: bool = False
+
+
+def split_raw(spark: SparkSession, p: Paths) -> dict[str, int]:
+    """The raw sources into one table by status and campaign, in one job that
+    scans each source once and stages no copy; returns what it counted on the
+    way (``quality.etl_quality`` has the same figures from a second pass)."""
+    watch = clean.EtlWatch()
+    rows = clean.split_by_status(io.read_raw(spark, p.raw_leads, io.LEADS_SCHEMA, p.arrival_order),
+                                 io.read_raw(spark, p.raw_monitoring, io.MONITORING_SCHEMA, p.arrival_order),
+                                 (io.malformed(io.LEADS_SCHEMA), io.malformed(io.MONITORING_SCHEMA)), watch)
+    io.write_partitioned(rows, p.enriched, ["status", "campaign_id"])
+    return watch.metrics()
+
+
+def quarantine(spark: SparkSession, p: Paths) -> DataFrame:
+    """The rows that are not clean leads, with their status, source and, if they
+    do not fit the schema, their text."""
+    return spark.read.option("basePath", p.enriched).parquet(p.enriched).filter(F.col("status") != "clean")
 
 
 def pipeline_raw_to_clean(spark: SparkSession, p: Paths) -> DataFrame:
-    """Raw CSV -> clean, enriched leads (partitioned by campaign) ->
-    campaign master (partitioned by year/month). Returns the master as
-    read back from storage. Rows without a campaign id and lines that do not fit
-    the schema are always kept, under the quarantine path (next to the clean
-    leads unless one is given)."""
-    leads = clean.clean_leads(io.read_leads(spark, p.raw_leads))
-    enriched = clean.enrich_leads(leads, io.read_monitoring(spark, p.raw_monitoring))
-    enriched = materialize(enriched, "enriched-stage")   # two sinks, one computation
-    good, bad = clean.split_quarantine(enriched)
+    """Raw CSV -> leads by status and campaign -> campaign master
+    (partitioned by year/month), returned as read back from storage. Leads
+    without a campaign id and rows that do not fit the schema are not among the
+    clean ones; they are also listed under the quarantine path (next to the
+    clean leads unless one is given), read from their own partitions."""
+    split_raw(spark, p)
     held = p.quarantine or f"{p.enriched}_quarantine"
-    io.write_snapshot(bad, f"{held}/rows")
-    io.write_snapshot(io.read_corrupt_lines(spark, p.raw_leads)
-                      .select(F.lit("leads").alias("source"), "cif", "_corrupt_record")
-                      .union(io.read_corrupt_lines(spark, p.raw_monitoring, io.MONITORING_SCHEMA)
-                             .select(F.lit("monitoring"), "cif", "_corrupt_record")), f"{held}/lines")
-    io.write_leads_partitioned(good, p.enriched)
-    written = io.read_enriched_leads(spark, p.enriched)
-    io.write_campaigns_partitioned(rollups.campaign_master(written), p.campaigns)
+    bad = quarantine(spark, p)
+    io.write_snapshot(bad.filter(F.col("status").isin("no_campaign", "malformed") & (F.col("source") == "leads")), f"{held}/rows")
+    io.write_snapshot(bad.filter(F.col("status") == "malformed")
+                      .select("source", "cif", F.col("raw_line").alias("_corrupt_record")), f"{held}/lines")
+    io.write_campaigns_partitioned(rollups.campaign_master(io.read_enriched_leads(spark, p.enriched)), p.campaigns)
     return io.read_campaigns(spark, p.campaigns)
 
 

@@ -453,15 +453,16 @@ def _audit_stream(v: Views):
 
 # ------------------------------------------------------------ sources, sinks, pipelines
 
-def _csv_drop(v: Views) -> pipeline.Paths:
+def _csv_drop(v: Views, write: bool = True) -> pipeline.Paths:
     root = scratch_path(v.spark, "run")
     p = pipeline.Paths(raw_leads=f"{root}/raw/leads", raw_monitoring=f"{root}/raw/monitoring",
                        enriched=f"{root}/clean/leads", campaigns=f"{root}/clean/campaigns",
                        overview=f"{root}/agg/overview", regional=f"{root}/agg/regional",
                        similarity=f"{root}/agg/similarity")
-    io.write_csv(v.leads_raw.drop("_src_orderkey"), p.raw_leads)
-    io.write_csv(v.monitoring_raw.select(*[f.name for f in io.MONITORING_SCHEMA.fields]),
-                 p.raw_monitoring)
+    if write:
+        io.write_csv(v.leads_raw.drop("_src_orderkey"), p.raw_leads)
+        io.write_csv(v.monitoring_raw.select(*[f.name for f in io.MONITORING_SCHEMA.fields]),
+                     p.raw_monitoring)
     return p
 
 
@@ -484,6 +485,64 @@ def _pipeline_raw_to_clean(v: Views):
     return pipeline.pipeline_raw_to_clean(v.spark, _csv_drop(v))
 
 
+def _dirty_drop(v: Views) -> pipeline.Paths:
+    """A CSV drop in which some rows have a region that is no number, no customer
+    id, or a start date that is no date."""
+    p = _csv_drop(v, write=False)
+
+    def dirty(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            "periode_start": F.when((F.col("nama_program") == "4-NOT SPECIFIED") & (F.col("wilayah") == 17), "soon").otherwise(F.col("periode_start")),
+            "cif": F.when(F.col("range_saldo_tab") < -900, " ").otherwise(F.col("cif")),
+            "wilayah": F.when(F.col("segment_div_owner") == "P", "n/a").otherwise(F.col("wilayah").cast("string"))})
+    io.write_csv(dirty(v.leads_raw.drop("_src_orderkey")), p.raw_leads)
+    io.write_csv(dirty(v.monitoring_raw.select(*[f.name for f in io.MONITORING_SCHEMA.fields])), p.raw_monitoring)
+    return p
+
+
+@register("etl_one_pass")
+def _etl_one_pass(v: Views):
+    """The cleaning's losses as observed while its one job wrote."""
+    return v.spark.createDataFrame(list(pipeline.split_raw(v.spark, _dirty_drop(v)).items()), "metric string, value long")
+
+
+@register("etl_quality_raw")
+def _etl_quality_raw(v: Views):
+    """Q3 over raw files, rows that do not fit the schema included."""
+    p = _dirty_drop(v)
+    return quality.etl_quality(io.read_raw(v.spark, p.raw_leads, io.LEADS_SCHEMA),
+                               io.read_raw(v.spark, p.raw_monitoring, io.MONITORING_SCHEMA))
+
+
+@register("etl_quarantine")
+def _etl_quarantine(v: Views):
+    """What the split held back, per source and status."""
+    p = _dirty_drop(v)
+    pipeline.split_raw(v.spark, p)
+    return pipeline.quarantine(v.spark, p).groupBy("source", "status").agg(
+        F.count(F.lit(1)).alias("rows_held"), F.count("raw_line").alias("rows_with_text"))
+
+
+@register("etl_clean_master")
+def _etl_clean_master(v: Views):
+    """The master holds no row that does not fit the schema."""
+    return pipeline.pipeline_raw_to_clean(v.spark, _dirty_drop(v))
+
+
+@register("dedup_by_arrival")
+def _dedup_by_arrival(v: Views):
+    """Two drops of the same leads, the later one with other values; the
+    rows that arrived first stay."""
+    root = scratch_path(v.spark, "drops")
+    rows = v.leads_raw.drop("_src_orderkey").dropDuplicates(["cif", "nama_program", "periode_start"]) \
+        .select("cif", "nama_program", "periode_start", F.lit(9).alias("cabang"))
+    for name, cabang in (("first", 9), ("second", 1)):
+        whole = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t.dataType).alias(c)
+                              for c, t in ((f.name, f) for f in io.LEADS_SCHEMA.fields)]).withColumn("cabang", F.lit(cabang))
+        io.write_csv(whole, f"{root}/{name}")
+    return clean.clean_leads(io.read_leads(v.spark, f"{root}/*", lineage=True)).select("cif", "campaign_id", "cabang")
+
+
 def _stored(v: Views, leads: bool = False, campaigns: bool = False) -> pipeline.Paths:
     root = scratch_path(v.spark, "stored")
     p = pipeline.Paths(raw_leads="", raw_monitoring="", enriched=f"{root}/leads",

@@ -15,7 +15,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
                                StructType)
@@ -51,27 +51,45 @@ MAX_RECORDS_PER_FILE = 5_000_000
 
 # ------------------------------------------------------------ raw CSV
 
-def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, schema: StructType, lineage: bool = False) -> DataFrame:
+    """Every row of a CSV folder; one that does not fit the schema keeps its text in
+    ``_corrupt_record``. With ``lineage`` rows also carry the order of their
+    arrival (``_src_*``): their file's time and name, and their place in it, so
+    that of two drops the earlier file's row comes first."""
     s = StructType(schema.fields + [StructField("_corrupt_record", StringType())])
-    return (spark.read.schema(s).option("header", True).option("mode", "PERMISSIVE")
+    rows = (spark.read.schema(s).option("header", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    if lineage:
+        rows = rows.select("*", F.col("_metadata.file_modification_time").alias("_src_time"),
+                           F.col("_metadata.file_path").alias("_src_file"),
+                           F.col("_metadata.file_block_start").alias("_src_block"),
+                           F.monotonically_increasing_id().alias("_src_row"))
+    return rows
 
 
-def read_leads(spark: SparkSession, path: str) -> DataFrame:
-    """Raw leads CSV folder (header, fixed 17-column schema)."""
-    return _read_csv(spark, path, LEADS_SCHEMA).drop("_corrupt_record")
+def malformed(schema: StructType) -> Column:
+    """Whether a row of ``read_raw`` does not fit. The reader checks only fields
+    that are asked for, so all are."""
+    return F.when(F.hash(*schema.names) % 2 >= -1, F.col("_corrupt_record").isNotNull())
 
 
-def read_monitoring(spark: SparkSession, path: str) -> DataFrame:
+def _fitting(rows: DataFrame, schema: StructType) -> DataFrame:
+    return rows.filter(~malformed(schema)).drop("_corrupt_record")
+
+
+def read_leads(spark: SparkSession, path: str, lineage: bool = False) -> DataFrame:
+    """Raw leads CSV folder (header, fixed 17-column schema), the rows that fit."""
+    return _fitting(read_raw(spark, path, LEADS_SCHEMA, lineage), LEADS_SCHEMA)
+
+
+def read_monitoring(spark: SparkSession, path: str, lineage: bool = False) -> DataFrame:
     """Raw monitoring-report CSV folder (leads columns + 3 outcome columns)."""
-    return _read_csv(spark, path, MONITORING_SCHEMA).drop("_corrupt_record")
+    return _fitting(read_raw(spark, path, MONITORING_SCHEMA, lineage), MONITORING_SCHEMA)
 
 
 def read_corrupt_lines(spark: SparkSession, path: str, schema: StructType = LEADS_SCHEMA) -> DataFrame:
     """Lines the CSV reader could not fit to the schema."""
-    # the reader checks only fields that are asked for, so all are
-    every = F.hash(*schema.names) % 2 >= -1
-    return _read_csv(spark, path, schema).filter(every).filter(F.col("_corrupt_record").isNotNull())
+    return read_raw(spark, path, schema).filter(malformed(schema))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -142,8 +160,11 @@ def read_campaigns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_enriched_leads(spark: SparkSession, path: str) -> DataFrame:
-    """Enriched leads with ``campaign_id`` forced to text."""
+    """Enriched leads with ``campaign_id`` forced to text. Of a table split by
+    status (P1) these are the clean ones; the others are not listed for reading."""
     df = spark.read.option("basePath", path).parquet(path)
+    if "status" in df.columns:
+        df = df.filter(F.col("status") == "clean").drop("status", "source", "raw_line")
     return df.withColumn("campaign_id", F.col("campaign_id").cast("string"))
 
 
