@@ -9,20 +9,34 @@ is then read off a running count over each campaign's few distinct gaps
 The histogram is one pass of seven conditional counts per campaign, turned
 into rows with a generator; no grid or cross join is needed and empty bins
 are kept.
+
+All of them follow from counts per (campaign, channel, region, day gap), the
+time cube. Counts add up, so a stored cube answers every request exactly, the
+median and the filtered ones included, without the leads; cubes of different
+leads are merged by adding.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.domains import HISTOGRAM_BINS
 from leadflow.functions.exprs import is_yes, rnd
 
 
-def take_up_leads(enriched: DataFrame) -> DataFrame:
-    """converted leads: flag YES and a take-up date present."""
-    return enriched.filter(is_yes() & F.col("take_up_date").isNotNull())
+#: The cube's dimensions: campaign, channel, region, day gap.
+CUBE_KEYS = ["campaign_id", "media_blasting", "wilayah", "time_to_take_up_days"]
+
+
+def take_up_leads(enriched: DataFrame, canonical: bool = False) -> DataFrame:
+    """converted leads: flag YES and a take-up date present. The clean zone
+    holds the flag in ``canonical`` form, so there it is compared as it is and
+    the scan itself skips rows."""
+    yes = F.col("take_up_flag") == "YES" if canonical else is_yes()
+    return enriched.filter(yes & F.col("take_up_date").isNotNull())
 
 
 def filter_channel_region(df: DataFrame, channel: str | None = None,
@@ -45,13 +59,34 @@ def _days(enriched: DataFrame) -> DataFrame:
     return take_up_leads(enriched).filter(F.col("time_to_take_up_days").isNotNull())
 
 
+def time_cube(enriched: DataFrame, canonical: bool = False) -> DataFrame:
+    """Take-ups per campaign, channel, region and day gap (``take_ups``)."""
+    rows = take_up_leads(enriched, canonical).filter(F.col("time_to_take_up_days").isNotNull())
+    return rows.groupBy(*CUBE_KEYS).agg(F.count(F.lit(1)).alias("take_ups"))
+
+
+def merged_cubes(*cubes: DataFrame) -> DataFrame:
+    """The cube of all the leads behind some cubes."""
+    return reduce(DataFrame.unionByName, cubes).groupBy(*CUBE_KEYS).agg(F.sum("take_ups").alias("take_ups"))
+
+
 def time_stats(enriched: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A14 (+A23 with ``by``): min, max, mean (1 dp), exact median (1 dp) and
     count of day gaps per campaign (and breakdown column)."""
     keys = ["campaign_id"] + list(by or [])
-    counts = (_days(enriched)
-              .groupBy(*keys, F.col("time_to_take_up_days").alias("_d"))
-              .agg(F.count(F.lit(1)).alias("_n")))
+    return _stats(_days(enriched)
+                  .groupBy(*keys, F.col("time_to_take_up_days").alias("_d"))
+                  .agg(F.count(F.lit(1)).alias("_n")), keys)
+
+
+def stats_from_cube(cube: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``time_stats`` of the leads behind a (filtered) cube."""
+    keys = ["campaign_id"] + list(by or [])
+    return _stats(cube.groupBy(*keys, F.col("time_to_take_up_days").alias("_d")).agg(F.sum("take_ups").alias("_n")), keys)
+
+
+def _stats(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of rows (keys, _d, _n): the day gap ``_d`` occurs ``_n`` times."""
     upto = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     c = counts.select(*keys, "_d", "_n", F.sum("_n").over(upto).alias("_cum"),
@@ -77,12 +112,21 @@ def time_histogram(enriched: DataFrame) -> DataFrame:
     ``start <= days < end`` (last bin open); the percentage (2 dp) is over
     all values, negatives included, though negatives fall in no bin.
     """
+    return _histogram(_days(enriched), F.lit(1))
+
+
+def histogram_from_cube(cube: DataFrame) -> DataFrame:
+    """``time_histogram`` of the leads behind a (filtered) cube."""
+    return _histogram(cube, F.col("take_ups"))
+
+
+def _histogram(rows: DataFrame, times: Column) -> DataFrame:
     d = F.col("time_to_take_up_days")
-    aggs = [F.count(F.lit(1)).alias("_total")]
+    aggs = [F.sum(times).alias("_total")]
     for i, (lo, hi) in enumerate(HISTOGRAM_BINS):
         cond = (d >= lo) if hi is None else ((d >= lo) & (d < hi))
-        aggs.append(F.count_if(cond).alias(f"_b{i}"))
-    per = _days(enriched).groupBy("campaign_id").agg(*aggs)
+        aggs.append(F.sum(F.when(cond, times).otherwise(0)).alias(f"_b{i}"))
+    per = rows.groupBy("campaign_id").agg(*aggs)
     bins = F.array(*[
         F.struct(F.lit(i).alias("bin_index"),
                  F.lit(lo).alias("range_start"),

@@ -783,3 +783,9 @@ UNION ALL SELECT 'monitoring', 'blank_key', count(*), 0 FROM rm WHERE blank HAVI
 UNION ALL SELECT 'monitoring', 'without_lead', count(*), 0 FROM (SELECT DISTINCT * FROM lone) t HAVING count(*) > 0""")
 ORACLES["etl_clean_master"] = _q(ORACLES["campaign_master"][len(BASE):], csv=True, dirty=True)
 ORACLES["dedup_by_arrival"] = _q("SELECT cif, campaign_id, 9 AS cabang FROM leads")
+
+ORACLES["overview_stored"] = ORACLES["overview_agg"]
+ORACLES["regional_stored"] = ORACLES["regional_weekly"]
+ORACLES["time_stats_from_leads"] = ORACLES["time_stats"]
+ORACLES["time_cube"] = _q("""
+SELECT campaign_id, media_blasting, wilayah, d AS time_to_take_up_days, count(*) AS take_ups FROM days GROUP BY 1, 2, 3, 4""")

@@ -93,6 +93,13 @@ def _period_buckets(v: Views):
 
 @register("overview_agg")
 def _overview_agg(v: Views):
+    """A2 from the stored master (the roll-up itself, not the stored one)."""
+    return rollups.overview_agg(v.master, v.catalogue)
+
+
+@register("overview_stored")
+def _overview_stored(v: Views):
+    """The stored roll-up, as requests read it."""
     return v.overview
 
 
@@ -144,6 +151,13 @@ def _overview_trend_filtered(v: Views):
 
 @register("regional_weekly")
 def _regional_weekly(v: Views):
+    """A3 from the stored leads (the roll-up itself, not the stored one)."""
+    return rollups.regional_weekly(v.enriched)
+
+
+@register("regional_stored")
+def _regional_stored(v: Views):
+    """The stored weekly roll-up, as requests read it."""
     return v.weekly
 
 
@@ -177,36 +191,48 @@ def _regional_trend_8w(v: Views):
 
 @register("take_up_leads")
 def _take_up_leads(v: Views):
-    return time_analysis.take_up_leads(v.enriched).select(
+    return time_analysis.take_up_leads(v.enriched, canonical=True).select(
         "campaign_id", "cif", "periode_start", "take_up_date", "media_blasting", "wilayah",
         "time_to_take_up_days")
 
 
 @register("time_stats")
 def _time_stats(v: Views):
-    return time_analysis.time_stats(v.enriched)
+    return time_analysis.stats_from_cube(v.time_cube)
 
 
 @register("time_stats_filtered")
 def _time_stats_filtered(v: Views):
     """statistics after the channel and region filters."""
-    return time_analysis.time_stats(
-        time_analysis.filter_channel_region(v.enriched, channel="urgent", region="3"))
+    return time_analysis.stats_from_cube(
+        time_analysis.filter_channel_region(v.time_cube, channel="urgent", region="3"))
 
 
 @register("time_stats_by_channel")
 def _time_stats_by_channel(v: Views):
-    return time_analysis.time_stats(v.enriched, by=["media_blasting"])
+    return time_analysis.stats_from_cube(v.time_cube, by=["media_blasting"])
 
 
 @register("time_stats_by_region")
 def _time_stats_by_region(v: Views):
-    return time_analysis.time_stats(v.enriched, by=["wilayah"])
+    return time_analysis.stats_from_cube(v.time_cube, by=["wilayah"])
 
 
 @register("time_histogram")
 def _time_histogram(v: Views):
-    return time_analysis.time_histogram(v.enriched)
+    return time_analysis.histogram_from_cube(v.time_cube)
+
+
+@register("time_cube")
+def _time_cube(v: Views):
+    """Counts per campaign, channel, region and day gap, from the leads."""
+    return time_analysis.time_cube(v.enriched, canonical=True)
+
+
+@register("time_stats_from_leads")
+def _time_stats_from_leads(v: Views):
+    """A14 straight from the leads, for those who keep no cube."""
+    return time_analysis.time_stats(v.enriched)
 
 
 # ------------------------------------------------------------ criteria

@@ -47,6 +47,8 @@ MONITORING_SCHEMA = StructType(LEADS_SCHEMA.fields + [
 ])
 
 MAX_RECORDS_PER_FILE = 5_000_000
+#: Row groups of a clustered table: small enough that one holds few keys.
+ROW_GROUP_BYTES = 32 << 20
 
 
 # ------------------------------------------------------------ raw CSV
@@ -129,6 +131,15 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "stat
        .partitionBy(*by).parquet(path))
 
 
+def write_clustered(df: DataFrame, path: str, by: list[str]) -> None:
+    """``df`` sorted into ranges of ``by``, with a bloom filter on the first column:
+    a scan for some of its values skips files, row groups and pages. The other
+    columns of ``by`` spread a hot value over several tasks and files."""
+    (df.repartitionByRange(*by).sortWithinPartitions(*by)
+       .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+       .option(f"parquet.bloom.filter.enabled#{by[0]}", "true").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path))
+
+
 def _folder(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -139,12 +150,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if it is not there."""
+    where, fs = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _folder(spark, path)
+    fs.delete(where, True)
+
+
 def drop_partition(spark: SparkSession, path: str, **spec) -> None:
     """Remove one partition's folder, if it is there: an overwrite replaces only
     partitions that still have rows."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    where, fs = _folder(spark, "/".join([path, *[f"{k}={escape(str(v))}" for k, v in spec.items()]]))
-    fs.delete(where, True)
+    remove(spark, "/".join([path, *[f"{k}={escape(str(v))}" for k, v in spec.items()]]))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
