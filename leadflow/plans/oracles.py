@@ -789,3 +789,7 @@ ORACLES["regional_stored"] = ORACLES["regional_weekly"]
 ORACLES["time_stats_from_leads"] = ORACLES["time_stats"]
 ORACLES["time_cube"] = _q("""
 SELECT campaign_id, media_blasting, wilayah, d AS time_to_take_up_days, count(*) AS take_ups FROM days GROUP BY 1, 2, 3, 4""")
+ORACLES["similarity_rates"] = _q(f"""
+SELECT campaign_id, similar_campaign_id, {sround('dimension_count / 3.0', 6)} AS similarity_score, {sround('take_up_rate', 6)} AS take_up_rate
+FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY dimension_count DESC, take_up_rate DESC, similar_campaign_id) AS rank
+      FROM scored WHERE dimension_count >= 1) t WHERE rank <= 20""")

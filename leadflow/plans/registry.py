@@ -37,10 +37,10 @@ def checked(df: DataFrame, scale: int = 4) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str):
+def register(name: str, scale: int = 4):
     def deco(fn: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return checked(fn(Views.of(spark, sf_dir)))
+            return checked(fn(Views.of(spark, sf_dir)), scale)
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run
@@ -287,6 +287,12 @@ def _similarity_index(v: Views):
     return _flat_similar(similarity.similarity_index(v.dim))
 
 
+@register("similarity_rates", scale=6)
+def _similarity_rates(v: Views):
+    """The index's score and rate at their own six decimals."""
+    return similarity.similarity_index(v.dim).select("campaign_id", "similar_campaign_id", "similarity_score", "take_up_rate")
+
+
 @register("similar_enriched")
 def _similar_enriched(v: Views):
     return _flat_similar(similarity.similar_enriched(v.dim))
@@ -415,7 +421,7 @@ def _domain_violations(v: Views):
 
 @register("negative_take_up")
 def _negative_take_up(v: Views):
-    raw_gap = bindings.monitoring_raw(v.spark, v.sf_dir, raw_gap=True)
+    raw_gap = bindings.outcomes_raw(v.spark, v.sf_dir, raw_gap=True)
     return quality.negative_take_up(clean.enrich_leads(v.leads, raw_gap))
 
 

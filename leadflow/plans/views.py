@@ -21,7 +21,7 @@ from leadflow.session import apply_runtime_conf, scratch_path
 from leadflow.sources import bindings, io
 
 # (application id, "data dir|table") -> stored path, for this process
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def stored_table(spark: SparkSession, key: str, build) -> DataFrame:
@@ -50,22 +50,28 @@ _VIEWS: dict[tuple[str, str], "Views"] = {}
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, state: tuple = ()):
         apply_runtime_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
+        self.state = state
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Views":
         """The session's handles for ``sf_dir``: built lazily on first use and
         shared by every later request, as a long-running analytics session
         keeps its table handles (no re-listing of the stored tables and no
-        re-analysis of the shared plans per request)."""
+        re-analysis of the shared plans per request). When a bound table has
+        changed, the handles and what was stored from it are built anew."""
         apply_runtime_conf(spark)
         key = (spark.sparkContext.applicationId, sf_dir)
+        state = bindings.state_of(spark, sf_dir)
         v = _VIEWS.get(key)
-        if v is None or v.spark is not spark:
-            v = _VIEWS[key] = cls(spark, sf_dir)
+        if v is None or v.spark is not spark or v.state != state:
+            if v is not None and v.state != state:
+                for k in [k for k in _STORED if k[0] == key[0] and k[1].split("|")[0] == sf_dir]:
+                    del _STORED[k]
+            v = _VIEWS[key] = cls(spark, sf_dir, state)
         return v
 
     @cached_property

@@ -31,7 +31,8 @@ LEAD_COLUMNS = [
 OUTCOME_COLUMNS = ["take_up_flag", "take_up_date", "total_transaction_value"]
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+# (application id, path) -> (the path's state when it was listed, table)
+_TABLES: dict[tuple[str, str], tuple[tuple[int, int], DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +40,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read happen once per session and path, not once per query."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    seen = modified(spark, path)
+    if key not in _TABLES or _TABLES[key][0] != seen:
+        _TABLES[key] = (seen, spark.read.parquet(path))
+    return _TABLES[key][1]
+
+
+def modified(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time and length of a file or folder; they change when its data do."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
+#: The tables that the campaign model is bound to.
+SOURCES = ["orders", "customer", "lineitem", "events"]
+
+
+def state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Tells one content of the bound tables from another."""
+    return tuple(modified(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in SOURCES)
 
 
 def _render_date(d, key) -> F.Column:
@@ -125,21 +143,22 @@ def monitoring_raw(spark: SparkSession, sf_dir: str, raw_gap: bool = False) -> D
                       F.col("l.l_suppkey").alias("_src_suppkey")))
 
 
-def outcomes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outcomes_raw(spark: SparkSession, sf_dir: str, raw_gap: bool = False) -> DataFrame:
     """The columns of ``monitoring_raw`` that say who converted: the lead key,
     the outcome and its lineage. None comes from the customer, so the outcome
     path joins line items with orders only."""
     li = (table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
-          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
+                  *(["l_shipdate"] if raw_gap else [])))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     start = F.trunc(F.to_date("o_orderdate"), "month")
+    taken = F.to_date("l_shipdate") if raw_gap else F.date_add(start, (F.col("l_partkey") % 120).cast("int"))
     return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
               .select(F.col("o_custkey").cast("string").alias("cif"),
                       F.col("o_orderpriority").alias("nama_program"),
                       _render_date(start, F.col("o_orderkey")).alias("periode_start"),
                       F.lit("YES").alias("take_up_flag"),
-                      _render_date(F.date_add(start, (F.col("l_partkey") % 120).cast("int")),
-                                   F.col("l_linenumber")).alias("take_up_date"),
+                      _render_date(taken, F.col("l_linenumber")).alias("take_up_date"),
                       F.col("l_extendedprice").cast("double").alias("total_transaction_value"),
                       F.col("o_orderkey").alias("_src_orderkey"),
                       F.col("l_linenumber").cast("long").alias("_src_linenumber"),
