@@ -101,7 +101,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(buf))
-        h = T.span_hash(T.prefix_hash(buf), starts, ends)
+        h = T.chunk_hash(buf, starts, ends)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(uniq) > KEPT:
             self._fresh()

@@ -4,8 +4,8 @@ A text is cut into paragraphs (lines, with their line feeds), a paragraph into
 pieces: a piece ends after a word whose hash is divisible by ``PIECE_WORDS``,
 so an edit moves no cut but those next to it. Pieces cover every byte. A run
 of paragraphs up to one whose hash is divisible by ``SECTION_PARAGRAPHS`` is a
-section. A section's digest is taken over its paragraphs, the root over the
-sections. The fingerprint writes the tree down::
+section. A section's digest is taken over its paragraphs' bytes, the root over
+the sections. The fingerprint writes the tree down::
 
     root|section:paragraph,paragraph,...|section:...
 
@@ -45,16 +45,15 @@ def fingerprints(texts: list[str]) -> list[str]:
     buf, offsets = T.column_bytes(col)
     if not len(buf):
         return [_written([]) for _ in texts]
-    prefix = T.prefix_hash(buf)
     a, b = T.words(buf, offsets)
-    ends = T.span_hash(prefix, a, b) % np.uint64(PIECE_WORDS) == 0
+    ends = T.chunk_hash(buf, a, b) % np.uint64(PIECE_WORDS) == 0
     mark = np.zeros(len(buf) + 1, bool)
     mark[offsets] = True
     feed = np.flatnonzero(buf == 0x0A) + 1
     mark[feed] = True
     mark[a[1:][ends[:-1]]] = True
     cut = np.flatnonzero(mark)
-    piece = T.span_hash(prefix, cut[:-1], cut[1:])
+    piece = T.chunk_hash(buf, cut[:-1], cut[1:])
     # a paragraph begins where a text or, after a line feed, a line does
     line = np.zeros(len(buf) + 1, bool)
     line[offsets] = True
@@ -62,7 +61,8 @@ def fingerprints(texts: list[str]) -> list[str]:
     starts = np.flatnonzero(line[cut[:-1]])
     para = T.mix(np.add.reduceat(piece, starts))
     stop = para % np.uint64(SECTION_PARAGRAPHS) == 0
-    short, wide = piece.astype("<u4").tobytes(), piece.astype("<u8").tobytes()
+    short, raw = piece.astype("<u4").tobytes(), buf.tobytes()
+    edge = np.append(cut[starts], len(buf)).tolist()
     bounds = np.append(starts, len(piece)).tolist()
     text_of = np.searchsorted(offsets, cut[starts], "right") - 1
     per_text = np.searchsorted(text_of, np.arange(len(texts) + 1)).tolist()
@@ -74,7 +74,7 @@ def fingerprints(texts: list[str]) -> list[str]:
         for p in range(per_text[t], per_text[t + 1]):
             if fresh:
                 sections.append(([], []))
-            sections[-1][1].append(wide[8 * bounds[p]:8 * bounds[p + 1]])
+            sections[-1][1].append(raw[edge[p]:edge[p + 1]])
             sections[-1][0].append(base64.b64encode(short[4 * bounds[p]:4 * bounds[p + 1]]).decode().rstrip("="))
             fresh = stops[p]
         out.append(_written(sections))
@@ -82,7 +82,8 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 
 def _written(sections: list[tuple[list[str], list[bytes]]]) -> str:
-    """The digests are taken over 64-bit hashes, of which the string shows half."""
+    """The digests are taken over the paragraphs' bytes; the pieces' hashes that the
+    string shows only measure likeness."""
     parts, digests = [], []
     for shown, whole in sections:
         inner = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in whole)

@@ -7,16 +7,17 @@ banded buckets, star-shaped candidate edges, links confirmed on full sets.
    for all texts. ``ROWS`` entries make a band. With 42 bands of 6 rows, two
    sets of similarity 0.85 miss each other in every band with probability 2e-9.
 2. Texts with the same set are one class, stood for by its smallest doc_id.
-3. In each bucket, edges go from one centre (the smallest id) to the members,
-   so pairs grow with the members, not their square. An edge is a link if the
-   full sets say so. Links give components.
-4. Only connectivity matters. The ids that edges hold together, confirmed or
-   not, are a family. A family in one component is settled. In the others, ids
-   are laid out by component in blocks of ``BLOCK``, and blocks are compared
-   with each other unless both lie in one and the same component. A task holds
-   two blocks; it counts the shared shingles of all its pairs at once and hands
-   back only the links that join components. So no link inside a family is
-   lost, no candidate list grows with the square of a group, nothing is capped.
+3. In each bucket, the centre is its smallest id. A first round confirms one edge
+   per id, to its smallest centre, on the full sets; links give components. A
+   second round confirms the edges to centres in other components. So edges grow
+   with the members of buckets, not their square, and most are never looked at.
+4. Only connectivity matters, and two texts that are linked share a bucket. A
+   bucket whose members lie in one component is settled. In the others, members
+   are dealt to blocks of about ``BLOCK`` shingles and blocks are compared with
+   each other. A task holds two blocks; it counts the shared shingles of all its
+   pairs at once and hands back only the links that join components. So no link
+   inside a bucket is lost, no candidate list grows with the square of a group,
+   nothing is capped.
 
 Defined results: null or empty text (or white space only) has no shingles, is
 linked with nothing and kept; a null doc_id has no component and is kept; rows
@@ -35,14 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.llm import textops as T
-from leadflow.llm.common import materialize, prefix_sums, prepare, salts, table
+from leadflow.llm.common import materialize, prepare, table
 from leadflow.llm.components import connected_components
 from leadflow.llm.shingles import shingle_sets
 
 BINS, ROWS, BANDS = 256, 6, 42
 PERCENT = 85
-#: Members of a block of an unsettled family.
-BLOCK = 256
+#: Shingles of a block of an unsettled bucket, and columns of a task's grid.
+BLOCK = 1 << 16
+COLUMNS = 4096
 _SHIFT = np.uint64(64 - 8)
 _MIX = np.uint64(0xA0761D6478BD642F)
 
@@ -132,22 +134,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each left set shares with each right set, a slice of the
+    common elements at a time."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+        hit = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        column, row = at[hit], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(column, kind="stable")
+        return column[order], row[order]
+
+    (lc, lr), (rc, rr) = cells(left), cells(right)
+    out = np.zeros((len(left), len(right)), np.float64)
+    for lo in range(0, len(common), COLUMNS):
+        grids = []
+        for c, r, n in ((lc, lr, len(left)), (rc, rr, len(right))):
+            i, j = np.searchsorted(c, [lo, lo + COLUMNS])
+            grid = np.zeros((n, min(COLUMNS, len(common) - lo)), np.float32)
+            grid[r[i:j], c[i:j] - lo] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
 def _joining_links(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs (x, y) of places, x of side 0 and y of side 1, that link different
     components; no more than it takes to join those that can be joined."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    shared = _shared_counts([sets[k] for k in left], [sets[k] for k in right])
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, word = np.unique(flat, return_inverse=True)
-    # only shingles on both sides can be shared
-    on = [np.bincount(word[side[owner] == k], minlength=int(word.max()) + 1) > 0 for k in (0, 1)]
-    both = on[0] & on[1]
-    column = np.cumsum(both) - 1
-    grid = np.zeros((len(sets), int(both.sum())), np.float32)
-    use = both[word]
-    grid[owner[use], column[word[use]]] = 1
-    shared = (grid[left] @ grid[right].T).astype(np.int64)
     union = size[left][:, None] + size[right][None, :] - shared
     x, y = np.nonzero((100 * shared >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
     root: dict[int, int] = {}
@@ -166,34 +184,46 @@ def _joining_links(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], p
     return out
 
 
-def links_between(placed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between the components of each family, from rows of
-    (id, comp, family)."""
-    open_ = (placed.groupBy("family").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n"))
-             .filter("_lo < _hi AND _n > 2").select("family"))   # a family of two has had its only pair compared
-    members = materialize(placed.join(open_, "family", "left_semi"), "near-open")
-    n = salts(members.count())
-    laid = prefix_sums(members.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(n))), "family", "part",
-                       [F.col("comp"), F.col("id")], {"place": F.lit(1)})
-    laid = materialize(laid.select("family", "id", "comp", F.floor(F.col("place") / BLOCK).cast("long").alias("block")), "near-blocks")
-    blocks = laid.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    i = blocks.select("family", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i"))
-    j = blocks.select("family", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hi_j"))
-    tasks = (i.join(j, "family").filter("i <= j AND NOT (li = hi_i AND lj = hi_j AND li = lj)").select("family", "i", "j"))
-    sides = tasks.select("family", "i", "j", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("i").alias("block")),
-        F.struct(F.lit(1).alias("side"), F.col("j").alias("block")))).alias("s")).select("family", "i", "j", "s.*")
-    rows = sides.join(laid, ["family", "block"]).join(sets, "id").select("family", "i", "j", "side", "id", "comp", "shingles")
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, n, comp, centre, centre_comp, members, shingle_sum) of the buckets
+    whose members lie in different components."""
+    laid = buckets.join(labels, "id")
+    per = laid.groupBy("key").agg(
+        F.min(F.struct("id", "comp")).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
+        F.count("*").alias("members"), F.sum("n").alias("shingle_sum")).filter("_lo < _hi")
+    return laid.join(per, "key").select("key", "id", "n", "comp", F.col("_c.id").alias("centre"), F.col("_c.comp").alias("centre_comp"),
+                                        "members", "shingle_sum")
+
+
+def links_between(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components inside the rows of ``unsettled``."""
+    blocks = F.ceil(F.col("shingle_sum") / block).cast("int")
+    placed = (open_.filter("members > 2")        # the only pair of two has been compared
+              .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+              .select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+              .select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "id", "comp"))
+    # a pair of blocks that lies in one component has nothing to join
+    some = placed.groupBy("key", "i", "j").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").drop("_lo", "_hi")
+    rows = placed.join(some, ["key", "i", "j"]).join(sets, "id").select("key", "i", "j", "block", "id", "comp", "shingles")
 
     def compare(t: pa.Table) -> pa.Table:
-        comp, side = t["comp"].to_numpy(), t["side"].to_numpy()
-        ids = t["id"].to_numpy()
+        ids, comp, at = (t[c].to_numpy() for c in ("id", "comp", "block"))
         column = t["shingles"].combine_chunks()
-        found = _joining_links(comp, side, [column[k].values.to_numpy() for k in range(len(column))], percent)
-        return pa.table({"a": pa.array([int(min(ids[x], ids[y])) for x, y in found], pa.int64()),
-                         "b": pa.array([int(max(ids[x], ids[y])) for x, y in found], pa.int64())})
+        sets = [column[k].values.to_numpy() for k in range(len(column))]
+        places = np.concatenate([np.flatnonzero(at == t[c][0].as_py()) for c in ("i", "j")])
+        side = np.repeat([0, 1], [(at == t[c][0].as_py()).sum() for c in ("i", "j")])
+        if not 0 < side.sum() < len(side):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found = np.array(_joining_links(comp[places], side, [sets[k] for k in places], percent), np.int64).reshape(-1, 2)
+        a, b = ids[places[found[:, 0]]], ids[places[found[:, 1]]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
 
-    return materialize(rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"), "near-links")
+def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) of all ``ids``; those without links are alone."""
+    return materialize(ids.join(connected_components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-labels")
 
 
 def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -210,24 +240,17 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = materialize(buckets.select("id").distinct(), "near-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(full_sets(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")), "near-sets")
-    pairs = materialize(buckets.filter("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-                        .distinct(), "near-pairs")
-    links = materialize(confirmed(pairs, sets, percent), "near-links")
-    labels = connected_components(links)
-    labels = materialize(ids.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-labels")
-
-    # a family: ids that the edges, confirmed or not, hold together
-    family = connected_components(pairs).select("id", F.col("comp").alias("family"))
-    placed = materialize(labels.join(family, "id"), "near-placed")
-    links = links_between(placed, sets, percent)
-    if not links.isEmpty():
-        la = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-        lb = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-        merged = connected_components(links.join(la, "a").join(lb, "b")
-                                      .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        merged = merged.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-        labels = materialize(labels.join(merged, "comp", "left")
-                             .select("id", F.coalesce("top", "comp").alias("comp")), "near-labels")
+    first = buckets.filter("id > centre").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a"))
+    links = materialize(confirmed(first.select("a", "b"), sets, percent), "near-links")
+    labels = _labelled(ids, links)
+    open_ = unsettled(buckets.drop("centre"), labels)
+    second = (open_.filter("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+              .join(first, ["a", "b"], "left_anti"))
+    links = materialize(links.union(confirmed(second, sets, percent)), "near-links")
+    labels = _labelled(ids, links)
+    more = materialize(links_between(unsettled(buckets.drop("centre"), labels), sets, percent), "near-links")
+    if not more.isEmpty():
+        labels = _labelled(ids, links.union(more))
 
     named = classes.join(labels, classes["rep"] == labels["id"], "left") \
         .select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("comp", "rep").alias("_comp"))

@@ -18,7 +18,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> It
     buf = T.LOWER[buf]
     starts, ends = T.words(buf, offsets)
     count = T.counts_per_text(starts, offsets)
-    word = T.span_hash(T.prefix_hash(buf), starts, ends)
+    word = T.chunk_hash(buf, starts, ends)
     n = len(word)
     if n >= width:
         whole = word[:n - width + 1].copy()
