@@ -8,15 +8,78 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadflow.session import materialize, scratch_path
+from leadflow.session import scratch_path as _scratch_path
 
-__all__ = ["materialize", "scratch_path", "prepare", "table", "prefix_sums", "salts"]
+__all__ = ["materialize", "scratch_path", "prepare", "table", "prefix_sums", "salts", "free_name", "Scratch"]
 
 #: Rows per Arrow batch handed to Python: whole texts can be long, so batches
 #: are kept small enough that a batch of long texts still fits in memory.
 ARROW_ROWS = 512
 
 
+class Scratch:
+    """The tables that the operators of one job store on their way, so that the job
+    can remove them once its own result is stored.
+
+        scratch = Scratch()
+        with scratch:
+            out = operator(...)
+        out.write.parquet(path)
+        scratch.remove(spark)
+    """
+
+    _open: list["Scratch"] = []
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "Scratch":
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+
+    def remove(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
+        """Remove the tables, but for those that ``keep`` is still read from."""
+        if not self.paths:
+            return
+        read = keep.inputFiles() if keep is not None else []
+        left = []
+        for path in self.paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+            inside = fs.makeQualified(where).toUri().getPath() + "/"
+            if any(inside in f for f in read):
+                left.append(path)
+            else:
+                fs.delete(where, True)
+        self.paths = left
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new location under the shared folder; see ``Scratch``."""
+    path = _scratch_path(spark, name)
+    for scratch in Scratch._open:
+        scratch.paths.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored in the shared folder and read back, so that its lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on, whatever session they are given."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -22,9 +22,14 @@ them, so no document exceeds that many times its size. The steps:
 Ranks within a source are salted prefix sums (a source may hold a third of all
 rows). Reruns agree: every draw is a hash of the seed.
 
+The drawn blocks are written in their shards' order, a folder per shard, and
+what the mix takes is summed from the shards as they are read back.
+
 Defined results: null or empty text has no words, is never drawn and gets
-``taken`` 0; a null source is a source of its own; repeated rows are drawn
-independently; other columns stay untouched; an empty table gives no rows.
+``taken`` 0; a null source is a source of its own; rows with the same doc_id
+stand side by side in the permutation, rows with a null one are placed by a row
+number, so they spread; other columns stay untouched, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadflow.llm.common import materialize, prefix_sums, prepare, salts, table
+from leadflow.llm.common import free_name, materialize, prefix_sums, prepare, salts, scratch_path, table
 
 WEIGHTS = (5, 2, 1)
 TOTAL_RATIO = 1.5
@@ -41,8 +46,6 @@ MOST_COPIES = 2
 SHARDS = 16
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Above this variance a hypergeometric draw is rounded from its normal limit.
-EXACT_VARIANCE = 1024.0
 
 
 def word_count(text: Column) -> Column:
@@ -89,11 +92,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hypergeometric(total: Column, good: Column, draws: Column, u: Column, v: Column) -> Column:
+def hypergeometric(total: Column, good: Column, draws: Column, u: Column, v: Column | None = None) -> Column:
     """How many of ``draws`` blocks out of ``total`` are among the ``good`` ones.
 
-    By inversion of the distribution around its mean, from the uniform draw
-    ``u``; beyond ``EXACT_VARIANCE`` by its normal limit, from ``u`` and ``v``.
+    By inversion of the distribution within ten deviations of its mean, from the
+    uniform draw ``u``; ``v`` is not used any more.
     """
 
     def moments(p: Column) -> Column:
@@ -104,10 +107,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column, v: Col
                              F.greatest(F.lit(0.0), d - (n - k)).alias("low"), F.least(d, k).alias("high")), pick)
 
     def pick(p: Column) -> Column:
-        normal = F.round(p["mean"] + F.sqrt(p["var"]) * F.sqrt(-2 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v))
-        limit = F.least(p["high"], F.greatest(p["low"], normal)).cast("long")
-        return F.when(p["low"] >= p["high"], p["low"].cast("long")) \
-            .when(p["var"] <= EXACT_VARIANCE, inverted(p)).otherwise(limit)
+        return F.when(p["low"] >= p["high"], p["low"].cast("long")).otherwise(inverted(p))
 
     def inverted(p: Column) -> Column:
         reach = 10 * F.sqrt(p["var"]) + 5
@@ -163,8 +163,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
         def draw(acc: Column, s: Column) -> Column:
             # given what went left before, what goes left of this source is hypergeometric
             left = hypergeometric(acc["total"] - s["before"], s["quota"], acc["half"] - acc["gone"],
-                                  _uniform(F.lit(level), acc["node"], s["before"], s["source"], F.lit("u")),
-                                  _uniform(F.lit(level), acc["node"], s["before"], s["source"], F.lit("v")))
+                                  _uniform(F.lit(level), acc["node"], s["before"], s["source"], F.lit("u")))
             return _let(left, lambda got: F.struct(
                 acc["total"].alias("total"), acc["half"].alias("half"), acc["node"].alias("node"),
                 (acc["gone"] + got).alias("gone"),
@@ -191,7 +190,7 @@ def draw_blocks(sizes: DataFrame, targets: DataFrame, shards: int = SHARDS,
     adds copy (from 0), words taken of it, shard and place_key, the order
     inside the shard."""
     blocks = (sizes.filter("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-              .withColumn("key", F.md5(F.concat_ws("|", F.lit(SEED), "doc_id", "copy"))))
+              .withColumn("key", F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), "row_id")), "copy"))))
     n = salts(sizes.count())
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("int")
     blocks = blocks.withColumn("bucket", F.col("copy") * n + part)
@@ -234,7 +233,7 @@ def mixed_sizes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
     sizes = sized(docs)
     targets = source_targets(sizes)
-    drawn = draw_blocks(sizes, targets).groupBy("row_id").agg(F.sum("words").alias("taken"))
+    drawn = stored_shards(draw_blocks(sizes, targets)).groupBy("row_id").agg(F.sum("words").alias("taken"))
     # the few source rows are salted like the documents they join
     n = salts(sizes.count())
     spread = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -248,17 +247,17 @@ def mixed_sizes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix itself: one row per drawn block, with the columns of ``docs``;
     a cut block has its text's first words only. Adds nothing: shards and
-    places are for ``write_shards``."""
+    places are for ``write_shards``. Words are counted once, as the rows are stored."""
     keep = docs.columns
-    docs = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
-    sizes = docs.select(F.col("_mix_row").alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    drawn = (draw_blocks(sizes, source_targets(sizes), shards)
-             .select(F.col("row_id").alias("_mix_row"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size")))
+    row, size, words = (free_name(docs, n) for n in ("_mix_row", "_mix_size", "_mix_words"))
+    docs = materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: word_count(F.col("text"))}), "mix-docs")
+    sizes = docs.select(F.col(row).alias("row_id"), "doc_id", "source", F.col(size).alias("size"))
+    drawn = stored_shards(draw_blocks(sizes, source_targets(sizes), shards)).select(F.col("row_id").alias(row), F.col("words").alias(words))
     # a word and the white space before it, so the first ones joined are a prefix of the text
     each = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(each, F.lit(1), F.col("_mix_words").cast("int")), "")
-    short = F.col("_mix_words") < F.col("_mix_size")
-    out = docs.join(drawn, "_mix_row").withColumn("text", F.when(short, cut).otherwise(F.col("text")))
+    cut = F.array_join(F.slice(each, F.lit(1), F.col(words).cast("int")), "")
+    short = F.col(words) < F.col(size)
+    out = docs.join(drawn, row).withColumn("text", F.when(short, cut).otherwise(F.col("text")))
     if "n_chars" in keep:
         out = out.withColumn("n_chars", F.when(short, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*keep)
@@ -270,6 +269,13 @@ def write_shards(blocks: DataFrame, path: str) -> None:
      .write.partitionBy("shard").parquet(path))
 
 
+def stored_shards(blocks: DataFrame) -> DataFrame:
+    """The blocks as read back from their shards."""
+    path = scratch_path(blocks.sparkSession, "mix-shards")
+    write_shards(blocks, path)
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(prepare(spark), table(spark, sf_dir, "documents"))
 

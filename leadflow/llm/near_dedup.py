@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.llm import textops as T
-from leadflow.llm.common import materialize, prepare, table
+from leadflow.llm.common import free_name, materialize, prepare, table
 from leadflow.llm.components import connected_components
 from leadflow.llm.shingles import shingle_sets
 
@@ -265,14 +265,14 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with exactly one row of each near-duplicate group: the smallest
     doc_id (null last), then the first row. Rows are told apart by an id of
     their own, so repeated rows and null ids are members like any other."""
-    keep = docs.columns
-    docs = materialize(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-docs")
-    found = near_classes(docs.select(F.col("_near_row").alias("doc_id"), "text"), percent)
-    ids = docs.select("_near_row", F.col("doc_id").cast("long").alias("_id"))
-    stay = (found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_near_row"))
+    keep, row = docs.columns, free_name(docs, "_near_row")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    found = near_classes(docs.select(F.col(row).alias("doc_id"), "text"), percent)
+    ids = docs.select(F.col(row).alias("_own"), F.col("doc_id").cast("long").alias("_id"))
+    stay = (found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, F.col("_row") == F.col("_own"))
             .groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
             .select(F.col("first._row").alias("_stay")))
-    return docs.join(stay, F.col("_near_row") == F.col("_stay"), "left_semi").select(*keep)
+    return docs.join(stay, docs[row] == stay["_stay"], "left_semi").select(*keep)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,17 +14,21 @@
    partitions hold ``TARGET`` of the true neighbours. Clustered vectors need few
    partitions, vectors without structure most of them.
 
-Partitions are read in blocks of about ``BLOCK`` vectors, dealt by a hash of
-the vector's id, so neither a large partition nor thousands of equal vectors is
-one task: a query's best are found per block, then overall. Only the sample
-(bounded) reaches the driver; the model is sent to the tasks.
-
-Defined results: vectors that are null, empty, zero, of another length than the
-first sampled one, or hold null or non-finite components take no part; a null
-id takes no part; rows with a query's own id are not its candidates; repeated
-candidates with the same id and distance count once; ties go to the smaller
-id; other columns are not read, whatever their names; an empty table gives no
-rows.
+A query looks at as many partitions as it takes to hold k + 1 vectors, and at
+all of them if it still has too few answers. Partitions are read in blocks of
+about ``BLOCK`` vectors and their queries in blocks of about ``ASKED``, both dealt
+by a hash of the id, so neither a large partition, nor thousands of equal
+vectors, nor many queries are one task: a query's best are found per block, then
+overall. Only the sample (bounded) reaches the driver; the model is sent to the
+tasks.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components take no part; vectors of different lengths are not compared, each
+length is searched for itself; a null id takes no part; of several vectors with
+a query's id the smallest asks; rows with a query's own id are not its
+candidates; repeated candidates with the same id and distance count once; ties
+go to the smaller id; other columns are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,14 +44,19 @@ from pyspark.sql import functions as F
 
 from leadflow.llm.common import materialize, prepare, table
 
-SAMPLE = 4096
-PARTITIONS = 16
+#: Sampled vectors per partition, and the range of the partitions' number, which
+#: grows with the root of the table; so 65,536 vectors are sampled at most.
+PER_PARTITION = 256
+PARTITIONS = (16, 256)
+SAMPLE = PER_PARTITION * PARTITIONS[1]
 #: Share of the true neighbours that the probed partitions hold, on sampled
 #: vectors kept back from the fit.
 TARGET = 0.96
 NEIGHBOURS = 10
 SLACK = 1.05
 BLOCK = 4096
+#: Queries that a task compares with a block.
+ASKED = 1024
 EVERY = 100
 
 
@@ -131,13 +140,16 @@ class Router:
     b2: np.ndarray
     mass: float = 1.0
 
-    def probed(self, x: np.ndarray) -> list[np.ndarray]:
-        """Per vector the partitions to look at, the most probable first."""
+    def probed(self, x: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+        """Per vector the partitions to look at, the most probable first; as many
+        more as it takes for them to hold ``least`` vectors, partition p ``held[p]``."""
         p = self.probabilities(x)
         order = np.argsort(-p, axis=1, kind="stable")
         upto = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-        many = np.minimum((upto < self.mass).sum(axis=1) + 1, p.shape[1])
-        return [o[:m].astype(np.int32) for o, m in zip(order, many)]
+        many = (upto < self.mass).sum(axis=1) + 1
+        if held is not None:
+            many = np.maximum(many, (np.cumsum(held[order], axis=1) < least).sum(axis=1) + 1)
+        return [o[:m].astype(np.int32) for o, m in zip(order, np.minimum(many, p.shape[1]))]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum((x - self.centre) / self.scale @ self.w1 + self.b1, 0)
@@ -174,7 +186,15 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
     return Router(centre, scale, *params)
 
 
-def fit_router(vectors: DataFrame, parts: int = PARTITIONS, sample: int = SAMPLE) -> Router | None:
+def partitions_for(rows: int) -> int:
+    """A power of two near a sixteenth of the root of the table."""
+    parts = PARTITIONS[0]
+    while parts < PARTITIONS[1] and 16 * parts < rows ** 0.5:
+        parts *= 2
+    return parts
+
+
+def fit_router(vectors: DataFrame, parts: int = PARTITIONS[0], sample: int = PER_PARTITION * PARTITIONS[0]) -> Router | None:
     """The learned part, on at most ``sample`` vectors; None without vectors."""
     some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     if not some.num_rows:
@@ -209,35 +229,45 @@ def fit_router(vectors: DataFrame, parts: int = PARTITIONS, sample: int = SAMPLE
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS,
-           parts: int = PARTITIONS, sample: int = SAMPLE) -> DataFrame:
+           parts: int | None = None, sample: int | None = None) -> DataFrame:
     """The k nearest vectors found for every vector whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     stored = materialize(usable(vectors).dropDuplicates(["vec_id", "v"]), "neighbour-vectors")
-    router = fit_router(stored, parts, sample)
-    if router is None:
-        return spark.createDataFrame([], schema)
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for row in stored.groupBy(F.size("v").alias("width")).count().orderBy("width").collect():    # in most tables one
+        n = parts or partitions_for(row["count"])
+        out = out.union(_search(stored.filter(F.size("v") == row["width"]), every, k, n, sample or PER_PARTITION * n))
+    return out
+
+
+def _search(fitting: DataFrame, every: int, k: int, parts: int, sample: int) -> DataFrame:
+    """``search`` among vectors of one length."""
+    router = fit_router(fitting, parts, sample)
     width = len(router.centre)
 
     def file(asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = matrix(batch.column(1), width)
-                top = router.probed(x) if asks else list(router.probabilities(x).argmax(axis=1)[:, None].astype(np.int32))
+                top = router.probed(x, held, k + 1) if asks else list(router.probabilities(x).argmax(axis=1)[:, None].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(top, pa.list_(pa.int32()))],
                                                  ["vec_id", "v", "parts"])
         return run
 
     filed = "vec_id long, v array<double>, parts array<int>"
-    fitting = stored.filter(F.size("v") == width)
     index = materialize(fitting.mapInArrow(file(False), filed).select("vec_id", "v", F.col("parts")[0].alias("part")), "neighbour-index")
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))   # one row per partition
-    blocks = {r["part"]: r["blocks"] for r in sizes.collect()}
-    count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("part")), F.lit(1))
-    candidates = index.select(F.lit(False).alias("asks"), "part", F.pmod(F.xxhash64("vec_id"), count).cast("int").alias("block"), "vec_id", "v")
-    asked = (fitting.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(file(True), filed)
-             .select("vec_id", "v", F.explode("parts").alias("part"))
-             .select(F.lit(True).alias("asks"), "part", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), "vec_id", "v"))
+    # one row per partition
+    sizes = index.groupBy("part").agg(F.count("*").alias("n"), F.approx_count_distinct("vec_id").alias("ids")).collect()
+    held = np.zeros(parts, np.int64)
+    for r in sizes:
+        held[r["part"]] = r["ids"] * 9 // 10        # the count of ids is near, not exact
+
+    def per_part(values: dict[int, int]) -> F.Column:
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("part")), F.lit(1)) if values else F.lit(1)
+
+    blocks = per_part({r["part"]: -(-r["n"] // BLOCK) for r in sizes}).cast("int")
+    # of several vectors with a query's id the smallest asks
+    queries = fitting.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    schema = "query_id long, vec_id long, score double"
 
     def compare(t: pa.Table) -> pa.Table:
         ask = t["asks"].to_numpy()
@@ -263,10 +293,31 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS,
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()),
                          "score": pa.array([o[2] for o in out], pa.float64())})
 
-    found = (candidates.union(asked).groupBy("part", "block")
-             .applyInArrow(compare, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"]))
-    w = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(asked: DataFrame) -> DataFrame:
+        """The k best of rows (vec_id, v, part): queries with a partition to look at.
+        A partition's queries are cut into blocks like its vectors, and a block of
+        one meets a block of the other."""
+        asked = materialize(asked, "neighbour-asked")
+        turns = per_part({r["part"]: -(-r["count"] // ASKED) for r in asked.groupBy("part").count().collect()}).cast("int")
+        block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block")
+        turn = F.pmod(F.xxhash64("vec_id", F.lit("turn")), turns).cast("int").alias("turn")
+        candidates = index.select(F.lit(False).alias("asks"), "part", block, F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "vec_id", "v")
+        asking = asked.select(F.lit(True).alias("asks"), "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), turn, "vec_id", "v")
+        found = (candidates.union(asking).groupBy("part", "block", "turn").applyInArrow(compare, schema)
+                 .dropDuplicates(["query_id", "vec_id", "score"]))
+        w = W.partitionBy("query_id").orderBy("score", "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return materialize(ranked.select("query_id", "rank", "vec_id", "score"), "neighbour-found")
+
+    first = answers(queries.mapInArrow(file(True), filed).select("vec_id", "v", F.explode("parts").alias("part")))
+    full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = queries.join(full, "vec_id", "left_anti")
+    if short.isEmpty():
+        return first
+    # copies of an id can leave a query short of candidates: it looks at all partitions
+    every_part = F.array(*[F.lit(r["part"]) for r in sizes])
+    rest = answers(short.select("vec_id", "v", F.explode(every_part).alias("part")))
+    return first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").union(rest)
 
 
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

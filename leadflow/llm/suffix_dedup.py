@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.llm import textops as T
-from leadflow.llm.common import materialize, prepare, table
+from leadflow.llm.common import free_name, materialize, prepare, table
 from leadflow.llm.suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH = 200
@@ -375,11 +375,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (a character cut
     by a span's edge goes as a whole) and ``n_chars``, if there, brought up to date."""
     _, stripped = removed_texts(docs, with_text=True)
-    lost = stripped.select(F.col("name").alias("_name"), F.col("kept").alias("_kept"))
-    out = docs.join(lost, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))) == F.col("_name"), "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    name, kept = free_name(docs, "_name"), free_name(docs, "_kept")
+    lost = stripped.select(F.col("name").alias(name), F.col("kept").alias(kept))
+    out = docs.join(lost, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))) == F.col(name), "left")
+    out = out.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_name").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars"))
                              .otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
 

@@ -4,17 +4,19 @@ A list is a log of dated entries: on a day, a key (a host, or a host and the
 first part of its path) is given an action. An entry holds until the key's next
 one: the log becomes validity intervals. Every capture is then judged against
 the entries active when it was fetched: an as-of join, as equality on key and
-month with the day inside the interval; intervals are cut at months, so a key's
-long history is not compared with all its captures, and a host with a third of
-all captures is an ordinary skewed join that Spark splits. Intervals of a key
+month with the day inside the interval; intervals are cut at the months in which
+there are captures (a key's last interval has no end), so a key's long history is
+not compared with all its captures, and a host with a third of all captures is an
+ordinary skewed join that Spark splits. Intervals of a key
 do not overlap, so a capture meets one entry per key at most. The most specific
 key decides; ``none`` if no entry is active.
 
 Defined results: a null or unparsable URL has no key and no entry; a null fetch
 day meets no entry; entries of one key and day are ordered by action and the
 last one holds; entries with a null key, day or action are ignored; repeated
-captures are judged each; captures keep their other columns; empty tables give
-no rows.
+captures are judged each; captures keep their other columns, but for any named
+as one of the three that are added, which they replace; days may be negative;
+empty tables give no rows.
 
 The query derives both sides from ``pages``: the list from the hosts and paths
 that occur there, days and actions from md5, so that SQL can do the same.
@@ -28,8 +30,6 @@ from pyspark.sql import functions as F
 
 from leadflow.llm.common import prepare, table
 
-#: An interval without an end lasts to this day.
-FOREVER = 36500
 MONTH = 30
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -48,31 +48,38 @@ def prefix_of(url: Column) -> Column:
     return F.when((part != "") & host_of(url).isNotNull(), F.concat(host_of(url), F.lit("/"), part))
 
 
-def validity(entries: DataFrame) -> DataFrame:
+def validity(entries: DataFrame, first: int, last: int) -> DataFrame:
     """(key, action, valid_from, valid_to, month) from (key, day, action);
-    ``valid_to`` is not included; one row per month that an interval touches."""
+    ``valid_to`` is not included and null if the interval is open; one row per
+    month that an interval touches between the days ``first`` and ``last``."""
     known = (entries.filter(F.col("key").isNotNull() & F.col("day").isNotNull() & F.col("action").isNotNull())
              .groupBy("key", "day").agg(F.max("action").alias("action")))
     after = F.lead("day").over(W.partitionBy("key").orderBy("day"))
-    spans = known.select("key", "action", F.col("day").alias("valid_from"), F.coalesce(after, F.lit(FOREVER)).alias("valid_to"))
-    return spans.withColumn("month", F.explode(F.sequence(F.floor(F.col("valid_from") / MONTH), F.floor((F.col("valid_to") - 1) / MONTH))))
+    spans = (known.select("key", "action", F.col("day").alias("valid_from"), after.alias("valid_to"))
+             .filter((F.col("valid_from") <= last) & (F.col("valid_to").isNull() | (F.col("valid_to") > first))))
+    begin = F.greatest(F.col("valid_from"), F.lit(first))
+    end = F.least(F.coalesce(F.col("valid_to") - 1, F.lit(last)), F.lit(last))
+    return spans.withColumn("month", F.explode(F.sequence(F.floor(begin / MONTH), F.floor(end / MONTH))))
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture (capture_id unique, url, day) with the action, key and
     first day of the entry that decides."""
+    days = captures.agg(F.min("day"), F.max("day")).first()
+    span = (days[0], days[1]) if days[0] is not None else (0, -1)
     keys = captures.select("capture_id", "day", F.explode(F.array(
         F.struct(F.lit(2).alias("weight"), prefix_of(F.col("url")).alias("key")),
         F.struct(F.lit(1).alias("weight"), host_of(F.col("url")).alias("key")))).alias("k"))
     keys = keys.select("capture_id", "day", "k.weight", "k.key", F.floor(F.col("day") / MONTH).alias("month")).filter("key IS NOT NULL")
-    active = (keys.join(validity(entries), ["key", "month"])
-              .filter((F.col("day") >= F.col("valid_from")) & (F.col("day") < F.col("valid_to"))))
-    first = (active.filter("weight = 2").select("capture_id", F.col("action").alias("_a2"), F.col("key").alias("_k2"), F.col("valid_from").alias("_v2")))
-    second = (active.filter("weight = 1").select("capture_id", F.col("action").alias("_a1"), F.col("key").alias("_k1"), F.col("valid_from").alias("_v1")))
-    return (captures.join(first, "capture_id", "left").join(second, "capture_id", "left")
-            .select(*captures.columns, F.coalesce("_a2", "_a1", F.lit("none")).alias("action"),
-                    F.when(F.col("_a2").isNotNull(), F.col("_k2")).otherwise(F.col("_k1")).alias("list_key"),
-                    F.when(F.col("_a2").isNotNull(), F.col("_v2")).otherwise(F.col("_v1")).alias("listed_on")))
+    active = (keys.join(validity(entries, *span), ["key", "month"])
+              .filter((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))))
+    # of the host's and the prefix's entry the more specific one
+    best = active.groupBy(F.col("capture_id").alias("_capture")).agg(
+        F.max(F.struct("weight", F.struct("action", "key", "valid_from").alias("e"))).alias("_best"))
+    own = [captures[c] for c in captures.columns if c not in ("action", "list_key", "listed_on")]
+    return (captures.join(best, captures["capture_id"] == best["_capture"], "left")
+            .select(*own, F.coalesce(F.col("_best.e.action"), F.lit("none")).alias("action"),
+                    F.col("_best.e.key").alias("list_key"), F.col("_best.e.valid_from").alias("listed_on")))
 
 
 def _draw(text: Column, most: int) -> Column:
