@@ -131,14 +131,15 @@ def enrich_leads(leads: DataFrame, monitoring_raw: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ one pass with statuses
 
-def _tagged(raw: DataFrame, misfit: Column) -> DataFrame:
+def _tagged(raw: DataFrame, misfit: Column, source: str) -> DataFrame:
     """Raw rows with ``_status`` (ok, malformed, blank_key) and ``_hold``: empty for
-    rows that take part in the dedup, the row's own name for all others, so that
-    these travel along and none is taken for another's copy."""
+    rows that take part in the dedup and the join, a name of the row's own in its
+    source for all others, so that these travel along and none is taken for
+    another's copy or outcome."""
     status = F.when(misfit, "malformed").when(F.col("cif").isNull() | (F.trim("cif") == ""), "blank_key").otherwise("ok")
     rows = raw.withColumn("_status", status).withColumnRenamed("_corrupt_record", "_line")
     return rows.withColumn("_hold", F.when(F.col("_status") == "ok", "")
-                           .otherwise(F.monotonically_increasing_id().cast("string")))
+                           .otherwise(F.concat(F.lit(source), F.monotonically_increasing_id().cast("string"))))
 
 
 def _watched(rows: DataFrame, watch: Observation, bad_date: Column, no_campaign: Column) -> DataFrame:
@@ -187,8 +188,8 @@ def split_by_status(leads_raw: DataFrame, monitoring_raw: DataFrame, misfit: tup
     """
     key = [*NATURAL_KEY, "_hold"]
     no_campaign = F.col("nama_program").isNull() | parse_mixed_date("periode_start").isNull()
-    le = _watched(_tagged(leads_raw, misfit[0]), watch.leads, _unreadable("periode_start"), no_campaign)
-    mo = _watched(_tagged(monitoring_raw, misfit[1]), watch.monitoring, _unreadable("take_up_date"), no_campaign)
+    le = _watched(_tagged(leads_raw, misfit[0], "leads "), watch.leads, _unreadable("periode_start"), no_campaign)
+    mo = _watched(_tagged(monitoring_raw, misfit[1], "monitoring "), watch.monitoring, _unreadable("take_up_date"), no_campaign)
     lineage = [c for c in leads_raw.columns if c.startswith("_src_")]
     columns = [c for c in leads_raw.columns if c not in (*lineage, "_corrupt_record")]
     le = normalise_leads(le)

@@ -17,6 +17,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.session import shared_dir
+
 # ---- fixed values (the tables' columns, as the jobs store them) ----
 
 LEADS_COLUMNS = """
@@ -50,11 +52,17 @@ def _quoted(path: str) -> str:
     return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def use_database(spark: SparkSession, database: str) -> None:
+    """Create the database, in the shared folder, if it is not there."""
+    where = _quoted(f"{shared_dir(spark)}/{database}.db")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION {where}")
+
+
 def declare_tables(spark: SparkSession, locations: dict[str, str], database: str = "leadflow",
                    statistics: bool = True) -> list[str]:
     """Declare the named tables over their folders, recover their partitions and
     gather statistics; returns the full names. Declaring again is a refresh."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    use_database(spark, database)
     done = []
     for name, path in locations.items():
         if name not in TABLES:
@@ -110,7 +118,7 @@ def store_bucketed(df: DataFrame, name: str, path: str, key: str, order: list[st
                    database: str = "leadflow") -> DataFrame:
     """Write ``df`` into ``buckets`` by ``key``, one sorted file each, and declare it."""
     spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    use_database(spark, database)
     # the shuffle's hash is the buckets' hash, so a task writes one bucket
     (df.repartition(buckets, F.col(key)).write.bucketBy(buckets, key).sortBy(*order)
        .mode("overwrite").format("parquet").option("path", path).saveAsTable(f"{database}.{name}"))
@@ -120,7 +128,7 @@ def store_bucketed(df: DataFrame, name: str, path: str, key: str, order: list[st
 def declare_bucketed(spark: SparkSession, name: str, path: str, schema: str, key: str, order: list[str],
                      buckets: int, database: str = "leadflow") -> DataFrame:
     """Declare a folder that ``store_bucketed`` wrote, in a session that does not know it."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    use_database(spark, database)
     spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
     spark.sql(f"CREATE TABLE {database}.{name} ({schema}) USING parquet CLUSTERED BY ({key}) "
               f"SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION {_quoted(path)}")

@@ -82,6 +82,20 @@ def test_each_source_is_scanned_once_and_the_join_moves_nothing(spark, drop):
     assert "SortMergeJoin" in plan
 
 
+def test_held_rows_of_both_sources_do_not_meet(spark):
+    """Rows at the same place of either source, with the same key, both misfits."""
+    root = scratch_path(spark, "t-held")
+    p = pipeline.Paths(raw_leads=f"{root}/leads", raw_monitoring=f"{root}/mon", enriched=f"{root}/clean", campaigns=f"{root}/campaigns",
+                       overview=f"{root}/o", regional=f"{root}/r", similarity=f"{root}/s")
+    for df, path in ((df_of(spark, [lead("1"), lead(""), lead("2")], LEADS), p.raw_leads),
+                     (df_of(spark, [mon("1"), mon(""), mon("2")], MONITORING), p.raw_monitoring)):
+        io.write_csv(as_text(df).withColumn("wilayah", F.when(F.col("cif") == "1", "north").otherwise(F.col("wilayah"))).coalesce(1), path)
+    got = pipeline.split_raw(spark, p)
+    held = {(r.source, r.status): r["count"] for r in pipeline.quarantine(spark, p).groupBy("source", "status").count().collect()}
+    assert held == {(s, t): 1 for s in ("leads", "monitoring") for t in ("malformed", "blank_key")}
+    assert (got["lead_rows"], got["lead_duplicates_dropped"], got["monitoring_duplicates_dropped"]) == (3, 0, 0)
+
+
 def test_no_rows(spark):
     root = scratch_path(spark, "t-none")
     p = pipeline.Paths(raw_leads=f"{root}/leads", raw_monitoring=f"{root}/mon", enriched=f"{root}/clean", campaigns=f"{root}/campaigns",
