@@ -127,16 +127,18 @@ def filed(index: DataFrame, wide: int, shared: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, p in enumerate(rows_of(batch.column(2))):
-                low = np.sort(p)[:len(p) - shared + wide].astype(np.int64)
-                names = low[np.array(list(combinations(range(len(low)), wide)), np.int64).reshape(-1, wide)]
-                name = names[:, 0]
+            ids, widths, pivots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), rows_of(batch.column(2))
+            many = np.array([len(p) for p in pivots])
+            for m in np.unique(many).tolist():
+                own = np.flatnonzero(many == m)
+                low = np.sort(np.array([pivots[k] for k in own]), axis=1)[:, :m - shared + wide].astype(np.int64)
+                names = low[:, np.array(list(combinations(range(low.shape[1]), wide)), np.int64).reshape(-1, wide)]
+                name = names[:, :, 0]
                 for c in range(1, wide):
-                    name = (name << 13) | names[:, c]
-                n = len(name)
+                    name = (name << 13) | names[:, :, c]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(1)[k].as_py(), np.int32)), pa.array(name),
-                     pa.array(np.full(n, batch.column(0)[k].as_py(), np.int64))], ["width", "list", "id"])
+                    [pa.array(np.repeat(widths[own], name.shape[1]).astype(np.int32)), pa.array(name.reshape(-1)),
+                     pa.array(np.repeat(ids[own], name.shape[1]))], ["width", "list", "id"])
 
     return (index.select("id", F.size("z").alias("width"), "pivots")
             .mapInArrow(run, "width int, list long, id long"))
