@@ -4,8 +4,37 @@ These are data, not logic: domains of the lead attributes, the histogram
 edges, the attribute list of the criteria report, limits and thresholds.
 """
 
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
 # ---- fixed values (must match the product definitions exactly) ----
 
+# columns of the two raw CSV drops
+LEADS_SCHEMA = StructType([
+    StructField("cif", StringType()),
+    StructField("nama_program", StringType()),
+    StructField("jenis_leads", StringType()),
+    StructField("media_blasting", StringType()),
+    StructField("periode_start", StringType()),
+    StructField("flag_program", StringType()),
+    StructField("wilayah", IntegerType()),
+    StructField("cabang", IntegerType()),
+    StructField("outlet", IntegerType()),
+    StructField("segment_crs", StringType()),
+    StructField("segment_by_aum", StringType()),
+    StructField("segment_wondr", StringType()),
+    StructField("segment_div_owner", StringType()),
+    StructField("range_usia", StringType()),
+    StructField("range_saldo_tab", DoubleType()),
+    StructField("avg_aum_3_bln", DoubleType()),
+    StructField("potensi_money", DoubleType()),
+])
+
+MONITORING_SCHEMA = StructType(LEADS_SCHEMA.fields + [
+    StructField("take_up_flag", StringType()),
+    StructField("take_up_date", StringType()),
+    StructField("total_transaction_value", DoubleType()),
+])
+
 # lead attribute domains
 MEDIA_BLASTING = ["wa", "digisales", "telesales", "email", "push notif", "sms"]
 FLAG_PROGRAM = ["PROGRAM BIAYA ADMIN", "PROGRAM QRIS"]

@@ -17,34 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField,
-                               StructType)
-
-LEADS_SCHEMA = StructType([
-    StructField("cif", StringType()),
-    StructField("nama_program", StringType()),
-    StructField("jenis_leads", StringType()),
-    StructField("media_blasting", StringType()),
-    StructField("periode_start", StringType()),
-    StructField("flag_program", StringType()),
-    StructField("wilayah", IntegerType()),
-    StructField("cabang", IntegerType()),
-    StructField("outlet", IntegerType()),
-    StructField("segment_crs", StringType()),
-    StructField("segment_by_aum", StringType()),
-    StructField("segment_wondr", StringType()),
-    StructField("segment_div_owner", StringType()),
-    StructField("range_usia", StringType()),
-    StructField("range_saldo_tab", DoubleType()),
-    StructField("avg_aum_3_bln", DoubleType()),
-    StructField("potensi_money", DoubleType()),
-])
-
-MONITORING_SCHEMA = StructType(LEADS_SCHEMA.fields + [
-    StructField("take_up_flag", StringType()),
-    StructField("take_up_date", StringType()),
-    StructField("total_transaction_value", DoubleType()),
-])
+from pyspark.sql.types import StringType, StructField, StructType
+
+from leadflow.functions.domains import EXPORT_COLUMNS, LEADS_SCHEMA, MONITORING_SCHEMA
 
 MAX_RECORDS_PER_FILE = 5_000_000
 #: Row groups of a clustered table: small enough that one holds few keys.
@@ -225,11 +200,9 @@ def write_json_map(df: DataFrame, path: str, key_name: str = "campaign_id") -> N
 
 def export_rows(master: DataFrame) -> DataFrame:
     """S12 rows: the fixed eight columns, rate as ``12.34%``."""
-    return master.select(
-        "nama_program", "flag_program", "media_blasting", "jenis_leads",
-        F.col("wilayah").cast("string").alias("wilayah"),
-        "total_leads", "total_take_up",
-        F.format_string("%.2f%%", F.round("take_up_rate", 2)).alias("take_up_rate"))
+    shown = {"wilayah": F.col("wilayah").cast("string"),
+             "take_up_rate": F.format_string("%.2f%%", F.round("take_up_rate", 2))}
+    return master.select(*[shown.get(c, F.col(c)).alias(c) for c in EXPORT_COLUMNS])
 
 
 def export_campaign_table(master: DataFrame, path: str, page: str, start: str, end: str,
