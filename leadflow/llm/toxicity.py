@@ -3,7 +3,9 @@
 1. A bounded sample of labelled texts (``SAMPLE`` rows, those with the smallest
    hash of their id; held-out rows never) gives a lexicon: terms that are much
    more frequent in toxic texts. Terms are words and beginnings of words, A-Z
-   in lower case, with digits and signs that stand in for letters read as those.
+   in lower case, with digits and signs that stand in for letters read as those,
+   and each of them once more where it makes up a ``DENSE``-th of a text's words:
+   a stem that clean texts hold now and then tells much if a text is full of it.
 2. Voters: the lexicon dealt out by kind of term and by a hash, so that no voter
    sees all of it, each for one and for several different hits, and pattern
    voters on shouting and piled-up punctuation. A voter says +1, -1 or 0.
@@ -15,8 +17,10 @@
 4. A linear classifier on the terms' presence is trained on the posteriors and
    scores every whole text in one pass.
 
-Only the vote sums, the lexicon (``TERMS`` rows at most) and the sample's term
-lists (bounded by ``SAMPLE``) reach the driver.
+The sample takes both classes apart, so a rare one is seen as well; the scores
+are put right by the shares that were taken. Only the vote sums, the lexicon
+(``TERMS`` rows at most) and the sample's term lists (bounded by ``SAMPLE``)
+reach the driver.
 
 Defined results: null or empty text has no terms and gets the classifier's
 value for that; a null doc_id is scored, never learned from and not held out;
@@ -28,8 +32,10 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +48,15 @@ from leadflow.llm.common import materialize, prepare, table
 #: Most labelled rows that anything is learned from.
 SAMPLE = 30_000
 #: Most terms that are counted; and that the classifier weighs.
-TERMS = 50_000
+TERMS = 100_000
 WEIGHED = 4_096
 #: A lexicon term stands in this many toxic texts; its log odds there are higher
 #: by ``LIKELY``, and by ``LOG_ODDS`` less ``DOUBT`` standard errors.
 SUPPORT, LIKELY, LOG_ODDS, DOUBT = 5, 4.5, 2.5, 1.64
 #: The last bound for a term of the classifier, either way.
-CLEAR = 2.5
+CLEAR = 1.0
+#: A term is dense in a text if one word of so many has it.
+DENSE = 100
 #: Bytes of the beginnings of words that are terms besides the words.
 BEGINNINGS = (4, 5, 6)
 GROUPS = 3
@@ -60,6 +68,9 @@ _LETTER[0x80:] = True
 _READ = T.LOWER.copy()
 for _sign, _as in zip(b"013457@$", b"oieastas"):
     _READ[_sign] = _as
+#: Kinds of terms: words, their beginnings, and the same again where dense.
+KINDS = 2 * (1 + len(BEGINNINGS))
+_DENSE = np.uint64(0xD1B54A32D192ED03)
 _KIND = [np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(1, 2 + len(BEGINNINGS))]
 
 
@@ -88,9 +99,27 @@ def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(hashes), np.concatenate(rows), np.concatenate(kinds)
 
 
+def text_terms(buf: np.ndarray, offsets: np.ndarray, wanted: "Lookup | None" = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, kind) of the terms of a batch of texts, each once per text, dense ones
+    once more under a hash and kind of their own; with ``wanted``, those it may hold."""
+    h, row, kind = terms(buf, offsets)
+    words = np.bincount(row[kind == 0], minlength=len(offsets) - 1)
+    if wanted is not None:
+        some = np.flatnonzero(wanted.plain.find(h) >= 0)
+        h, row, kind = h[some], row[some], kind[some]
+    order = np.lexsort((h, row))
+    h, row, kind = h[order], row[order], kind[order]
+    at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))) if len(h) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(h)))
+    h, row, kind = h[at], row[at], kind[at]
+    d = times * DENSE >= words[row]
+    return (np.concatenate([h, h[d] ^ _DENSE]), np.concatenate([row, row[d]]),
+            np.concatenate([kind, kind[d] + np.int8(KINDS // 2)]))
+
+
 def distinct_terms(buf: np.ndarray, offsets: np.ndarray, wanted: "Lookup") -> tuple[np.ndarray, np.ndarray]:
     """(row, number of the term in ``wanted``), each once per text, by row."""
-    hashes, rows, _ = terms(buf, offsets)
+    hashes, rows, _ = text_terms(buf, offsets, wanted)
     at = wanted.find(hashes)
     seen = at >= 0
     both = np.unique(rows[seen] * len(wanted.keys) + at[seen]) if seen.any() else np.zeros(0, np.int64)
@@ -107,6 +136,11 @@ class Lookup:
         self.bitmap = np.zeros(1 << self.BITS, bool)
         self.bitmap[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
+    @cached_property
+    def plain(self) -> "Lookup":
+        """The terms themselves, whether asked for as they are or where dense."""
+        return Lookup(np.union1d(self.keys, self.keys ^ _DENSE))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
         if not len(self.keys):
@@ -140,16 +174,18 @@ class Voters:
     keys: np.ndarray      # sorted hashes
     voter: np.ndarray     # the lexicon voter that a term belongs to
 
-    COUNT = (1 + len(BEGINNINGS)) * GROUPS
+    COUNT = KINDS * GROUPS
 
     def votes(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         row, term = distinct_terms(buf, offsets, Lookup(self.keys))
         hits = np.zeros((n, self.COUNT), np.int64)
         np.add.at(hits, (row, self.voter[term]), 1)
-        some = np.diff(offsets)[:, None] > 0
-        one = np.where(hits > 0, 1, -1) * some
-        more = np.where(hits > 2, 1, np.where(hits > 0, 0, -1)) * some
+        # the lexicon of one language finds nothing in the texts of another, so
+        # silence is a vote only where no voter finds anything
+        silent = -((np.diff(offsets)[:, None] > 0) & ~hits.any(axis=1, keepdims=True)).astype(np.int64)
+        one = np.where(hits > 0, 1, silent)
+        more = np.where(hits > 2, 1, np.where(hits > 0, 0, silent))
         return np.concatenate([one, more, pattern_votes(buf, offsets)], axis=1).astype(np.int8)
 
 
@@ -241,16 +277,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """Stored (doc_id, text, toxic) of at most ``rows`` labelled rows to learn from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[DataFrame, float]:
+    """Stored (doc_id, text, toxic) of at most ``rows`` labelled rows to learn from, half
+    of them toxic if there are as many; and by how much that raises the log odds of it."""
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    have = {r["bad"]: r["count"] for r in known.groupBy((F.col("toxic") != 0).alias("bad")).count().collect()}
+    bad, good = have.get(True, 0), have.get(False, 0)
+    take_bad = min(bad, max(rows // 2, rows - good))
+    take_good = min(good, rows - take_bad)
+    lift = math.log(take_bad / bad) - math.log(take_good / good) if take_bad and take_good else 0.0
+    by_hash = [F.xxhash64("_id"), F.col("_id")]
+    some = (known.filter("toxic != 0").orderBy(*by_hash).limit(take_bad)
+            .union(known.filter("toxic = 0").orderBy(*by_hash).limit(take_good)))
     # at most ``rows`` pairs of numbers are sent; copies of a text count once
     return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
                        .join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
                        .withColumn("_h", F.md5("text")).dropDuplicates(["_h", "toxic"]).drop("_h"),
-                       "toxicity-sample")
+                       "toxicity-sample"), lift
 
 
 def _term_counts(sample: DataFrame, toxic: bool, wanted: np.ndarray | None) -> DataFrame:
@@ -261,18 +305,14 @@ def _term_counts(sample: DataFrame, toxic: bool, wanted: np.ndarray | None) -> D
         for batch in batches:
             buf, offsets = T.column_bytes(batch.column(0))
             for i, j in T.slices(offsets, 2 << 20):
-                h, row, kind = terms(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                # once per text, then counted over the batch
+                h, _, kind = text_terms(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], look)
                 if look is not None:
                     some = look.find(h) >= 0
-                    h, row, kind = h[some], row[some], kind[some]
-                # once per text, then counted over the batch
-                order = np.lexsort((h, row))
-                h, row, kind = h[order], row[order], kind[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                found, at, n = np.unique(h[new], return_index=True, return_counts=True)
+                    h, kind = h[some], kind[some]
+                found, at, n = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(kind[new][at].astype(np.int32)), pa.array(n)],
+                    [pa.array(found.view(np.int64)), pa.array(kind[at].astype(np.int32)), pa.array(n)],
                     ["term", "kind", "n"])
 
     return (sample.filter(F.col("toxic") == int(toxic)).select("text")
@@ -281,11 +321,11 @@ def _term_counts(sample: DataFrame, toxic: bool, wanted: np.ndarray | None) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     """The whole learning part; see the module's text."""
-    sample = labelled_sample(docs, labels, rows)
+    sample, lift = labelled_sample(docs, labels, rows)
     have = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("toxic") != 0).cast("int").alias("toxic")).count().collect()}
     n_pos, n_neg = have.get(1, 0), have.get(0, 0)
     share = n_pos / max(1, n_pos + n_neg)
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)) - lift))
     if not n_pos or not n_neg:
         return nothing
     # terms of toxic texts, the most frequent ones; then the same terms in the others
@@ -304,8 +344,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     lexicon = (odds >= LIKELY) & (odds - DOUBT * error >= LOG_ODDS)
     if not lexicon.any():
         return nothing
-    voters = Voters(keys[lexicon], kind[lexicon] * GROUPS
-                    + (T.mix(keys[lexicon]) % np.uint64(GROUPS)).astype(np.int64))
+    # the few dense terms of a kind stay together, so that their voter knows all languages
+    voters = Voters(keys[lexicon], kind[lexicon] * GROUPS + np.where(
+        kind[lexicon] < KINDS // 2, (T.mix(keys[lexicon]) % np.uint64(GROUPS)).astype(np.int64), 0))
     # terms that tell the classes apart beyond doubt, the clearest ones first
     clear = np.abs(odds) - DOUBT * error
     weighed = np.argsort(-clear, kind="stable")[:WEIGHED]
@@ -334,7 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     size = np.diff(lists.offsets.to_numpy())
     weights, bias = train_linear(np.repeat(np.arange(len(size)), size), lists.values.to_numpy(),
                                  model.posterior(votes), len(weighed_keys))
-    return Model(weighed_keys, weights, bias)
+    return Model(weighed_keys, weights, bias - lift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
