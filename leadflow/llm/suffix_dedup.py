@@ -9,8 +9,8 @@ documents they come from:
    share it, so a text is a sequence of runs, one gram each. A gram that occurs
    once in the corpus cannot belong to a repeated string: only runs of the
    others go on, cut out as segments.
-2. Segments are dealt to shards by gram. Copies of a segment count, but two of
-   them decide as much as a thousand, so at most two are placed in a shard.
+2. Segments are dealt to shards by gram, each different one once. One that has
+   copies repeats as a whole; it stands in the shard for the others to meet.
 3. A shard's suffix array is induced and its permuted common prefixes computed
    (``suffixes``). A string repeats if it shares ``WIDTH`` bytes with its
    neighbour in the array.
@@ -47,9 +47,9 @@ WIDTH = 200
 GRAM = 40
 #: Different segments of one gram up to which they are sorted in one shard.
 SHARD_SEGMENTS = 2000
-#: Bytes of segments per suffix array, copies included.
+#: Bytes of segments per suffix array.
 SHARD_BYTES = 1 << 20
-#: Bytes of one gram's segments, copies included, up to which they are sorted in one shard.
+#: Bytes of one gram's different segments up to which they are sorted in one shard.
 GRAM_BYTES = 2 << 20
 #: Starts whose strings are counted at once.
 COUNTED = 1 << 20
@@ -117,24 +117,22 @@ def _ranges(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_starts(segments: list[bytes], twice: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, lo, hi): the ranges of starts whose string repeats in the
     shard, by segment; ``twice``: there are more copies of this segment."""
-    parts = [p for s, t in zip(segments, twice) for p in ([s, b"\xff"] * (2 if t else 1))]
-    text = np.frombuffer(b"".join(parts), np.uint8)
+    text = np.frombuffer(b"".join([p for s in segments for p in (s, b"\xff")]), np.uint8)
+    size = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
     sa = suffix_array(text)
     before, common = permuted_common_prefixes(text, sa)
     stop = np.flatnonzero(text == _BETWEEN)
     room = np.repeat(stop, np.diff(np.concatenate(([-1], stop)))) - np.arange(len(text))
     hit = np.flatnonzero((common >= WIDTH) & (room >= WIDTH))
-    mark = np.zeros(len(text), bool)
+    mark = np.repeat(np.array(twice, bool), size)
     mark[hit] = True
     mark[before[hit]] = True
     mark &= room >= WIDTH
     # no range runs over a segment's end: its last starts have no room
     lo, hi = _ranges(mark)
-    size = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
-    place = np.cumsum(size * np.where(twice, 2, 1)) - size * np.where(twice, 2, 1)
+    place = np.cumsum(size) - size
     owner = np.searchsorted(place, lo, "right") - 1
-    first = lo < place[owner] + size[owner]   # copies have the same ranges
-    return owner[first], (lo - place[owner])[first], (hi - place[owner])[first]
+    return owner, lo - place[owner], hi - place[owner]
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -219,7 +217,7 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
                     yield flush()
                     wait, size = [], 0
                 wait.append(row)
-                size += len(row[3]) * min(row[2], 2)
+                size += len(row[3])
         if wait:
             yield flush()
 
@@ -313,7 +311,7 @@ def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
     kinds = cut.groupBy("gram", "seg").agg(F.sum(F.least("copies", F.lit(2))).alias("copies"), F.min(pick).alias("pick"),
                                           F.max("size").alias("size"))
     kinds = materialize(kinds, "suffix-kinds")
-    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.least("copies", F.lit(2))).alias("size"))
+    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     small = (F.col("n") <= SHARD_SEGMENTS) & (F.col("size") <= GRAM_BYTES)
     calm = kinds.join(per_gram.filter(small).select("gram"), "gram", "left_semi")
     busy = per_gram.filter(~small).select("gram")
