@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 
 from leadflow.session import scratch_path as _scratch_path
 
-__all__ = ["materialize", "scratch_path", "prepare", "table", "prefix_sums", "salts", "free_name", "Scratch"]
+__all__ = ["materialize", "scratch_path", "prepare", "table", "prefix_sums", "salts", "free_name", "Scratch", "release"]
 
 #: Rows per Arrow batch handed to Python: whole texts can be long, so batches
 #: are kept small enough that a batch of long texts still fits in memory.
@@ -72,6 +73,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of frames that are not used any more. Spark deletes them
+    once the driver's garbage collector finds their plans, which may take half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer by underscores until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.llm import textops as T
-from leadflow.llm.common import free_name, materialize, prepare, table
+from leadflow.llm.common import Scratch, free_name, materialize, prepare, release, table
 from leadflow.llm.suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH = 200
@@ -291,7 +291,9 @@ def _counted_strings(segments: DataFrame) -> DataFrame:
 
 def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(all rows: doc_id, name, n_bytes, sha256; texts that lose bytes: name,
-    n_removed, n_spans, kept_sha256, kept). ``name`` tells texts apart."""
+    n_removed, n_spans, kept_sha256, kept). ``name`` tells texts apart. What a
+    step stored for the next one only goes with that one."""
+    spark, soon = docs.sparkSession, Scratch()
     rows = materialize(_anchor_rows(docs), "suffix-anchors")
     places = rows.select("text_id", F.explode("grams").alias("gram"))
     shared = places.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
@@ -299,18 +301,23 @@ def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
     # a text is read at the smallest id that has it
     whole = (rows.groupBy("text_id", "name").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"),
                                                   F.count("*").alias("copies")))
-    wanted = materialize(whole.join(wanted, "text_id"), "suffix-wanted")
+    with soon:
+        wanted = materialize(whole.join(wanted, "text_id"), "suffix-wanted")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep"), text.alias("text"))
     texts = (source.join(wanted, "rep").filter(F.unhex(F.md5("text")) == F.col("name"))
-             .select("name", "copies", "grams", "text"))
+             .select(F.monotonically_increasing_id().alias("row"), "name", "copies", "grams", "text"))
     texts = materialize(texts, "suffix-texts")
+    soon.remove(spark)
+    del places, shared, whole, wanted, source
+    release(spark)
 
     cut = materialize(_segments(texts).withColumn("size", F.octet_length("bytes").cast("long")), "suffix-segments")
     pick = F.xxhash64("name", "start")
     kinds = cut.groupBy("gram", "seg").agg(F.sum(F.least("copies", F.lit(2))).alias("copies"), F.min(pick).alias("pick"),
                                           F.max("size").alias("size"))
-    kinds = materialize(kinds, "suffix-kinds")
+    with soon:
+        kinds = materialize(kinds, "suffix-kinds")
     per_gram = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     small = (F.col("n") <= SHARD_SEGMENTS) & (F.col("size") <= GRAM_BYTES)
     calm = kinds.join(per_gram.filter(small).select("gram"), "gram", "left_semi")
@@ -326,7 +333,12 @@ def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
     if not busy.isEmpty():
         found = found.union(_counted_strings(one_of_each(kinds.join(busy, "gram", "left_semi"))))
     found = materialize(found, "suffix-found")
+    soon.remove(spark)
+    del kinds, per_gram, calm, busy
+    release(spark)
 
+    # of rows with one text, the first stored is read
+    once = texts.groupBy("name").agg(F.min("row").alias("first"))
     spans = (cut.select("gram", "seg", "name", "start").join(found, ["gram", "seg"])
              .select("name", F.explode(F.arrays_zip("lo", "hi")).alias("r"), "start")
              .groupBy("name").agg(F.collect_list(F.struct(
@@ -353,9 +365,9 @@ def removed_texts(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
                  pa.array([o[2] for o in out], pa.string()), pa.array([o[3] for o in out], pa.string())],
                 ["name", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    stripped = (texts.select("name", "text").join(spans, "name").select("name", "text", "spans")
-                .mapInArrow(T.tidy(strip), "name binary, n_removed long, n_spans long, kept_sha256 string, kept string")
-                .dropDuplicates(["name"]))
+    stripped = (texts.select("name", "row", "text").join(spans.join(once, "name"), "name").filter("row = first")
+                .select("name", "text", "spans")
+                .mapInArrow(T.tidy(strip), "name binary, n_removed long, n_spans long, kept_sha256 string, kept string"))
     return rows.select("doc_id", "name", "n_bytes", "sha256"), stripped
 
 
