@@ -13,8 +13,8 @@ pass the first three stages and are never drawn; repeated rows and rows with a
 null doc_id are rows like any other; an empty table gives no rows.
 
 A stage's frame is written before the next stage is called. The tables that a
-stage stored on its way are removed then: when the next stage starts, as far as
-its input is not still read from them.
+stage stored on its way are removed then, and its shuffle files freed: when the next
+stage starts, as far as its input is not still read from them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm.common import Scratch, materialize, prepare, table
+from leadflow.llm.common import Scratch, materialize, prepare, release, table
 from leadflow.llm.mixing import mixed_documents
 from leadflow.llm.near_dedup import keep_one
 from leadflow.llm.packing import pack_documents
@@ -44,6 +44,7 @@ def _stage(work):
         for scratch in left:
             scratch.remove(spark, docs)
         left[:] = [s for s in left if s.paths] + [Scratch()]
+        release(spark)
         with left[-1]:
             return work(prepare(spark), docs, sf_dir)
 
