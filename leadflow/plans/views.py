@@ -162,7 +162,7 @@ class Views:
     def leads_zone(self) -> str:
         """Folder of the enriched leads, partitioned by campaign."""
         return stored_zone(self.spark, f"{self.sf_dir}|leads_zone",
-                           lambda path: io.write_leads_partitioned(self.enriched, path))
+                           lambda path: io.write_leads_partitioned(self.enriched, path, clustered=True))
 
     @cached_property
     def campaigns_zone(self) -> str:

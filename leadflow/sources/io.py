@@ -15,6 +15,8 @@ Scale notes
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,6 +26,8 @@ from leadflow.functions.domains import EXPORT_COLUMNS, LEADS_SCHEMA, MONITORING_
 MAX_RECORDS_PER_FILE = 5_000_000
 #: Row groups of a clustered table: small enough that one holds few keys.
 ROW_GROUP_BYTES = 32 << 20
+#: Files that a task writing a partitioned table holds open at once.
+OPEN_FILES = 64
 
 
 # ------------------------------------------------------------ raw CSV
@@ -75,12 +79,28 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 # ------------------------------------------------------------ parquet
 
-def write_leads_partitioned(df: DataFrame, path: str) -> None:
+@contextmanager
+def _open_files(spark: SparkSession):
+    """Within, a task that writes a partitioned table holds one open file for each of
+    its first folders, instead of sorting its rows by folder; rows of further
+    folders are sorted as ever."""
+    conf, old = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set(conf, OPEN_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, old)
+
+
+def write_leads_partitioned(df: DataFrame, path: str, clustered: bool = False) -> None:
     """Enriched leads, one folder per campaign; a rebuild replaces the whole
-    table, so a campaign that is gone leaves no folder behind."""
-    (df.hint("rebalance", "campaign_id")
-       .write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-       .partitionBy("campaign_id").parquet(path))
+    table, so a campaign that is gone leaves no folder behind. Leads read from a
+    table ``clustered`` by campaign are written as they are read: a task's
+    files hold few campaigns already, so nothing is shuffled."""
+    rows = df if clustered else df.hint("rebalance", "campaign_id")
+    with _open_files(df.sparkSession):
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+             .partitionBy("campaign_id").parquet(path))
 
 
 def write_campaigns_partitioned(df: DataFrame, path: str) -> None:
@@ -101,9 +121,10 @@ def _write_months(df: DataFrame, path: str, mode: str) -> None:
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "static") -> None:
     """``df`` in folders by ``by``: the whole table (``static``), or only the
     partitions that ``df`` holds (``dynamic``)."""
-    (df.hint("rebalance", *by)
-       .write.mode("overwrite").option("partitionOverwriteMode", mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-       .partitionBy(*by).parquet(path))
+    with _open_files(df.sparkSession):
+        (df.hint("rebalance", *by)
+           .write.mode("overwrite").option("partitionOverwriteMode", mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+           .partitionBy(*by).parquet(path))
 
 
 def write_clustered(df: DataFrame, path: str, by: list[str]) -> None:
