@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import string
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,18 +23,24 @@ def _shape_of(fmt: str) -> str:
     return "".join("d" if ch.isalpha() else ch for ch in fmt)
 
 
+def _has_shape(s: Column, shape: str) -> Column:
+    """Whether the separators and the length of ``s`` are those of ``shape``."""
+    places = [F.substring(s, i, 1) == ch for i, ch in enumerate(shape, 1) if ch != "d"]
+    return reduce(and_, [*places, F.length(s) == len(shape)])
+
+
 def parse_mixed_date(c, formats=DATE_FORMATS) -> Column:
     """First format that parses wins, so ``dd/MM`` beats ``MM/dd``.
 
-    The trimmed text is reduced once to its digit shape (``2024-08-13`` ->
-    ``dddd-dd-dd``) and only the formats of that shape are tried, in their
-    listed order. Text of another shape cannot parse with a fixed-width
-    pattern anyway, so results are those of trying every format in turn,
-    without paying a failed parse (an exception inside the JVM) per format.
+    Only formats with the separators and the length of the trimmed text are
+    tried, in their listed order. Text of another shape cannot parse with a
+    fixed-width pattern anyway, so results are those of trying every format in
+    turn, without paying a failed parse per format. The pattern itself tells
+    whether all other characters are digits: spelling out the text's digit
+    shape for that cost more than the parse.
     ``try_to_date`` returns null instead of raising under ANSI mode.
     """
     s = F.trim(col(c).cast("string"))
-    sig = F.translate(s, "0123456789", "d" * 10)
     groups: dict[str, list[str]] = {}
     for f in formats:
         groups.setdefault(_shape_of(f), []).append(f)
@@ -38,7 +48,7 @@ def parse_mixed_date(c, formats=DATE_FORMATS) -> Column:
     for shape, fmts in groups.items():
         parsed = F.coalesce(*[F.try_to_date(s, f) for f in fmts]) if len(fmts) > 1 \
             else F.try_to_date(s, fmts[0])
-        out = F.when(sig == shape, parsed) if out is None else out.when(sig == shape, parsed)
+        out = F.when(_has_shape(s, shape), parsed) if out is None else out.when(_has_shape(s, shape), parsed)
     return out
 
 
@@ -86,11 +96,21 @@ def rnd(c, scale: int) -> Column:
 
 # ---------------------------------------------------------------- text
 
+SLUG_CHARACTERS = string.ascii_letters + string.digits + "_-"
+
+
 def campaign_slug(name_col, date_col) -> Column:
     """``<name>_<yyyy-MM-dd>``, whitespace runs to ``_``, then every character
-    that is not an ASCII word character or ``-`` removed. Null in, null out."""
-    raw = F.concat(col(name_col), F.lit("_"), F.date_format(col(date_col), "yyyy-MM-dd"))
-    return F.regexp_replace(F.regexp_replace(raw, r"\s+", "_"), r"[^A-Za-z0-9_\-]", "")
+    that is not an ASCII word character or ``-`` removed. Null in, null out.
+
+    A date holds no whitespace and no such character but the ``+`` of a
+    five-digit year. In names they are rare, and looking for them with a negated
+    character class costs several times all else, so names without any skip it.
+    """
+    name = F.regexp_replace(col(name_col), r"\s+", "_")
+    odd = F.translate(name, SLUG_CHARACTERS, "")
+    day = F.replace(F.date_format(col(date_col), "yyyy-MM-dd"), F.lit("+"), F.lit(""))
+    return F.concat(F.when(odd == "", name).otherwise(F.regexp_replace(name, r"[^A-Za-z0-9_\-]", "")), F.lit("_"), day)
 
 
 def blank_to_null(c) -> Column:

@@ -30,9 +30,11 @@ def filter_valid_cif(df: DataFrame) -> DataFrame:
 
 def normalise_leads(df: DataFrame) -> DataFrame:
     """Trim the key, parse ``periode_start`` to DATE, upper-case categories."""
-    cols = {"cif": F.trim("cif"), "periode_start": parse_mixed_date("periode_start")}
-    cols.update({c: F.upper(F.col(c)) for c in UPPERCASE_COLUMNS if c in df.columns})
-    return df.withColumns(cols)
+    return _trim_and_upper(df.withColumn("periode_start", parse_mixed_date("periode_start")))
+
+
+def _trim_and_upper(df: DataFrame) -> DataFrame:
+    return df.withColumns({"cif": F.trim("cif"), **{c: F.upper(F.col(c)) for c in UPPERCASE_COLUMNS if c in df.columns}})
 
 
 def _tie_break(df: DataFrame, first: list, used: tuple = ()) -> list:
@@ -142,15 +144,16 @@ def _tagged(raw: DataFrame, misfit: Column, source: str) -> DataFrame:
                            .otherwise(F.concat(F.lit(source), F.monotonically_increasing_id().cast("string"))))
 
 
-def _watched(rows: DataFrame, watch: Observation, bad_date: Column, no_campaign: Column) -> DataFrame:
+def _watched(rows: DataFrame, watch: Observation, dates: list[str], watched: str) -> DataFrame:
+    """Rows with their ``dates`` parsed, once for the counts and all that follows;
+    ``watched`` is the one whose unreadable texts are counted."""
+    rows = rows.withColumns({**{c: parse_mixed_date(c) for c in dates}, "_given": F.col(watched).isNotNull()})
+    bad_date = F.col("_given") & F.col(watched).isNull()
+    no_campaign = F.col("nama_program").isNull() | F.col("periode_start").isNull()
     fits = F.col("_status") != "malformed"
     return rows.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(~fits).alias("malformed"),
                         F.count_if(F.col("_status") == "blank_key").alias("blank"), F.count_if(F.col("_status") == "ok").alias("valid"),
-                        F.count_if(fits & bad_date).alias("bad_dates"), F.count_if(fits & no_campaign).alias("no_campaign"))
-
-
-def _unreadable(date_col: str) -> Column:
-    return F.col(date_col).isNotNull() & parse_mixed_date(date_col).isNull()
+                        F.count_if(fits & bad_date).alias("bad_dates"), F.count_if(fits & no_campaign).alias("no_campaign")).drop("_given")
 
 
 class EtlWatch:
@@ -187,18 +190,16 @@ def split_by_status(leads_raw: DataFrame, monitoring_raw: DataFrame, misfit: tup
     them shuffles nothing, and has at most one row per key on either side.
     """
     key = [*NATURAL_KEY, "_hold"]
-    no_campaign = F.col("nama_program").isNull() | parse_mixed_date("periode_start").isNull()
-    le = _watched(_tagged(leads_raw, misfit[0], "leads "), watch.leads, _unreadable("periode_start"), no_campaign)
-    mo = _watched(_tagged(monitoring_raw, misfit[1], "monitoring "), watch.monitoring, _unreadable("take_up_date"), no_campaign)
+    le = _watched(_tagged(leads_raw, misfit[0], "leads "), watch.leads, ["periode_start"], "periode_start")
+    mo = _watched(_tagged(monitoring_raw, misfit[1], "monitoring "), watch.monitoring, ["periode_start", "take_up_date"], "take_up_date")
     lineage = [c for c in leads_raw.columns if c.startswith("_src_")]
     columns = [c for c in leads_raw.columns if c not in (*lineage, "_corrupt_record")]
-    le = normalise_leads(le)
+    le = _trim_and_upper(le)
     le = keep_first(le, key, _tie_break(le, [], ("_hold", "_status", "_line")))
     le = le.select(*columns, "_hold", F.col("_status").alias("_ls"), F.col("_line").alias("_ll"))
     mo = mo.select(*key, "_status", "_line", "take_up_flag", "take_up_date", "total_transaction_value",
                    *[c for c in monitoring_raw.columns if c.startswith("_src_")]).withColumns({
-        "cif": F.trim("cif"), "periode_start": parse_mixed_date("periode_start"),
-        "take_up_date": parse_mixed_date("take_up_date"), "take_up_flag": F.upper(F.trim("take_up_flag"))})
+        "cif": F.trim("cif"), "take_up_flag": F.upper(F.trim("take_up_flag"))})
     mo = keep_first(mo, key, _outcome_order(mo))
     mo = mo.select(*key, F.col("_status").alias("_ms"), F.col("_line").alias("_ml"),
                    F.col("take_up_flag").alias("_flag"), "take_up_date", "total_transaction_value")
