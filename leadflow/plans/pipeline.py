@@ -43,7 +43,7 @@ def split_raw(spark: SparkSession, p: Paths) -> dict[str, int]:
     rows = clean.split_by_status(io.read_raw(spark, p.raw_leads, io.LEADS_SCHEMA, p.arrival_order),
                                  io.read_raw(spark, p.raw_monitoring, io.MONITORING_SCHEMA, p.arrival_order),
                                  (io.malformed(io.LEADS_SCHEMA), io.malformed(io.MONITORING_SCHEMA)), watch)
-    io.write_partitioned(rows, p.enriched, ["status", "campaign_id"])
+    io.write_partitioned(rows, p.enriched, ["status", "campaign_id"], distinct=("cif", "raw_line"))
     return watch.metrics()
 
 

@@ -118,12 +118,14 @@ def _write_months(df: DataFrame, path: str, mode: str) -> None:
     write_partitioned(df, path, ["year", "month"], mode)
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "static") -> None:
+def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "static", distinct: tuple[str, ...] = ()) -> None:
     """``df`` in folders by ``by``: the whole table (``static``), or only the
-    partitions that ``df`` holds (``dynamic``)."""
+    partitions that ``df`` holds (``dynamic``). Columns named ``distinct`` hardly
+    repeat a value within a folder: their files try no dictionary."""
     with _open_files(df.sparkSession):
         (df.hint("rebalance", *by)
            .write.mode("overwrite").option("partitionOverwriteMode", mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+           .options(**{f"parquet.enable.dictionary#{c}": "false" for c in distinct})
            .partitionBy(*by).parquet(path))
 
 

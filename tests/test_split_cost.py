@@ -1,13 +1,17 @@
 """What the one-pass split spends on a row, and that the cheaper forms give the same."""
 
+import glob
+import threading
 from datetime import date as D
+from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from leadflow.functions.domains import DATE_FORMATS
 from leadflow.functions.exprs import campaign_slug, parse_mixed_date
 from leadflow.operators import clean
-from leadflow.plans import pipeline
+from leadflow.plans import pipeline, registry
 from leadflow.session import scratch_path
 from leadflow.sources import io
 from tests.test_clean import df_of, lead, mon
@@ -48,3 +52,26 @@ def test_slug_of_odd_names_and_dates(spark):
     assert got == ["1-URGENT_2024-01-05", "4-NOT_SPECIFIED_2024-01-05", "_a_b__2024-01-05", "x_2024-01-05", "_2024-01-05", "_2024-01-05", None]
     year = df.limit(1).select(campaign_slug("n", F.expr("date'12024-01-05'")), campaign_slug("n", F.lit(None).cast("date"))).first()
     assert tuple(year) == ("1-URGENT_12024-01-05", None)
+
+
+def test_columns_that_do_not_repeat_try_no_dictionary(spark):
+    p = paths(scratch_path(spark, "t-dict"))
+    rows = as_text(df_of(spark, [lead("7")] * 50, io.LEADS_SCHEMA)).withColumn("wilayah", F.lit("north"))
+    io.write_csv(rows.coalesce(1), p.raw_leads)
+    io.write_csv(as_text(df_of(spark, [mon("1")], io.MONITORING_SCHEMA)), p.raw_monitoring)
+    pipeline.split_raw(spark, p)
+    meta = pq.ParquetFile(glob.glob(f"{p.enriched}/status=malformed/*/*.parquet")[0]).metadata.row_group(0)
+    tried = {c.path_in_schema: c.has_dictionary_page for c in (meta.column(i) for i in range(meta.num_columns))}
+    assert not tried["cif"] and not tried["raw_line"] and tried["nama_program"]
+
+
+def test_both_drops_are_written_at_the_same_time(spark, monkeypatch):
+    together, write = threading.Barrier(2, timeout=60), io.write_csv
+
+    def meet(df, path):
+        together.wait()
+        write(df, path)
+    monkeypatch.setattr(io, "write_csv", meet)
+    leads = df_of(spark, [lead("1"), lead("2")], io.LEADS_SCHEMA).withColumn("_src_orderkey", F.lit(1))
+    p = registry._dirty_drop(SimpleNamespace(spark=spark, leads_raw=leads, monitoring_raw=df_of(spark, [mon("1")], io.MONITORING_SCHEMA)))
+    assert (io.read_leads(spark, p.raw_leads).count(), io.read_monitoring(spark, p.raw_monitoring).count()) == (2, 1)
